@@ -50,23 +50,21 @@ def fit_exponent(totals: DataFrame, entropy: float | None, repeats: float | None
         return 1.0
     target = None if entropy is None else entropy * math.log(head["n"])
 
-    def bisect(good) -> float:
-        """good holds at 0 and from there up to some point: the last point where it holds."""
+    def bisect(good) -> tuple[float, float]:
+        """good holds at 0 and from there up to some point: the points just before and after that."""
         low, high = 0.0, 1.0
         if good(*_measures(totals, [1.0])[1.0]):
-            return 1.0
+            return 1.0, 1.0
         for _ in range(rounds):
             points = [low + (high - low) * i / 2**LEVELS for i in range(1, 2**LEVELS)]
             at = _measures(totals, points)
             low, high = max([low, *(p for p in points if good(*at[p]))]), min([high, *(p for p in points if not good(*at[p]))])
-        return low
+        return low, high
 
-    by_entropy = 1.0 if target is None else bisect(lambda h, _: h >= target - 1e-12)
-    # the limit holds from some point up to 1; the point itself is what counts
-    by_repeats = 0.0 if repeats is None else bisect(lambda _, r: r > repeats)
-    if repeats is not None and by_repeats == 0.0 and _measures(totals, [0.0])[0.0][1] <= repeats:
+    by_entropy = 1.0 if target is None else bisect(lambda h, _: h >= target - 1e-12)[0]
+    if repeats is None or _measures(totals, [0.0])[0.0][1] <= repeats:
         return by_entropy
-    return max(by_entropy, by_repeats)
+    return max(by_entropy, bisect(lambda _, r: r > repeats)[1])  # from there up to 1 the limit holds
 
 
 def plan(totals: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None) -> DataFrame:

@@ -1 +1,51 @@
-SQL = {}
+"""SQL that gives the same rows as the operators' queries, where SQL can express them.
+
+Not expressible: op4 and op6 deal rows by a 64-bit hash that SQL lacks, op5's cuts are a search, op7 stores bytes in a
+media format, op8 is a fitted model. Those are tested against brute force, round trips and held-out labels.
+"""
+
+from tideline.llm.licenses import PHRASES, TEMPLATES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+OP1 = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+its AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
+n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item, round(count(*) / any_value(n_item), 6) AS containment FROM ds JOIN its USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n_item) - 1e-9"""
+
+
+def _phrase(p: str) -> str:
+    return " AND ".join(f"w[p + {k}] = '{x}'" for k, x in enumerate(p.split()))
+
+
+_PLACES = " UNION ALL ".join(f"SELECT doc_id, p - 1 AS place, '{label}' AS label FROM at WHERE {_phrase(p)}" for p, label in PHRASES.items())
+_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+OP2 = f"""WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents), at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), pl AS ({_PLACES}),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM pl GROUP BY doc_id),
+t AS (SELECT name, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_TEMPLATES}) v(name, words)), l AS (SELECT doc_id, i, {_words('line')} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+m AS (SELECT doc_id, i, name, len(list_intersect(t, w)) / len(t) AS c FROM l, t WHERE len(list_intersect(t, w)) >= ceil(0.8::DOUBLE * len(t) - 1e-9)),
+f AS (SELECT doc_id, list(DISTINCT name) AS names, max(c) AS best, count(DISTINCT (i, name)) AS n_blocks FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(names, [])))), ',') AS labels,
+ round(CASE WHEN coalesce(n_base, 0) > 0 THEN 1 ELSE coalesce(best, 0) END, 6)::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""
+
+OP3 = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, p - 1 AS p, l[p] AS a, l[p + 1] AS b, l[p + 2] AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d)),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM w WHERE trim(a || b || c, ' ') <> ''), g AS (SELECT DISTINCT doc_id, p + o AS i FROM k, range(3) r(o) WHERE n > 1),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d), r AS (SELECT x.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY x.i) FILTER (g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN r USING (doc_id)"""
+
+OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2), ln AS (SELECT a, b FROM pr JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ed AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln), re AS (SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(re.b)) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN re ON re.a = d.doc_id GROUP BY d.doc_id"""
+
+OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages), f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+SQL = {"op1_decontaminate": OP1, "op2_licenses": OP2, "op3_line_dedup": OP3, "op9_jaccard_join": OP9, "op10_warc": OP10}
