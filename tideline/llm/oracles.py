@@ -24,9 +24,9 @@ def _phrase(p: str) -> str:
     return " AND ".join(f"w[p + {k}] = '{x}'" for k, x in enumerate(p.split()))
 
 
-_PLACES = " UNION ALL ".join(f"SELECT doc_id, p - 1 AS place, '{label}' AS label FROM at WHERE {_phrase(p)}" for p, label in PHRASES.items())
+_PLACES = " UNION ALL ".join(f"SELECT doc_id, p - 1 AS place, '{label}' AS label FROM wp WHERE {_phrase(p)}" for p, label in PHRASES.items())
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
-OP2 = f"""WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents), at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), pl AS ({_PLACES}),
+OP2 = f"""WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents), wp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), pl AS ({_PLACES}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM pl GROUP BY doc_id),
 t AS (SELECT name, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_TEMPLATES}) v(name, words)), l AS (SELECT doc_id, i, {_words('line')} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
 m AS (SELECT doc_id, i, name, len(list_intersect(t, w)) / len(t) AS c FROM l, t WHERE len(list_intersect(t, w)) >= ceil(0.8::DOUBLE * len(t) - 1e-9)),
