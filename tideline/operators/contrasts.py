@@ -126,7 +126,7 @@ def correlation_grid(left: DataFrame, right: DataFrame, on: list[str], lefts: li
 def within_session_correlation(df: DataFrame, session: str, by: list[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Rank correlation in each session, then counts of signs, median r and a signed-rank test of r by key."""
     r = stats.spearman(df, [*by, session], x, y, least).where("r is not null")
-    head = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sessions"), F.sum((F.col("r") > 0).cast("long")).alias("n_positive"), F.median("r").alias("median_r"))
+    head = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sessions"), F.sum((F.round("r", 9) > 0).cast("long")).alias("n_positive"), F.median("r").alias("median_r"))
     return head.join(stats.wilcoxon(r.withColumnRenamed("r", "diff"), by).select(*by, "w", "p"), by, "left")
 
 

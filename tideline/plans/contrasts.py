@@ -191,7 +191,7 @@ def t16(spark, d):
     return r6(op.correlation_grid(g, g, ["condition", "subject"], ["a1", "a2"], ["b1", "b2"], ["condition"]).select("condition", "x", "y", "n", "r"))
 
 
-@query("t17_within_session", "WITH " + EVENTS + f", rk AS (SELECT condition, subject, {_rank('value', 'condition, subject')} AS a, {_rank('k', 'condition, subject')} AS b FROM ev WHERE value IS NOT NULL), s AS (SELECT condition, subject, corr(a, b) AS r FROM rk GROUP BY ALL HAVING count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0) SELECT condition, count(*) AS n_sessions, sum((r > 0)::INT)::BIGINT AS n_positive, round(median(r), 6) AS median_r FROM s GROUP BY condition")
+@query("t17_within_session", "WITH " + EVENTS + f", rk AS (SELECT condition, subject, {_rank('value', 'condition, subject')} AS a, {_rank('k', 'condition, subject')} AS b FROM ev WHERE value IS NOT NULL), s AS (SELECT condition, subject, corr(a, b) AS r FROM rk GROUP BY ALL HAVING count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0) SELECT condition, count(*) AS n_sessions, sum((round(r, 9) > 0)::INT)::BIGINT AS n_positive, round(median(r), 6) AS median_r FROM s GROUP BY condition")
 def t17(spark, d):
     return r6(op.within_session_correlation(events(spark, d), "subject", ["condition"], "value", "k").select("condition", "n_sessions", "n_positive", "median_r"))
 

@@ -67,3 +67,24 @@ def s12(spark, d):
     o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("src"), F.col("o_custkey") % 50)).alias("source"))
     c = table(spark, d, "customer").select(F.concat(F.lit("src"), F.col("c_custkey") % 70).alias("source"))
     return op.source_catalog([o, c], "source")
+
+
+@query("s2_parquet_sink", "SELECT o_orderkey, o_totalprice, o_orderstatus AS analysis_type FROM orders")
+def s2(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("analysis_type"))
+    op.write_parquet(o, path := op.shared_folder(spark), ["analysis_type"])
+    return op.read_parquet(spark, path, "o_orderkey bigint, o_totalprice double, analysis_type string")
+
+
+@query("s8_event_tsv", "SELECT user_id::VARCHAR AS onset, event_type AS trial_type, event_id::VARCHAR AS k FROM events WHERE event_type LIKE 'c%'")
+def s8(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("onset"), F.col("event_type").alias("trial_type"), F.col("event_id").cast("string").alias("k"))
+    e.write.option("sep", "\t").option("header", True).csv(path := op.shared_folder(spark))
+    return op.read_events(spark, path, "onset string, trial_type string, k string", prefix="c").select("onset", "trial_type", "k")
+
+
+@query("s10_csv_sink", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def s10(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    op.write_csv(c, path := op.shared_folder(spark))
+    return spark.read.schema(c.schema).option("header", True).csv(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,3 +97,12 @@ def explode_columns(df: DataFrame, keys: list[str], arrays: list[str], scalars:
 def source_catalog(frames: list[DataFrame], column: str) -> DataFrame:
     """Distinct non-null source paths of all tables."""
     return reduce(lambda a, b: a.unionByName(b), [f.select(column).distinct() for f in frames]).where(F.col(column).isNotNull()).distinct()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tideline/{uuid.uuid4().hex}"
