@@ -52,7 +52,7 @@ def test_spectra_invariants(spark, data):
 
 
 def test_condition_by_stage(spark):
-    rows = [(0, i, [10.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0] if i % 2 == 0 else [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]) for i in range(40)]
+    rows = [(0, i, [10.0 if i % 2 == 0 else 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "session int, t_idx long, j array<double>").withColumn("stage", (F.col("t_idx") % 2).cast("int"))
     spec = matrices.spectra(df, ["session", "stage", "t_idx"], "session int, stage int, t_idx long", 3)
     got = {r.stage: r.median for r in matrices.condition_summary(spec, ["session", "stage"]).collect()}
@@ -60,7 +60,7 @@ def test_condition_by_stage(spark):
 
 
 def test_transverse_and_first_component(spark, data):
-    df = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, [5.0, 0, 0, 0, 2.0, 0, 0, 0, -1.0])], "session int, t_idx long, m double, d double, e double, j array<double>")
+    df = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, [5.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, -1.0])], "session int, t_idx long, m double, d double, e double, j array<double>")
     r = matrices.transverse(df, ["session", "t_idx"], "session int, t_idx long", 3, ["m", "d", "e"]).first()
     assert (r.top, r.positive_sum) == (pytest.approx(2.0), pytest.approx(2.0))
     s = signal(spark, data).where("network = 2 and session = 1")

@@ -1,0 +1 @@
+"""No streams: the analyses are batch jobs over finished recordings, and sliding windows are batch operators (signals)."""
