@@ -14,9 +14,12 @@ could be all that agrees only if a set has m_C - D_C empty runs; such a set's em
 lost, whatever the texts.
 
 Cells are counted by a partial aggregation (smallest and largest set, number). A cell of two gives its pair. In
-larger cells every set is compared with the smallest one only; after connected components, members of a cell that
-are still in different components are compared with each other. So groups of copies cost pairs in proportion to
-their size, and a link between components that share no cell can't exist. Equal sets are one item throughout.
+larger cells every set is compared with the smallest one only, so a group of copies costs pairs in proportion to its
+size. Sets that cells connect form families; links can only be inside a family. Where a family's links leave more
+than one component, the rest is decided exactly, in blocks: every member's Jaccard distance d to one pivot is
+taken, and as that is a metric, members x and y can only be linked if |d(x) - d(y)| <= 1 - threshold. Members go to bands
+of that width and blocks of bounded size; blocks with members outside the largest component meet the blocks of
+their own and the neighbouring bands, and only links come out. Equal sets are one item throughout.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing, not even each other; texts with fewer
 words than a shingle are one shingle; repeated rows are equal sets; a null id belongs to its set's component;
@@ -34,11 +37,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tideline.llm.common import cut, small
 
-GROUPS = 64
+GROUPS, BLOCK_BYTES = 64, 1 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -214,17 +216,7 @@ class Join:
         links = self.verify(pairs, sets)
         labels = components(links)
 
-        # members of a cell in different components: what no star has compared
-        of = members.select("cell", "sid").join(labels, "sid", "left").select("cell", "sid", F.coalesce("label", "sid").alias("label"))
-        mixed = of.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("cell")
-        open_ = cut(of.join(mixed, "cell", "left_semi"))
-        x, y = (open_.select("cell", F.col("sid").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
-        rest = x.join(y, "cell").where("a < b and la <> lb").select("a", "b").distinct()
-        rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            more = self.verify(rest, sets)
-            if not more.isEmpty():
-                labels = components(cut(links.union(more)))
+        labels = self._join_rest(pairs, cut(labels), sets)
 
         sids = named.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         least = sids.groupBy("label").agg(F.min("first").alias("component"))
@@ -232,6 +224,66 @@ class Join:
         joined = named.join(of_sid, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
         return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
+    def _join_rest(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """``labels`` with components merged that have links beyond ``pairs``; families are found over components."""
+        ends = [labels.select(F.col("sid").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"]
+        between = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        between = cut(between.where("a <> b").distinct())
+        if between.isEmpty():
+            return labels
+        families = components(between).select(F.col("sid").alias("label"), F.col("label").alias("family"))
+        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        members = cut(nodes.join(families, "label"))
+        bytes_ = members.join(sets.select("sid", F.length("shingles").alias("bytes")), "sid").groupBy("family").agg(F.sum("bytes").alias("bytes"))
+        bytes_ = cut(bytes_)
+        held = members.join(sets.select("sid", "shingles"), "sid")
+        percent = self.percent
+
+        def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for rows in part["rows"]:
+                    yield _block_links(rows, rows, percent, 1.0)
+
+        few = small(bytes_.where(F.col("bytes") <= BLOCK_BYTES).select("family"), 10_000_000)
+        rows = held.join(few, "family", "left_semi").groupBy("family").agg(F.collect_list(F.struct("label", F.lit(0.0).alias("d"), "shingles")).alias("rows"))
+        more = cut(rows.select("rows").mapInPandas(within, "a long, b long").distinct())
+        many = bytes_.where(F.col("bytes") > BLOCK_BYTES).select("family")
+        if not many.isEmpty():
+            more = cut(more.union(self._between_blocks(held.join(many, "family", "left_semi"), members, pairs, sets)).distinct())
+        if more.isEmpty():
+            return labels
+        merged = components(more).select(F.col("sid").alias("label"), F.col("label").alias("merged"))
+        every = labels.union(more.select("a", "a")).union(more.select("b", "b")).dropDuplicates(["sid"])
+        return every.join(merged, "label", "left").select("sid", F.coalesce("merged", "label").alias("label"))
+
+    def _between_blocks(self, held: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of components that links join in families too large for one block."""
+        degree = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
+        pivots = members.join(degree, "sid").groupBy("family").agg(F.max(F.struct("degree", "sid")).alias("p")).select("family", F.col("p.sid").alias("pivot"))
+        sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+        bulk = sizes.groupBy("family").agg(F.max(F.struct("size", "label")).alias("b")).select("family", F.col("b.label").alias("bulk"))
+        placed = held.join(pivots, "family").join(bulk, "family").join(sets.select(F.col("sid").alias("pivot"), F.col("shingles").alias("centre")), "pivot")
+        far = F.pandas_udf(_distance, "double")
+        width = 1 - self.percent / 100 + 1e-6
+        placed = placed.select("family", "sid", "label", "shingles", (F.col("label") == F.col("bulk")).alias("in_bulk"), far("shingles", "centre").alias("d"))
+        placed = cut(placed.withColumn("band", F.floor(F.col("d") / width).cast("int")))
+        key = ["family", "band", "in_bulk"]
+        counts = small(cut(placed.groupBy(*key).agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).alias("blocks"))))
+        placed = placed.join(counts, key).withColumn("block", F.xxhash64(*key, F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+        blocks = cut(placed.groupBy(*key, "block").agg(F.collect_list(F.struct("label", "d", "shingles")).alias("rows")))
+        names = blocks.select(*key, "block")
+        asks = names.where("not in_bulk").select("family", F.col("block").alias("ask"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
+        meet = asks.join(names, ["family", "band"]).where("in_bulk or ask <= block").select("ask", "block")
+        rows = meet.join(blocks.select("block", "rows"), "block").join(blocks.select(F.col("block").alias("ask"), F.col("rows").alias("asked")), "ask")
+        percent = self.percent
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for x, y in zip(part["asked"], part["rows"], strict=True):
+                    yield _block_links(x, y, percent, width)
+
+        return rows.select("asked", "rows").mapInPandas(run, "a long, b long")
+
     def one_of_each(self, documents: DataFrame) -> DataFrame:
         """``documents`` with one document of each component: the one it is named by; repeated rows count as one."""
         c = cut(self.classes(documents))
@@ -241,18 +293,56 @@ class Join:
         return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
+def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(x, y, strict=True):
+        s, u = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(s, u, assume_unique=True))
+        out.append(1 - both / (len(s) + len(u) - both))
+    return pd.Series(out, dtype=float)
+
+
+def _block_links(x, y, percent: int, width: float, columns: int = 4096) -> pd.DataFrame:
+    """Components (a, b) that links between two blocks join, members of one component left out; overlaps by products of presence matrices."""
+    sets = [[np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (x, y)]
+    n = [np.array([len(s) for s in side]) for side in sets]
+    flat = [np.concatenate(side) for side in sets]
+    own = [np.repeat(np.arange(len(side)), k) for side, k in zip(sets, n, strict=True)]
+    common = np.intersect1d(flat[0], flat[1])
+    both = np.zeros((len(x), len(y)), np.float32)
+    at = []
+    for values in flat:
+        place = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        at.append(np.where(common[place] == values, place, -1) if len(common) else np.full(len(values), -1))
+    for start in range(0, len(common), columns):
+        present = []
+        for side, place, o in zip((x, y), at, own, strict=True):
+            m = np.zeros((len(side), min(columns, len(common) - start)), np.float32)
+            here = (place >= start) & (place < start + columns)
+            m[o[here], place[here] - start] = 1
+            present.append(m)
+        both += present[0] @ present[1].T
+    near = np.abs(np.array([r["d"] for r in x])[:, None] - np.array([r["d"] for r in y])[None, :]) <= width
+    labels = [np.array([r["label"] for r in side], np.int64) for side in (x, y)]
+    apart = labels[0][:, None] != labels[1][None, :]
+    i, j = np.nonzero(near & apart & (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)))
+    return pd.DataFrame({"a": labels[0][i], "b": labels[1][j]}).drop_duplicates()
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(sid, label) of every linked set: the smallest name in its component, by large and small stars."""
+    state = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).alias("s")
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = edges.agg(state).first()
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
-        after = cut(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").select("u", "v").distinct())
-        changed = not after.exceptAll(edges).isEmpty() or not edges.exceptAll(after).isEmpty()
-        edges = after
-        if not changed:
+        edges = cut(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").select("u", "v").distinct())
+        after = edges.agg(state).first()
+        if after == before:
             return edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+        before = after
     raise RuntimeError("components did not settle")
