@@ -93,13 +93,13 @@ def lzw_encode(data: bytes) -> bytes:
         if code == 4095:
             put(256)
             table, code, width = {bytes([i]): i for i in range(256)}, 258, 9
-        elif code in (511, 1023, 2047):
+        elif code in (512, 1024, 2048):
             width += 1
         held = longer[-1:]
     if held:
         put(table[held])
         code += 1
-        if code in (511, 1023, 2047):
+        if code in (512, 1024, 2048):
             width += 1
     put(257)
     if size:
