@@ -30,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,14 +267,17 @@ class Join:
         far = F.pandas_udf(_distance, "double")
         width = 1 - self.percent / 100 + 1e-6
         placed = placed.select("family", "sid", "label", "shingles", (F.col("label") == F.col("bulk")).alias("in_bulk"), far("shingles", "centre").alias("d"))
-        placed = cut(placed.withColumn("band", F.floor(F.col("d") / width).cast("int")))
-        key = ["family", "band", "in_bulk"]
+        # linked sets' sizes differ by no more than the threshold's ratio: neighbouring size bands only
+        ratio = F.floor(F.log(F.length("shingles") / 8) / F.lit(-math.log(self.percent / 100) * (1 + 1e-6))).cast("int")
+        placed = cut(placed.withColumn("band", F.floor(F.col("d") / width).cast("int")).withColumn("size", ratio))
+        key = ["family", "band", "size", "in_bulk"]
         counts = small(cut(placed.groupBy(*key).agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).alias("blocks"))))
         placed = placed.join(counts, key).withColumn("block", F.xxhash64(*key, F.pmod(F.xxhash64("sid"), F.col("blocks"))))
         blocks = cut(placed.groupBy(*key, "block").agg(F.collect_list(F.struct("label", "d", "shingles")).alias("rows")))
         names = blocks.select(*key, "block")
-        asks = names.where("not in_bulk").select("family", F.col("block").alias("ask"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
-        meet = asks.join(names, ["family", "band"]).where("in_bulk or ask <= block").select("ask", "block")
+        beside = F.array(*[F.struct((F.col("band") + i).alias("band"), (F.col("size") + j).alias("size")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asks = names.where("not in_bulk").select("family", F.col("block").alias("ask"), F.inline(beside))
+        meet = asks.join(names, ["family", "band", "size"]).where("in_bulk or ask <= block").select("ask", "block")
         rows = meet.join(blocks.select("block", "rows"), "block").join(blocks.select(F.col("block").alias("ask"), F.col("rows").alias("asked")), "ask")
         percent = self.percent
 
