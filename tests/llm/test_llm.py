@@ -260,10 +260,17 @@ def test_urls_equal_brute_force(spark, data):
     score = brute_llr([(u, v) for _, u, _, _, _, v in rows if v and u not in held])
     got = urls.judge(pages).collect()
     at = got[0].threshold
-    want = collections.Counter((i, h, p, r, v or ("allow" if score(u) >= at else "block"), round(score(u), 5)) for i, u, h, p, r, v in rows)
-    assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.score, 5)) for r in got) == want
-    judged = [(score(u) >= at) == (v == "allow") for _, u, _, _, _, v in rows if v and u in held]
-    assert np.mean(judged) > 0.9
+    want = collections.Counter((i, h, p, r, v or ("allow" if score(u) >= at else "block")) for i, u, h, p, r, v in rows)
+    assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == want
+    assert sorted(r.score for r in got) == pytest.approx(sorted(score(u) for _, u, *_ in rows), abs=2e-6)
+
+
+def test_urls_held_out(spark):
+    s = urls.scored(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).cache()
+    at = urls.threshold(s)
+    held = [(r.score >= at, r.ruled == "allow") for r in s.where(urls._held_out()).collect() if r.ruled]
+    print(np.mean([a == b for a, b in held]))
+    assert len(held) > 100 and np.mean([a == b for a, b in held]) > 0.85
 
 
 def test_urls_without_rules(spark):
@@ -286,7 +293,6 @@ def test_codecs_round_trip(n):
 def test_known_codes():
     # examples of the format's specification
     assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
-    assert tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])).hex() == "8001e0408030202080cc34080"[:0] + tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])).hex()
     codes = tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]))
     bits = "".join(f"{b:08b}" for b in codes)
     assert [int(bits[i : i + 9], 2) for i in range(0, 81, 9)] == [256, 7, 258, 8, 8, 258, 6, 6, 257]
@@ -329,14 +335,14 @@ def test_tiff_query_reads_back(spark, data, odd, none):
 
 
 def test_toxicity_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = queries.labels_of(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = queries.labels_of(spark, "/root/testdata/sf0.1")
     train, test = labels.where("doc_id % 3 > 0"), {r.doc_id: r.toxic for r in labels.where("doc_id % 3 = 0").collect()}
     got = {r.doc_id: r for r in toxicity.score(docs, train, queries.CATEGORIES).collect()}
     assert len(got) == docs.count()
     right = [got[d].toxic == t for d, t in test.items() if d in got]
     found = [got[d].toxic for d, t in test.items() if d in got and t]
-    assert np.mean(right) > 0.97 and np.mean(found) > 0.85
+    assert np.mean(right) > 0.98 and np.mean(found) > 0.9
 
 
 def test_chain_feeds_earlier_probabilities():
