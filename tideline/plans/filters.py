@@ -39,8 +39,8 @@ def f3(spark, d):
 
 @query("f4_window_mask", FLAGGED + """SELECT event_id, coalesce((k % 9 <> 0)::INT = 1 AND (value IS NULL OR value / 20 >= 0.3) AND (finite_ok IS NOT NULL)::INT + (not_testable IS NOT NULL)::INT + (validity_limited IS NOT NULL)::INT >= 2, false) AS window_ok FROM fl""")
 def f4(spark, d):
-    w = flagged(spark, d).withColumn("mnps_finite", (F.col("k") % 9 != 0).cast("int")).withColumn("support", F.col("value") / 20)
-    return op.window_mask(w, "mnps_finite", "support", ["finite_ok", "not_testable", "validity_limited", "absent"], 0.3, 2).select("event_id", "window_ok")
+    w = flagged(spark, d).withColumn("all_finite", (F.col("k") % 9 != 0).cast("int")).withColumn("support", F.col("value") / 20)
+    return op.window_mask(w, "all_finite", "support", ["finite_ok", "not_testable", "validity_limited", "absent"], 0.3, 2).select("event_id", "window_ok")
 
 
 @query("f5_support_mask", FLAGGED + "SELECT event_id FROM fl WHERE value IS NULL OR value >= 6")
