@@ -163,6 +163,20 @@ def test_mixing_meets_targets(spark, data, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_by_repeats_alone(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c d", "en", "big" if i < 800 else "mid" if i < 950 else "tiny", 4) for i in range(1000)], DOC)
+    before = collections.Counter(r.source for r in docs.collect())
+    rows = corpus_pipeline.mix_sources(spark, docs, None).collect()
+    after, uses = collections.Counter(r.source for r in rows), collections.Counter(r.doc_id for r in rows)
+    assert len(uses) == 1000 and max(uses.values()) == 2
+    assert after["big"] == before["big"] and after["tiny"] == pytest.approx(2 * before["tiny"], abs=1) and before["mid"] < after["mid"] < 2 * before["mid"]
+    share = lambda c, s: c[s] / sum(c.values())
+    assert share(after, "big") < share(before, "big") - 0.03 and share(after, "tiny") > 1.5 * share(before, "tiny")
+    # a limit that equal weights meet: all sources come out equal
+    even = {r.source: r.epochs for r in mixing.plan(spark.createDataFrame([("a", 100), ("b", 60)], "source string, tokens long"), repeats=2).collect()}
+    assert even["a"] == pytest.approx(1) and even["b"] == pytest.approx(100 / 60)
+
+
 # ---- 5
 
 

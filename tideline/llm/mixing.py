@@ -2,7 +2,8 @@
 
 A source with token share p gets weight p^a / sum(p^a). The exponent a in [0, 1] is bisected: it is the largest at
 which the entropy of the weights reaches ``entropy`` (a share of log(number of sources)), but never so small that a
-source would be repeated more than ``repeats`` times. Each job evaluates fifteen exponents at once, four bisection
+source would be repeated more than ``repeats`` times. Without ``entropy``, ``repeats`` alone decides: the exponent is the
+smallest within the limit; without either it is 1. Each job evaluates fifteen exponents at once, four bisection
 levels, over the table of source totals; only those fifteen sums come back.
 
 The budget is the least with which every source is used whole at least once, so nothing is dropped unless a smaller
@@ -61,7 +62,10 @@ def fit_exponent(totals: DataFrame, entropy: float | None, repeats: float | None
             low, high = max([low, *(p for p in points if good(*at[p]))]), min([high, *(p for p in points if not good(*at[p]))])
         return low, high
 
-    by_entropy = 1.0 if target is None else bisect(lambda h, _: h >= target - 1e-12)[0]
+    if target is None:
+        by_entropy = 1.0 if repeats is None else 0.0
+    else:
+        by_entropy = bisect(lambda h, _: h >= target - 1e-12)[0]
     if repeats is None or _measures(totals, [0.0])[0.0][1] <= repeats:
         return by_entropy
     return max(by_entropy, bisect(lambda _, r: r > repeats)[1])  # from there up to 1 the limit holds
