@@ -468,6 +468,19 @@ def test_jaccard_odd_rows(odd, none):
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id in (5, 6))) == [5] and kept.columns == odd.columns
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    near = " ".join(f"n{i}" for i in range(100))
+    rows = [
+        (None, "some first text of its own"), (None, "a second one that is not like it"), (None, "third words stand here all alone"), (7, "clean words under a shared id"), (7, "unrelated words with the same id too"),
+        (7, near + " tail"), (3, near), (8, near + " other"), (8, "eighth text linked with nothing else here"), (None, near + " more"), (9, "Twice  the same"), (9, "twice the same"), (10, "again and again"), (10, "again and again"),
+        (None, "null id near a null id " + near[:60]), (None, "null id near a NULL id " + near[:60]), (10, ""), (10, ""), (None, None), (7, " "),
+    ]
+    kept = [(r.doc_id, lower(r.text).split()) for r in jaccard.Join(5, 80).one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    gone = {5, 7, 9, 11, 13, 15}
+    want = [(d, lower(t).split()) for i, (d, t) in enumerate(rows) if i not in gone]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 # ---- 10
 
 

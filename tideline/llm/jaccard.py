@@ -122,7 +122,7 @@ class Join:
         self.runs = self.differ + 1 + (self.differ + 7) // 8
 
     def name_sets(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, n, sid): size and name of each document's set."""
+        """(doc_id, row, n, sid): hash of the text, size and name of each document's set."""
         k = self.k
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +130,9 @@ class Join:
             for part in parts:
                 for rows in _chunks(part, "text"):
                     s, _, sizes = shingle_sets(rows["text"].tolist(), k, seen)
-                    yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "n": sizes, "sid": _sids(s, sizes)}).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "row": rows["row"].to_numpy(), "n": sizes, "sid": _sids(s, sizes)}).astype({"doc_id": "Int64"})
 
-        return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, sid long")
+        return documents.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInPandas(run, "doc_id long, row long, n long, sid long")
 
     def cells(self, documents: DataFrame) -> DataFrame:
         """(cell, sid): the cells of each document's set."""
@@ -202,6 +202,10 @@ class Join:
 
     def classes(self, documents: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
+        return self._placed(documents).select("doc_id", "n_shingles", "component_id")
+
+    def _placed(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, row, n_shingles, component_id, first) of every row; first is the (doc_id, row) that stands for its component."""
         named = cut(self.name_sets(documents))
         met = cut(self.cells(documents).groupBy("cell").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"))
         large = small(cut(met.where("n > 2").select("cell", "low")))
@@ -219,11 +223,12 @@ class Join:
 
         labels = self._join_rest(pairs, cut(labels), sets)
 
-        sids = named.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        least = sids.groupBy("label").agg(F.min("first").alias("component"))
-        of_sid = cut(sids.join(least, "label").select(F.col("sid").alias("s"), "component"))
+        place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")  # null ids last
+        sids = named.where("n > 0").groupBy("sid").agg(F.min(place).alias("least")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        least = sids.groupBy("label").agg(F.min("least").alias("first"))
+        of_sid = cut(sids.select("sid", "label").join(least, "label").select(F.col("sid").alias("s"), "first"))
         joined = named.join(of_sid, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
     def _join_rest(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         """``labels`` with components merged that have links beyond ``pairs``; families are found over components."""
@@ -289,12 +294,20 @@ class Join:
         return rows.select("asked", "rows").mapInPandas(run, "a long, b long")
 
     def one_of_each(self, documents: DataFrame) -> DataFrame:
-        """``documents`` with one document of each component: the one it is named by; repeated rows count as one."""
-        c = cut(self.classes(documents))
-        gone = small(cut(c.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()))
-        kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-        repeated = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")).where("rows > 1 and n > 0")
-        return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+        """``documents`` with one document of each component: the one it is named by; repeated rows count as one.
+
+        A document is known by its id and its text, so unrelated texts with one id, null too, all stay.
+        """
+        c = cut(self._placed(documents).where("n_shingles > 0"))
+        one = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__text"))
+        names = [F.col("doc_id").alias("__doc"), F.col("row").alias("__text")]
+        gone = small(cut(c.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))).select(*names).distinct()))
+        kept = documents.withColumn("__row", F.xxhash64("text")).join(gone, one, "left_anti")
+        repeated = cut(c.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*names))
+        if not repeated.isEmpty():
+            repeated = small(repeated)
+            kept = kept.join(repeated, one, "left_anti").union(kept.join(repeated, one, "left_semi").dropDuplicates(["doc_id", "__row"]))
+        return kept.drop("__row")
 
 
 def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
