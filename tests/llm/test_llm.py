@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -101,6 +102,33 @@ def test_licenses_equal_brute_force(spark, data, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark, data):
+    def with_runs(text):
+        w, labels, best = words(text), set(brute_scan(text)[5].split(",")) - {""}, brute_scan(text)[6]
+        for name, t in licenses.TEMPLATES:
+            n, t = math.ceil(len(t.split()) / 0.8 - 1e-9), set(t.split())
+            most = max(len(t & set(w[i : i + n])) for i in range(max(len(w), 1)))
+            if most >= math.ceil(0.8 * len(t) - 1e-9):
+                labels.add(name)
+                best = max(best, round(most / len(t), 6))
+        return ",".join(sorted(labels)), best
+
+    rng, texts = np.random.default_rng(1), []
+    for _, t in licenses.TEMPLATES:
+        texts += ["\n".join(f"{mark}{x}" for x in textwrap.wrap(f"Some words. {t} and more words.", 40)) for mark in ("", "# ", " * ")]
+        for _ in range(6):
+            w = [x for x in t.split() if rng.random() > 0.15]
+            for _ in range(int(rng.integers(0, 14))):
+                w.insert(int(rng.integers(0, len(w) + 1)), "filler")
+            texts.append("\n".join(textwrap.wrap("filler " * int(rng.integers(0, 90)) + " ".join(w) + " filler" * int(rng.integers(0, 90)), 30)))
+    docs = docs_of(spark, data).unionByName(spark.createDataFrame([(50_000 + i, t, "en", "x", 1) for i, t in enumerate(texts)], DOC))
+    want = {r.doc_id: with_runs(r.text or "") for r in docs.collect()}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == want
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        assert all(name in got[50_000 + 9 * i + j][0].split(",") for j in range(3))
+
+
 # ---- 3
 
 

@@ -1,12 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates, and base phrases by place.
 
-A block is a line of a text; a template matches a block when the block holds at least ``threshold`` of the
-template's distinct words. The join is exact: every template word is ordered by its frequency over all
+A block is a line of a text, or a run of consecutive words across lines that is as long as the template divided by
+``threshold`` (notices are often wrapped); a template matches a block when the block holds at least ``threshold`` of
+the template's distinct words. The join is exact: every template word is ordered by its frequency over all
 documents (rarest first); a block that meets the threshold must hold one of the template's first
 n - needed + 1 words in that order (prefix filter), must have at least ``needed`` words of the joint
 vocabulary (length filter), and from the place of the first met word on both sides must still have ``needed``
 words left (positional filter). What passes is counted exactly. Words outside all templates can't add to an
-overlap, so blocks are projected on the templates' vocabulary, which is fixed and small, before ordering.
+overlap, so blocks are projected on the templates' vocabulary, which is fixed and small, before ordering. Runs are
+only looked at around prefix words, and run by run only where the words around hold enough of the template.
 
 Cases: null and empty texts have no words, places or labels and score 0; repeated rows each get their result;
 ties in frequency go by the word; null ids are kept; other columns are ignored.
@@ -68,11 +70,26 @@ def word_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
 
 
+def _runs(rows: DataFrame, starts: Column, joined: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, row, line, template, shared, n_template) of runs of words, in texts of several lines; line is null.
+
+    A run that meets the threshold holds a prefix word: the words around each are cut out, with its place among them.
+    """
+    several = rows.where(F.instr("text", "\n") > 0)
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(starts, F.get("w", i)))
+    cut_out = F.transform(at, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(longest - 1)).alias("place"), F.slice("w", F.greatest(i - (longest - 2), F.lit(1)), 2 * longest - 1).alias("near")))
+    met = several.select("doc_id", "row", F.explode(cut_out).alias("c")).select("doc_id", "row", "c.*").join(joined, "word")
+    first = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0))
+    met = met.where(F.size(F.array_intersect("own", F.slice("near", first + 1, 2 * F.col("length") - 1))) >= F.col("needed"))
+    held = F.transform(F.sequence(first, F.col("place")), lambda i: F.size(F.array_intersect("own", F.slice("near", i + 1, F.col("length")))))
+    return met.select("doc_id", "row", F.lit(None).cast("int").alias("line"), "template", F.array_max(held).alias("shared"), "n_template", "needed").where("shared >= needed").drop("needed")
+
+
 def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
-    n_blocks is the number of distinct (line, template) matches. score is the largest containment of a template
-    in a line, or 1 where a base phrase stands.
+    n_blocks is the number of distinct (line, template) matches; a template that only a run across lines holds counts
+    one. score is the largest containment of a template in a block, or 1 where a base phrase stands.
     """
     spark = documents.sparkSession
     order = word_order(documents, templates)
@@ -82,9 +99,10 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
         own = sorted(set(text.split()), key=rank.get)
         needed = math.ceil(threshold * len(own) - 1e-9)
         sides.append((label, own, needed))
-        prefixes += [(x, i + 1, label, len(own), needed, own) for i, x in enumerate(own[: len(own) - needed + 1])]
+        length = math.ceil(len(text.split()) / threshold - 1e-9)
+        prefixes += [(x, i + 1, label, len(own), needed, own, length) for i, x in enumerate(own[: len(own) - needed + 1])]
     starts = _texts(sorted({p[0] for p in prefixes}))
-    joined = F.broadcast(spark.createDataFrame(prefixes, "word string, t_at int, template string, n_template int, needed int, own array<string>"))
+    joined = F.broadcast(spark.createDataFrame(prefixes, "word string, t_at int, template string, n_template int, needed int, own array<string>, length int"))
 
     rows = documents.select("doc_id", "text", words(F.col("text")).alias("w"), F.xxhash64("text").alias("row"))
     rows = rows.withColumn("first_words", F.arrays_overlap("w", _texts(sorted({p.split()[0] for p in PHRASES}))))
@@ -106,9 +124,10 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     met = blocks.select("doc_id", "row", "line", "b", F.posexplode("b").alias("b_at", "word")).join(joined, "word")
     met = met.where((F.size("b") >= F.col("needed")) & (F.least(F.size("b") - F.col("b_at"), F.col("n_template") - F.col("t_at") + 1) + F.least(F.col("b_at"), F.col("t_at") - 1) >= F.col("needed")))
     sized = met.withColumn("shared", F.size(F.array_intersect("b", "own"))).where("shared >= needed")
+    sized = sized.select("doc_id", "row", "line", "template", "shared", "n_template").union(_runs(rows.where("may_match"), starts, joined, max(p[-1] for p in prefixes)))
     found = sized.groupBy("doc_id", "row").agg(
         F.collect_set("template").alias("templates"), F.max(F.col("shared") / F.col("n_template")).alias("best"),
-        F.count_distinct("line", "template").alias("n_blocks"),
+        (F.count_distinct("line", "template") + F.count_distinct("template") - F.count_distinct(F.when(F.col("line").isNotNull(), F.col("template")))).alias("n_blocks"),
     )
     found = found.select(F.col("doc_id").alias("f_doc"), F.col("row").alias("f_row"), "templates", "best", "n_blocks")
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("row") == F.col("f_row")), "left")
