@@ -1,5 +1,7 @@
 """Operators without SQL against small numpy formulas, published values and invariants."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions import distributions as dist
 from tideline.functions.resample import uniform, uniform_sql
 from tideline.operators import matrices, reachability, sequences, signals, stats
+from tideline.plans import contrasts as contrast_plans
 from tideline.plans.shapes import signal, trajectory
 
 
@@ -151,3 +154,10 @@ def test_sequence_invariants(spark, data):
 def test_q_at_least_p(spark, data):
     p = spark.range(40).select(F.lit("g").alias("g"), "id", ((F.col("id") * 7 % 40 + 1) / 50.0).alias("p"))
     assert all(r.q >= r.p - 1e-12 for r in stats.benjamini_hochberg(p, ["g"], "p", "id").collect())
+
+
+def test_signed_rank_query_uses_all_subjects(spark, data):
+    d = str(Path(data).parent / "sf0.01")
+    want = {(r.contrast_name, r.metric): (r.n, r.w) for r in contrast_plans.t11(spark, d).collect()}
+    got = {(r.contrast_name, r.metric): (r.n, r.w) for r in contrast_plans.t11p(spark, d).collect()}
+    assert got == want and max(n for n, _ in want.values()) > 50
