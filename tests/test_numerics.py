@@ -10,6 +10,7 @@ from tideline.functions import distributions as dist
 from tideline.functions.resample import uniform, uniform_sql
 from tideline.operators import matrices, reachability, sequences, signals, stats
 from tideline.plans import contrasts as contrast_plans
+from tideline.plans import reachability as reachability_plans
 from tideline.plans.shapes import signal, trajectory
 
 
@@ -161,3 +162,24 @@ def test_signed_rank_query_uses_all_subjects(spark, data):
     want = {(r.contrast_name, r.metric): (r.n, r.w) for r in contrast_plans.t11(spark, d).collect()}
     got = {(r.contrast_name, r.metric): (r.n, r.w) for r in contrast_plans.t11p(spark, d).collect()}
     assert got == want and max(n for n, _ in want.values()) > 50
+
+
+def long_sessions(spark, folder, n):
+    """Embeddings of one slow session of ``n`` rows."""
+    rows = [(i, 0, [float(np.cos(i / 60)), float(np.sin(i / 7)), i % 13 / 13] + [float(np.sin(i * j)) for j in range(1, 7)]) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("n", "kept"), [(450, 450), (2500, 1250)])
+def test_reachability_keeps_up_to_2000_points(spark, tmp_path, n, kept):
+    assert reachability_plans.points(spark, long_sessions(spark, tmp_path, n)).count() == kept
+
+
+def test_transitions_of_a_long_session_equal_brute_force(spark, tmp_path):
+    n = 260
+    d = long_sessions(spark, tmp_path, n)
+    x = np.array([[r.m, r.d, r.e] for r in trajectory(spark, d, 3).orderBy("t_idx").collect()])
+    near = [sorted(range(n), key=lambda j, i=i: (round(float(((x[i] - x[j]) ** 2).sum()), 9), j))[:8] for i in range(n)]
+    want = {(w, s) for w in range(n - 2) for i in range(w, w + 3) for s in near[i] if s + 1 < n}
+    assert {(r.window, r.source) for r in reachability_plans.r1(spark, d).collect()} == want

@@ -11,7 +11,7 @@ AXES = ["m", "d", "e"]
 
 
 def points(spark, d):
-    return stride(trajectory(spark, d, 3), ["session"], 200).select("session", "t_idx", *AXES)
+    return stride(trajectory(spark, d, 3), ["session"]).select("session", "t_idx", *AXES)
 
 
 TRANS = TRAJECTORY + """, tn AS (SELECT session, count(*) AS n FROM tr GROUP BY session), pt AS (SELECT session, (t_idx / CASE WHEN n > 200 THEN ceil(n / 200)::BIGINT ELSE 1 END)::BIGINT AS t_idx, m, d, e FROM tr JOIN tn USING (session) WHERE t_idx % CASE WHEN n > 200 THEN ceil(n / 200)::BIGINT ELSE 1 END = 0),
@@ -90,7 +90,7 @@ def r12(spark, d):
 def r13(spark, d):
     t = trajectory(spark, d, 9)
     two = t.select("session", F.lit(0).alias("network"), "t_idx", *AXES).unionByName(t.select("session", F.lit(1).alias("network"), "t_idx", F.col("x3").alias("m"), F.col("x4").alias("d"), F.col("x5").alias("e")))
-    return r6(op.summary(stride(two, ["session", "network"], 200), ["session", "network"], "session int, network int", AXES, 8))
+    return r6(op.summary(stride(two, ["session", "network"]), ["session", "network"], "session int, network int", AXES, 8))
 
 
 @query("r14_shape_indices", """SELECT o_orderkey, round(log10(greatest(o_totalprice / 1000, 1)), 6) AS endpoint_ovality, round(log10(greatest(o_totalprice / 500, 1)), 6) AS tube_elongation, round(least(greatest((o_orderkey % 40) / 10.0::DOUBLE / 3, 0), 1), 6) AS tube_compactness, -o_totalprice AS size,
