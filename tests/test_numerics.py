@@ -11,6 +11,7 @@ from tideline.functions.resample import uniform, uniform_sql
 from tideline.operators import matrices, reachability, sequences, signals, stats
 from tideline.plans import contrasts as contrast_plans
 from tideline.plans import reachability as reachability_plans
+from tideline.plans import sequences as sequence_plans
 from tideline.plans.shapes import signal, trajectory
 
 
@@ -183,3 +184,12 @@ def test_transitions_of_a_long_session_equal_brute_force(spark, tmp_path):
     near = [sorted(range(n), key=lambda j, i=i: (round(float(((x[i] - x[j]) ** 2).sum()), 9), j))[:8] for i in range(n)]
     want = {(w, s) for w in range(n - 2) for i in range(w, w + 3) for s in near[i] if s + 1 < n}
     assert {(r.window, r.source) for r in reachability_plans.r1(spark, d).collect()} == want
+
+
+def test_autocorrelation_time_of_a_slow_session(spark, tmp_path):
+    d = long_sessions(spark, tmp_path, 450)
+    x = np.array([r.m for r in sequence_plans.gapped(spark, d).where("m is not null").orderBy("t_idx").collect()])
+    x = x - x.mean()
+    lag = next((k for k in range(1, 151) if (x[:-k] * x[k:]).sum() / (x * x).sum() < np.exp(-1)), 150)
+    assert lag > 12 and sequence_plans.w8(spark, d).first().tau == pytest.approx(2.0 * lag)
+    assert sequence_plans.w10(spark, d).first().m_tau == pytest.approx(2.0 * lag)

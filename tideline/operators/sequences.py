@@ -75,8 +75,9 @@ def transition_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", ce
     return entropy_of(pairs, by, cells * cells)
 
 
-def autocorrelation_time(df: DataFrame, by: list[str], value: str, dt: float, most_lag: int, index: str = "t_idx") -> DataFrame:
-    """First lag at which the autocorrelation falls under 1/e, times dt; capped at ``most_lag``; n < 5: null."""
+def autocorrelation_time(df: DataFrame, by: list[str], value: str, dt: float, most_lag: int | None = None, index: str = "t_idx") -> DataFrame:
+    """First lag at which the autocorrelation falls under 1/e, times dt; capped at ``most_lag`` (round(300 / dt)); n < 5: null."""
+    most_lag = max(1, round(300 / dt)) if most_lag is None else most_lag
     w = Window.partitionBy(*by)
     d = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(index))).withColumn("__x", F.col(value) - F.avg(value).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
     base = d.groupBy(*by).agg(F.sum(F.col("__x") ** 2).alias("v"), F.max("__n").alias("n"))
@@ -253,7 +254,7 @@ def p_rank(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     return df.withColumn("p_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), tie)))
 
 
-def dynamics(df: DataFrame, by: list[str], axes: list[str], dt: float, most_lag: int, least: int = 5, index: str = "t_idx") -> DataFrame:
+def dynamics(df: DataFrame, by: list[str], axes: list[str], dt: float, most_lag: int | None = None, least: int = 5, index: str = "t_idx") -> DataFrame:
     """Path, entropies, autocorrelation times and mean-median gaps by key, keys with ``least`` rows or more."""
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in axes]).where(F.col("n") >= least)
     codes = corner_codes(df, by, axes)

@@ -77,7 +77,7 @@ def _ac(axis, src="tg"):
 
 @query("w8_autocorrelation", "WITH " + TG + ", " + _ac("m") + " SELECT session, round(tau, 6) AS tau FROM (" + _tau("m") + ")")
 def w8(spark, d):
-    return r6(op.autocorrelation_time(gapped(spark, d), ["session"], "m", 2.0, 12))
+    return r6(op.autocorrelation_time(gapped(spark, d), ["session"], "m", 2.0))
 
 
 @query("w9_mean_median_gap", "WITH " + TG + " SELECT session, round(avg(m) - median(m), 6) AS m_gap, round(avg(d) - median(d), 6) AS d_gap, round(avg(e) - median(e), 6) AS e_gap FROM tg GROUP BY session")
@@ -89,14 +89,14 @@ def w9(spark, d):
  SELECT hd.session, n, round(m_gap, 6) AS m_gap, round(d_gap, 6) AS d_gap, round(e_gap, 6) AS e_gap, {PATH_COLS}, round(oe.entropy, 6) AS occupancy_entropy, round(oe.entropy, 6) AS dwell_entropy, round(te.entropy, 6) AS transition_entropy, round(tm.tau, 6) AS m_tau, round(td.tau, 6) AS d_tau, round(tv.tau, 6) AS e_tau
  FROM hd JOIN ps USING (session) JOIN oe USING (session) JOIN te USING (session) JOIN tm USING (session) JOIN td USING (session) JOIN tv USING (session)""")
 def w10(spark, d):
-    return r6(op.dynamics(gapped(spark, d), ["session"], AXES, 2.0, 12))
+    return r6(op.dynamics(gapped(spark, d), ["session"], AXES, 2.0))
 
 
 @query("w11_stage_dynamics")
 def w11(spark, d):
     t = trajectory(spark, d, 3)
     s = op.stage_slices(t.withColumn("stage", F.floor(F.col("t_idx") / 10).cast("int") % 3), "session", "stage", {0: "n1", 1: "n2", 2: "rem"}, 10)
-    return r6(op.dynamics(s.drop("session"), ["slice"], AXES, 2.0, 12, 10))
+    return r6(op.dynamics(s.drop("session"), ["slice"], AXES, 2.0, least=10))
 
 
 @query("w12_time_step", "WITH " + EVENTS + " SELECT subject, round(coalesce(median(dd) FILTER (dd > 0), 1), 6) AS dt FROM (SELECT subject, time - lag(time) OVER (PARTITION BY subject ORDER BY t_idx) AS dd FROM ev) GROUP BY subject")
