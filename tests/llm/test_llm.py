@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import decontaminate, jaccard, licenses, line_dedup, mixing, oracles, queries, sharding, tiff, toxicity, urls, warc
+from tideline.llm import common, decontaminate, jaccard, licenses, line_dedup, mixing, oracles, queries, sharding, tiff, toxicity, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(5000))
@@ -444,10 +444,13 @@ def family(seed, members, length, edits):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 1 << 20), (5, 80, 8_000)])
-def test_jaccard_equals_brute_force(spark, data, k, percent, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
+@pytest.mark.parametrize(("k", "percent", "leaf", "hot"), [(4, 85, 256, 5_000), (5, 80, 12, 20)])
+def test_jaccard_equals_brute_force(spark, data, k, percent, leaf, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     texts = [t for s, (m, n, e) in enumerate([(60, 120, 9), (40, 300, 25), (30, 30, 4), (25, 9, 2), (20, 6, 1), (50, 60, 6)]) for t in family(s, m, n, e)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{passage} " + " ".join(f"q{j}x{i}" for i in range(10 + j)) for j in range(30)]
     extra = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(texts + texts[::7])], "doc_id long, text string")
     docs = docs_of(spark, data).select("doc_id", "text").unionByName(extra)
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()], k, percent)
@@ -455,36 +458,67 @@ def test_jaccard_equals_brute_force(spark, data, k, percent, block, monkeypatch)
     assert got == want and sum(d != c for d, (_, c) in want.items()) > 50
 
 
-def test_jaccard_cells_lose_no_link():
-    """Sets at the threshold share a cell, whatever differs; small sets with empty runs too."""
-    join, rng = jaccard.Join(4, 85), np.random.default_rng(0)
-    for n in (1, 2, 3, 7, 12, 40, 333):
-        for _ in range(40):
-            inter = int(rng.integers(max(1, n // 2), n + 1))
-            a = rng.integers(0, 2**63, n, np.int64).astype(np.uint64)
-            b = np.concatenate([a[:inter], rng.integers(0, 2**63, max(0, min(n - inter, n)), np.int64).astype(np.uint64)])
+@pytest.mark.parametrize("percent", [85, 80, 51])
+def test_jaccard_cells_lose_no_link(percent):
+    """Sets at the threshold share a cell, whatever differs; small sets and such with few filled runs too."""
+    join, rng, met = jaccard.Join(4, percent), np.random.default_rng(0), 0
+    draw = lambda n, narrow: np.unique(rng.integers(0, 2**63, n, np.int64).astype(np.uint64) * np.uint64(2) >> np.uint64(20 * narrow))
+    for n in (1, 2, 3, 7, 12, 40, 127, 128, 333):
+        for trial in range(60):
+            a = draw(n, trial % 3 == 0)
+            out = int(rng.integers(0, n // 3 + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[out:], draw(int(rng.integers(0, n // 3 + 1)), trial % 3 == 0)]))
             both = len(np.intersect1d(a, b))
-            if 100 * both < 85 * (len(a) + len(b) - both):
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
                 continue
-            c = max(np.searchsorted(join.bounds, len(x), side="right") - 1 for x in (a, b))
-            m, d = int(join.runs[c]), int(join.differ[c])
-            runs = [[frozenset(x[x % np.uint64(m) == np.uint64(i)].tolist()) for i in range(m)] for x in (a, b)]
-            lacking = [sum(not r for r in side) >= m - d for side in runs]
-            assert any(p == q and (p or all(lacking)) for p, q in zip(*runs, strict=True))
-
-
-def test_block_links():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 200, 30)).astype(np.uint64) for _ in range(30)]
-    rows = [{"sid": i, "label": i % 4, "d": 0.1, "shingles": s.tobytes()} for i, s in enumerate(sets)]
-    got = set(map(tuple, jaccard._block_links(rows[:15], rows[15:], 12, 0.6, columns=7).to_numpy().tolist()))
-    want = {(i % 4, j % 4) for i in range(15) for j in range(15, 30) if i % 4 != j % 4 and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 12 * (len(sets[i]) + len(sets[j]) - n)}
-    assert got == want and 0 < len(want) < 12
+            cells, number = join.cells([a, b])
+            met += 1
+            assert np.intersect1d(cells[: number[0]], cells[number[0] :]).size
+    assert met > 100
+
+
+def test_shingle_sets_of_arrow_columns():
+    """Words and sets as a plain split makes them, in pieces, slices, with nulls and with words beyond the table."""
+    import pyarrow as pa
+
+    texts = [None, "", " \t\x0b", "a", "A b\nc", "x" * 300 + " y Z", "x" * 299 + "z y z", "é Ü\u00a0ß end of line", "one two three four five one two three four five", "o" * 40 + " p q r"] * 3
+    column = pa.array(["skip me please now", *texts], pa.string()).slice(1)
+    for chunk in (1 << 20, 7):
+        jaccard.CHUNK, held = chunk, jaccard.CHUNK
+        try:
+            raw, at = jaccard._texts(column)
+            got = jaccard.shingle_sets(raw[at[0] : at[-1]], at[1:] - at[0], 4)
+        finally:
+            jaccard.CHUNK = held
+        split = [lower(t).encode().split() for t in texts]
+        want = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set() for w in split]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        names = {}
+        for s, w in zip(got, want, strict=True):
+            assert names.setdefault(s.tobytes(), w) == w
+        assert len(names) == len({frozenset(w) for w in want})
+
+
+@pytest.mark.parametrize("members", [10, 90])
+def test_tree_pairs_lose_no_link(members):
+    """What bounds of nodes and points leave open holds every link between labels; far points are dropped."""
+    join, rng = jaccard.Join(4, 85), np.random.default_rng(members)
+    bases = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.permutation(bases[i % 6])[: int(rng.integers(150, 200))], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)])) for i in range(members)]
+    point = np.stack([np.frombuffer(jaccard.pack_point(s), np.uint8).astype(np.int32) for s in sets])
+    leaf = {"id": np.arange(members), "label": np.arange(members) % 7, "n": np.array([len(s) for s in sets]), "point": point}
+    other = {c: v[: members // 2] for c, v in leaf.items()}
+    links = {(i, j) for i in range(members) for j in range(i) if i % 7 != j % 7 and join.enough(n := len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j]))}
+    for y in (leaf, other):
+        got = {(max(i, j), min(i, j)) for i, j in zip(*(v.tolist() for v in join.open_pairs(leaf, y)), strict=True)}
+        assert got >= {p for p in links if p[1] < len(y["id"])} and len(got) < members * members / 8
+    assert members < 20 or len(links) > 20
+    assert sorted(np.concatenate(jaccard.pack_nodes(leaf["n"], point)).tolist()) == list(range(members))
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (101, 102), (102, 100)]
-    got = {r.sid: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 

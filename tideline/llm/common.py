@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Everything that isn't a-z, 0-9 or beyond ASCII separates words (after lower-casing A-Z).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows that a broadcast side may have at most; larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast side may have at most (``size_of``); larger sides are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key from which ``attach`` joins them by broadcast.
+HOT_ROWS = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is made, in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,12 +39,52 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tideline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (a table that ``cut`` wrote) with a broadcast hint if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once everything that was derived from them is itself written."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of all values of ``df``: texts as they are, 16 for any other value."""
+    total = F.lit(0)
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, StringType | BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(field.dataType, ArrayType):
+            total = total + F.greatest(F.size(c), F.lit(1)) * 16 + (F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) if isinstance(field.dataType.elementType, StringType) else 0)
+        else:
+            total = total + 16
+    return df.agg(F.sum(total.cast("long")).alias("b")).first()["b"] or 0
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` (a table that ``cut`` wrote) with a broadcast hint if it has few enough bytes, else as it is."""
+    return F.broadcast(df) if size_of(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def attach(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, which has one row for each ``key``; keys with many rows don't meet in one task.
+
+    Keys with over ``HOT_ROWS`` rows (counted by a partial aggregation, so there are few of them) get their part of
+    ``side`` by broadcast, if that part is small enough; all others by an ordinary join. ``rows`` is read three times and
+    should be a written table.
+    """
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(F.col(key).alias("__hot")))
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    chosen = cut(side.join(small(hot), F.col(key) == F.col("__hot"), "left_semi"))
+    marked = rows.join(small(hot), F.col(key) == F.col("__hot"), "left")
+    often, seldom = marked.where("__hot is not null").drop("__hot"), marked.where("__hot is null").drop("__hot")
+    return often.join(small(chosen), key, how).unionByName(seldom.join(side, key, how))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,25 +1,28 @@
 """N-gram Jaccard join: documents whose word-shingle sets are similar, and the components that links form.
 
-Shingles are hashed into groups and a document becomes a point of group counts. For sets A and B,
-|A n B| <= sum of min(a_g, b_g), so points far apart can't be linked; this bound drops candidate pairs before
-their sets are fetched, and the exact sets then decide.
-
-Finding candidates with an R-tree over these points alone can't work: unrelated texts of one length have nearly
-the same counts, and boxes only tell them apart with about one group for 16 shingles, where boxes of a tree overlap
-everywhere (README). The groups are therefore made as fine as that and the points are dealt into cells by their
-exact position along some groups: two linked sets, the larger in size class C, differ in at most D_C shingles,
-so of m_C > D_C runs of groups at least m_C - D_C are equal on both sides. A document goes to one cell per
-run, by the class, the run and its content there, for its own class and the next larger one. Runs that are empty
-could be all that agrees only if a set has m_C - D_C empty runs; such a set's empty runs make cells too. No link is
-lost, whatever the texts.
-
-Cells are counted by a partial aggregation (smallest and largest set, number). A cell of two gives its pair. In
-larger cells every set is compared with the smallest one only, so a group of copies costs pairs in proportion to its
-size. Sets that cells connect form families; links can only be inside a family. Where a family's links leave more
-than one component, the rest is decided exactly, in blocks: every member's Jaccard distance d to one pivot is
-taken, and as that is a metric, members x and y can only be linked if |d(x) - d(y)| <= 1 - threshold. Members go to bands
-of that width and blocks of bounded size; blocks with members outside the largest component meet the blocks of
-their own and the neighbouring bands, and only links come out. Equal sets are one item throughout.
+Shingles are hashed into groups, and a document's set becomes a point of group counts. For sets A and B,
+|A n B| <= sum of min(a_g, b_g), and for boxes of points the same holds with their upper corners; so points, and
+whole nodes of an R-tree over points, that are too far apart can't be linked. The exact sets decide what is left.
+
+One tree over all points can't find candidates: unrelated texts of one length have nearly equal counts, and boxes
+only tell them apart with about one group for 16 shingles, where boxes of a tree overlap everywhere (README). The
+points are therefore first dealt into cells by their exact position along runs of fine groups: in size class c (sizes
+from 2^c to 2^(c+1) - 1) hashes are cut into m_c consecutive runs, and a cell is a run with its content. Sets of sizes
+a <= b that are linked differ in at most D(a) shingles, as b is at most a / threshold; so at most D(a) of the runs that
+A fills differ, and among the first D(a) + 1 of them one is the same in B, and within B's first D(b) + 1. A document
+goes to the cells of its first D + 1 filled runs, in its own class and, if a larger partner may be there, in the next. A
+set that fills fewer runs goes to all of them, and to its empty ones among the first D + 1. No link is lost.
+
+Each text is read once for name (128 bits of its set), point and cells; from there on equal sets are one item.
+
+1. Within a cell every item is paired with the cell's smallest; the bound by summed minima drops pairs, exact sets
+   decide the rest, and links form components. A family of copies costs pairs in proportion to its size.
+2. Cells that still hold several components are joined with themselves by R-trees. Cells of the same members count
+   once. Members of a cell with up to ``LEAF`` items are one leaf; items of larger cells are dealt into leaves by the
+   smallest item they meet and by size, once for all their cells; pairs of leaves that meet in a cell are pruned by
+   their boxes. Inside a pair of leaves nodes are packed sort-tile-recursively (size, then the count that spreads
+   most), pairs of nodes are pruned by their boxes, points by theirs, and the exact sets decide.
+3. Links of both steps form the components.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing, not even each other; texts with fewer
 words than a shingle are one shingle; repeated rows are equal sets; a null id belongs to its set's component;
@@ -34,14 +37,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tideline.llm.common import cut, small
+from tideline.llm.common import attach, cut, discard, small
 
-GROUPS, BLOCK_BYTES = 64, 1 << 20
+GROUPS, LEAF, NODE, CHUNK = 64, 256, 16, 1 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,246 +55,394 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-def shingle_sets(texts: list, k: int, seen: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one after another: (hashes, owner of each, size of each set).
-
-    Words are runs without ASCII white space, A-Z lower-cased, which is what bytes.lower() and split() do.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+DEPTH = 64
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[65:91] += np.uint64(32)
+#: A random number for each byte at each of the first places of a word; a word's hash is the sum of its bytes' numbers.
+TABLE = _mix((np.arange(DEPTH, dtype=np.uint64)[:, None] * np.uint64(256) + LOWER + np.uint64(1)) * M1).ravel()
+
+
+def _hash_words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of ``raw`` (UTF-8 bytes); texts begin at ``starts``."""
+    ink = ~SPACE[raw]
+    at = np.flatnonzero(ink)
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    new = np.ones(len(raw) + 1, bool)
+    new[1:-1] = ~ink[:-1]
+    new[starts] = True
+    head = np.flatnonzero(new[at])
+    place = at - np.repeat(at[head], np.diff(np.append(head, len(at))))
+    letters = raw[at]
+    value = TABLE[np.minimum(place, DEPTH - 1) * 256 + letters]
+    far = place >= DEPTH
+    if far.any():
+        value[far] = _mix((place[far].astype(np.uint64) * np.uint64(256) + LOWER[letters[far]] + np.uint64(1)) * M1)
+    return np.add.reduceat(value, head), at[head]
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that stand one after another and end at ``ends``, and the number of words of each.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Long texts are hashed in pieces.
     """
-    split = [b"".split() if t is None else t.encode().lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    h = np.fromiter((seen[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
-    own = np.repeat(np.arange(len(texts)), sizes)
+    edges = np.concatenate([[0], ends])
+    hashes, places, lo = [], [], 0
     with np.errstate(over="ignore"):
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))  # words from here to the text's end
-        full = np.flatnonzero(left >= k)
-        s = np.zeros(len(full), np.uint64)
+        while lo < len(raw):
+            hi = min(lo + 2 * CHUNK, len(raw))
+            while hi < len(raw):  # end at white space or a text's end, so no word is cut
+                back = np.flatnonzero(SPACE[raw[lo:hi]])
+                edge = edges[np.searchsorted(edges, hi, side="right") - 1]
+                stop = max(lo + int(back[-1]) + 1 if len(back) else lo, int(edge))
+                if stop > lo:
+                    hi = stop
+                    break
+                hi = min(hi + 2 * CHUNK, len(raw))
+            inside = edges[(edges >= lo) & (edges < hi)] - lo
+            h, at = _hash_words(raw[lo:hi], inside)
+            hashes.append(h)
+            places.append(at + lo)
+            lo = hi
+    places = np.concatenate(places) if places else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.diff(np.searchsorted(places, edges))
+
+
+def shingle_sets(raw: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sorted distinct ``k``-word shingle hashes of each text; fewer words are one shingle, none an empty set."""
+    h, sizes = word_hashes(raw, ends)
+    out = []
+    with np.errstate(over="ignore"):
+        n = max(len(h) - k + 1, 0)
+        s = np.zeros(n, np.uint64)
         for j in range(k):
-            s = _mix(s * M1 + h[full + j] + np.uint64(j + 1))
-        starts = np.cumsum(sizes) - sizes
-        brief = np.flatnonzero((sizes > 0) & (sizes < k))
-        b = np.zeros(len(brief), np.uint64)
-        for j in range(k - 1):
-            more = sizes[brief] > j
-            b[more] = _mix(b[more] * M1 + h[starts[brief[more]] + j] + np.uint64(j + 1))
-        b = _mix(b + np.uint64(k) * M1 + sizes[brief].astype(np.uint64))
-    s, o = np.concatenate([s, b]), np.concatenate([own[full], brief])
-    order = np.lexsort((s, o))
-    s, o = s[order], o[order]
-    if len(s):
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
-        s, o = s[new], o[new]
-    return s, o, np.bincount(o, minlength=len(texts))
-
-
-def _chunks(part: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """Slices of a batch with few characters each (a longer text is alone)."""
-    size = part[text].str.len().fillna(0).cumsum()
-    for _, rows in part.groupby((size // chars).to_numpy()):
-        yield rows
-
-
-def _sids(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; 0 for the empty set."""
-    out, at = np.zeros(len(sizes), np.int64), 0
-    for i, n in enumerate(sizes):
-        if n:
-            out[i] = int.from_bytes(hashlib.blake2b(s[at : at + n].tobytes(), digest_size=8).digest(), "little", signed=True)
-        at += n
+            s = s * M3 + h[j : n + j]
+        s = _mix(s)
+        for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            if size < k:
+                y = np.full(min(size, 1), size, np.uint64)
+                for v in h[end - size : end]:
+                    y = y * M1 + v
+                out.append(_mix(y + M2))
+                continue
+            x = np.sort(s[end - size : end - k + 1])
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
+    return out
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each begins and ends) of an Arrow column; null counts as empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def _batches(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches with few bytes each (a longer text is alone), with the shingle sets of their texts."""
+    for part in parts:
+        raw, at = _texts(part.column("text"))
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, side="right")) - 1)
+            yield part.slice(lo, hi - lo), shingle_sets(raw[at[lo] : at[hi]], at[lo + 1 : hi + 1] - at[lo], k)
+            lo = hi
+
+
+def pack_point(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes in ``GROUPS`` groups, in as many bytes each as the largest needs."""
+    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32).tobytes()
+
+
+def unpack_points(column: pa.Array) -> np.ndarray:
+    """A row of counts for each point of an Arrow column."""
+    raw, at = _texts(column)
+    size, out = np.diff(at), np.zeros((len(at) - 1, GROUPS), np.int32)
+    for kind in (np.uint8, np.uint16, np.uint32):
+        width = GROUPS * np.dtype(kind).itemsize
+        here = np.flatnonzero(size == width)
+        if len(here):
+            out[here] = np.ascontiguousarray(raw[at[here][:, None] + np.arange(width)]).view(kind)
     return out
 
 
+def _both_ways(x: DataFrame, a: str, b: str) -> DataFrame:
+    return x.select(a, b).union(x.select(F.col(b).alias(a), F.col(a).alias(b)))
+
+
 class Join:
-    """Sets of ``k``-word shingles, linked when 100 * |A n B| >= ``percent`` * |A u B|."""
+    """Sets of ``k``-word shingles, linked when 100 * |A n B| >= ``percent`` * |A u B|; ``percent`` is over 50."""
 
     def __init__(self, k: int = 5, percent: int = 80):
+        if not 50 < percent <= 100:
+            raise ValueError("percent must be over 50")
         self.k, self.percent = k, percent
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(bounds[-1] * 100 // percent + 1)
-        self.bounds = np.array(bounds, np.int64)
-        largest = self.bounds[1:] - 1
-        self.differ = 2 * largest * (100 - percent) // (100 + percent)
-        self.runs = self.differ + 1 + (self.differ + 7) // 8
-
-    def name_sets(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, row, n, sid): hash of the text, size and name of each document's set."""
-        k = self.k
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen = _Hashes()
+        self.runs = np.array([1 + (d := self.differ(2 ** (c + 1) - 1)) + (d + 7) // 8 for c in range(40)], np.int64)
+
+    def differ(self, n):
+        """The largest symmetric difference of a set of ``n`` with a linked one that is as large or larger."""
+        return (n + n * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+
+    def enough(self, overlap, both):
+        """Whether sets with ``overlap`` common shingles and ``both`` in all, counted twice where common, are linked."""
+        return 100 * overlap >= self.percent * (both - overlap)
+
+    def cells(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, number of each set's cells)."""
+        n = np.array([len(s) for s in sets], np.int64)
+        kind = np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 1
+        found, owner = [], []
+        for up in (0, 1):
+            chosen = np.flatnonzero((n > 0) & ((n * 100 // self.percent >= 2 ** (kind + 1)) | (up == 0)))
+            if not len(chosen):
+                continue
+            c, sizes, most = kind[chosen] + up, n[chosen], self.differ(n[chosen]) + 1
+            s = np.concatenate([sets[i] for i in chosen])
+            own = np.repeat(np.arange(len(chosen)), sizes)
+            with np.errstate(over="ignore"):
+                run = ((s >> np.uint64(32)) * self.runs[c].astype(np.uint64)[own]) >> np.uint64(32)
+                first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (own[1:] != own[:-1])]))
+                held = np.add.reduceat(_mix(s + M1), first)
+                whose, run = own[first], run[first]
+                filled = np.bincount(whose, minlength=len(chosen))
+                nth = np.arange(len(first)) - np.repeat(np.cumsum(filled) - filled, filled)
+                keep = nth < most[whose]
+                for i in np.flatnonzero(filled < most):  # few runs filled: the empty ones among the first count too
+                    empty = np.setdiff1d(np.arange(most[i], dtype=np.uint64), run[whose == i])
+                    held, run = np.concatenate([held, np.zeros(len(empty), np.uint64)]), np.concatenate([run, empty])
+                    whose, keep = np.concatenate([whose, np.full(len(empty), i)]), np.concatenate([keep, np.ones(len(empty), bool)])
+                held, run, whose = held[keep], run[keep], whose[keep]
+                found.append(_mix(_mix(held + c[whose].astype(np.uint64) * M2) + (run + np.uint64(1)) * M1))
+                owner.append(chosen[whose])
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(len(sets), np.int64)
+        owner = np.concatenate(owner)
+        return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sets))
+
+    def describe(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, row, n, name, point, cells): hash of the text; size, 128-bit name, point and cells of its set."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, sets in _batches(parts, self.k):
+                cells, number = self.cells(sets)
+                ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                columns = [
+                    part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
+                    pa.array([pack_point(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "name", "point", "cells"])
+
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+        return rows.mapInArrow(run, "doc_id long, row long, n long, name binary, point binary, cells array<long>")
+
+    def fetch(self, documents: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(id, shingles): the hashes, as packed numbers, of the ``wanted`` items, from the texts that stand for them."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, sets in _batches(parts, self.k):
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+
+        of = small(cut(items.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("row").alias("r"))))
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+        rows = rows.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("id", "text")
+        return cut(rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]))
+
+    def within_bound(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` whose summed minima of counts still allow a link."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                for rows in _chunks(part, "text"):
-                    s, _, sizes = shingle_sets(rows["text"].tolist(), k, seen)
-                    yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "row": rows["row"].to_numpy(), "n": sizes, "sid": _sids(s, sizes)}).astype({"doc_id": "Int64"})
+                x, y = unpack_points(part.column("p")), unpack_points(part.column("q"))
+                keep = self.enough(np.minimum(x, y).sum(1), x.sum(1) + y.sum(1))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
-        return documents.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInPandas(run, "doc_id long, row long, n long, sid long")
+        sizes = items.select("id", "n", "point")
+        rows = cut(attach(pairs, sizes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("point").alias("p")), "a"))
+        both = rows.join(sizes.select(F.col("id").alias("b"), "n", F.col("point").alias("q")), "b")
+        both = both.where(self.enough(F.least("n", "m"), F.col("n") + F.col("m")))
+        return cut(both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long"))
 
-    def cells(self, documents: DataFrame) -> DataFrame:
-        """(cell, sid): the cells of each document's set."""
-        k, bounds, differ, runs = self.k, self.bounds, self.differ, self.runs
+    def links(self, documents: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` that are linked, by their exact sets."""
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen = _Hashes()
-            for part in parts:
-                for rows in _chunks(part, "text"):
-                    s, own, sizes = shingle_sets(rows["text"].tolist(), k, seen)
-                    sids = _sids(s, sizes)
-                    kind = np.searchsorted(bounds, sizes, side="right") - 1
-                    for up in (0, 1):
-                        c = np.maximum(kind + up, 0)
-                        m = np.where(sizes > 0, runs[c], 0)
-                        start = np.cumsum(m) - m
-                        with np.errstate(over="ignore"):
-                            at = start[own] + (s % m[own].astype(np.uint64)).astype(np.int64)
-                            held, total = np.bincount(at, minlength=int(m.sum())), np.zeros(int(m.sum()), np.uint64)
-                            np.add.at(total, at, _mix(s + M1))
-                            whose = np.repeat(np.arange(len(sizes)), m)
-                            empty = held == 0
-                            lacking = np.bincount(whose[empty], minlength=len(sizes)) >= m - differ[c]
-                            keep = ~empty | lacking[whose]
-                            run_no = np.arange(len(whose)) - start[whose]
-                            cell = _mix(_mix(total + np.uint64(1) + c[whose].astype(np.uint64) * M2) + run_no.astype(np.uint64) * M1)
-                        yield pd.DataFrame({"cell": cell[keep].view(np.int64), "sid": sids[whose[keep]]})
-
-        return documents.select("text").mapInPandas(run, "cell long, sid long")
-
-    def points(self, documents: DataFrame) -> DataFrame:
-        """(sid, point, shingles): group counts and hashes, as packed numbers, of each document's set."""
-        k = self.k
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen = _Hashes()
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                for rows in _chunks(part, "text"):
-                    s, own, sizes = shingle_sets(rows["text"].tolist(), k, seen)
-                    counts = np.bincount(own * GROUPS + (_mix(s) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=len(sizes) * GROUPS).astype(np.uint32).reshape(-1, GROUPS)
-                    ends = np.cumsum(sizes)
-                    yield pd.DataFrame({"sid": _sids(s, sizes), "point": [c.tobytes() for c in counts], "shingles": [s[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
-
-        return documents.select("text").mapInPandas(run, "sid long, point binary, shingles binary")
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that are linked."""
-        percent = self.percent
-
-        def near(a: bytes, b: bytes, kind) -> bool:
-            x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
-            n, m, both = (int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum())) if kind is np.uint32 else (len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
-            return 100 * both >= percent * (n + m - both)
-
-        def keep(kind):
-            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for part in parts:
-                    yield part.loc[[near(x, y, kind) for x, y in zip(part["x"], part["y"], strict=True)], ["a", "b"]]
-
-            return run
-
-        for column, kind in (("point", np.uint32), ("shingles", np.uint64)):
-            side = sets.select("sid", column)
-            both = pairs.join(side.select(F.col("sid").alias("b"), F.col(column).alias("y")), "b").join(side.select(F.col("sid").alias("a"), F.col(column).alias("x")), "a")
-            pairs = cut(both.select("a", "b", "x", "y").mapInPandas(keep(kind), "a long, b long"))
-        return pairs
+                keep = []
+                for x, y in zip(part.column("x"), part.column("y"), strict=True):
+                    s, u = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    keep.append(bool(self.enough(len(np.intersect1d(s, u, assume_unique=True)), len(s) + len(u))))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        sets = self.fetch(documents, items, _both_ways(pairs, "a", "b").select(F.col("a").alias("id")).distinct())
+        half = cut(attach(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"))
+        both = half.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        discard(half, sets)
+        return out
 
     def classes(self, documents: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         return self._placed(documents).select("doc_id", "n_shingles", "component_id")
 
     def _placed(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, row, n_shingles, component_id, first) of every row; first is the (doc_id, row) that stands for its component."""
-        named = cut(self.name_sets(documents))
-        met = cut(self.cells(documents).groupBy("cell").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"))
-        large = small(cut(met.where("n > 2").select("cell", "low")))
-        members = cut(self.cells(documents).join(large, "cell").select("cell", "low", "sid").distinct())
-        pairs = met.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("low < sid").select("low", "sid"))
-        pairs = cut(pairs.distinct())
-
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        chosen = named.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-        chosen = small(cut(chosen.select(F.col("doc_id").alias("chosen")).distinct()))
-        texts = documents.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-        sets = cut(self.points(texts).dropDuplicates(["sid"]))
-        links = self.verify(pairs, sets)
-        labels = components(links)
-
-        labels = self._join_rest(pairs, cut(labels), sets)
+        """(doc_id, row, n_shingles, component_id, first, copies) of every row.
 
+        first is the (doc_id, row) that stands for its component, copies the number of rows with this doc_id and row.
+        """
+        described = cut(self.describe(documents))
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")  # null ids last
-        sids = named.where("n > 0").groupBy("sid").agg(F.min(place).alias("least")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        least = sids.groupBy("label").agg(F.min("least").alias("first"))
-        of_sid = cut(sids.select("sid", "label").join(least, "label").select(F.col("sid").alias("s"), "first"))
-        joined = named.join(of_sid, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
-        return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
-
-    def _join_rest(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-        """``labels`` with components merged that have links beyond ``pairs``; families are found over components."""
-        ends = [labels.select(F.col("sid").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"]
-        between = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        between = cut(between.where("a <> b").distinct())
-        if between.isEmpty():
-            return labels
-        families = components(between).select(F.col("sid").alias("label"), F.col("label").alias("family"))
-        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        members = cut(nodes.join(families, "label"))
-        bytes_ = members.join(sets.select("sid", F.length("shingles").alias("bytes")), "sid").groupBy("family").agg(F.sum("bytes").alias("bytes"))
-        bytes_ = cut(bytes_)
-        held = members.join(sets.select("sid", "shingles"), "sid")
-        percent = self.percent
-
-        def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for rows in part["rows"]:
-                    yield _block_links(rows, rows, percent, 1.0)
-
-        few = small(bytes_.where(F.col("bytes") <= BLOCK_BYTES).select("family"), 10_000_000)
-        rows = held.join(few, "family", "left_semi").groupBy("family").agg(F.collect_list(F.struct("label", F.lit(0.0).alias("d"), "shingles")).alias("rows"))
-        more = cut(rows.select("rows").mapInPandas(within, "a long, b long").distinct())
-        many = bytes_.where(F.col("bytes") > BLOCK_BYTES).select("family")
-        if not many.isEmpty():
-            more = cut(more.union(self._between_blocks(held.join(many, "family", "left_semi"), members, pairs, sets)).distinct())
-        if more.isEmpty():
-            return labels
-        merged = components(more).select(F.col("sid").alias("label"), F.col("label").alias("merged"))
-        every = labels.union(more.select("a", "a")).union(more.select("b", "b")).dropDuplicates(["sid"])
-        return every.join(merged, "label", "left").select("sid", F.coalesce("merged", "label").alias("label"))
-
-    def _between_blocks(self, held: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of components that links join in families too large for one block."""
-        degree = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
-        pivots = members.join(degree, "sid").groupBy("family").agg(F.max(F.struct("degree", "sid")).alias("p")).select("family", F.col("p.sid").alias("pivot"))
-        sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
-        bulk = sizes.groupBy("family").agg(F.max(F.struct("size", "label")).alias("b")).select("family", F.col("b.label").alias("bulk"))
-        placed = held.join(pivots, "family").join(bulk, "family").join(sets.select(F.col("sid").alias("pivot"), F.col("shingles").alias("centre")), "pivot")
-        far = F.pandas_udf(_distance, "double")
-        width = 1 - self.percent / 100 + 1e-6
-        placed = placed.select("family", "sid", "label", "shingles", (F.col("label") == F.col("bulk")).alias("in_bulk"), far("shingles", "centre").alias("d"))
+        sets = described.where("n > 0").groupBy("name").agg(F.min(place).alias("first"))
+        sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "name", "first"))
+        stands = small(cut(sets.select("id", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"))))
+        chosen = described.join(stands, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+        items = cut(chosen.select("id", "doc_id", "row", "n", "point").dropDuplicates(["id"]))
+
+        # one shuffle: the smallest item of a cell comes first, others are paired with it as they come
+        met = Window.partitionBy("cell").orderBy("id")
+        dealt = chosen.select("id", F.explode("cells").alias("cell"))
+        dealt = dealt.select("cell", "id", F.first("id").over(met).alias("low"), F.lag("id").over(met).alias("before"))
+        members = cut(dealt.where("before < id").select("cell", "low", "id"))
+        rows = cut(described.select("doc_id", "row", "n", "name"))
+        discard(described)
+
+        pairs = cut(members.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+        near = self.within_bound(pairs, items)
+        links = self.links(documents, items, near)
+        labels = cut(components(links))
+        more = self.cross_pairs(members, labels, items)
+        more = cut(more.join(near, ["a", "b"], "left_anti"))
+        discard(members, pairs)
+        if not more.isEmpty():
+            links = cut(links.union(self.links(documents, items, more)))
+            labels = cut(components(links))
+
+        named = sets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        least = named.groupBy("label").agg(F.min("first").alias("stands"))
+        of = cut(attach(cut(named.select("name", "label")), least, "label").select("name", "stands"))
+        out = attach(rows.where("n > 0"), of, "name").select("doc_id", "row", "n", F.struct("stands.doc_id", "stands.row").alias("first"))
+        out = out.unionByName(rows.where("n = 0").select("doc_id", "row", "n"), allowMissingColumns=True)
+        return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
+
+    def cross_pairs(self, members: DataFrame, labels: DataFrame, items: DataFrame) -> DataFrame:
+        """(a, b) of items in one cell but different components, that the bound by summed minima leaves open."""
+        held = members.select("cell", "id").union(members.select("cell", F.col("low").alias("id")).distinct())
+        held = cut(held.join(labels, "id", "left").select("cell", "id", F.coalesce("label", "id").alias("label")))
+        mark = F.xxhash64("id")
+        open_ = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y"))
+        open_ = cut(open_.where("l < h and size > 2").groupBy("size", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "size"))  # cells of the same members count once
+        held = cut(attach(held, open_, "cell"))
+        # an item with few in common of any partner's size can't be linked: sizes and points go along
+        point = items.select("id", "n", "point")
+        within = held.where(F.col("size") <= LEAF).select("cell", "id", "label")
+        within = within.join(point, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "label", "n", "point")).alias("x"))
+        near = within.select("x").mapInArrow(self._trees(("x", "x")), "a long, b long")
+
+        large = held.where(F.col("size") > LEAF)
+        if not large.isEmpty():
+            near = near.union(self._between_leaves(large, members, point))
+        return cut(near.distinct())
+
+    def _between_leaves(self, large: DataFrame, members: DataFrame, point: DataFrame) -> DataFrame:
+        """(a, b) as ``cross_pairs`` gives them, of cells with more than one leaf's items."""
+        lows = members.join(large.select("cell").distinct(), "cell", "left_semi").groupBy("cell").agg(F.min("low").alias("low"))
+        met = cut(attach(cut(large.select("cell", "id", "label")), lows, "cell"))
+        tied = met.groupBy("id").agg(F.min("label").alias("label"), F.min("low").alias("hub")).join(point, "id")
         # linked sets' sizes differ by no more than the threshold's ratio: neighbouring size bands only
-        ratio = F.floor(F.log(F.length("shingles") / 8) / F.lit(-math.log(self.percent / 100) * (1 + 1e-6))).cast("int")
-        placed = cut(placed.withColumn("band", F.floor(F.col("d") / width).cast("int")).withColumn("size", ratio))
-        key = ["family", "band", "size", "in_bulk"]
-        counts = small(cut(placed.groupBy(*key).agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).alias("blocks"))))
-        placed = placed.join(counts, key).withColumn("block", F.xxhash64(*key, F.pmod(F.xxhash64("sid"), F.col("blocks"))))
-        blocks = cut(placed.groupBy(*key, "block").agg(F.collect_list(F.struct("label", "d", "shingles")).alias("rows")))
-        names = blocks.select(*key, "block")
-        beside = F.array(*[F.struct((F.col("band") + i).alias("band"), (F.col("size") + j).alias("size")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asks = names.where("not in_bulk").select("family", F.col("block").alias("ask"), F.inline(beside))
-        meet = asks.join(names, ["family", "band", "size"]).where("in_bulk or ask <= block").select("ask", "block")
-        rows = meet.join(blocks.select("block", "rows"), "block").join(blocks.select(F.col("block").alias("ask"), F.col("rows").alias("asked")), "ask")
-        percent = self.percent
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for x, y in zip(part["asked"], part["rows"], strict=True):
-                    yield _block_links(x, y, percent, width)
+        band = F.floor(F.log("n") / F.lit(-math.log(self.percent / 100) * (1 + 1e-6))).cast("int") if self.percent < 100 else F.lit(0)
+        tied = cut(tied.withColumn("band", band))
+        many = small(cut(tied.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("leaves"))))
+        placed = cut(tied.join(many, ["hub", "band"]).withColumn("leaf", F.xxhash64("hub", "band", F.pmod(F.xxhash64("id"), F.col("leaves")))))
+        leaves = placed.groupBy("leaf").agg(F.collect_list(F.struct("id", "label", "n", "point")).alias("x"))
+        boxes = leaves.mapInArrow(self._boxes, "leaf long, low binary, high binary, least long, most long")
+        boxes, leaves = cut(boxes), cut(leaves)
+
+        beside = cut(met.select("cell", "id").join(placed.select("id", "leaf", "band"), "id").select("cell", "leaf", "band").distinct())
+        other = beside.select("cell", F.col("leaf").alias("other"), F.col("band").alias("beside"))
+        meet = beside.join(other, "cell").where((F.abs(F.col("band") - F.col("beside")) <= 1) & (F.col("leaf") <= F.col("other"))).select("leaf", "other").distinct()
+        second = boxes.select(*[F.col(c).alias(f"{c}_2") for c in boxes.columns]).withColumnRenamed("leaf_2", "other")
+        meet = cut(meet.join(boxes, "leaf").join(second, "other").mapInArrow(self._open_boxes, "leaf long, other long"))
+        rows = cut(meet.join(leaves, "leaf")).join(leaves.select(F.col("leaf").alias("other"), F.col("x").alias("y")), "other")
+        return rows.select("x", "y").mapInArrow(self._trees(("x", "y")), "a long, b long")
+
+    def _boxes(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for leaf, x in zip(part.column("leaf"), _leaves(part.column("x")), strict=True):
+                out.append((leaf.as_py(), x["point"].min(0).tobytes(), x["point"].max(0).tobytes(), int(x["n"].min()), int(x["n"].max())))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["leaf", "low", "high", "least", "most"])
+
+    def _open_boxes(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            box = {c: np.stack([np.frombuffer(v.as_buffer(), np.int32) for v in part.column(c)]) if len(part) else np.zeros((0, GROUPS), np.int32) for c in ("low", "high", "low_2", "high_2")}
+            n = {c: part.column(c).to_numpy() for c in ("least", "most", "least_2", "most_2")}
+            keep = self._may_meet(box["low"], box["high"], n["least"], n["most"], box["low_2"], box["high_2"], n["least_2"], n["most_2"])
+            yield part.select(["leaf", "other"]).filter(pa.array(keep))
+
+    def _may_meet(self, low, high, least, most, low2, high2, least2, most2) -> np.ndarray:
+        """Whether boxes (last axis: groups) can hold linked points.
+
+        The overlap is at most the summed minima of upper corners, and at most half of what sizes leave beyond the gaps
+        between the boxes.
+        """
+        corners = np.minimum(high, high2).sum(-1)
+        gaps = np.maximum(np.maximum(low - high2, low2 - high), 0).sum(-1)
+        ratio = (100 * most2 >= self.percent * least) & (100 * most >= self.percent * least2)
+        return ratio & self.enough(corners, least + least2) & self.enough((most + most2 - gaps) / 2, most + most2)
+
+    def _trees(self, sides: tuple[str, str]):
+        """A function over batches with a leaf in each of two columns (or the same one twice): pairs left open."""
+        same = sides[0] == sides[1]
 
-        return rows.select("asked", "rows").mapInPandas(run, "a long, b long")
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                a, b = [], []
+                left = list(_leaves(part.column(sides[0])))
+                right = left if same else list(_leaves(part.column(sides[1])))
+                for x, y in zip(left, right, strict=True):
+                    i, j = self.open_pairs(x, y)
+                    a.append(np.minimum(x["id"][i], y["id"][j]))
+                    b.append(np.maximum(x["id"][i], y["id"][j]))
+                    if sum(map(len, a)) > 1 << 16:
+                        yield _pairs(a, b)
+                        a, b = [], []
+                yield _pairs(a, b)
+
+        return run
+
+    def open_pairs(self, x: dict, y: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j) of points of different labels in two leaves that the bounds leave open."""
+        if len(x["id"]) <= NODE and len(y["id"]) <= NODE:
+            tiles = [(np.arange(len(x["id"])), np.arange(len(y["id"])))]
+        else:
+            nodes = [pack_nodes(side["n"], side["point"]) for side in (x, y)]
+            low, high, least, most = zip(*[[np.stack([f(side["point"][t], 0) for t in ts]) for f in (np.min, np.max)] + [np.array([f(side["n"][t]) for t in ts]) for f in (np.min, np.max)] for side, ts in zip((x, y), nodes, strict=True)], strict=True)
+            meet = self._may_meet(low[0][:, None], high[0][:, None], least[0][:, None], most[0][:, None], low[1][None], high[1][None], least[1][None], most[1][None])
+            tiles = [(nodes[0][p], nodes[1][q]) for p, q in zip(*np.nonzero(meet), strict=True)]
+        rows, columns = [], []
+        for i, j in tiles:
+            apart = (x["label"][i][:, None] != y["label"][j][None]) & (x["id"][i][:, None] != y["id"][j][None])
+            both = x["n"][i][:, None] + y["n"][j][None]
+            p, q = np.nonzero(apart & self.enough(np.minimum(x["n"][i][:, None], y["n"][j][None]), both))
+            if x is y:
+                once = x["id"][i[p]] < y["id"][j[q]]
+                p, q = p[once], q[once]
+            if len(p):
+                keep = self.enough(np.minimum(x["point"][i[p]], y["point"][j[q]]).sum(1), both[p, q])
+                rows.append(i[p[keep]])
+                columns.append(j[q[keep]])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(rows or none), np.concatenate(columns or none)
 
     def one_of_each(self, documents: DataFrame) -> DataFrame:
         """``documents`` with one document of each component: the one it is named by; repeated rows count as one.
@@ -299,67 +450,63 @@ class Join:
         A document is known by its id and its text, so unrelated texts with one id, null too, all stay.
         """
         c = cut(self._placed(documents).where("n_shingles > 0"))
-        one = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__text"))
+        stands = F.col("doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
         names = [F.col("doc_id").alias("__doc"), F.col("row").alias("__text")]
-        gone = small(cut(c.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))).select(*names).distinct()))
-        kept = documents.withColumn("__row", F.xxhash64("text")).join(gone, one, "left_anti")
-        repeated = cut(c.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*names))
+        gone = cut(c.where(~stands).select(*names).distinct())
+        repeated = cut(c.where(stands).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*names))
+        fate = small(cut(gone.withColumn("__fate", F.lit(1)).union(repeated.withColumn("__fate", F.lit(2)))))
+        names = [c for c in documents.columns if c not in ("__row", "__doc", "__text", "__fate")]
+        one = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__text"))
+        marked = documents.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("text").alias("__row")).join(fate, one, "left")
+        kept = marked.where("__fate is null")
         if not repeated.isEmpty():
-            repeated = small(repeated)
-            kept = kept.join(repeated, one, "left_anti").union(kept.join(repeated, one, "left_semi").dropDuplicates(["doc_id", "__row"]))
-        return kept.drop("__row")
+            kept = kept.union(marked.where("__fate = 2").dropDuplicates(["doc_id", "__row"]))
+        return kept.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _leaves(column: pa.Array) -> Iterator[dict]:
+    """id, label, n and point of each row's list of items, as arrays."""
+    at = column.offsets.to_numpy() - column.offsets.to_numpy()[0] if len(column) else np.zeros(1, np.int64)
+    items = column.flatten()
+    whole = {c: items.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "n")} | {"point": unpack_points(items.field("point"))}
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield {c: v[lo:hi] for c, v in whole.items()}
+
 
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v or none).astype(np.int64)) for v in (a, b)], ["a", "b"])
 
-def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
+
+def pack_nodes(n: np.ndarray, point: np.ndarray) -> list[np.ndarray]:
+    """Sort-tile packing: slabs by size, nodes of ``NODE`` points in each by the count that spreads most."""
+    order = np.argsort(n, kind="stable")
+    slab = NODE * max(1, round(math.sqrt(len(n) / NODE)))
     out = []
-    for a, b in zip(x, y, strict=True):
-        s, u = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(s, u, assume_unique=True))
-        out.append(1 - both / (len(s) + len(u) - both))
-    return pd.Series(out, dtype=float)
-
-
-def _block_links(x, y, percent: int, width: float, columns: int = 4096) -> pd.DataFrame:
-    """Components (a, b) that links between two blocks join, members of one component left out; overlaps by products of presence matrices."""
-    sets = [[np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (x, y)]
-    n = [np.array([len(s) for s in side]) for side in sets]
-    flat = [np.concatenate(side) for side in sets]
-    own = [np.repeat(np.arange(len(side)), k) for side, k in zip(sets, n, strict=True)]
-    common = np.intersect1d(flat[0], flat[1])
-    both = np.zeros((len(x), len(y)), np.float32)
-    at = []
-    for values in flat:
-        place = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-        at.append(np.where(common[place] == values, place, -1) if len(common) else np.full(len(values), -1))
-    for start in range(0, len(common), columns):
-        present = []
-        for side, place, o in zip((x, y), at, own, strict=True):
-            m = np.zeros((len(side), min(columns, len(common) - start)), np.float32)
-            here = (place >= start) & (place < start + columns)
-            m[o[here], place[here] - start] = 1
-            present.append(m)
-        both += present[0] @ present[1].T
-    near = np.abs(np.array([r["d"] for r in x])[:, None] - np.array([r["d"] for r in y])[None, :]) <= width
-    labels = [np.array([r["label"] for r in side], np.int64) for side in (x, y)]
-    apart = labels[0][:, None] != labels[1][None, :]
-    i, j = np.nonzero(near & apart & (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)))
-    return pd.DataFrame({"a": labels[0][i], "b": labels[1][j]}).drop_duplicates()
-
-
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(sid, label) of every linked set: the smallest name in its component, by large and small stars."""
+    for lo in range(0, len(order), slab):
+        part = order[lo : lo + slab]
+        part = part[np.argsort(point[part, point[part].var(0).argmax()], kind="stable")]
+        out += [part[i : i + NODE] for i in range(0, len(part), NODE)]
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of every linked item: the smallest one in its component, by large and small stars until they settle."""
     state = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).alias("s")
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = edges.agg(state).first()
-    for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u")
-        edges = cut(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").select("u", "v").distinct())
-        after = edges.agg(state).first()
-        if after == before:
-            return edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
-        before = after
-    raise RuntimeError("components did not settle")
+    while True:
+        # large star: larger neighbours go to the smallest one; where that is the item itself nothing changes
+        both = _both_ways(edges, "u", "v")
+        moves = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        by_end = edges.select(F.col("v").alias("at"), "u")
+        large = cut(attach(by_end, cut(moves.select(F.col("u").alias("at"), "m")), "at", "left").select("u", F.coalesce("m", "at").alias("v")).distinct())
+        # small star: an item and its smaller neighbours go to the smallest of them
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        after = attach(large, least, "u")
+        after = cut(after.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(edges, large, least)
+        edges, now = after, after.agg(state).first()
+        if now == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+        before = now
