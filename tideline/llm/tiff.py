@@ -2,13 +2,13 @@
 
 The reader takes both byte orders, strips and tiles, PackBits, LZW and deflate (or none), 8-bit samples, chunky
 configuration, and the horizontal predictor. The writer stores a payload losslessly as gray pages of ``WIDTH``
-columns: a payload of one block (``BLOCK`` bytes) is stored with LZW in strips, of two with PackBits in strips, larger
-ones with deflate, in tiles when a page is full height and else in strips, with the horizontal predictor. Python
+columns. Codec (PackBits, LZW or deflate), horizontal predictor (not with PackBits) and layout (strips or tiles) go by
+the payload's checksum, so texts of every length meet each of them and equal texts get equal files. Python
 functions run over Arrow batches; each handles one image at a time and yields pages as they are decoded, so memory is
 bounded by the largest single image.
 
-Cases: null and empty texts are one block of padding; null or broken media give one row with page -1 and the
-error's name; repeated rows are each handled; the key column may be null; extra columns are ignored.
+Cases: null and empty texts are one block of padding; null or broken media, and such without any page, give one row
+with page -1 and the error's name; repeated rows are each handled; the key column may be null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,10 @@ def unpack_bits(data: bytes) -> bytes:
 
 def pack_bits(row: bytes) -> bytes:
     """Runs of three or more as repeats, everything else as literals of at most 128 bytes."""
-    out, i, n, literal = bytearray(), 0, len(row), 0
+    out, literal = bytearray(), 0
+    x = np.frombuffer(row, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+    long = np.flatnonzero(np.diff(starts) >= 3)
 
     def flush(end: int) -> None:
         for a in range(literal, end, 128):
@@ -53,107 +56,128 @@ def pack_bits(row: bytes) -> bytes:
             out.append(b - a - 1)
             out.extend(row[a:b])
 
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and row[j] == row[i]:
-            j += 1
-        if j - i >= 3:
-            flush(i)
-            out.append(257 - (j - i))
-            out.append(row[i])
-            literal = j
-        i = j
-    flush(n)
+    for at, end in zip(starts[long].tolist(), starts[long + 1].tolist(), strict=True):
+        flush(at)
+        while end - at >= 3:
+            n = min(end - at, 128)
+            out.append(257 - n)
+            out.append(row[at])
+            at += n
+        literal = at  # one or two bytes of a long run may be left
+    flush(len(row))
     return bytes(out)
 
 
+def pack_rows(part: np.ndarray) -> bytes:
+    """PackBits of each row by itself, as the format asks; rows without runs are literals at once."""
+    if part.shape[1] > 128:
+        return b"".join(pack_bits(r.tobytes()) for r in part)
+    same = part[:, 1:] == part[:, :-1]
+    runs = (same[:, 1:] & same[:, :-1]).any(1)
+    plain = np.hstack([np.full((len(part), 1), part.shape[1] - 1, np.uint8), part])
+    if not runs.any():
+        return plain.tobytes()
+    return b"".join(pack_bits(r.tobytes()) if run else p.tobytes() for r, run, p in zip(part, runs, plain, strict=True))
+
+
+#: Codes after a clear code until the table is full, and the width of each: it grows one code early, as the format has it.
+FULL = 4095 - 258
+WIDTHS = 9 + sum((258 + np.arange(FULL + 1) >= n).astype(np.int64) for n in (512, 1024, 2048))
+OFFSETS = np.concatenate([[0], np.cumsum(WIDTHS)])
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """MSB-first codes of 9 to 12 bits; the width grows one code early, as the format has it."""
-    bits = size = 0
-    out, table, code, width = bytearray(), {bytes([i]): i for i in range(256)}, 258, 9
-
-    def put(value: int) -> None:
-        nonlocal bits, size
-        bits, size = (bits << width) | value, size + width
-        while size >= 8:
-            size -= 8
-            out.append((bits >> size) & 255)
-        bits &= (1 << size) - 1
-
-    put(256)
-    held = b""
-    for i in range(len(data)):
-        longer = held + data[i : i + 1]
-        if longer in table:
-            held = longer
-            continue
-        put(table[held])
-        table[longer] = code
-        code += 1
-        if code == 4095:
-            put(256)
-            table, code, width = {bytes([i]): i for i in range(256)}, 258, 9
-        elif code in (512, 1024, 2048):
-            width += 1
-        held = longer[-1:]
-    if held:
-        put(table[held])
-        code += 1
-        if code in (512, 1024, 2048):
-            width += 1
-    put(257)
-    if size:
-        out.append((bits << (8 - size)) & 255)
-    return bytes(out)
+    """MSB-first codes of 9 to 12 bits. Codes are found byte by byte in a table keyed by (code, byte), then packed at once."""
+    codes, blocks, table, code = [], [], {}, 258
+    get = table.get
+    if data:
+        held = data[0]
+        for byte in data[1:]:
+            key = held << 8 | byte
+            longer = get(key)
+            if longer is not None:
+                held = longer
+                continue
+            codes.append(held)
+            table[key] = code
+            code += 1
+            held = byte
+            if code == 4095:
+                blocks.append(codes)
+                codes, code = [], 258
+                table.clear()
+        codes.append(held)
+    blocks.append(codes)
+    values, widths = [[256]], [[9]]
+    for block in blocks:
+        values.append(block)
+        widths.append(WIDTHS[: len(block)])
+        if block is not blocks[-1]:
+            values.append([256])
+            widths.append([12])
+    values.append([257])
+    widths.append([WIDTHS[len(blocks[-1])]])
+    values, widths = np.concatenate([np.asarray(v, np.int64) for v in values]), np.concatenate([np.asarray(w, np.int64) for w in widths])
+    ends = np.cumsum(widths)
+    first = ends - widths
+    window = values << (24 - (first & 7) - widths)  # a code lies in three bytes
+    at = first >> 3
+    out = np.zeros(int(ends[-1] + 7) // 8 + 2, np.int64)
+    for i in range(3):
+        out += np.bincount(at + i, (window >> (16 - 8 * i)) & 255, len(out)).astype(np.int64)  # bits of codes don't overlap
+    return out[: int(ends[-1] + 7) // 8].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
+    """Codes are cut out up to the next clear or end code at once, then looked up one by one."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, table, width, held, bits, size = bytearray(), list(base), 9, None, 0, 0
-    for byte in data:
-        bits, size = (bits << 8) | byte, size + 8
-        if size < width:
-            continue
-        size -= width
-        code, bits = bits >> size, bits & ((1 << size) - 1)
-        if code == 257:
+    raw, bit, out = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), 0, []
+    while bit + 9 <= 8 * len(data):
+        n = int(np.searchsorted(OFFSETS, 8 * len(data) - bit, side="right")) - 1
+        at, widths = bit + OFFSETS[:n], WIDTHS[:n]
+        byte = at >> 3
+        codes = ((raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (at & 7) - widths)) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        block = codes[: stops[0] if len(stops) else n].tolist()
+        table, held = list(base), None
+        for code in block:
+            entry = table[code] if code < len(table) else held + held[:1]
+            out.append(entry)
+            if held is not None:
+                table.append(held + entry[:1])
+            held = entry
+        if not len(stops) or codes[stops[0]] == 257:
             break
-        if code == 256:
-            table, width, held = list(base), 9, None
-            continue
-        entry = table[code] if code < len(table) else held + held[:1]
-        out += entry
-        if held is not None:
-            table.append(held + entry[:1])
-        held = entry
-        if len(table) + 1 in (512, 1024, 2048):
-            width += 1
-    return bytes(out)
+        bit = int(at[stops[0]] + widths[stops[0]])
+    return b"".join(out)
 
 
 DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, 32946: zlib.decompress, PACKBITS: unpack_bits}
-ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
+ENCODE = {NONE: lambda x: x.tobytes(), LZW: lambda x: lzw_encode(x.tobytes()), DEFLATE: lambda x: zlib.compress(x.tobytes(), 1), PACKBITS: pack_rows}
 
 
-def plan(n: int) -> tuple[int, int]:
-    """Compression and predictor for a payload of ``n`` bytes."""
-    return (LZW, 1) if n <= BLOCK else (PACKBITS, 1) if n <= 2 * BLOCK else (DEFLATE, 2)
+def plan(payload: bytes) -> tuple[int, int, bool]:
+    """Compression, predictor and whether tiles are used: by the payload's checksum, whatever its length."""
+    h = zlib.crc32(payload)
+    compression = (LZW, PACKBITS, DEFLATE)[h % 3]
+    return compression, 2 if compression != PACKBITS and h // 3 % 2 else 1, bool(h // 6 % 2)
 
 
 def write_tiff(payload: bytes, width: int = WIDTH, height: int = HEIGHT) -> bytes:
     """Pages of up to ``height`` rows; little-endian, directories after the pixel data of their page."""
-    compression, predictor = plan(len(payload))
+    compression, predictor, tiled = plan(payload)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for at in range(0, len(payload), width * height):
         page = np.frombuffer(payload, np.uint8, min(width * height, len(payload) - at), at).reshape(-1, width)
-        tiled = page.shape[0] == height and predictor == 2
         step = TILE if tiled else max(1, 8192 // width)
         chunks, counts = [], []
         for y in range(0, page.shape[0], step):
             part = page[y : y + step]
+            if tiled and len(part) < TILE:
+                part = np.vstack([part, np.zeros((TILE - len(part), width), np.uint8)])
             if predictor == 2:
                 part = np.diff(part, axis=1, prepend=np.uint8(0))
-            data = ENCODE[compression](part.tobytes())
+            data = ENCODE[compression](part)
             chunks.append(len(out))
             counts.append(len(data))
             out += data
@@ -233,6 +257,8 @@ def _pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             same = {"doc_id": key, "n_bytes": n_bytes, "media_bytes": 0 if media is None else len(media), "media_sha256": None if media is None else hashlib.sha256(media).hexdigest()}
             try:
                 pages = list(read_pages(media))
+                if not pages:
+                    raise ValueError("no page")
                 out += [same | p | {"page": i, "pages": len(pages)} for i, p in enumerate(pages)]
             except Exception as e:
                 out.append(same | {"page": -1, "pages": 0, "error": type(e).__name__})
