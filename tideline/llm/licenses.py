@@ -1,14 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates, and base phrases by place.
 
-A block is a line of a text, or a run of consecutive words across lines that is as long as the template divided by
-``threshold`` (notices are often wrapped); a template matches a block when the block holds at least ``threshold`` of
-the template's distinct words. The join is exact: every template word is ordered by its frequency over all
-documents (rarest first); a block that meets the threshold must hold one of the template's first
-n - needed + 1 words in that order (prefix filter), must have at least ``needed`` words of the joint
-vocabulary (length filter), and from the place of the first met word on both sides must still have ``needed``
-words left (positional filter). What passes is counted exactly. Words outside all templates can't add to an
-overlap, so blocks are projected on the templates' vocabulary, which is fixed and small, before ordering. Runs are
-only looked at around prefix words, and run by run only where the words around hold enough of the template.
+A block is a run of consecutive words, across lines too (notices are often wrapped), that is as long as the template
+divided by ``threshold``; nothing wider counts, however long a line is. A template matches a block when the block holds
+at least ``threshold`` of the template's distinct words, or all of them if it has fewer than ``WHOLE`` (one word less
+would be another licence). The join is exact: every template word is ordered by its frequency over all documents
+(rarest first); a block that meets the threshold must hold one of the template's first n - needed + 1 words in that
+order (prefix filter). The words around each such word are cut out and projected on the templates' vocabulary, which is
+fixed and small, in global order; they must hold at least ``needed`` of it (length filter), and from the place of the
+met word on both sides there must be ``needed`` words left (positional filter). What passes is counted exactly, run
+by run.
 
 Cases: null and empty texts have no words, places or labels and score 0; repeated rows each get their result;
 ties in frequency go by the word; null ids are kept; other columns are ignored.
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, words
+from tideline.llm.common import words
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -39,6 +39,8 @@ TEMPLATES = [
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license"),
 ]
 THRESHOLD = 0.8
+#: Templates of fewer distinct words must be held whole.
+WHOLE = 10
 
 
 def _texts(values) -> Column:
@@ -70,26 +72,24 @@ def word_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
 
 
-def _runs(rows: DataFrame, starts: Column, joined: DataFrame, longest: int) -> DataFrame:
-    """(doc_id, row, line, template, shared, n_template) of runs of words, in texts of several lines; line is null.
-
-    A run that meets the threshold holds a prefix word: the words around each are cut out, with its place among them.
-    """
-    several = rows.where(F.instr("text", "\n") > 0)
+def _runs(rows: DataFrame, order: list[str], starts: Column, joined: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, row, template, shared, n_template) of the runs around prefix words that meet a template."""
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(starts, F.get("w", i)))
     cut_out = F.transform(at, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(longest - 1)).alias("place"), F.slice("w", F.greatest(i - (longest - 2), F.lit(1)), 2 * longest - 1).alias("near")))
-    met = several.select("doc_id", "row", F.explode(cut_out).alias("c")).select("doc_id", "row", "c.*").join(joined, "word")
+    # array_intersect keeps the order of its first side: the words around come out in global order
+    around = rows.select("doc_id", "row", F.explode(cut_out).alias("c")).select("doc_id", "row", "c.*").withColumn("b", F.array_intersect(_texts(order), "near"))
+    met = around.join(joined, "word").withColumn("b_at", F.array_position("b", F.col("word")).cast("int") - 1)
+    met = met.where((F.size("b") >= F.col("needed")) & (F.least(F.size("b") - F.col("b_at"), F.col("n_template") - F.col("t_at") + 1) + F.least(F.col("b_at"), F.col("t_at") - 1) >= F.col("needed")))
     first = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0))
     met = met.where(F.size(F.array_intersect("own", F.slice("near", first + 1, 2 * F.col("length") - 1))) >= F.col("needed"))
     held = F.transform(F.sequence(first, F.col("place")), lambda i: F.size(F.array_intersect("own", F.slice("near", i + 1, F.col("length")))))
-    return met.select("doc_id", "row", F.lit(None).cast("int").alias("line"), "template", F.array_max(held).alias("shared"), "n_template", "needed").where("shared >= needed").drop("needed")
+    return met.select("doc_id", "row", "template", F.array_max(held).alias("shared"), "n_template", "needed").where("shared >= needed").drop("needed")
 
 
 def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
+    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates.
 
-    n_blocks is the number of distinct (line, template) matches; a template that only a run across lines holds counts
-    one. score is the largest containment of a template in a block, or 1 where a base phrase stands.
+    score is the largest containment of a template in a block, or 1 where a base phrase stands.
     """
     spark = documents.sparkSession
     order = word_order(documents, templates)
@@ -97,7 +97,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     sides, prefixes = [], []
     for label, text in templates:
         own = sorted(set(text.split()), key=rank.get)
-        needed = math.ceil(threshold * len(own) - 1e-9)
+        needed = math.ceil(threshold * len(own) - 1e-9) if len(own) >= WHOLE else len(own)
         sides.append((label, own, needed))
         length = math.ceil(len(text.split()) / threshold - 1e-9)
         prefixes += [(x, i + 1, label, len(own), needed, own, length) for i, x in enumerate(own[: len(own) - needed + 1])]
@@ -116,23 +116,12 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
         F.array_sort(F.array_distinct(F.transform("p", lambda x: x["label"]))).alias("base"),
     )
 
-    # blocks of documents that hold a prefix word, as words of the joint vocabulary in global order
-    lines = rows.where("may_match").select("doc_id", "row", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("line", "block"))
-    # array_intersect keeps the order of its first side: the block's words come out in global order
-    blocks = lines.select("doc_id", "row", "line", F.array_intersect(_texts(order), words(F.col("block"))).alias("b"))
-    blocks = blocks.where(F.size("b") > 0)
-    met = blocks.select("doc_id", "row", "line", "b", F.posexplode("b").alias("b_at", "word")).join(joined, "word")
-    met = met.where((F.size("b") >= F.col("needed")) & (F.least(F.size("b") - F.col("b_at"), F.col("n_template") - F.col("t_at") + 1) + F.least(F.col("b_at"), F.col("t_at") - 1) >= F.col("needed")))
-    sized = met.withColumn("shared", F.size(F.array_intersect("b", "own"))).where("shared >= needed")
-    sized = sized.select("doc_id", "row", "line", "template", "shared", "n_template").union(_runs(rows.where("may_match"), starts, joined, max(p[-1] for p in prefixes)))
-    found = sized.groupBy("doc_id", "row").agg(
-        F.collect_set("template").alias("templates"), F.max(F.col("shared") / F.col("n_template")).alias("best"),
-        (F.count_distinct("line", "template") + F.count_distinct("template") - F.count_distinct(F.when(F.col("line").isNotNull(), F.col("template")))).alias("n_blocks"),
-    )
-    found = found.select(F.col("doc_id").alias("f_doc"), F.col("row").alias("f_row"), "templates", "best", "n_blocks")
+    sized = _runs(rows.where("may_match"), order, starts, joined, max(p[-1] for p in prefixes))
+    found = sized.groupBy("doc_id", "row").agg(F.collect_set("template").alias("templates"), F.max(F.col("shared") / F.col("n_template")).alias("best"))
+    found = found.select(F.col("doc_id").alias("f_doc"), F.col("row").alias("f_row"), "templates", "best")
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("row") == F.col("f_row")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("templates", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.round(F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))), 6).alias("score"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
+        F.round(F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))), 6).alias("score"), F.coalesce(F.size("templates"), F.lit(0)).cast("long").alias("n_templates"),
     )
