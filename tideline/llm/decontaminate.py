@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Sets are the distinct five-word shingles of a text (words: see ``common.words``). A document leaks an item
-when it holds at least ``threshold`` of the item's shingles, wherever they stand.
+when it holds at least ``threshold`` of the item's shingles, wherever they stand. An item of one to four words is one
+shingle, its whole sequence, and leaks where that sequence stands.
 
 Index: each item is put into a size partition (powers of two of its shingle count) and keeps its bottom-k
 MinHash sketch, the k smallest shingle hashes. In a partition whose largest item has n shingles,
@@ -12,7 +13,7 @@ than the smallest qualifying overlap of a partition skips that partition.
 Search: the documents' shingle hashes meet the sketches (a few per item, broadcast if few enough, else a
 shuffled join). Verify: only documents with a candidate are read again, and shingles are compared as text.
 
-Cases: null or short texts (under five words) have no shingles and neither leak nor match; repeated rows count
+Cases: null, empty and wordless texts and items neither leak nor match; repeated rows count
 once; rows that share an id are judged each by its text and give the id's largest containment; null ids are
 kept; other columns are ignored; an empty table gives an empty result.
 """
@@ -27,14 +28,29 @@ from tideline.llm.common import cut, shingle_hashes, small, words
 K, THRESHOLD = 5, 0.8
 
 
-def _shingles(w):
-    return F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - (K - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", F.slice(w, i + 1, K))))
+def _shingles(w, sizes=(K,)):
+    """Distinct runs of words of each of the given lengths, as text."""
+    def run(k):
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", F.slice(w, i + 1, k)))
+
+    runs = [run(k) for k in sizes]
+    return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
+
+
+def _by_length(w, of):
+    """``of(k)`` for a text of k words, k at most K."""
+    out = of(K)
+    for k in range(1, K):
+        out = F.when(F.size(w) == k, of(k)).otherwise(out)
+    return out
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, n, needed, part, least, shingles, sketch) of each distinct item text with shingles."""
-    rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= K).distinct()
-    rows = rows.select("item_id", _shingles(F.col("w")).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), K))).alias("hashes"))
+    """(item, item_id, k, n, needed, part, least, shingles, sketch) of each distinct item text that has words; k: words in a shingle."""
+    w = F.col("w")
+    rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    hashes = _by_length(w, lambda k: F.array_sort(F.array_distinct(shingle_hashes(w, k))))
+    rows = rows.select("item_id", F.least(F.size("w"), F.lit(K)).alias("k"), _by_length(w, lambda k: _shingles(w, (k,))).alias("shingles"), hashes.alias("hashes"))
     rows = rows.withColumn("n", F.size("shingles")).withColumn("part", F.floor(F.log2(F.col("n"))).cast("int"))
     rows = rows.withColumn("needed", F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
     low, high = F.pow(F.lit(2), F.col("part")), F.pow(F.lit(2), F.col("part") + 1) - 1
@@ -47,16 +63,18 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     """(doc_id, item_id, shared, n_item, containment) of every document and item at or above ``threshold``."""
     docs = documents.select("doc_id", "text")
     index = cut(sketches(items, threshold))
-    probes = small(cut(index.select(F.explode("sketch").alias("h"), "item", "least").distinct()))
-    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= K)
-    hashed = hashed.select("doc_id", F.xxhash64("w").alias("row"), F.size("w").alias("n_words"), shingle_hashes(F.col("w"), K).alias("hs"))
+    sizes = sorted(r["k"] for r in index.select("k").distinct().collect()) or [K]  # K lengths at most
+    probes = small(cut(index.select(F.explode("sketch").alias("h"), "item", "k", "least").distinct()))
+    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= sizes[0])
+    hs = [shingle_hashes(F.col("w"), k) for k in sizes]
+    hashed = hashed.select("doc_id", F.xxhash64("w").alias("row"), F.size("w").alias("n_words"), (F.concat(*hs) if len(hs) > 1 else hs[0]).alias("hs"))
     # explode_outer: for explode, the optimizer would copy the whole expression into a filter
     met = hashed.select("doc_id", "row", "n_words", F.explode_outer("hs").alias("h")).join(probes, "h")
-    candidates = cut(met.where(F.col("n_words") - (K - 1) >= F.col("least")).select("doc_id", "row", "item").distinct())
+    candidates = cut(met.where(F.col("n_words") - F.col("k") + 1 >= F.col("least")).select("doc_id", "row", "item").distinct())
     wanted = small(cut(candidates.select("doc_id").distinct()))
     again = docs.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     held = again.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.xxhash64("w")).dropDuplicates(["doc_id", "row"])
-    held = held.select("doc_id", "row", F.explode_outer(_shingles(F.col("w"))).alias("shingle"))
+    held = held.select("doc_id", "row", F.explode_outer(_shingles(F.col("w"), sizes)).alias("shingle"))
     asked = small(cut(index.select("item", "item_id", "n", "needed", F.explode("shingles").alias("shingle"))))
     pairs = held.join(asked, "shingle").groupBy("doc_id", "row", "item", "item_id", "n", "needed").agg(F.count(F.lit(1)).alias("shared"))
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("row").alias("c_row"), F.col("item").alias("c_item"))
