@@ -5,7 +5,8 @@ those are out-of-fold predictions, so a later model learns from what an earlier
 Each link is an L2-regularised logistic regression over the presence of its most telling hashed features (words and
 word beginnings of four and five characters), chosen by chi-square on the same training rows.
 
-Fitting takes at most ``MAX_ROWS`` labelled rows, the first by a hash of doc_id (a bounded, documented sample); scoring
+Fitting takes at most ``MAX_ROWS`` labelled documents, the first by a hash of doc_id among those that are there (a
+bounded, documented sample); of rows that share an id the one with the smallest hash of its text trains. Scoring
 runs over every document in Arrow batches with the fitted weights, whose size is fixed.
 
 Cases: null and empty texts have no features and get the models' base rates; repeated rows get equal scores; labels
@@ -58,7 +59,7 @@ class Link:
         expected = total * pos / n
         chi = np.where(total >= 3, (seen[1] - expected) ** 2 / np.maximum(expected * (1 - total / n) * (1 - pos / n), 1e-9), 0)
         self.at = np.sort(np.argsort(-chi, kind="stable")[:KEPT])
-        x = np.hstack([np.stack([self._present(r) for r in rows]), earlier]).astype(np.float32)
+        x = np.hstack([_matrix(rows, self.at), earlier]).astype(np.float32)
         weight = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos))).astype(np.float32) / n
         w, b = np.zeros(x.shape[1]), 0.0
         move, size = np.zeros_like(w), 4.0 / (x.astype(float) ** 2).sum(1).mean().clip(1)
@@ -69,15 +70,25 @@ class Link:
             move, w, b = new - w, new, b - float(g.sum())
         self.w, self.b = w, b
 
-    def _present(self, row: np.ndarray) -> np.ndarray:
-        return np.isin(self.at, row, assume_unique=True).astype(np.float32)
-
-    def __call__(self, row: np.ndarray, earlier) -> float:
+    def predict(self, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
         k = len(self.at)
         if not k and not len(self.w):
-            return float(self.rate)
-        score = float(self.w[:k][np.isin(self.at, row, assume_unique=True)].sum()) if k else 0.0
-        return float(_sigmoid(score + float(np.dot(self.w[k:], earlier)) + self.b))
+            return np.full(len(rows), float(self.rate))
+        return _sigmoid(_matrix(rows, self.at) @ self.w[:k] + earlier @ self.w[k:] + self.b)
+
+    def __call__(self, row: np.ndarray, earlier) -> float:
+        return float(self.predict([row], np.asarray(earlier, float).reshape(1, -1))[0])
+
+
+def _matrix(rows: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Presence of the features ``at`` in each row."""
+    column = np.full(WIDTH, -1, np.int32)
+    column[at] = np.arange(len(at))
+    found = column[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
+    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    x = np.zeros((len(rows), len(at)))
+    x[own[found >= 0], found[found >= 0]] = 1
+    return x
 
 
 class Chain:
@@ -90,19 +101,22 @@ class Chain:
             for f in range(FOLDS):
                 train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
                 link = Link([rows[i] for i in train], earlier[train], y[train])
-                for i in test:
-                    out[i] = link(rows[i], earlier[i])
+                out[test] = link.predict([rows[i] for i in test], earlier[test])
             self.links.append(Link(rows, earlier, y))
             self.cuts.append(best_cut(out, y))
             earlier = np.hstack([earlier, out[:, None]])
         self.out_of_fold = earlier
 
-    def __call__(self, row: np.ndarray) -> list[float]:
-        out: list[float] = []
+    def predict(self, rows: list[np.ndarray]) -> np.ndarray:
+        """A column of probabilities for each link, in order."""
+        out = np.zeros((len(rows), 0))
         for link in self.links:
-            out.append(link(row, np.array(out)))
+            out = np.hstack([out, link.predict(rows, out)[:, None]])
         return out
 
+    def __call__(self, row: np.ndarray) -> list[float]:
+        return self.predict([row])[0].tolist()
+
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold with the best F1 on out-of-fold predictions, in the middle of the gap it falls in."""
@@ -119,15 +133,18 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 def fit(documents: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = MAX_ROWS) -> Chain:
     """Fit on labelled documents: ``labels`` has doc_id and a 0/1 column for each category."""
     known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in categories])
+    known = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.withColumnRenamed("doc_id", "__doc").orderBy(F.xxhash64("__doc"), "__doc").limit(max_rows)
-    joined = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__doc"))
+    joined = documents.select("doc_id", "text", F.xxhash64("text").alias("row")).join(F.broadcast(known), F.col("doc_id") == F.col("__doc"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "found": [features(t).tobytes() for t in part["text"]], **{f"y{i}": part[c] for i, c in enumerate(categories)}})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "found": [features(t).tobytes() for t in part["text"]], **{f"y{i}": part[c] for i, c in enumerate(categories)}})
 
-    got = joined.select("doc_id", "text", *categories).mapInPandas(run, "doc_id long, found binary, " + ", ".join(f"y{i} int" for i in range(len(categories))))
-    frame = got.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # at most max_rows feature lists
+    ys = [f"y{i}" for i in range(len(categories))]
+    got = joined.select("doc_id", "row", "text", *categories).mapInPandas(run, "doc_id long, row long, found binary, " + ", ".join(f"{y} int" for y in ys))
+    got = got.groupBy("doc_id").agg(F.min_by(F.struct("found", *ys), "row").alias("r")).select("doc_id", "r.*")
+    frame = got.toPandas().sort_values("doc_id")  # at most max_rows feature lists
     rows = [np.frombuffer(x, np.int32) for x in frame["found"]]
     y = frame[[f"y{i}" for i in range(len(categories))]].to_numpy(np.int64).reshape(len(rows), len(categories))
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in frame["doc_id"]], np.int64)
@@ -139,7 +156,10 @@ def with_scores(documents: DataFrame, chain: Chain) -> DataFrame:
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([chain(features(t)) for t in part])
+            out = []
+            for at in range(0, len(part), 256):
+                out += chain.predict([features(t) for t in part.iloc[at : at + 256]]).tolist()
+            yield pd.Series(out)
 
     return documents.withColumn("__p", F.pandas_udf(run, "array<double>")("text"))
 
