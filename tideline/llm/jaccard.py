@@ -44,7 +44,9 @@ from pyspark.sql.window import Window
 
 from tideline.llm.common import attach, cut, discard, small
 
-GROUPS, LEAF, NODE, CHUNK = 64, 256, 16, 1 << 20
+GROUPS, LEAF, NODE, CHUNK = 512, 256, 16, 1 << 20
+#: Items of leaves that are unpacked at once.
+UNPACKED = 4096
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -407,9 +409,8 @@ class Join:
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 a, b = [], []
-                left = list(_leaves(part.column(sides[0])))
-                right = left if same else list(_leaves(part.column(sides[1])))
-                for x, y in zip(left, right, strict=True):
+                left = _leaves(part.column(sides[0]))
+                for x, y in ((x, x) for x in left) if same else zip(left, _leaves(part.column(sides[1])), strict=True):
                     i, j = self.open_pairs(x, y)
                     a.append(np.minimum(x["id"][i], y["id"][j]))
                     b.append(np.maximum(x["id"][i], y["id"][j]))
@@ -465,12 +466,17 @@ class Join:
 
 
 def _leaves(column: pa.Array) -> Iterator[dict]:
-    """id, label, n and point of each row's list of items, as arrays."""
+    """id, label, n and point of each row's list of items, as arrays; a few lists are unpacked at once."""
     at = column.offsets.to_numpy() - column.offsets.to_numpy()[0] if len(column) else np.zeros(1, np.int64)
-    items = column.flatten()
-    whole = {c: items.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "n")} | {"point": unpack_points(items.field("point"))}
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield {c: v[lo:hi] for c, v in whole.items()}
+    items, lo = column.flatten(), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + UNPACKED, side="right")) - 1)
+        some = items.slice(at[lo], at[hi] - at[lo])
+        ids, labels, n, points = some.flatten()
+        whole = {"id": ids.to_numpy(), "label": labels.to_numpy(), "n": n.to_numpy(), "point": unpack_points(points)}
+        for i in range(lo, hi):
+            yield {c: v[at[i] - at[lo] : at[i + 1] - at[lo]] for c, v in whole.items()}
+        lo = hi
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
