@@ -48,9 +48,9 @@ def docs_of(spark, data):
 
 
 def brute_leaks(docs, items):
-    s = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    its = [(i, s(words(t))) for i, t in items]
-    return {(d, i, len(x & y), len(y)) for d, t in docs for x in [s(words(t))] for i, y in its if y and len(x & y) >= 0.8 * len(y) - 1e-9}
+    s = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    its = [(i, min(5, len(words(t))), s(words(t), min(5, len(words(t))))) for i, t in items if words(t)]
+    return {(d, i, len(x & y), len(y)) for d, t in docs for w in [words(t)] for i, k, y in its for x in [s(w, k)] if len(x & y) >= 0.8 * len(y) - 1e-9}
 
 
 def test_leaks_equal_brute_force(spark, data):
@@ -58,19 +58,21 @@ def test_leaks_equal_brute_force(spark, data):
     docs = docs_of(spark, data)
     parts = docs.limit(30).select((F.col("doc_id") + 10_000).alias("item_id"), F.expr("array_join(slice(split(text, ' '), 5, 20), ' ')").alias("text"))
     # near items: the first words changed, so that about 0.8 of the shingles stay
-    both = items.unionByName(parts.withColumn("text", F.concat(F.lit("changed words here "), "text"))).cache()
+    near = parts.withColumn("text", F.concat(F.lit("changed words here "), "text"))
+    short = docs.limit(12).select((F.col("doc_id") + 20_000).alias("item_id"), F.expr("array_join(slice(split(text, ' '), 7, cast(doc_id % 4 + 1 as int)), ' ')").alias("text"))
+    both = items.unionByName(near).unionByName(short).cache()
     want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in both.collect()])
     got = {(r.doc_id, r.item_id, r.shared, r.n_item) for r in decontaminate.leaks(docs, both).collect()}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 20 and {len(words(r.text)) for r in both.collect() if r.item_id in {w[1] for w in want}} >= {1, 2, 3, 4}
     clean = decontaminate.clean(docs, both)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {w[0] for w in want} and clean.columns == docs.columns
 
 
 def test_leaks_odd_rows(spark, odd, none):
-    items = spark.createDataFrame([(1, None), (2, "a b c"), (3, " ".join(f"w{i}" for i in range(100, 130))), (3, "w9 w9 w9 w9 w9 w9"), (None, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()} == {(5, 3), (6, 3), (5, None), (6, None)}
+    items = spark.createDataFrame([(1, None), (2, "a b c"), (4, "Two"), (7, "three four"), (8, " \u2028 "), (9, "one two three"), (3, " ".join(f"w{i}" for i in range(100, 130))), (3, "w9 w9 w9 w9 w9 w9"), (None, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()} == {(5, 3), (6, 3), (5, None), (6, None), (4, 4), (4, 9), (9, 8)}
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.where("item_id < 0")).count() == 0
-    assert decontaminate.clean(odd, items).count() == len(ODD) - 3
+    assert decontaminate.clean(odd, items).count() == len(ODD) - 5
 
 
 # ---- 2
@@ -82,13 +84,12 @@ def brute_scan(text):
         p = p.split()
         places += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     labels, best = {x for _, x in places}, 0.0
-    for line in (text or "").split("\n"):
-        b = set(words(line))
-        for name, t in licenses.TEMPLATES:
-            t = set(t.split())
-            if len(t & b) >= math.ceil(0.8 * len(t) - 1e-9):
-                labels.add(name)
-                best = max(best, len(t & b) / len(t))
+    for name, t in licenses.TEMPLATES:
+        n, t = math.ceil(len(t.split()) / 0.8 - 1e-9), set(t.split())
+        most = max(len(t & set(w[i : i + n])) for i in range(max(len(w) - n + 1, 1)))
+        if most >= (math.ceil(0.8 * len(t) - 1e-9) if len(t) >= 10 else len(t)):
+            labels.add(name)
+            best = max(best, most / len(t))
     at = [i for i, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), 1.0 if at else round(best, 6)
 
@@ -103,16 +104,6 @@ def test_licenses_equal_brute_force(spark, data, odd, none):
 
 
 def test_licenses_wrapped_over_lines(spark, data):
-    def with_runs(text):
-        w, labels, best = words(text), set(brute_scan(text)[5].split(",")) - {""}, brute_scan(text)[6]
-        for name, t in licenses.TEMPLATES:
-            n, t = math.ceil(len(t.split()) / 0.8 - 1e-9), set(t.split())
-            most = max(len(t & set(w[i : i + n])) for i in range(max(len(w), 1)))
-            if most >= math.ceil(0.8 * len(t) - 1e-9):
-                labels.add(name)
-                best = max(best, round(most / len(t), 6))
-        return ",".join(sorted(labels)), best
-
     rng, texts = np.random.default_rng(1), []
     for _, t in licenses.TEMPLATES:
         texts += ["\n".join(f"{mark}{x}" for x in textwrap.wrap(f"Some words. {t} and more words.", 40)) for mark in ("", "# ", " * ")]
@@ -122,13 +113,20 @@ def test_licenses_wrapped_over_lines(spark, data):
                 w.insert(int(rng.integers(0, len(w) + 1)), "filler")
             texts.append("\n".join(textwrap.wrap("filler " * int(rng.integers(0, 90)) + " ".join(w) + " filler" * int(rng.integers(0, 90)), 30)))
     docs = docs_of(spark, data).unionByName(spark.createDataFrame([(50_000 + i, t, "en", "x", 1) for i, t in enumerate(texts)], DOC))
-    want = {r.doc_id: with_runs(r.text or "") for r in docs.collect()}
+    want = {r.doc_id: brute_scan(r.text)[5:] for r in docs.collect()}
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
     assert got == want
     for i, (name, _) in enumerate(licenses.TEMPLATES):
         assert all(name in got[50_000 + 9 * i + j][0].split(",") for j in range(3))
 
 
+def test_prose_has_no_label(spark):
+    prose = "yesterday the committee released a long report under which the new license fee for the use of this file is not to be paid by any person except in compliance with the terms of the law"
+    rows = [(1, prose), (2, f"{prose} " * 50), (3, "released under the new license"), (4, "licensed under cc by"), (5, f"{prose} released under the mit license")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("cc-by", 1.0), 5: ("mit,mit-short", 1.0)}
+
+
 # ---- 3
 
 
@@ -324,18 +322,21 @@ def test_urls_without_rules(spark):
 # ---- 7
 
 
-@pytest.mark.parametrize("n", [0, 1, 10, 700, 5000])
+@pytest.mark.parametrize("n", [0, 1, 10, 700, 4800, 48_000])
 def test_codecs_round_trip(n):
     rng = np.random.default_rng(n)
     for data in (bytes(n), rng.integers(0, 256, n, np.uint8).tobytes(), rng.integers(97, 100, n, np.uint8).tobytes(), (b"abcabcabd" * n)[: 40 * n]):
         for kind in tiff.ENCODE:
-            assert tiff.DECODE[kind](tiff.ENCODE[kind](data)) == data
+            for width in {1, 96, 200} if len(data) % 9600 == 0 else {1}:
+                part = np.frombuffer(data, np.uint8).reshape(-1, width)
+                assert tiff.DECODE[kind](tiff.ENCODE[kind](part)) == data
 
 
 def test_known_codes():
     # examples of the format's specification
     assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
     codes = tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]))
+    assert tiff.lzw_decode(codes) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
     bits = "".join(f"{b:08b}" for b in codes)
     assert [int(bits[i : i + 9], 2) for i in range(0, 81, 9)] == [256, 7, 258, 8, 8, 258, 6, 6, 257]
 
@@ -366,11 +367,22 @@ def test_tiff_query_reads_back(spark, data, odd, none):
         for r in got:
             by[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
         assert all(len(x) == 1 for x in by.values())
-    assert {("5.1.s" in r.feature, "32773.1.s" in r.feature, "8.2.t" in r.feature) for r in got} | {("8.2.t" in f,) for x in by.values() for _, _, f in x}
     assert tiff.to_tiff(none).count() == 0
-    broken = spark.createDataFrame([(1, 0, b"II*\0junk"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
-    assert {(r.doc_id, r.page) for r in tiff.tiff_pages(broken).collect()} == {(1, -1), (2, -1)}
-    assert tiff.digest_pages(tiff.tiff_pages(broken)).count() == 2
+    broken = spark.createDataFrame([(1, 0, b"II*\0junk"), (2, 0, None), (3, 0, b"II*\0\0\0\0\0")], "doc_id long, n_bytes long, media binary")
+    assert {(r.doc_id, r.page) for r in tiff.tiff_pages(broken).collect()} == {(1, -1), (2, -1), (3, -1)}
+    assert tiff.digest_pages(tiff.tiff_pages(broken)).count() == 3
+
+
+def test_every_codec_meets_texts_of_every_length():
+    rng, met = np.random.default_rng(5), collections.defaultdict(set)
+    for blocks in (1, 2, 3, 40, 200):
+        for _ in range(80):
+            payload = rng.integers(97, 110, 576 * blocks, np.uint8).tobytes()
+            pages = list(tiff.read_pages(tiff.write_tiff(payload)))
+            assert b"".join(p["pixels"] for p in pages) == payload and len(pages) == -(-576 * blocks // (96 * 192))
+            met[blocks].add((pages[0]["compression"], pages[0]["predictor"], pages[0]["tiled"]))
+    full = {(c, p, t) for c in (5, 8, 32773) for p in (1, 2) for t in (False, True) if c != 32773 or p == 1}
+    assert all(kinds == full for kinds in met.values())
 
 
 # ---- 8
@@ -397,6 +409,50 @@ def test_chain_feeds_earlier_probabilities():
     assert np.mean([(chain(r)[1] >= chain.cuts[1]) == bool(t) for r, t in zip(rows, y[:, 1], strict=True)]) > 0.99
 
 
+def test_chain_equals_its_definition(spark, data):
+    """Out-of-fold inputs, the links fitted on them and the scores of the query, each recomputed link by link."""
+    docs, labels = docs_of(spark, data), queries.labels_of(spark, data)
+    chain = toxicity.fit(docs, labels, queries.CATEGORIES)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: (r.low_quality, r.toxic) for r in labels.collect() if r.doc_id in text}
+    ids = sorted(y)
+    rows, folds = [toxicity.features(text[i]) for i in ids], np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS for i in ids])
+    earlier = np.zeros((len(ids), 0))
+    for c in range(2):
+        out, target = np.zeros(len(ids)), np.array([y[i][c] for i in ids])
+        for f in range(toxicity.FOLDS):
+            train = [i for i in range(len(ids)) if folds[i] != f]
+            link = toxicity.Link([rows[i] for i in train], earlier[train], target[train])
+            out[folds == f] = [link(rows[i], earlier[i]) for i in np.flatnonzero(folds == f)]
+        assert chain.out_of_fold[:, c] == pytest.approx(out, abs=1e-5)
+        whole = toxicity.Link(rows, earlier, target)
+        assert chain.links[c].at.tolist() == whole.at.tolist() and chain.links[c].w == pytest.approx(whole.w, abs=1e-4)
+        earlier = np.hstack([earlier, chain.out_of_fold[:, c : c + 1]])
+
+    def by_hand(t):
+        found, p = set(toxicity.features(t).tolist()), []
+        for link in chain.links:
+            k = len(link.at)
+            if not len(link.w):
+                p.append(link.rate)
+                continue
+            z = link.b + sum(w for a, w in zip(link.at, link.w, strict=False) if a in found) + sum(w * q for w, q in zip(link.w[k:], p, strict=True))
+            p.append(1 / (1 + math.exp(-z)))
+        return p
+
+    for r in toxicity.score(docs, labels, queries.CATEGORIES).collect():
+        p = by_hand(text[r.doc_id])
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(p, abs=1e-4) and r.toxic == (p[1] >= chain.cuts[1])
+
+
+def test_toxicity_sample(spark):
+    """Labels of absent documents take no place in the sample; of rows that share an id one is fixed by its text's hash."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} text {i}") for i in range(40)] + [(3, "another text of this id")] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)] + [(1000 + i, 0, 1) for i in range(500)], "doc_id long, low_quality int, toxic int")
+    chains = [toxicity.fit(d, labels, queries.CATEGORIES, max_rows=30) for d in (docs, docs.orderBy(F.desc("doc_id"), "text"))]
+    assert len(chains[0].out_of_fold) == 30 and chains[0].links[1].w.tolist() == chains[1].links[1].w.tolist()
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(2, 0, 0), (4, 1, 1), (5, 0, 0), (77, 1, 1), (8, None, 1), (None, 1, 1)], "doc_id long, low_quality int, toxic int")
     assert toxicity.score(odd, labels, queries.CATEGORIES).count() == len(ODD) and toxicity.score(none, labels, queries.CATEGORIES).count() == 0

@@ -4,7 +4,7 @@ Not expressible: op4 and op6 deal rows by a 64-bit hash that SQL lacks, op5's cu
 media format, op8 is a fitted model. Those are tested against brute force, round trips and held-out labels.
 """
 
-from tideline.llm.licenses import PHRASES, TEMPLATES
+from tideline.llm.licenses import PHRASES, TEMPLATES, WHOLE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,10 +14,10 @@ def _words(text: str) -> str:
 
 
 OP1 = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
-its AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
+its AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM its) AS sizes)),
 n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id)
-SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item, round(count(*) / any_value(n_item), 6) AS containment FROM ds JOIN its USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n_item) - 1e-9"""
+SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item, round(count(*) / any_value(n_item), 6) AS containment FROM ds JOIN its USING (s, k) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n_item) - 1e-9"""
 
 
 def _phrase(p: str) -> str:
@@ -26,13 +26,13 @@ def _phrase(p: str) -> str:
 
 _PLACES = " UNION ALL ".join(f"SELECT doc_id, p - 1 AS place, '{label}' AS label FROM wp WHERE {_phrase(p)}" for p, label in PHRASES.items())
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
-OP2 = f"""WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents), wp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), pl AS ({_PLACES}),
+OP2 = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), wp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), pl AS ({_PLACES}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM pl GROUP BY doc_id),
-t AS (SELECT name, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_TEMPLATES}) v(name, words)), l AS (SELECT doc_id, i, {_words('line')} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
-m AS (SELECT doc_id, i, name, len(list_intersect(t, w)) / len(t) AS c FROM l, t WHERE len(list_intersect(t, w)) >= ceil(0.8::DOUBLE * len(t) - 1e-9)),
-f AS (SELECT doc_id, list(DISTINCT name) AS names, max(c) AS best, count(DISTINCT (i, name)) AS n_blocks FROM m GROUP BY doc_id)
+t AS (SELECT name, t, n, CASE WHEN len(t) >= {WHOLE} THEN ceil(0.8::DOUBLE * len(t) - 1e-9) ELSE len(t) END AS need FROM (SELECT name, list_distinct(string_split(words, ' ')) AS t, ceil(len(string_split(words, ' ')) / 0.8::DOUBLE - 1e-9)::BIGINT AS n FROM (VALUES {_TEMPLATES}) v(name, words))),
+m AS (SELECT doc_id, name, list_max([len(list_intersect(t, w[p:p + n - 1])) FOR p IN range(1, greatest(len(w) - n + 2, 2))]) AS c, len(t) AS k, need FROM d, t WHERE len(list_intersect(t, w)) >= need),
+f AS (SELECT doc_id, list(DISTINCT name) AS names, max(c / k) AS best, count(DISTINCT name) AS n_templates FROM m WHERE c >= need GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(names, [])))), ',') AS labels,
- round(CASE WHEN coalesce(n_base, 0) > 0 THEN 1 ELSE coalesce(best, 0) END, 6)::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""
+ round(CASE WHEN coalesce(n_base, 0) > 0 THEN 1 ELSE coalesce(best, 0) END, 6)::DOUBLE AS score, coalesce(n_templates, 0) AS n_templates FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""
 
 OP3 = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, p - 1 AS p, l[p] AS a, l[p + 1] AS b, l[p + 2] AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d)),
 k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM w WHERE trim(a || b || c, ' ') <> ''), g AS (SELECT DISTINCT doc_id, p + o AS i FROM k, range(3) r(o) WHERE n > 1),
