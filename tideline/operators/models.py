@@ -7,9 +7,17 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.functions.resample import uniform
 from tideline.operators.stats import auc
+from tideline.sources.scan import written
+
+
+def stratified_folds(df: DataFrame, item: str, label: str, folds: int, seed: int = 0) -> DataFrame:
+    """Adds fold: within a class, rows go to folds in turn in the order of a hash, so classes are spread evenly."""
+    turn = F.row_number().over(Window.partitionBy(label).orderBy(uniform(seed, F.lit(0), item, "fold"), item)) - 1
+    return df.withColumn("fold", (turn % folds).cast("int"))
 
 
 def _out_of_fold(df: DataFrame, item: str, label: str, features: list[str], folds: int) -> DataFrame:
@@ -19,23 +27,27 @@ def _out_of_fold(df: DataFrame, item: str, label: str, features: list[str], fold
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(train)
         model = LogisticRegression(featuresCol="__x", labelCol=label, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__z", maxIter=50, regParam=1e-3).fit(scale.transform(train))
-        part = model.transform(scale.transform(test)).select(item, label, vector_to_array("__p")[1].alias("score"))
+        part = model.transform(scale.transform(test)).select(item, "fold", label, vector_to_array("__p")[1].alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def incremental_auc(df: DataFrame, item: str, label: str, base: list[str], extra: list[str], folds: int = 5, seed: int = 0, least: int = 3) -> DataFrame:
-    """Out-of-fold AUC of the base features and of base plus extra on the same complete rows; hash folds.
+    """Mean and population deviation over folds of the held-out AUC, for the base features and for base plus extra.
 
-    Folds are stratified: within a class, rows go to folds in turn by the order of a hash. Fewer than ``least`` rows of
-    a class give nulls.
+    Both see the same complete rows and stratified folds: as many as ``folds`` and the smaller class allow. Fewer than
+    ``least`` rows of a class give nulls. n is the number of complete rows, n_class that of the smaller class.
     """
-    full = df.dropna(subset=[*base, *extra, label]).withColumn("fold", F.floor(uniform(seed, F.lit(0), item, "fold") * folds).cast("int")).cache()
+    full = written(df.dropna(subset=[*base, *extra, label]))
     counts = {r[label]: r["n"] for r in full.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    if len(counts) < 2 or min(counts.values()) < least:
-        return full.sparkSession.createDataFrame([("base", None, None), ("full", None, None)], "model string, auc double, n long")
-    out = None
+    fewest = min(counts.values()) if len(counts) == 2 else 0
+    n = sum(counts.values())
+    if fewest < least:
+        none = [(m, None, None, n, fewest) for m in ("base", "full")]
+        return full.sparkSession.createDataFrame(none, "model string, auc double, auc_sd double, n long, n_class long")
+    folds = min(folds, fewest)
+    dealt, out = written(stratified_folds(full, item, label, folds, seed)), None
     for name, features in (("base", base), ("full", [*base, *extra])):
-        a = auc(_out_of_fold(full, item, label, features, folds).withColumn("model", F.lit(name)), ["model"], "score", label)
+        a = auc(_out_of_fold(dealt, item, label, features, folds).withColumn("model", F.lit(name)), ["model", "fold"], "score", label)
         out = a if out is None else out.unionByName(a)
-    return out
+    return out.groupBy("model").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"), F.lit(n).cast("long").alias("n"), F.lit(fewest).cast("long").alias("n_class"))
