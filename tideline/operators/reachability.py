@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.operators.joins import neighbours
-from tideline.operators.sequences import super_windows
+from tideline.operators.sequences import growth_ratio, hysteresis, return_time, rolling_stability, split_half, super_windows
+from tideline.sources.scan import written
 
 EPS = 1e-12
 
@@ -36,12 +38,59 @@ def moments(tr: DataFrame, by: list[str], axes: list[str], extra: list[str] | No
     return out if extra else out.where(F.col("n") >= len(axes) + 1)
 
 
-def _stack(part: pd.DataFrame, d: int):
-    part = part.reset_index(drop=True)
-    n = part["n"].to_numpy(float)
-    vec = lambda c: np.array(part[c].tolist(), float).reshape(len(part), d)
-    mat = lambda c: np.array(part[c].tolist(), float).reshape(len(part), d, d)
-    return part, n, vec("sx"), vec("sy"), mat("xx"), mat("xy"), mat("yy")
+ALPHAS, FOLDS = (1e-4, 1e-3, 1e-2, 1e-1), 5
+
+
+def fold_moments(tr: DataFrame, by: list[str], axes: list[str], folds: int = FOLDS) -> DataFrame:
+    """(by, window, center, n, cells): moment sums of each contiguous fold of a window's transitions.
+
+    Folds are as even as they can be, the larger ones first; cells holds (fold, n, x, y, xx, xy, yy) of each fold, one
+    after another, which is bounded by ``folds``. Windows with d + 1 transitions or more.
+    """
+    keys = [*by, "window", "center"]
+    w = Window.partitionBy(*keys)
+    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("source")) - 1
+    t = tr.withColumns({"__n": n, "__i": i}).withColumns({"__q": F.floor(F.col("__n") / folds), "__r": F.col("__n") % folds})
+    head = F.col("__r") * (F.col("__q") + 1)
+    fold = F.when(F.col("__i") < head, F.floor(F.col("__i") / (F.col("__q") + 1))).otherwise(F.floor((F.col("__i") - head) / F.greatest("__q", F.lit(1))) + F.col("__r"))
+    per = moments(t.withColumn("fold", fold.cast("int")), by, axes, ["fold"])
+    cell = F.concat(F.array(F.col("fold").cast("double"), F.col("n").cast("double")), "sx", "sy", "xx", "xy", "yy")
+    rows = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fold", cell.alias("c")))), lambda s: s["c"])).alias("cells"))
+    return rows.where(F.col("n") >= len(axes) + 1)
+
+
+def _cells(part: pd.DataFrame, d: int, folds: int = FOLDS):
+    """Stacked sums (windows, folds, ...): n, x, y, xx, xy, yy."""
+    length = 2 + 2 * d + 3 * d * d
+    flat = np.concatenate([np.asarray(c, float) for c in part["cells"]]).reshape(-1, length)
+    owner = np.repeat(np.arange(len(part)), [len(c) // length for c in part["cells"]])
+    s = np.zeros((len(part), folds, length - 1))
+    s[owner, flat[:, 0].astype(int)] = flat[:, 1:]
+    at = np.cumsum([0, 1, d, d, d * d, d * d, d * d])
+    n, *rest = [s[..., a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [n[..., 0], *[x.reshape(*x.shape[:2], *((d, d) if x.shape[-1] == d * d and i >= 2 else (d,))) for i, x in enumerate(rest)]]
+
+
+def _chosen_alpha(cells, alphas=ALPHAS) -> tuple[np.ndarray, np.ndarray]:
+    """The alpha with the best mean R2 over held-out folds, and that R2; the first one where a fold has under two rows."""
+    folds = cells[0].shape[1]
+    own = [c.reshape(-1, *c.shape[2:]) for c in cells]
+    rest = [(c.sum(1, keepdims=True) - c).reshape(-1, *c.shape[2:]) for c in cells]
+    n, sx, sy, xx, xy, yy = own
+    total = np.einsum("wii->wi", yy) - sy**2 / np.maximum(n, 1)[:, None]
+    scores = []
+    for alpha in alphas:
+        safe = np.maximum(rest[0], 1)
+        a, b, *_ = _ridge(safe, *rest[1:], np.full(len(n), alpha))
+        # squared error of the held-out fold from its own sums
+        err = np.einsum("wii->wi", yy) - 2 * np.einsum("wij,wji->wi", a, xy) - 2 * b * sy + np.einsum("wij,wjk,wik->wi", a, xx, a) + 2 * b * np.einsum("wij,wj->wi", a, sx) + n[:, None] * b**2
+        flat = total <= 1e-12 * np.maximum(np.einsum("wii->wi", yy), 1e-300)
+        r2 = np.where(flat, np.where(err <= 1e-12, 1.0, 0.0), 1 - err / np.where(flat, 1, total))
+        scores.append(r2.mean(1).reshape(-1, folds).mean(1))
+    scores = np.stack(scores, 1)
+    few = cells[0].min(1) < 2
+    best = np.where(few, 0, scores.argmax(1))
+    return np.asarray(alphas)[best], np.where(few, np.nan, scores[np.arange(len(best)), best])
 
 
 def _ridge(n, sx, sy, xx, xy, yy, alpha):
@@ -59,9 +108,10 @@ def _residual_scatter(a, cxx, cxy, cyy):
     return cyy - ay - ay.transpose(0, 2, 1) + a @ cxx @ a.transpose(0, 2, 1)
 
 
-def local_models(m: DataFrame, by: list[str], by_types: str, d: int, alpha: float = 1e-3, covariance: str = "empirical", jitter: float = 1e-8) -> DataFrame:
-    """A (d*d), b (d), q (d*d, residual covariance) and r2 (mean over outputs) of every window.
+def local_models(cells: DataFrame, by: list[str], by_types: str, d: int, covariance: str = "empirical", jitter: float = 1e-8, alphas=ALPHAS) -> DataFrame:
+    """N, alpha (chosen by the folds), a (d*d), b (d), q (d*d, residual covariance) and r2 of every window.
 
+    ``cells`` is what ``fold_moments`` gives; r2 is one minus all squared residuals over all squared deviations.
     ``covariance``: "empirical" (ddof 1, + jitter I) or "oas" (shrunk towards the mean variance; both follow from the
     moment sums).
     """
@@ -69,8 +119,12 @@ def local_models(m: DataFrame, by: list[str], by_types: str, d: int, alpha: floa
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part, n, *sums = _stack(part, d)
-            a, b, cxx, cxy, cyy = _ridge(n, *sums, np.full(len(part), alpha))
+            if not len(part):
+                continue
+            stack = _cells(part, d)
+            alpha, _ = _chosen_alpha(stack, alphas)
+            n, *sums = [c.sum(1) for c in stack]
+            a, b, cxx, cxy, cyy = _ridge(n, *sums, alpha)
             res = _residual_scatter(a, cxx, cxy, cyy)
             if covariance == "oas":
                 emp = res / n[:, None, None]
@@ -80,44 +134,24 @@ def local_models(m: DataFrame, by: list[str], by_types: str, d: int, alpha: floa
             else:
                 q = res / np.maximum(n - 1, 1)[:, None, None]
             q = q + jitter * np.eye(d)
-            dia = lambda s: np.diagonal(s, axis1=1, axis2=2)
-            r2 = (1 - dia(res) / np.maximum(dia(cyy), 1e-300)).mean(1)
-            yield part[keys].assign(n=n.astype(int), a=list(a.reshape(len(part), -1)), b=list(b), q=list(q.reshape(len(part), -1)), r2=r2)
-
-    return m.mapInPandas(run, f"{by_types}, window long, center long, n long, a array<double>, b array<double>, q array<double>, r2 double")
+            r2 = 1 - np.trace(res, axis1=1, axis2=2) / (np.trace(cyy, axis1=1, axis2=2) + 1e-10)
+            yield part[keys].assign(n=n.astype(int), alpha=alpha, a=list(a.reshape(len(part), -1)), b=list(b), q=list(q.reshape(len(part), -1)), r2=r2)
 
+    return cells.mapInPandas(run, f"{by_types}, window long, center long, n long, alpha double, a array<double>, b array<double>, q array<double>, r2 double")
 
-def choose_alpha(tr: DataFrame, by: list[str], by_types: str, axes: list[str], alphas=(1e-4, 1e-3, 1e-2, 1e-1), folds: int = 5) -> DataFrame:
-    """Per window the alpha with the best mean R2 over contiguous folds, from fold-wise moment sums."""
-    from pyspark.sql.window import Window
 
-    keys, d = [*by, "window", "center"], len(axes)
-    w = Window.partitionBy(*keys)
-    t = tr.withColumn("fold", F.floor((F.row_number().over(w.orderBy("source")) - 1) * folds / F.count(F.lit(1)).over(w)).cast("int"))
-    per = moments(t, by, axes, ["fold"])
-    cell = F.struct("fold", "n", "sx", "sy", "xx", "xy", "yy")
-    rows = per.groupBy(*keys).agg(F.collect_list(cell).alias("folds"))  # at most ``folds`` cells
+def choose_alpha(cells: DataFrame, by: list[str], by_types: str, d: int, alphas=ALPHAS) -> DataFrame:
+    """Per window the alpha that its folds choose, and its mean held-out R2 (null where folds are too small)."""
+    keys = [*by, "window", "center"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                f = pd.DataFrame([dict(c) if isinstance(c, dict) else c.asDict() for c in row["folds"]]).sort_values("fold")
-                _, n, *sums = _stack(f, d)
-                total = [np.asarray(s).sum(0, keepdims=True) - s for s in (n, *sums)]
-                best = (-np.inf, alphas[0])
-                for alpha in alphas:
-                    a, b, *_ = _ridge(*total, np.full(len(f), alpha))
-                    sx, sy, xx, xy, yy = sums
-                    # squared error of the held-out fold from its own sums
-                    err = np.einsum("wii->wi", yy) - 2 * np.einsum("wij,wji->wi", a, xy) - 2 * b * sy + np.einsum("wij,wjk,wik->wi", a, xx, a) + 2 * b * np.einsum("wij,wj->wi", a, sx) + n[:, None] * b**2
-                    tot = np.einsum("wii->wi", yy) - sy**2 / n[:, None]
-                    score = float((1 - err / np.maximum(tot, 1e-300)).mean())
-                    best = max(best, (score, alpha), key=lambda x: x[0])
-                out.append({k: row[k] for k in keys} | {"alpha": best[1], "cv_r2": best[0]})
-            yield pd.DataFrame(out, columns=[*keys, "alpha", "cv_r2"])
-
-    return rows.mapInPandas(run, f"{by_types}, window long, center long, alpha double, cv_r2 double")
+            if len(part):
+                alpha, score = _chosen_alpha(_cells(part, d), alphas)
+                yield part[keys].assign(alpha=alpha, cv_r2=score)
+
+    out = cells.mapInPandas(run, f"{by_types}, window long, center long, alpha double, cv_r2 double")
+    return out.withColumn("cv_r2", F.nanvl("cv_r2", F.lit(None).cast("double")))
 
 
 CONE = ["log_det", "kappa", "log_eig_var", "d_eff", "dir_entropy", "dir_entropy_norm", "q_ratio"]
@@ -183,13 +217,41 @@ def prediction_error(df: DataFrame, models: DataFrame, by: list[str], axes: list
     return out.groupBy(*by).pivot("h", list(range(1, horizon + 1))).agg(F.median("err")).select(*by, *[F.col(str(h)).alias(f"pred_err_h{h}") for h in range(1, horizon + 1)])
 
 
-def summary(df: DataFrame, by: list[str], by_types: str, axes: list[str], k: int = 20, index: str = "t_idx") -> DataFrame:
-    """One row per key (session, session and stage, or session and network) with all of the above."""
-    models = local_models(moments(transitions(df, by, axes, k, index), by, axes), by, by_types, len(axes))
-    cone = cones(models, by, by_types, len(axes))
-    tube = tubes(cone, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[F.median(c).alias(f"{c}_median") for c in [*[f"tube_{c}" for c in CONE], "rotation", "a_norm", "q_ratio_last", "capture_gate"]])
-    fit = models.groupBy(*by).agg(F.median("r2").alias("r2_median"), F.median("n").alias("n_median"))
-    return tube.join(fit, by).join(health(cone, by), by).join(prediction_error(df, models, by, axes, 4, index), by)
+PERSISTENT = ["log_det", "kappa", "log_eig_var", "d_eff"]
+
+
+def persistence(tube: DataFrame, by: list[str], index: str = "window") -> DataFrame:
+    """R11 with W15-W19: medians by key of stability, return time, hysteresis and growth of tube metrics, and split halves."""
+    base = tube.select(*by, index, *[f"tube_{c}" for c in PERSISTENT])
+    d = growth_ratio(base, by, "tube_log_det", index).withColumnRenamed("growth", "cone_kappa")
+    for c in PERSISTENT:
+        d = rolling_stability(d, by, f"tube_{c}", 11, 1e-10, index).withColumnRenamed("stability", f"persistence_{c}")
+        d = return_time(d, by, f"tube_{c}", index).withColumnRenamed("return_time", f"persistence_tau_{c}")
+    names = ["cone_kappa", *[f"persistence_{c}" for c in PERSISTENT], *[f"persistence_tau_{c}" for c in PERSISTENT]]
+    out = d.groupBy(*by).agg(*[F.median(c).alias(f"{c}_median") for c in names])
+    for c in PERSISTENT:
+        out = out.join(hysteresis(base, by, f"tube_{c}", 11, index).groupBy(*by).agg(F.median("gap").alias(f"persistence_hysteresis_{c}_median")), by, "left")
+    for c in ("log_det", "d_eff"):
+        halves = split_half(base, by, f"tube_{c}", index)
+        out = out.join(halves.select(*by, F.col("first_half").alias(f"tube_{c}_first_half"), F.col("second_half").alias(f"tube_{c}_second_half"), F.col("r").alias(f"tube_{c}_half_r")), by, "left")
+    return out
+
+
+def summary(df: DataFrame, by: list[str], by_types: str, axes: list[str], k: int = 20, index: str = "t_idx", horizon: int = 4) -> DataFrame:
+    """One row per key (session, session and stage, or session and network) with all of the above.
+
+    Models are written once; every branch reads that table.
+    """
+    models = written(local_models(fold_moments(transitions(df, by, axes, k, index), by, axes), by, by_types, len(axes)))
+    cone = cones(models, by, by_types, len(axes), horizon)
+    tube = tubes(cone, by)
+    out = tube.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[F.median(c).alias(f"{c}_median") for c in [*[f"tube_{c}" for c in CONE], "rotation", "a_norm", "q_ratio_last", "capture_gate"]])
+    each = cone.groupBy(*by).agg(*[F.median(F.when(F.col("h") == h, F.col(c))).alias(f"cone_{c}_h{h}_median") for c in CONE for h in range(1, horizon + 1)])
+    fit = models.groupBy(*by).agg(F.median("r2").alias("r2_median"), F.median("n").alias("n_median"), F.median("alpha").alias("alpha_median"))
+    out = out.withColumn("dims", F.lit(len(axes)))
+    for part in (each, fit, health(cone, by), persistence(tube, by)):
+        out = out.join(part, by)
+    return out.join(prediction_error(df, models, by, axes, horizon, index), by, "left")
 
 
 def shape_indices(df: DataFrame) -> DataFrame:

@@ -31,8 +31,12 @@ def r2(spark, d):
     return r6(m.select("session", "window", "n", F.col("sx")[0].alias("sx"), F.col("sy")[2].alias("sy"), F.col("xx")[1].alias("xx"), F.col("xy")[5].alias("xy"), F.col("yy")[0].alias("yy")))
 
 
+def _cells(spark, d):
+    return op.fold_moments(op.transitions(points(spark, d), ["session"], AXES, 8), ["session"], AXES)
+
+
 def _models(spark, d, covariance="empirical"):
-    return op.local_models(op.moments(op.transitions(points(spark, d), ["session"], AXES, 8), ["session"], AXES), ["session"], "session int", 3, covariance=covariance)
+    return op.local_models(_cells(spark, d), ["session"], "session int", 3, covariance)
 
 
 def _flat(df, names):
@@ -46,7 +50,7 @@ def r2b(spark, d):
 
 @query("r3_alpha_by_folds")
 def r3(spark, d):
-    return r6(op.choose_alpha(op.transitions(points(spark, d), ["session"], AXES, 8), ["session"], "session int", AXES))
+    return r6(op.choose_alpha(_cells(spark, d), ["session"], "session int", 3))
 
 
 @query("r4_residual_covariance")
