@@ -38,9 +38,14 @@ def path_summary(df: DataFrame, by: list[str], axes: list[str], index: str = "t_
     return out.withColumn("efficiency", F.when(F.col("path") > 0, F.least(F.greatest(F.col("direct") / F.col("path"), F.lit(0.0)), F.lit(1.0))))
 
 
-def corner_codes(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6) -> DataFrame:
-    """Adds code, one bit per axis for values at or above the key's quantile."""
-    level = df.groupBy(*by).agg(*[F.percentile(a, F.lit(q)).alias(f"__q{a}") for a in axes])
+def corner_levels(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6) -> DataFrame:
+    """The quantile of each axis by key."""
+    return df.groupBy(*by).agg(*[F.percentile(a, F.lit(q)).alias(f"__q{a}") for a in axes])
+
+
+def corner_codes(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6, levels: DataFrame | None = None) -> DataFrame:
+    """Adds code, one bit per axis for values at or above the key's quantile (or that in ``levels``)."""
+    level = corner_levels(df, by, axes, q) if levels is None else levels
     bits = reduce(lambda x, y: x + y, [(F.col(a) >= F.col(f"__q{a}") - 1e-12).cast("int") * 2**i for i, a in enumerate(axes)])
     return df.join(level, by).withColumn("code", bits).drop(*[f"__q{a}" for a in axes])
 
@@ -76,16 +81,19 @@ def transition_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", ce
 
 
 def autocorrelation_time(df: DataFrame, by: list[str], value: str, dt: float, most_lag: int | None = None, index: str = "t_idx") -> DataFrame:
-    """First lag at which the autocorrelation falls under 1/e, times dt; capped at ``most_lag`` (round(300 / dt)); n < 5: null."""
+    """First lag at which the autocorrelation falls under 1/e, times dt; without one, the largest lag looked at.
+
+    Lags go up to ``most_lag`` (round(300 / dt)) and n - 1. Fewer than five values and constant values: null.
+    """
     most_lag = max(1, round(300 / dt)) if most_lag is None else most_lag
     w = Window.partitionBy(*by)
     d = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(index))).withColumn("__x", F.col(value) - F.avg(value).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
-    base = d.groupBy(*by).agg(F.sum(F.col("__x") ** 2).alias("v"), F.max("__n").alias("n"))
+    base = d.groupBy(*by).agg(F.sum(F.col("__x") ** 2).alias("v"), F.max("__n").alias("n"), (F.max(value) > F.min(value)).alias("varied"))
     lagged = d.select(*by, "__x", "__n", (F.col("__i")).alias("__a"), F.explode(F.sequence(F.lit(1), F.lit(most_lag))).alias("lag")).where(F.col("__a") + F.col("lag") <= F.col("__n")).withColumn("__b", F.col("__a") + F.col("lag"))
     other = d.select(*by, F.col("__i").alias("__b"), F.col("__x").alias("__y"))
     acf = lagged.join(other, [*by, "__b"]).groupBy(*by, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("c")).join(base, by)
     first = acf.groupBy(*by).agg(F.min(F.when(F.col("c") / F.nullif(F.col("v"), F.lit(0.0)) < F.exp(F.lit(-1.0)), F.col("lag"))).alias("lag"))
-    return base.join(first, by, "left").select(*by, F.when(F.col("n") >= 5, F.least(F.coalesce("lag", F.lit(most_lag)), F.col("n").cast("int")) * dt).alias("tau"))
+    return base.join(first, by, "left").select(*by, F.when((F.col("n") >= 5) & F.col("varied"), F.coalesce("lag", F.least(F.lit(most_lag), F.col("n").cast("int") - 1)) * dt).alias("tau"))
 
 
 def time_step(df: DataFrame, by: list[str], time: str, index: str = "t_idx") -> DataFrame:
@@ -120,22 +128,30 @@ def rolling_stability(df: DataFrame, by: list[str], value: str, width: int = 11,
 def return_time(df: DataFrame, by: list[str], value: str, index: str = "t_idx", drop: float = 0.8, back: float = 0.9) -> DataFrame:
     """From a value under drop * median, steps to the first later value of at least back * median."""
     m = df.groupBy(*by).agg(F.median(value).alias("__m"))
-    w = Window.partitionBy(*by).orderBy(index).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)  # later rows, from the last on
     d = df.join(m, by)
     after = F.min(F.when(F.col(value) >= back * F.col("__m"), F.col(index))).over(w)
     return d.withColumn("return_time", F.when(F.col(value) < drop * F.col("__m"), after - F.col(index))).drop("__m")
 
 
-def hysteresis(df: DataFrame, by: list[str], value: str, width: int = 11, index: str = "t_idx") -> DataFrame:
-    """|median of falling rows - median of rising rows| in a centred window; falling and rising by the gradient."""
-    h = width // 2
+def hysteresis(df: DataFrame, by: list[str], value: str, width: int = 11, index: str = "t_idx", time: str | None = None) -> DataFrame:
+    """|median of falling rows - median of rising rows| in a centred window of odd width (3 or more).
+
+    A row falls or rises by its difference to the row before; the first does neither. With ``time``, the gap is
+    multiplied by the central difference of time.
+    """
+    h = max(width, 3) // 2
     o = Window.partitionBy(*by).orderBy(index)
-    g = (F.coalesce(F.lead(value).over(o), F.col(value)) - F.coalesce(F.lag(value).over(o), F.col(value)))
+    g = F.coalesce(F.col(value) - F.lag(value).over(o), F.lit(0.0))
     d = df.withColumn("__g", g).withColumn("__i", F.row_number().over(o))
     centre = d.select(*by, index, F.explode(F.sequence(F.col("__i") - h, F.col("__i") + h)).alias("__i"))
     near = centre.join(d.select(*by, "__i", F.col(value).alias("__v"), "__g"), [*by, "__i"])
     gap = F.abs(F.median(F.when(F.col("__g") < 0, F.col("__v"))) - F.median(F.when(F.col("__g") > 0, F.col("__v"))))
-    return near.groupBy(*by, index).agg(gap.alias("gap"))
+    out = near.groupBy(*by, index).agg(gap.alias("gap"))
+    if time is None:
+        return out
+    step = central_difference(df.select(*by, index, time), by, [time], index).select(*by, index, F.col(f"{time}_dot").alias("__step"))
+    return out.join(step, [*by, index]).select(*by, index, (F.col("gap") * F.col("__step")).alias("gap"))
 
 
 def growth_ratio(df: DataFrame, by: list[str], value: str, index: str = "t_idx") -> DataFrame:
@@ -152,7 +168,7 @@ def split_half(df: DataFrame, by: list[str], value: str, index: str = "t_idx") -
     j = a.join(b, [*by, "__i"])
     r = j.withColumn("ra", F.row_number().over(w.orderBy("a", "__i")).cast("double")).withColumn("rb", F.row_number().over(w.orderBy("b", "__i")).cast("double"))
     n = F.count(F.lit(1))
-    return r.groupBy(*by).agg(n.alias("n"), F.median("a").alias("first_half"), F.median("b").alias("second_half"), F.when(n >= 3, F.corr("ra", "rb")).alias("r"))
+    return r.groupBy(*by).agg(n.alias("n"), F.median("a").alias("first_half"), F.median("b").alias("second_half"), F.when(n >= 3, F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))).alias("r"))
 
 
 def central_difference(df: DataFrame, by: list[str], columns: list[str], index: str = "t_idx", dt: Column | None = None) -> DataFrame:
@@ -254,11 +270,25 @@ def p_rank(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     return df.withColumn("p_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), tie)))
 
 
-def dynamics(df: DataFrame, by: list[str], axes: list[str], dt: float, most_lag: int | None = None, least: int = 5, index: str = "t_idx") -> DataFrame:
-    """Path, entropies, autocorrelation times and mean-median gaps by key, keys with ``least`` rows or more."""
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in axes]).where(F.col("n") >= least)
-    codes = corner_codes(df, by, axes)
-    out = n.join(path_summary(df, by, axes, index), by, "left")
+def step_spread(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -> DataFrame:
+    """Median, interquartile range and MAD of speed and of turning angle, and the number of speeds."""
+    s = steps(df, by, axes, index).select(*by, "speed", "angle")
+    both = ("speed", "angle")
+    out = s.groupBy(*by).agg(F.count("speed").alias("n_speeds"), *[f for c in both for f in (F.median(c).alias(f"{c}_median"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_iqr"))])
+    mad = s.join(out, by).groupBy(*by).agg(*[F.median(F.abs(F.col(c) - F.col(f"{c}_median"))).alias(f"{c}_mad") for c in both])
+    return out.join(mad, by)
+
+
+def dynamics(df: DataFrame, by: list[str], axes: list[str], dt: float, most_lag: int | None = None, least: int = 5, index: str = "t_idx", session: list[str] | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """Path, speed, turning, entropies, autocorrelation times and mean-median gaps by key, for keys with ``least`` rows or more.
+
+    For slices of sessions (W11) ``levels`` holds the corner levels of the whole sessions, named by ``session``.
+    """
+    finite = reduce(lambda p, q: p & q, [F.col(a).isNotNull() for a in axes])
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("finite_ok"), *[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in axes]).where(F.col("n") >= least)
+    codes = corner_codes(df, session or by, axes, levels=levels)
+    out = n.join(path_summary(df, by, axes, index), by, "left").join(step_spread(df, by, axes, index), by, "left")
+    out = out.withColumn("not_testable", F.col("n_speeds") < 1).withColumn("not_testable_reason", F.when(F.col("n_speeds") < 1, "lt_min_timepoints_or_no_speed")).drop("n_speeds")
     for name, f in (("occupancy_entropy", occupancy_entropy(codes, by)), ("dwell_entropy", dwell_entropy(codes, by, index)), ("transition_entropy", transition_entropy(codes, by, index))):
         out = out.join(f.withColumnRenamed("entropy", name), by, "left")
     for a in axes:

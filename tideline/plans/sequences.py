@@ -67,8 +67,8 @@ def w7(spark, d):
 
 
 def _tau(axis, src="tg"):
-    return f"""SELECT b.session, CASE WHEN any_value(b.n) >= 5 THEN least(coalesce(min(lag) FILTER (c / v < exp(-1)), 12), any_value(b.n)) * 2.0::DOUBLE END AS tau FROM (SELECT session, sum(x * x) AS v, count(*) AS n FROM ac_{axis} GROUP BY session) b
- LEFT JOIN (SELECT p.session, q.i - p.i AS lag, sum(p.x * q.x) AS c FROM ac_{axis} p JOIN ac_{axis} q ON p.session = q.session AND q.i - p.i BETWEEN 1 AND 12 GROUP BY ALL) l ON b.session = l.session GROUP BY b.session"""
+    return f"""SELECT b.session, CASE WHEN any_value(b.n) >= 5 AND any_value(b.varied) THEN coalesce(min(lag) FILTER (c / v < exp(-1)), least(150, any_value(b.n) - 1)) * 2.0::DOUBLE END AS tau FROM (SELECT session, sum(x * x) AS v, count(*) AS n, max(x) > min(x) AS varied FROM ac_{axis} GROUP BY session) b
+ LEFT JOIN (SELECT p.session, q.i - p.i AS lag, sum(p.x * q.x) AS c FROM ac_{axis} p JOIN ac_{axis} q ON p.session = q.session AND q.i - p.i BETWEEN 1 AND 150 GROUP BY ALL) l ON b.session = l.session GROUP BY b.session"""
 
 
 def _ac(axis, src="tg"):
@@ -85,9 +85,14 @@ def w9(spark, d):
     return r6(gapped(spark, d).groupBy("session").agg(*[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in AXES]))
 
 
-@query("w10_dynamics", "WITH " + PATH + CODES.removeprefix(TG) + ", " + ", ".join(_ac(a) for a in AXES) + f""", hd AS (SELECT session, count(*) AS n, avg(m) - median(m) AS m_gap, avg(d) - median(d) AS d_gap, avg(e) - median(e) AS e_gap FROM tg GROUP BY session HAVING count(*) >= 5), oe AS ({OCC}), te AS ({TRN}), tm AS ({_tau('m')}), td AS ({_tau('d')}), tv AS ({_tau('e')})
- SELECT hd.session, n, round(m_gap, 6) AS m_gap, round(d_gap, 6) AS d_gap, round(e_gap, 6) AS e_gap, {PATH_COLS}, round(oe.entropy, 6) AS occupancy_entropy, round(oe.entropy, 6) AS dwell_entropy, round(te.entropy, 6) AS transition_entropy, round(tm.tau, 6) AS m_tau, round(td.tau, 6) AS d_tau, round(tv.tau, 6) AS e_tau
- FROM hd JOIN ps USING (session) JOIN oe USING (session) JOIN te USING (session) JOIN tm USING (session) JOIN td USING (session) JOIN tv USING (session)""")
+_SPREAD = [(f"{c}_{n}", f.format(c)) for c in ("speed", "angle") for n, f in (("median", "median({0})"), ("iqr", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"), ("mad", "mad({0})"))]
+RAW = ", ".join(f"{sql} AS {name}" for name, sql in _SPREAD)
+SPREAD = ", ".join(f"round({name}, 6) AS {name}" for name, _ in _SPREAD)
+
+
+@query("w10_dynamics", "WITH " + PATH + CODES.removeprefix(TG) + ", " + ", ".join(_ac(a) for a in AXES) + f""", hd AS (SELECT session, count(*) AS n, bool_and(m IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL) AS finite_ok, avg(m) - median(m) AS m_gap, avg(d) - median(d) AS d_gap, avg(e) - median(e) AS e_gap FROM tg GROUP BY session HAVING count(*) >= 5), oe AS ({OCC}), te AS ({TRN}), tm AS ({_tau('m')}), sp AS (SELECT session, count(speed) AS n_speeds, {RAW} FROM st GROUP BY session), td AS ({_tau('d')}), tv AS ({_tau('e')})
+ SELECT hd.session, n, finite_ok, n_speeds < 1 AS not_testable, CASE WHEN n_speeds < 1 THEN 'lt_min_timepoints_or_no_speed' END AS not_testable_reason, {SPREAD}, round(m_gap, 6) AS m_gap, round(d_gap, 6) AS d_gap, round(e_gap, 6) AS e_gap, {PATH_COLS}, round(oe.entropy, 6) AS occupancy_entropy, round(oe.entropy, 6) AS dwell_entropy, round(te.entropy, 6) AS transition_entropy, round(tm.tau, 6) AS m_tau, round(td.tau, 6) AS d_tau, round(tv.tau, 6) AS e_tau
+ FROM hd JOIN ps USING (session) JOIN sp USING (session) JOIN oe USING (session) JOIN te USING (session) JOIN tm USING (session) JOIN td USING (session) JOIN tv USING (session)""")
 def w10(spark, d):
     return r6(op.dynamics(gapped(spark, d), ["session"], AXES, 2.0))
 
@@ -96,7 +101,7 @@ def w10(spark, d):
 def w11(spark, d):
     t = trajectory(spark, d, 3)
     s = op.stage_slices(t.withColumn("stage", F.floor(F.col("t_idx") / 10).cast("int") % 3), "session", "stage", {0: "n1", 1: "n2", 2: "rem"}, 10)
-    return r6(op.dynamics(s.drop("session"), ["slice"], AXES, 2.0, least=10))
+    return r6(op.dynamics(s, ["slice"], AXES, 2.0, least=10, session=["session"], levels=op.corner_levels(t, ["session"], AXES)))
 
 
 @query("w12_time_step", "WITH " + EVENTS + " SELECT subject, round(coalesce(median(dd) FILTER (dd > 0), 1), 6) AS dt FROM (SELECT subject, time - lag(time) OVER (PARTITION BY subject ORDER BY t_idx) AS dd FROM ev) GROUP BY subject")
@@ -124,7 +129,7 @@ def w16(spark, d):
     return op.return_time(events(spark, d), ["subject"], "value").select("event_id", "return_time")
 
 
-@query("w17_hysteresis", "WITH " + TRAJECTORY + """, g AS (SELECT session, t_idx, m, row_number() OVER o AS i, coalesce(lead(m) OVER o, m) - coalesce(lag(m) OVER o, m) AS g FROM tr WINDOW o AS (PARTITION BY session ORDER BY t_idx))
+@query("w17_hysteresis", "WITH " + TRAJECTORY + """, g AS (SELECT session, t_idx, m, row_number() OVER o AS i, coalesce(m - lag(m) OVER o, 0) AS g FROM tr WINDOW o AS (PARTITION BY session ORDER BY t_idx))
  SELECT a.session, a.t_idx, round(abs(median(b.m) FILTER (b.g < 0) - median(b.m) FILTER (b.g > 0)), 6) AS gap FROM g a JOIN g b ON a.session = b.session AND b.i BETWEEN a.i - 5 AND a.i + 5 GROUP BY a.session, a.t_idx""")
 def w17(spark, d):
     return r6(op.hysteresis(trajectory(spark, d, 3), ["session"], "m"))
