@@ -17,12 +17,17 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def correlation(x: str, y: str) -> Column:
+    """Correlation of two columns, null where one doesn't vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 5, p: bool = False) -> DataFrame:
     """Rank correlation of complete pairs by key, null under ``least`` pairs; optionally its t-test p."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
     n = F.count(F.lit(1))
-    out = ranked.groupBy(*by).agg(n.alias("n"), F.when((n >= least) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("r"))
+    out = ranked.groupBy(*by).agg(n.alias("n"), F.when((n >= least) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), correlation("rx", "ry")).alias("r"))
     return out if not p else with_r_p(out, F.col("n") - 2)
 
 
@@ -35,7 +40,7 @@ def partial_spearman(df: DataFrame, by: list[str], x: str, y: str, z: str, least
     """Rank correlation of x and y given z."""
     full = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (x, y, z)]))
     ranked = full.select(*by, *[average_rank(by, c).alias(n) for c, n in ((x, "rx"), (y, "ry"), (z, "rz"))])
-    r = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
+    r = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("xy"), correlation("rx", "rz").alias("xz"), correlation("ry", "rz").alias("yz"))
     part = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(F.greatest((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2), F.lit(1e-15)))
     return with_r_p(r.select(*by, "n", F.when(F.col("n") >= least, part).alias("r")), F.col("n") - 3)
 
@@ -79,7 +84,7 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", tie: str = "i
     w = Window.partitionBy(*by, F.col("__p").isNull())
     rank = F.row_number().over(w.orderBy("__p", tie))
     d = d.withColumn("__q", F.when(F.col("__p").isNotNull(), F.col("__p") * F.count("__p").over(w) / rank)).withColumn("__n", rank)
-    q = F.min("__q").over(w.orderBy("__n").rowsBetween(0, Window.unboundedFollowing))
+    q = F.min("__q").over(w.orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, 0))  # a running minimum, from the largest p on
     return d.withColumn("q", F.least(q, F.lit(1.0))).withColumn("q", F.when(F.col("__p").isNotNull(), F.col("q"))).drop("__p", "__q", "__n")
 
 
@@ -139,14 +144,52 @@ def median_sign_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, se
     return s.groupBy(*by).agg(F.avg((F.abs("s") >= F.abs("o") - 1e-9).cast("double")).alias("p"))
 
 
-def leave_one_out(df: DataFrame, by: list[str], item: str, fit) -> DataFrame:
-    """``fit(frame, keys)`` recomputed without each item; mean, least and largest r and whether signs agree."""
-    ids = df.select(*by, F.col(item).alias("left_out")).distinct()
-    d = df.join(ids, by).where(F.col(item) != F.col("left_out"))
-    r = fit(d, [*by, "left_out"])
+def leave_one_out(df: DataFrame, by: list[str], item: str, x: str, y: str, least: int = 5) -> DataFrame:
+    """Rank correlation without each row in turn: mean, least and largest r, whether signs agree, number of fits.
+
+    Without row i, the average rank of a row j falls by 1 if it is above i and by half if it ties with i. So the new
+    sums of ranks, squares and products follow from window sums over the rows above i, and no row is paired with every
+    other. Rows with a null are left out of all fits, and a fit without one is the fit of all.
+    """
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, item, F.col(x).alias("__x"), F.col(y).alias("__y"), average_rank(by, x).alias("__a"), average_rank(by, y).alias("__b"))
+    full = full.withColumn("__place", F.rank().over(Window.partitionBy(*by).orderBy("__x")) - 1)
+    down = lambda c: Window.partitionBy(*by).orderBy(F.desc(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = lambda c: Window.partitionBy(*by, c)
+    half = lambda value, c: F.sum(value).over(down(c)) - F.sum(value).over(ties(c)) / 2 - value / 2  # rows above i, and half of its ties without i
+    squares = lambda c: F.count(F.lit(1)).over(down(c)) - 0.75 * F.count(F.lit(1)).over(ties(c)) - 0.25
+    a, b, one = F.col("__a"), F.col("__b"), F.lit(1.0)
+    d = full.withColumns({
+        "__ax": half(a, "__x"), "__bx": half(b, "__x"), "__ay": half(a, "__y"), "__by": half(b, "__y"), "__qx": squares("__x"), "__qy": squares("__y"),
+        # ties in x: half a step in x with the step in y
+        "__tied": (F.sum(one).over(Window.partitionBy(*by, "__x").orderBy(F.desc("__y")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count(F.lit(1)).over(Window.partitionBy(*by, "__x", "__y")) / 2 - 0.5) / 2,
+        **{f"__s{n}": F.sum(v).over(Window.partitionBy(*by)) for n, v in (("aa", a * a), ("bb", b * b), ("ab", a * b), ("n", one))},
+    })
+    d = d.join(_steps_above(full, by, item), [*by, item], "left").withColumn("__both", F.coalesce("__both", F.lit(0.0)) + F.col("__tied"))
+    m, mean = F.col("__sn") - 1, F.col("__sn") / 2
+    vx = F.col("__saa") - a * a - 2 * F.col("__ax") + F.col("__qx") - m * mean * mean
+    vy = F.col("__sbb") - b * b - 2 * F.col("__by") + F.col("__qy") - m * mean * mean
+    cov = F.col("__sab") - a * b - F.col("__ay") - F.col("__bx") + F.col("__both") - m * mean * mean
+    r = d.select(*by, F.when((m >= least) & (vx > 1e-9) & (vy > 1e-9), F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0))).alias("r"))
+    lacking = df.where(F.col(x).isNull() | F.col(y).isNull()).select(*by)
+    r = r.unionByName(lacking.join(spearman(df, by, x, y, least).select(*by, "r"), by, "left"))
     return r.groupBy(*by).agg(F.avg("r").alias("mean_r"), F.min("r").alias("min_r"), F.max("r").alias("max_r"), (F.min(F.signum("r")) == F.max(F.signum("r"))).alias("sign_consistent"), F.count("r").alias("n_fits"))
 
 
+def _steps_above(full: DataFrame, by: list[str], item: str, levels: int = 32) -> DataFrame:
+    """For each row: the number of rows above it in x and above it in y, those that tie in y counted half.
+
+    Rows above i in x are the right halves of the dyadic blocks in whose left half i's place is: a row is in one
+    block for each bit of its place, and a window in the order of y counts there.
+    """
+    bits = F.ceil(F.log2(F.greatest(F.max("__place").over(Window.partitionBy(*by)) + 1, F.lit(1)))).cast("int")
+    at = full.withColumn("__bits", F.least(bits, F.lit(levels))).withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__bits"))))
+    half = F.expr("cast(shiftright(cast(__place as bigint), __level) as bigint)")
+    at = at.withColumns({"__right": half % 2, "__block": F.floor(half / 2)})
+    block = Window.partitionBy(*by, "__level", "__block")
+    above = F.sum("__right").over(block.orderBy(F.desc("__y")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("__right").over(Window.partitionBy(*by, "__level", "__block", "__y")) / 2
+    return at.withColumn("__above", above).where("__right = 0").groupBy(*by, item).agg(F.sum("__above").alias("__both"))
+
+
 def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under the curve from average ranks."""
     r = df.withColumn("__r", average_rank(by, score)) if by else df.withColumn("__one", F.lit(1)).withColumn("__r", average_rank(["__one"], score))

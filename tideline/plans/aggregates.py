@@ -30,11 +30,11 @@ def a2(spark, d):
 
 FEATURE = """SELECT session, feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(mad(value), 6) AS mad, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(min(value), 6) AS min, round(max(value), 6) AS max,
  round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(count(value) / count(*), 6) AS finite_frac, count(value) = count(*) AS finite_ok, count(value) < 3 AS not_testable FROM {} GROUP BY session, feature"""
-LONG = SIGNAL + ", lg AS (SELECT session, t_idx, t_idx % 3 AS stage, 'f' || roi AS feature, CASE WHEN (t_idx * 7 + roi) % 97 <> 0 THEN value END AS value FROM sg WHERE roi < 6)"
+LONG = SIGNAL + ", lg AS (SELECT session, t_idx, t_idx % 3 AS stage, 'f' || roi AS feature, CASE WHEN (t_idx * 7 + roi) % 97 <> 0 THEN value END AS value FROM sg)"
 
 
 def long_features(spark, d):
-    s = signal(spark, d).where("roi < 6")
+    s = signal(spark, d)
     return s.select("session", "t_idx", (F.col("t_idx") % 3).alias("stage"), F.concat(F.lit("f"), F.col("roi")).alias("feature"), F.when((F.col("t_idx") * 7 + F.col("roi")) % 97 != 0, F.col("value")).alias("value"))
 
 
@@ -104,9 +104,9 @@ def a11(spark, d):
     return r6(op.pivot(events(spark, d), ["subject"], "condition", TYPES, F.median("value"), need_all=True))
 
 
-@query("a11_count_grid", "WITH " + EVENTS + " SELECT subject, " + ", ".join(f"count(*) FILTER (condition = '{t}' AND k < 5) AS {t}" for t in TYPES) + f" FROM ev WHERE k < 5 GROUP BY subject")
+@query("a11_count_grid", "WITH " + EVENTS + " SELECT subject, " + ", ".join(f"count(*) FILTER (condition = '{t}') AS {t}" for t in TYPES) + f" FROM ev GROUP BY subject")
 def a11b(spark, d):
-    return op.pivot(events(spark, d).where("k < 5"), ["subject"], "condition", TYPES, F.count(F.lit(1)), fill=0)
+    return op.pivot(events(spark, d), ["subject"], "condition", TYPES, F.count(F.lit(1)), fill=0)
 
 
 @query("a12_wide_features", "WITH " + EVENTS + """, md AS (SELECT subject, min_by(condition, event_id) FILTER (k % 4 <> 0) AS note FROM ev GROUP BY subject), pv AS (SELECT subject, avg(value) FILTER (condition = 'view') AS "view", avg(value) FILTER (condition = 'click') AS click FROM ev GROUP BY subject)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideline.operators import joins as op
+from tideline.operators.sequences import stride
 from tideline.plans.registry import query
 from tideline.plans.shapes import EVENTS, TRAJECTORY, events, r6, table, trajectory
 
@@ -18,15 +19,12 @@ def j1(spark, d):
     return r6(op.null_safe(a, b, ["subject", "condition"]))
 
 
-@query("j2_merge_chain", "WITH " + EVENTS + """, a AS (SELECT subject, count(*) AS n_low FROM ev WHERE k < 2 GROUP BY subject), b AS (SELECT subject, count(*) AS n_high FROM ev WHERE k > 97 GROUP BY subject),
- c AS (SELECT subject, count(*) AS n_view FROM ev WHERE condition = 'view' GROUP BY subject), j AS (SELECT subject, max(k) AS k_max FROM ev WHERE k < 20 AND condition = 'error' GROUP BY subject)
- SELECT subject, n_low, n_high, n_view, k_max FROM a FULL JOIN b USING (subject) JOIN c USING (subject) LEFT JOIN j USING (subject)""")
+@query("j2_merge_chain", """WITH a AS (SELECT user_id AS subject, count(*) AS n_events FROM events GROUP BY user_id), b AS (SELECT o_custkey AS subject, count(*) AS n_orders FROM orders GROUP BY o_custkey), c AS (SELECT c_custkey AS subject, count(*) AS n_customers FROM customer GROUP BY c_custkey),
+ j AS (SELECT s_suppkey AS subject, count(*) AS n_suppliers FROM supplier GROUP BY s_suppkey) SELECT subject, n_events, n_orders, n_customers, n_suppliers FROM a FULL JOIN b USING (subject) JOIN c USING (subject) LEFT JOIN j USING (subject)""")
 def j2(spark, d):
-    e = events(spark, d)
-    n = lambda where, name: e.where(where).groupBy("subject").agg(F.count(F.lit(1)).alias(name))
-    k = e.where("k < 20 and condition = 'error'").groupBy("subject").agg(F.max("k").alias("k_max"))
-    out = op.null_safe(n("k < 2", "n_low"), n("k > 97", "n_high"), ["subject"], "full")
-    return op.null_safe(op.null_safe(out, n("condition = 'view'", "n_view"), ["subject"]), k, ["subject"], "left")
+    n = lambda name, key, out: table(spark, d, name).groupBy(F.col(key).alias("subject")).agg(F.count(F.lit(1)).alias(out))
+    out = op.null_safe(n("events", "user_id", "n_events"), n("orders", "o_custkey", "n_orders"), ["subject"], "full")
+    return op.null_safe(op.null_safe(out, n("customer", "c_custkey", "n_customers"), ["subject"]), n("supplier", "s_suppkey", "n_suppliers"), ["subject"], "left")
 
 
 @query("j3_paired_join", "WITH " + EVENTS + """ SELECT * FROM (SELECT subject, round(avg(value) FILTER (condition = 'view'), 6) AS "left", round(avg(value) FILTER (condition = 'purchase'), 6) AS "right" FROM ev GROUP BY subject) WHERE "left" IS NOT NULL AND "right" IS NOT NULL""")
@@ -79,12 +77,12 @@ def j8(spark, d):
 @query("j9_knn", "WITH " + TRAJECTORY + """, p AS (SELECT a.session, a.t_idx, b.t_idx AS neighbour, round((a.m - b.m)**2 + (a.d - b.d)**2 + (a.e - b.e)**2, 9) AS dist2 FROM tr a JOIN tr b ON a.session = b.session),
  r AS (SELECT *, row_number() OVER (PARTITION BY session, t_idx ORDER BY dist2, neighbour) AS rank FROM p) SELECT session, t_idx, neighbour, round(dist2, 6) AS dist2, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def j9(spark, d):
-    return r6(op.neighbours(trajectory(spark, d, 3), ["session"], "t_idx", ["m", "d", "e"], 5))
+    return r6(op.neighbours(stride(trajectory(spark, d, 3), ["session"]), ["session"], "t_idx", ["m", "d", "e"], 5))
 
 
 @query("j10_pair_distance", "WITH " + TRAJECTORY + """ SELECT a.session, round(avg(sqrt((a.m - b.m)**2 + (a.d - b.d)**2 + (a.e - b.e)**2)), 6) AS mean_dist, round(max(sqrt((a.m - b.m)**2 + (a.d - b.d)**2 + (a.e - b.e)**2)), 6) AS max_dist FROM tr a JOIN tr b ON a.session = b.session AND a.t_idx < b.t_idx GROUP BY a.session""")
 def j10(spark, d):
-    return r6(op.pair_distances(trajectory(spark, d, 3), "session", "t_idx", ["m", "d", "e"]))
+    return r6(op.pair_distances(stride(trajectory(spark, d, 3), ["session"]), "session", "t_idx", ["m", "d", "e"]))
 
 
 @query("j11_window_stage", "WITH " + EVENTS + """ SELECT v.event_id, coalesce(max_by(p.k, p.event_id), -1) AS stage FROM ev v LEFT JOIN ev p ON p.condition = 'purchase' AND p.subject = v.subject AND p.time >= v.time AND p.time < v.time + 36000 WHERE v.condition = 'view' GROUP BY v.event_id""")

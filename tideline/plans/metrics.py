@@ -102,10 +102,10 @@ def d10(spark, d):
     return r6(op.norms(trajectory(spark, d), ["x3", "x4", "x5"], ["m", "d", "e"]).select("session", "t_idx", "speed", "norm"))
 
 
-@query("d11_append", "WITH " + EVENTS + " SELECT subject, condition, value, NULL::INTEGER AS k FROM ev WHERE k < 10 UNION ALL SELECT subject, NULL, NULL, k FROM ev WHERE k > 90")
+@query("d11_append", "WITH " + EVENTS + " SELECT subject, condition, value, NULL::BIGINT AS balance FROM ev UNION ALL SELECT c_custkey, NULL, NULL, round(c_acctbal)::BIGINT FROM customer")
 def d11(spark, d):
-    e = events(spark, d)
-    return op.append(e.where("k < 10").select("subject", "condition", "value"), e.where("k > 90").select("subject", "k"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.round("c_acctbal").cast("long").alias("balance"))
+    return op.append(events(spark, d).select("subject", "condition", "value"), c)
 
 
 @query("d12_top_effects", "WITH " + EFF + " SELECT subject, condition, effect, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY abs(effect) DESC NULLS LAST, subject) AS place FROM ef) WHERE place <= 5")

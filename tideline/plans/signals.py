@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideline.operators import signals as op
+from tideline.operators.sequences import stride
 from tideline.plans.registry import query
 from tideline.plans.shapes import SIGNAL, TRAJECTORY, r6, signal, table, trajectory
 
@@ -49,9 +50,9 @@ def win(spark, d):
     return op.windows(signal(spark, d), WIDTH, STEP)
 
 
-@query("x4_window_assignment", "WITH " + WIN + " SELECT session, roi, t_idx, win, win_time FROM wn WHERE roi < 4")
+@query("x4_window_assignment", "WITH " + WIN + " SELECT session, roi, t_idx, win, win_time FROM wn")
 def x4(spark, d):
-    return op.windows(signal(spark, d).where("roi < 4"), WIDTH, STEP).select("session", "roi", "t_idx", "win", "win_time")
+    return win(spark, d).select("session", "roi", "t_idx", "win", "win_time")
 
 
 ENT = ", en AS (SELECT session, network, win, avg(ln(v + 1e-12)) AS entropy FROM (SELECT session, network, win, roi, var_pop(value) AS v FROM wn GROUP BY ALL) GROUP BY ALL)"
@@ -104,4 +105,4 @@ def x10(spark, d):
  fr AS (SELECT session, avg(dist) AS mean_dist, max(dist) AS max_dist, count(*) AS pairs FROM pr GROUP BY session), cl AS (SELECT session, count(*) AS close FROM pr JOIN fr USING (session) WHERE dist <= 0.1::DOUBLE * max_dist GROUP BY session)
  SELECT session, round(volume, 6) AS volume, n, round(mean_dist, 6) AS mean_dist, round(max_dist, 6) AS max_dist, round(coalesce(close, 0) / pairs, 6) AS recurrence, round(2 * coalesce(close, 0) / n, 6) AS mean_neighbours FROM bx JOIN fr USING (session) LEFT JOIN cl USING (session)""")
 def x11(spark, d):
-    return r6(op.geometry(trajectory(spark, d, 3), "session", "t_idx", ["m", "d", "e"]).drop("mean_curvature", "std_curvature"))
+    return r6(op.geometry(stride(trajectory(spark, d, 3), ["session"]), "session", "t_idx", ["m", "d", "e"]).drop("mean_curvature", "std_curvature"))
