@@ -90,45 +90,73 @@ def _points(spark):
     return x, spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(x)], "session int, t_idx long, m double, d double, e double")
 
 
-def test_local_models_against_numpy(spark):
+def _windows(x, k, last):
+    near = np.argsort(np.round(((x[:, None] - x[None]) ** 2).sum(-1), 9), axis=1, kind="stable")[:, :k]
+    return lambda w: sorted({int(j) for i in range(w, w + 3) for j in near[i] if j <= last})
+
+
+def _ridge_fit(p, q, alpha):
+    pc, qc = p - p.mean(0), q - q.mean(0)
+    a = np.linalg.solve(pc.T @ pc + alpha * np.eye(3), pc.T @ qc).T
+    return a, q.mean(0) - a @ p.mean(0)
+
+
+def _best_alpha(p, q, alphas=(1e-4, 1e-3, 1e-2, 1e-1), folds=5):
+    if len(p) // folds < 2:
+        return alphas[0], None
+    parts, scores = np.array_split(np.arange(len(p)), folds), []  # contiguous, the larger ones first
+    for alpha in alphas:
+        r2 = []
+        for test in parts:
+            train = np.setdiff1d(np.arange(len(p)), test)
+            a, b = _ridge_fit(p[train], q[train], alpha)
+            res, dev = q[test] - p[test] @ a.T - b, q[test] - q[test].mean(0)
+            r2.append((1 - (res**2).sum(0) / (dev**2).sum(0)).mean())
+        scores.append(np.mean(r2))
+    return alphas[int(np.argmax(scores))], max(scores)
+
+
+@pytest.mark.parametrize("k", [3, 12])
+def test_local_models_against_numpy(spark, k):
     x, df = _points(spark)
-    tr = reachability.transitions(df, ["session"], AXES, 12)
-    models = reachability.local_models(reachability.moments(tr, ["session"], AXES), ["session"], "session int", 3)
+    cells = reachability.fold_moments(reachability.transitions(df, ["session"], AXES, k), ["session"], AXES)
+    models = reachability.local_models(cells, ["session"], "session int", 3)
     cone = {(r.window, r.h): r for r in reachability.cones(models, ["session"], "session int", 3).collect()}
-    near = np.argsort(np.round(((x[:, None] - x[None]) ** 2).sum(-1), 9), axis=1, kind="stable")[:, :12]
+    chosen = {r.window: (r.alpha, r.cv_r2) for r in reachability.choose_alpha(cells, ["session"], "session int", 3).collect()}
+    members, seen = _windows(x, k, 78), set()
     for r in models.collect():
-        ids = sorted({int(j) for i in range(r.window, r.window + 3) for j in near[i] if j <= 78})
+        ids = members(r.window)
         p, q = x[ids], x[[i + 1 for i in ids]]
-        pc, qc = p - p.mean(0), q - q.mean(0)
-        a = np.linalg.solve(pc.T @ pc + 1e-3 * np.eye(3), pc.T @ qc).T
-        b = q.mean(0) - a @ p.mean(0)
+        alpha, score = _best_alpha(p, q)
+        assert r.alpha == pytest.approx(alpha) and chosen[r.window] == (pytest.approx(alpha), score if score is None else pytest.approx(score, abs=1e-7))
+        seen.add(alpha)
+        a, b = _ridge_fit(p, q, alpha)
         res = q - p @ a.T - b
         cov = np.cov(res, rowvar=False) + 1e-8 * np.eye(3)
-        assert r.n == len(ids) and r.a == pytest.approx(list(a.ravel()), abs=1e-8) and r.b == pytest.approx(list(b), abs=1e-8)
+        assert r.n == len(ids) and r.a == pytest.approx(list(a.ravel()), abs=1e-7) and r.b == pytest.approx(list(b), abs=1e-7)
         assert r.q == pytest.approx(list(cov.ravel()), abs=1e-9)
-        assert r.r2 == pytest.approx(float((1 - (res**2).sum(0) / (qc**2).sum(0)).mean()), abs=1e-8)
+        assert r.r2 == pytest.approx(float(1 - (res**2).sum() / (((q - q.mean(0)) ** 2).sum() + 1e-10)), abs=1e-8)
         sigma = np.eye(3) * 1e-6
         for h in range(1, 5):
             moved = a @ sigma @ a.T
             sigma = moved + cov + 1e-8 * np.eye(3)
             c = cone[r.window, h]
             e = np.linalg.eigvalsh(sigma)
-            assert c.kappa == pytest.approx(e[-1] / e[0], rel=1e-5) and c.log_det == pytest.approx(0.5 * np.log(e).sum(), rel=1e-5)
-            assert c.q_ratio == pytest.approx(1 - np.trace(moved) / np.trace(sigma), abs=1e-9) and c.dir_entropy <= np.log(3) + 1e-9
+            assert c.kappa == pytest.approx(e[-1] / e[0], rel=1e-4) and c.log_det == pytest.approx(0.5 * np.log(e).sum(), rel=1e-4)
+            assert c.q_ratio == pytest.approx(1 - np.trace(moved) / np.trace(sigma), abs=1e-7) and c.dir_entropy <= np.log(3) + 1e-9
+    assert len(seen) > (1 if k == 12 else 0)
 
 
-def test_alpha_and_oas(spark):
+def test_oas(spark):
     _, df = _points(spark)
-    tr = reachability.transitions(df, ["session"], AXES, 12)
-    alphas = reachability.choose_alpha(tr, ["session"], "session int", AXES).collect()
-    assert len(alphas) == 78 and {r.alpha for r in alphas} <= {1e-4, 1e-3, 1e-2, 1e-1} and max(r.cv_r2 for r in alphas) <= 1
-    oas = reachability.local_models(reachability.moments(tr, ["session"], AXES), ["session"], "session int", 3, covariance="oas").collect()
-    assert all(np.all(np.linalg.eigvalsh(np.array(r.q).reshape(3, 3)) > 0) for r in oas)
+    cells = reachability.fold_moments(reachability.transitions(df, ["session"], AXES, 12), ["session"], AXES)
+    oas = reachability.local_models(cells, ["session"], "session int", 3, covariance="oas").collect()
+    assert len(oas) == 78 and all(np.all(np.linalg.eigvalsh(np.array(r.q).reshape(3, 3)) > 0) for r in oas)
 
 
 def test_prediction_error_against_numpy(spark):
     x, df = _points(spark)
-    models = reachability.local_models(reachability.moments(reachability.transitions(df, ["session"], AXES, 12), ["session"], AXES), ["session"], "session int", 3)
+    models = reachability.local_models(reachability.fold_moments(reachability.transitions(df, ["session"], AXES, 12), ["session"], AXES), ["session"], "session int", 3)
     errors = {h: [] for h in range(1, 5)}
     for r in models.collect():
         p = x[r.center]
@@ -140,6 +168,111 @@ def test_prediction_error_against_numpy(spark):
     assert [got[f"pred_err_h{h}"] for h in range(1, 5)] == pytest.approx([np.median(errors[h]) for h in range(1, 5)])
 
 
+def test_summary_of_a_session(spark):
+    """Tubes, health, persistence and cone columns from the cones' rows; shape indices run on them."""
+    x, df = _points(spark)
+    models = reachability.local_models(reachability.fold_moments(reachability.transitions(df, ["session"], AXES, 12), ["session"], AXES), ["session"], "session int", 3)
+    cone = reachability.cones(models, ["session"], "session int", 3).toPandas().sort_values(["window", "h"])
+    r = reachability.summary(df, ["session"], "session int", AXES, 12).first().asDict()
+    by = cone.groupby("window")
+    tube = by[reachability.CONE].median()
+    gate = (1 - by["q_ratio"].last()) * np.log1p(by["a_norm"].max())
+    assert r["n_windows"] == 78 and r["capture_gate_median"] == pytest.approx(gate.median()) and r["tube_kappa_median"] == pytest.approx(tube["kappa"].median())
+    assert r["near_singular_rate"] == pytest.approx(cone["near_singular"].mean()) and r["median_cond"] == pytest.approx(cone["cond"].median())
+    assert r["median_min_over_median"] == pytest.approx(cone["min_over_median"].median())
+    for h in range(1, 5):
+        assert r[f"cone_q_ratio_h{h}_median"] == pytest.approx(cone.loc[cone["h"] == h, "q_ratio"].median())
+    v = tube["log_det"].to_numpy()
+    stable = [1 / (v[max(0, i - 5) : i + 6].std() + 1e-10) for i in range(len(v))]
+    assert r["persistence_log_det_median"] == pytest.approx(np.median(stable)) and r["cone_kappa_median"] == pytest.approx(np.median(np.exp(np.diff(v))))
+    assert r["tube_log_det_first_half"] == pytest.approx(np.median(v[: len(v) // 2])) and r["tube_log_det_second_half"] == pytest.approx(np.median(v[len(v) // 2 : 2 * (len(v) // 2)]))
+    shape = reachability.shape_indices(spark.createDataFrame([r])).first()
+    assert shape.endpoint_ovality == pytest.approx(np.log10(max(r["cone_kappa_h4_median"], 1)))
+
+
+def test_hysteresis_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    v, t = np.round(rng.normal(size=30), 1), np.cumsum(rng.integers(1, 4, 30)).astype(float)
+    dif, want = np.diff(v, prepend=v[0]), []
+    for i in range(30):
+        lo, hi = max(0, i - 3), min(30, i + 4)
+        down, up = v[lo:hi][dif[lo:hi] < 0], v[lo:hi][dif[lo:hi] > 0]
+        want.append(abs(np.median(down) - np.median(up)) if len(down) and len(up) else None)
+    df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(zip(v, t, strict=True))], "session int, t_idx long, v double, t double")
+    got = [r.gap for r in sequences.hysteresis(df, ["session"], "v", 6).orderBy("t_idx").collect()]
+    assert got == [x if x is None else pytest.approx(x) for x in want]
+    timed = [r.gap for r in sequences.hysteresis(df, ["session"], "v", 7, time="t").orderBy("t_idx").collect()]
+    assert timed == [x if x is None else pytest.approx(x * s) for x, s in zip(want, np.gradient(t), strict=True)]
+
+
+def test_autocorrelation_edges(spark):
+    rows = [(0, i, 0.1) for i in range(9)] + [(1, i, float(i)) for i in range(5)] + [(2, i, float(i % 2)) for i in range(4)] + [(3, i, float(v)) for i, v in enumerate([5, 5, 5, 5, -5, 5])]
+    got = {r.s: r.tau for r in sequences.autocorrelation_time(spark.createDataFrame(rows, "s int, t_idx long, v double"), ["s"], "v", 2.0).collect()}
+    x = np.arange(5.0) - 2
+    lag = next((k for k in range(1, 5) if (x[:-k] * x[k:]).sum() / 10 < np.exp(-1)), 4)
+    assert got == {0: None, 1: 2.0 * lag, 2: None, 3: 2.0}
+    capped = sequences.autocorrelation_time(spark.createDataFrame([(0, i, float(i)) for i in range(200)], "s int, t_idx long, v double"), ["s"], "v", 100.0).first().tau
+    assert capped == 300.0  # three lags, none under 1/e
+
+
+def test_stage_slices_take_levels_of_the_session(spark):
+    rows = [(0, i, float(i), float(i), float(i)) for i in range(40)]
+    t = spark.createDataFrame(rows, "session int, t_idx long, m double, d double, e double").withColumn("stage", F.floor(F.col("t_idx") / 20).cast("int"))
+    s = sequences.stage_slices(t, "session", "stage", {0: "n1", 1: "n2"}, 10)
+    got = {r.slice: r for r in sequences.dynamics(s, ["slice"], AXES, 2.0, least=10, session=["session"], levels=sequences.corner_levels(t, ["session"], AXES)).collect()}
+    # the whole first stage is under the session's 60 % point: one code
+    assert got["0:stage_n1"].occupancy_entropy == pytest.approx(0, abs=1e-9) and got["0:stage_n2"].occupancy_entropy > 0.4
+    assert got["0:stage_n1"].speed_median == pytest.approx(np.sqrt(3)) and got["0:stage_n1"].speed_mad == pytest.approx(0, abs=1e-9) and got["0:stage_n1"].finite_ok and not got["0:stage_n1"].not_testable
+
+
+def test_return_time_and_fdr_against_loops(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.exponential(size=60), 2)
+    df = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "s int, t_idx long, v double")
+    med = np.median(v)
+    want = [next((j - i for j in range(i + 1, 60) if v[j] >= 0.9 * med), None) if v[i] < 0.8 * med else None for i in range(60)]
+    assert [r.return_time for r in sequences.return_time(df, ["s"], "v").orderBy("t_idx").collect()] == want
+    p = np.round(rng.random(60), 2)
+    order = np.lexsort((np.arange(60), p))
+    q = np.minimum.accumulate((p[order] * 60 / np.arange(1, 61))[::-1])[::-1]
+    got = {r.id: r.q for r in stats.benjamini_hochberg(spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(p)], "g string, id int, p double"), ["g"], "p", "id").collect()}
+    assert [got[i] for i in order.tolist()] == pytest.approx(np.minimum(q, 1).tolist())
+
+
+def test_leave_one_out_against_loops(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, i, None if i == 3 else float(rng.integers(0, 7 if g else 1000)), None if i == 5 else float(rng.integers(0, 5 if g else 1000))) for g in (0, 1) for i in range(37)]
+    rows += [(2, i, float(i), 1.0) for i in range(9)] + [(3, i, float(i), float(-i)) for i in range(5)]
+    got = {r.g: r for r in stats.leave_one_out(spark.createDataFrame(rows, "g int, i int, x double, y double"), ["g"], "i", "x", "y").collect()}
+
+    def rank(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    for g in range(4):
+        r = []
+        for left in [i for h, i, *_ in rows if h == g]:
+            xy = np.array([(x, y) for h, i, x, y in rows if h == g and i != left and x is not None and y is not None])
+            if len(xy) >= 5 and xy[:, 0].std() > 0 and xy[:, 1].std() > 0:
+                r.append(np.corrcoef(rank(xy[:, 0]), rank(xy[:, 1]))[0, 1])
+        assert got[g].n_fits == len(r)
+        if r:
+            assert (got[g].mean_r, got[g].min_r, got[g].max_r) == (pytest.approx(np.mean(r)), pytest.approx(min(r)), pytest.approx(max(r)))
+
+
+def test_incremental_auc(spark):
+    from tideline.operators import models
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 4 == 0), float(rng.normal()), float(rng.normal() + 2.5 * (i % 4 == 0))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, 1, None, 0.0)], "id int, y int, noise double, signal double")
+    folds = models.stratified_folds(df.where("id < 400"), "id", "y", 5).groupBy("fold", "y").count().collect()
+    assert {r["count"] for r in folds if r.y} == {20} and {r["count"] for r in folds if not r.y} == {60}
+    got = {r.model: r for r in models.incremental_auc(df, "id", "y", ["noise"], ["signal"]).collect()}
+    assert got["full"].auc > 0.93 and abs(got["base"].auc - 0.5) < 0.12 and got["full"].auc_sd < 0.06 and got["full"].n == 400 and got["full"].n_class == 100
+    few = models.incremental_auc(df.where("y = 0 or id < 5"), "id", "y", ["noise"], ["signal"]).collect()
+    assert [(r.auc, r.n_class) for r in few] == [(None, 2)] * 2
+
+
 def test_sequence_invariants(spark, data):
     t = trajectory(spark, data, 3)
     c = sequences.corner_codes(t, ["session"], AXES)
