@@ -9,8 +9,9 @@ levels, over the table of source totals; only those fifteen sums come back.
 The budget is the least with which every source is used whole at least once, so nothing is dropped unless a smaller
 ``budget`` (tokens) is asked for. A source with c tokens and budget b is used floor(b / c) times whole, each time in a
 permutation of its own (order of a hash of epoch and row), and once more in part: the documents of the last
-permutation whose preceding tokens stay under what is left. Running sums go by hash ranges of a source, so a
-source that holds a third of all rows is not gathered anywhere.
+permutation whose preceding tokens stay under what is left. Running sums go by hash ranges of a source, as many as
+keep both a range's rows and a source's ranges near the square root of its rows, so a source that holds a third of all
+rows is not gathered anywhere.
 
 Cases: null and empty texts have no tokens and go wherever their place falls; a source without tokens has weight 0
 and each of its rows comes once; null is a source of its own; rows with the same id and text stand at one place of
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import cut, small
+from tideline.llm.common import boxed, cut, small
 
-RANGES = 1024
 LEVELS = 4
+#: Rows of a hash range, at least.
+RANGE_ROWS = 5_000
 
 
 def tokens(text: Column) -> Column:
@@ -96,21 +98,28 @@ def mix(documents: DataFrame, entropy: float | None = None, repeats: float | Non
     # documents of the last, partial permutation: running sums by ranges of the hash
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("__s")))
     part = placed.select("doc_id", "row", "source", "n_tokens", F.xxhash64(F.lit(seed), F.floor("epochs").cast("int"), "row").alias("order"), ((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).alias("left"))
-    part = part.withColumn("range", F.shiftrightunsigned("order", 64 - int(math.log2(RANGES)))).where("left > 0")
+    most = totals.agg(F.max("rows").alias("n")).first()["n"] or 1
+    bits = max(0, math.ceil(math.log2(most / max(RANGE_ROWS, math.sqrt(most)))))
+    part = part.withColumn("range", F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long")).where("left > 0")
     held = part.groupBy("source", "range").agg(F.sum("n_tokens").alias("held"))
     before = held.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), (F.sum("held").over(Window.partitionBy("source").orderBy("range")) - F.col("held")).alias("before"))
-    inside = Window.partitionBy("source", "range").orderBy("order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy(F.col("order") < 0, "order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     ran = part.withColumn("ran", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     chosen = ran.join(before, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).where(F.col("ran") + F.col("before") < F.col("left"))
     extra = chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).distinct()
 
-    own = ["doc_id", "source", "n_tokens"] if ids_only else documents.columns
-    each = rows.withColumnRenamed("row", "__row") if ids_only else documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    each = each.join(sources.select("__s", F.floor("epochs").cast("int").alias("__whole")), F.col("source").eqNullSafe(F.col("__s")), "left")
-    if not ids_only:
+    if ids_only:
+        each = rows.select("doc_id", "source", "n_tokens", F.col("row").alias("__row"))
+        id_, source = F.col("doc_id"), F.col("source")
+    else:
+        id_, source = F.col("__doc.doc_id"), F.col("__doc.source")
+        each = boxed(documents, "__epoch", "__order").withColumn("__row", F.xxhash64(id_, F.col("__doc.text")))
         extra = small(cut(extra))
-    each = each.join(extra, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
+    each = each.join(sources.select("__s", F.floor("epochs").cast("int").alias("__whole")), source.eqNullSafe(F.col("__s")), "left")
+    each = each.join(extra, id_.eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
     last = F.when(F.col("__r").isNotNull(), F.col("__whole")).otherwise(F.col("__whole") - 1)
     each = each.withColumn("__epoch", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))).where("__epoch is not null")
-    out = each.select(*[F.col(f"`{c}`") for c in own], "__epoch", F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__row")).alias("__order"))
-    return out.withColumnRenamed("__epoch", "epoch").withColumnRenamed("__order", "order") if ids_only else out
+    order = F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__row"))
+    if ids_only:
+        return each.select("doc_id", "source", "n_tokens", F.col("__epoch").alias("epoch"), order.alias("order"))
+    return each.select("__doc.*", "__epoch", order.alias("__order"))
