@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import cut, small
+from tideline.llm.common import HOT_ROWS, attach, boxed, cut, small
 
 BUCKETS, SPLIT = 12, 6  # powers of two
 
@@ -34,8 +34,7 @@ def ordered_rows(documents: DataFrame, overhead: int = 16) -> DataFrame:
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = cut(documents.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key")))
-    firsts = rows.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("first"))
-    joined = rows.join(firsts, F.col("key") == F.col("k")).drop("k")
+    joined = attach(rows, rows.groupBy("key").agg(F.min("doc_id").alias("first")), "key")  # a text may be a third of all rows
     order = [F.col("first").asc_nulls_first(), F.col("key"), F.col("doc_id").asc_nulls_first()]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the range of a row is written down, so a lost executor can't deal it anew
@@ -154,8 +153,15 @@ def assign(documents: DataFrame, shards: int = 40, overhead: int = 16) -> DataFr
 
 
 def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
-    """All columns of ``documents`` and the shard of each row."""
-    of = small(cut(assign(documents, shards).groupBy("key").agg(F.min("shard").alias("shard")).withColumnRenamed("key", "__key")))
-    keyed = documents.withColumn("__at", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    own = [F.col(f"`{c}`") for c in documents.columns if c != "shard"]
-    return keyed.join(of.withColumnRenamed("shard", "__shard"), F.col("__at") == F.col("__key"), "left").select(*own, F.col("__shard").alias("shard"))
+    """All columns of ``documents`` and the shard of each row (it replaces a column of that name).
+
+    Rows get their shard by their text's hash; a text that many rows share is joined by broadcast.
+    """
+    placed = cut(assign(documents, shards).select(F.col("key").alias("__key"), "shard"))
+    of = cut(placed.groupBy("__key").agg(F.min("shard").alias("__shard"), F.count(F.lit(1)).alias("__n")))
+    keyed = boxed(documents, "shard").withColumn("__at", F.unhex(F.md5(F.coalesce("__doc.text", F.lit("")))))
+    often = small(cut(of.where(F.col("__n") > HOT_ROWS).select(F.col("__key").alias("__hot"), F.col("__shard").alias("__its"))))
+    marked = keyed.join(often, F.col("__at") == F.col("__hot"), "left")
+    hot = marked.where("__hot is not null").select("__doc", F.col("__its").alias("shard"))
+    cold = marked.where("__hot is null").join(of.where(F.col("__n") <= HOT_ROWS), F.col("__at") == F.col("__key")).select("__doc", F.col("__shard").alias("shard"))
+    return hot.union(cold).select("__doc.*", "shard")
