@@ -23,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, shingle_hashes, small, words
+from tideline.llm.common import boxed, cut, shingle_hashes, small, words
 
 K, THRESHOLD = 5, 0.8
 
 
 def _shingles(w, sizes=(K,)):
     """Distinct runs of words of each of the given lengths, as text."""
+
     def run(k):
         return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", F.slice(w, i + 1, k)))
 
@@ -86,4 +87,4 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` without those that leak an item; all columns stay."""
     bad = small(cut(leaks(documents, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()))
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return boxed(documents).join(bad, F.col("__doc.doc_id").eqNullSafe(F.col("__bad")), "left_anti").select("__doc.*")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import boxed
+
 WIDTH, KEPT, FOLDS, MAX_ROWS = 1 << 18, 384, 4, 8_000
 _CLEAR = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -151,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: list[str], max_rows
     return Chain(rows, y, folds)
 
 
-def with_scores(documents: DataFrame, chain: Chain) -> DataFrame:
+def with_scores(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """``documents`` and __p, the chain's probabilities in order."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -161,7 +163,7 @@ def with_scores(documents: DataFrame, chain: Chain) -> DataFrame:
                 out += chain.predict([features(t) for t in part.iloc[at : at + 256]]).tolist()
             yield pd.Series(out)
 
-    return documents.withColumn("__p", F.pandas_udf(run, "array<double>")("text"))
+    return documents.withColumn("__p", F.pandas_udf(run, "array<double>")(text))
 
 
 def score(documents: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
@@ -175,4 +177,5 @@ def score(documents: DataFrame, labels: DataFrame, categories: list[str]) -> Dat
 def reject(documents: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
     """``documents`` without those whose last category's probability reaches its threshold; all columns stay."""
     chain = fit(documents, labels, categories)
-    return with_scores(documents, chain).where(F.col("__p")[len(categories) - 1] < chain.cuts[-1]).drop("__p")
+    scored = with_scores(boxed(documents), chain, "__doc.text")
+    return scored.where(F.col("__p")[len(categories) - 1] < chain.cuts[-1]).select("__doc.*")
