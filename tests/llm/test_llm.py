@@ -189,6 +189,46 @@ def test_mixing_meets_targets(spark, data, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [5_000, 20])
+def test_mixing_equals_recomputation(spark, data, most, monkeypatch):
+    """The registered query's parameters: exponent, epochs, order and the last permutation's prefix, one by one."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+    docs = docs_of(spark, data).withColumn("source", F.expr("case when doc_id % 3 = 0 then 'big' when doc_id % 60 = 1 then 'small' when doc_id % 7 < 4 then 'mid' end"))
+    rows = {r.doc_id: (r.source, len([x for x in re.split("[ \\t\\n\\x0B\\f\\r]+", r.text or "") if x])) for r in docs.collect()}
+    c = collections.Counter()
+    for s, n in rows.values():
+        c[s] += n
+
+    def entropy(a):
+        w = np.array([x**a for x in c.values()])
+        w = w / w.sum()
+        return -(w * np.log(w)).sum()
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= 0.97 * math.log(len(c)) else (low, mid)
+    a = max(low, 1 - math.log(4) / math.log(max(c.values()) / min(c.values())))
+    epochs = {s: round(c[s] ** (a - 1) * max(x ** (1 - a) for x in c.values()), 6) for s in c}
+    assert len(c) == 4 and max(epochs.values()) > 1.5
+    hashed = {}
+    for k in range(6):
+        for r in docs.select("doc_id", F.xxhash64(F.lit(0), F.lit(k), F.xxhash64("doc_id", "text")).alias("h")).collect():
+            hashed[r.doc_id, k] = r.h
+    want = set()
+    for s, e in epochs.items():
+        own = [d for d in rows if rows[d][0] == s]
+        want |= {(d, k) for d in own for k in range(int(e))}
+        left, ran = (e - int(e)) * c[s], 0
+        for d in sorted(own, key=lambda d: hashed[d, int(e)] % 2**64):  # ranges go by the unsigned hash
+            if ran < left - 1e-3:
+                want.add((d, int(e)))
+            ran += rows[d][1]
+    got = mixing.mix(docs, entropy=0.97, repeats=4, ids_only=True).collect()
+    assert {(r.doc_id, r.epoch) for r in got} == want and len(got) == len(want)
+    assert all(r.order == hashed[r.doc_id, r.epoch] and (r.source, r.n_tokens) == rows[r.doc_id] for r in got)
+
+
 def test_mixing_by_repeats_alone(spark):
     docs = spark.createDataFrame([(i, f"a{i} b c d", "en", "big" if i < 800 else "mid" if i < 950 else "tiny", 4) for i in range(1000)], DOC)
     before = collections.Counter(r.source for r in docs.collect())
@@ -659,7 +699,9 @@ def test_pipeline_stages(spark, data):
     assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in before.collect() if r.doc_id not in bad)
     before, after = seen["mixing"]
     uses = collections.Counter(r.doc_id for r in after.collect())
-    assert set(uses) == {r.doc_id for r in before.collect()} and max(uses.values()) <= 2
+    assert set(uses) == {r.doc_id for r in before.collect()} and max(uses.values()) == 2
+    share = lambda d: max((x := collections.Counter(r.source for r in d.collect())).values()) / sum(x.values())
+    assert share(after) < share(before)
     final = seen["sharding"][1].collect()
     assert len(final) == sum(uses.values()) and all(0 <= r.shard < 40 for r in final)
     of = collections.defaultdict(set)
@@ -669,9 +711,18 @@ def test_pipeline_stages(spark, data):
 
 
 def test_pipeline_odd_rows(spark, odd, none, data):
-    frame = odd.drop("row", "shard", "h")
+    """Null ids, repeated rows and columns that clash with inner names pass all stages with their values."""
+    frame = odd.drop("row").withColumns({c: F.concat(F.lit("own "), F.col("lang")) for c in ("row", "key", "__row", "__doc", "__p", "__bad", "__as", "__fate", "__key", "__hot", "__d", "__r", "__s")})
     for docs in (frame, frame.where("doc_id < 0")):
-        step = docs
-        for _, stage in corpus_pipeline.STAGES:
+        step, ids = docs, []
+        for name, stage in corpus_pipeline.STAGES:
             step = corpus_pipeline.cut(stage(spark, step, data))
-        assert (step.count() > 0) == (docs.count() > 0)
+            assert set(step.columns) == set(frame.columns) and (name == "sharding" or step.columns == frame.columns)
+            ids.append(collections.Counter(r.doc_id for r in step.collect()))
+            assert step.where("__doc <> concat('own ', lang) or __row <> concat('own ', lang) or h <> 1").count() == 0
+        if not docs.count():
+            assert not any(ids)
+            continue
+        assert ids[0] == collections.Counter(r[0] for r in ODD)
+        assert ids[1] == collections.Counter([1, 2, 3, 4, 5, None, 8, 9]) == ids[2]
+        assert set(ids[3]) == set(ids[2]) and ids[4] == ids[3]
