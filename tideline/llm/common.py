@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that a broadcast side may have at most (``size_of``); larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Rows of one key from which ``attach`` joins them by broadcast.
-HOT_ROWS = 5_000
+HOT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in the jobs that run inside: for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once everything that was derived from them is itself written."""
     for df in tables:
@@ -75,9 +89,11 @@ def attach(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> Da
     """``rows`` joined to ``side``, which has one row for each ``key``; keys with many rows don't meet in one task.
 
     Keys with over ``HOT_ROWS`` rows (counted by a partial aggregation, so there are few of them) get their part of
-    ``side`` by broadcast, if that part is small enough; all others by an ordinary join. ``rows`` is read three times and
-    should be a written table.
+    ``side`` by broadcast, if that part is small enough; all others by an ordinary join. ``rows`` is read several times
+    and should be a written table.
     """
+    if rows.count() <= HOT_ROWS:
+        return rows.join(side, key, how)
     hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(F.col(key).alias("__hot")))
     if hot.isEmpty():
         return rows.join(side, key, how)
@@ -87,6 +103,11 @@ def attach(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> Da
     return often.join(small(chosen), key, how).unionByName(seldom.join(side, key, how))
 
 
+def boxed(documents: DataFrame, *without: str) -> DataFrame:
+    """One column, __doc, that holds all columns of ``documents``: beside it no name can clash with theirs."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in without]).alias("__doc"))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
