@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import distributions as dist
 from tideline.functions.resample import uniform, uniform_sql
-from tideline.operators import matrices, reachability, sequences, signals, stats
+from tideline.operators import contrasts, matrices, reachability, sequences, signals, stats
 from tideline.plans import contrasts as contrast_plans
 from tideline.plans import reachability as reachability_plans
 from tideline.plans import sequences as sequence_plans
@@ -77,6 +77,63 @@ def test_transverse_and_first_component(spark, data):
     assert got == pytest.approx(list(x @ v), abs=1e-8)
 
 
+@pytest.mark.parametrize("keys", [["session"], ["session", "stage"]])
+def test_matrix_summary_against_numpy(spark, data, keys):
+    t = trajectory(spark, data).withColumn("j", F.array(*[F.col(f"x{i}") for i in range(9)])).where("session < 3").withColumn("stage", (F.floor(F.col("t_idx") / 10) % 2).cast("int"))
+    types = ", ".join(f"{k} int" for k in keys)
+    got = {tuple(r[k] for k in keys): r for r in matrices.matrix_summary(t.select(*keys, "t_idx", "j"), keys, types, 3).collect()}
+    rows = t.select(*keys, "t_idx", "j").toPandas().sort_values("t_idx")
+    for key, part in rows.groupby(keys):
+        r, m = got[key], np.stack(part["j"].tolist()).reshape(-1, 3, 3)
+        dot = np.gradient(m, axis=0) if len(m) > 1 else np.zeros_like(m)
+        s, e, fro = np.linalg.svd(m, compute_uv=False), np.linalg.eigvals(m), np.linalg.norm(m, axis=(1, 2))
+        want = {"trace": m.trace(axis1=1, axis2=2), "fro": fro, "op_norm": s[:, 0], "cond": s[:, 0] / s[:, -1], "rotational": np.abs(e.imag).mean(1), "mdr": np.linalg.norm(dot, axis=(1, 2)) / (fro + 1e-12)}
+        assert r.n_windows == len(m)
+        for name, v in want.items():
+            assert (r[f"{name}_mean"], r[f"{name}_median"]) == (pytest.approx(v.mean(), rel=1e-4), pytest.approx(np.median(v), rel=1e-4)), name
+
+
+def test_components_and_kappa_against_numpy(spark, data):
+    t = trajectory(spark, data)
+    x = t.orderBy("session", "t_idx").select(*[f"x{i}" for i in range(9)]).toPandas().to_numpy()
+    v = np.linalg.eigh(np.cov(x, rowvar=False))[1][:, ::-1][:, :3]
+    got = matrices.principal_components(t, [f"x{i}" for i in range(9)], 3).orderBy("session", "t_idx").select("pc0", "pc1", "pc2").toPandas().to_numpy()
+    assert np.abs(got) == pytest.approx(np.abs(x @ v), abs=1e-6)
+    kappa = {r.session: r.kappa for r in matrices.covariance_kappa(t, ["session"], "session int", ["m", "d", "e"]).collect()}
+    for session, part in t.select("session", "m", "d", "e").toPandas().groupby("session"):
+        e = np.linalg.eigvalsh(np.cov(part[["m", "d", "e"]].to_numpy(), rowvar=False))
+        assert kappa[session] == pytest.approx(e[-1] / (e[0] + 1e-9), rel=1e-6)
+
+
+def test_contrast_driver_against_loops(spark):
+    """Exact p up to 16 pairs, random signs beyond; q within a contrast; intervals hold the mean."""
+    rng, rows = np.random.default_rng(3), []
+    for metric, n, shift in (("a", 9, 0.8), ("b", 14, 0.1), ("c", 40, 0.6)):
+        for s in range(n):
+            rows += [(metric, s, "l", float(rng.normal()), True), (metric, s, "r", float(rng.normal() + shift), True)]
+    m = spark.createDataFrame(rows, "metric string, subject int, condition string, value double, ok boolean")
+    c = spark.createDataFrame([("lr", "l", "r")], "contrast_name string, left string, right string")
+    got = {r.metric: r for r in contrasts.drive(m, c, ["metric"], "subject", 200).collect()}
+    for metric in "abc":
+        v = {(s, k): x for a, s, k, x, _ in rows if a == metric for k in [k]}
+        d = np.array([v[s, "r"] - v[s, "l"] for s in sorted({s for s, _ in v})])
+        if len(d) <= 16:
+            sums = np.abs(((np.arange(2 ** len(d))[:, None] >> np.arange(len(d))) % 2 * -2 + 1) @ d)
+            assert got[metric].p == pytest.approx(((sums >= abs(d.sum()) - 1e-9).sum() + 1) / (len(sums) + 1))
+        assert got[metric].ci_low < d.mean() < got[metric].ci_high
+    p = sorted((got[x].p, x) for x in "abc")
+    q = np.minimum.accumulate([p[i][0] * 3 / (i + 1) for i in (2, 1, 0)])[::-1]
+    assert [got[x].q for _, x in p] == pytest.approx(np.minimum(q, 1).tolist())
+
+
+def test_transport_ratio_against_cones(spark, data):
+    got = {r.session: r for r in reachability_plans.t28(spark, data).collect()}
+    cone = reachability.cones(reachability_plans._models(spark, data), ["session"], "session int", 3).toPandas()
+    want = cone.groupby(["session", "h"])["q_ratio"].median()
+    for s in got:
+        assert [got[s][f"q_ratio_h{h}"] for h in range(1, 5)] == pytest.approx([want[s, h] for h in range(1, 5)], abs=2e-6)
+
+
 AXES = ["m", "d", "e"]
 
 

@@ -58,9 +58,9 @@ def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str,
     by = ["contrast_name", *keys]
     diffs = c.withColumn("diff", F.col("right") - F.col("left")).where("diff is not null").select(*by, pair, "diff")
     n = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    few = diffs.join(n.where("__n <= 12"), by, "left_semi")
-    many = diffs.join(n.where("__n > 12"), by, "left_semi")
-    p = stats.exact_paired_p(few, by, "diff", pair, 12).select(*by, "p").unionByName(stats.paired_permutation_p(many, by, "diff", pair, replicates).select(*by, "p"))
+    few = diffs.join(n.where("__n <= 16"), by, "left_semi")
+    many = diffs.join(n.where("__n > 16"), by, "left_semi")
+    p = stats.exact_paired_p(few, by, "diff", pair).select(*by, "p").unionByName(stats.paired_permutation_p(many, by, "diff", pair, replicates).select(*by, "p"))
     ci = stats.bootstrap_ci(diffs, by, "diff", pair, replicates).select(*by, "ci_low", "ci_high")
     out = paired_contrast(c, keys).join(p, by, "left").join(ci, by, "left").withColumn("p", F.when(F.col("skip_reason").isNull(), F.col("p")))
     return stats.benjamini_hochberg(out, ["contrast_name"], "p", keys[0] if keys else "contrast_name")
