@@ -282,6 +282,29 @@ def test_stage_slices_take_levels_of_the_session(spark):
     assert got["0:stage_n1"].speed_median == pytest.approx(np.sqrt(3)) and got["0:stage_n1"].speed_mad == pytest.approx(0, abs=1e-9) and got["0:stage_n1"].finite_ok and not got["0:stage_n1"].not_testable
 
 
+def test_stage_dynamics_query(spark, data):
+    """Levels come from the whole session, matrices from the slice."""
+    got = {r.slice: r for r in sequence_plans.w11(spark, data).collect()}
+    t = trajectory(spark, data).toPandas().sort_values(["session", "t_idx"])
+    t["stage"] = (t["t_idx"] // 10 % 3).map({0: "n1", 1: "n2", 2: "rem"})
+    checked = 0
+    for (session, stage), part in t.groupby(["session", "stage"]):
+        if len(part) < 10:
+            continue
+        level = t.loc[t["session"] == session, AXES].quantile(0.6)
+        code = sum((part[a] >= level[a] - 1e-12).astype(int) * 2**i for i, a in enumerate(AXES))
+        p = np.clip(np.bincount(code, minlength=8) / len(part), 1e-12, 1)
+        p = p / p.sum()
+        m = part[[f"x{i}" for i in range(9)]].to_numpy().reshape(-1, 3, 3)
+        s = np.linalg.svd(m, compute_uv=False)
+        r = got[f"{session}:stage_{stage}"]
+        assert r.occupancy_entropy == pytest.approx(-(p * np.log(p)).sum(), abs=2e-6) and r.condition_median == pytest.approx(np.median(s[:, 0] / s[:, -1]), rel=1e-4)
+        axis = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], 1) / 2
+        assert r.rotation_coherence == pytest.approx(np.linalg.norm((axis / np.linalg.norm(axis, axis=1, keepdims=True)).mean(0)), abs=2e-6)
+        checked += 1
+    assert checked == len(got) > 0
+
+
 def test_return_time_and_fdr_against_loops(spark):
     rng = np.random.default_rng(4)
     v = np.round(rng.exponential(size=60), 2)

@@ -83,6 +83,14 @@ def matrix_summary(df: DataFrame, by: list[str], by_types: str, d: int, index: s
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[f(n).alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg), ("median", F.median))])
 
 
+def with_matrices(rows: DataFrame, matrices: DataFrame, by: list[str], by_types: str, d: int, index: str = "t_idx", index_type: str = "long") -> DataFrame:
+    """Adds median, IQR and MAD of the condition number and the rotation coherence of each key's matrices."""
+    keys = [*by, index]
+    cond = condition_summary(spectra(matrices, keys, f"{by_types}, {index} {index_type}", d), by)
+    out = rows.join(cond.select(*by, *[F.col(c).alias(f"condition_{c}") for c in ("median", "iqr", "mad")]), by, "left")
+    return out.join(rotation_coherence(matrices, by).withColumnRenamed("coherence", "rotation_coherence"), by, "left")
+
+
 def flow_metrics(df: DataFrame, d: int, eps: float = 1e-12) -> DataFrame:
     """Rotational power rot^2 / (fro^2 + eps), ratio antisymmetric to symmetric, sum |diag| / fro; inf is null."""
     i = invariants(df, d)

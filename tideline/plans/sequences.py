@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.resample import uniform, uniform_sql
 from tideline.operators import sequences as op
+from tideline.operators.matrices import with_matrices
 from tideline.plans.registry import query
 from tideline.plans.shapes import EVENTS, TRAJECTORY, events, r6, trajectory
 
@@ -99,9 +100,10 @@ def w10(spark, d):
 
 @query("w11_stage_dynamics")
 def w11(spark, d):
-    t = trajectory(spark, d, 3)
+    t = trajectory(spark, d)
     s = op.stage_slices(t.withColumn("stage", F.floor(F.col("t_idx") / 10).cast("int") % 3), "session", "stage", {0: "n1", 1: "n2", 2: "rem"}, 10)
-    return r6(op.dynamics(s, ["slice"], AXES, 2.0, least=10, session=["session"], levels=op.corner_levels(t, ["session"], AXES)))
+    rows = op.dynamics(s, ["slice"], AXES, 2.0, least=10, session=["session"], levels=op.corner_levels(t, ["session"], AXES))
+    return r6(with_matrices(rows, s.select("slice", "t_idx", F.array(*[F.col(f"x{i}") for i in range(9)]).alias("j")), ["slice"], "slice string", 3))
 
 
 @query("w12_time_step", "WITH " + EVENTS + " SELECT subject, round(coalesce(median(dd) FILTER (dd > 0), 1), 6) AS dt FROM (SELECT subject, time - lag(time) OVER (PARTITION BY subject ORDER BY t_idx) AS dd FROM ev) GROUP BY subject")
