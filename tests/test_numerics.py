@@ -319,6 +319,21 @@ def test_return_time_and_fdr_against_loops(spark):
     assert [got[i] for i in order.tolist()] == pytest.approx(np.minimum(q, 1).tolist())
 
 
+def test_large_groups_equal_windows(spark):
+    """Ranks and q values by ranges are those of plain windows, with ties, nulls and null keys."""
+    rng = np.random.default_rng(9)
+    rows = [(None if g == 2 else g, i, None if rng.random() < 0.05 else float(rng.integers(0, 40)) / 40, float(rng.integers(0, 9))) for g in range(3) for i in range(300 if g else 5)]
+    df = spark.createDataFrame(rows, "g int, i int, p double, y double").repartition(5)
+    for one in (False, True):
+        for by in (["g"], []):
+            want = {(r.g, r.i): r.q for r in stats.benjamini_hochberg(df.withColumn("tie", F.coalesce("g", F.lit(9)) * 1000 + F.col("i")), by, "p", "tie", one).collect()}
+            got = {(r.g, r.i): r.q for r in stats.fdr_of_rows(df.withColumn("tie", F.coalesce("g", F.lit(9)) * 1000 + F.col("i")), by, "p", "tie", one).collect()}
+            assert len(got) == len(rows) and got.keys() == want.keys()
+            assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k]) for k in want)
+    small, large = ({r.g: (r.n, r.r) for r in stats.spearman(df, ["g"], "p", "y", large=x).collect()} for x in (False, True))
+    assert small.keys() == large.keys() and all(small[k][0] == large[k][0] and small[k][1] == pytest.approx(large[k][1]) for k in small)
+
+
 def test_leave_one_out_against_loops(spark):
     rng = np.random.default_rng(6)
     rows = [(g, i, None if i == 3 else float(rng.integers(0, 7 if g else 1000)), None if i == 5 else float(rng.integers(0, 5 if g else 1000))) for g in (0, 1) for i in range(37)]

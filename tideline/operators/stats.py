@@ -10,6 +10,37 @@ from pyspark.sql.window import Window
 
 from tideline.functions.distributions import chi2_p, t_p, wilcoxon_p
 from tideline.functions.resample import sign, uniform
+from tideline.sources.scan import written
+
+
+def _same(by: list[str], prefix: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by]
+
+
+def ordered(df: DataFrame, by: list[str], order: list[str], value: Column | None = None) -> DataFrame:
+    """Adds __part (a range of the order) and __before: the sum of ``value`` (rows) over earlier rows of the key.
+
+    For keys with very many rows: rows are range-partitioned by key and order and written down with their range; each
+    range is summed by itself, and only one row for each range and key is summed across ranges.
+    """
+    value = F.lit(1) if value is None else value
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    held = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__held"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = held.select(*[F.col(c).alias(f"__o_{c}") for c in by], F.col("__part").alias("__o_part"), F.coalesce(F.sum("__held").over(earlier), F.lit(0)).alias("__offset"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(offset, [F.col("__part") == F.col("__o_part"), *_same(by, "__o_")])
+    return out.withColumn("__before", F.col("__inside") + F.col("__offset")).drop("__inside", "__offset", "__o_part", *[f"__o_{c}" for c in by])
+
+
+def average_ranks(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """Average ranks (value column -> new column) within keys of any size: from counts of equal values, in ranges."""
+    for value, name in values.items():
+        counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+        ranks = ordered(counts, by, [value], F.col("__n")).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__r_value"), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(name))
+        df = df.join(ranks, [F.col(value).eqNullSafe(F.col("__r_value")), *_same(by, "__r_")]).drop("__r_value", *[f"__r_{c}" for c in by])
+    return df
 
 
 def average_rank(by: list[str], value: str) -> Column:
@@ -22,10 +53,13 @@ def correlation(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 5, p: bool = False) -> DataFrame:
-    """Rank correlation of complete pairs by key, null under ``least`` pairs; optionally its t-test p."""
+def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 5, p: bool = False, large: bool = False) -> DataFrame:
+    """Rank correlation of complete pairs by key, null under ``least`` pairs; optionally its t-test p.
+
+    ``large``: keys may have very many rows (ranks by ranges, see ``ordered``).
+    """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
+    ranked = average_ranks(pairs.select(*by, x, y), by, {x: "rx", y: "ry"}) if large else pairs.select(*by, average_rank(by, x).alias("rx"), average_rank(by, y).alias("ry"))
     n = F.count(F.lit(1))
     out = ranked.groupBy(*by).agg(n.alias("n"), F.when((n >= least) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), correlation("rx", "ry")).alias("r"))
     return out if not p else with_r_p(out, F.col("n") - 2)
@@ -77,6 +111,19 @@ def one_sample(df: DataFrame, by: list[str], value: str, least: int = 3, p: bool
     return out.withColumn("p", t_p(F.col("t"), F.col("n") - 1)) if p else out
 
 
+def fdr_of_rows(df: DataFrame, by: list[str], p: str = "p", tie: str = "id", null_as_one: bool = False) -> DataFrame:
+    """T7 for groups of any size: ranks and running minima by ranges of p (see ``ordered``)."""
+    d = df.withColumn("__p", F.coalesce(F.col(p), F.lit(1.0)) if null_as_one else F.col(p))
+    n = d.groupBy(*by).agg(F.count("__p").alias("__m")).select(*[F.col(c).alias(f"__m_{c}") for c in by], "__m")
+    r = ordered(d.where("__p is not null"), by, ["__p", tie]).join(F.broadcast(n) if not by else n, _same(by, "__m_") or F.lit(True)).withColumn("__q", F.col("__p") * F.col("__m") / (F.col("__before") + 1))
+    least = r.groupBy(*by, "__part").agg(F.min("__q").alias("__least"))
+    later = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    after = least.select(*[F.col(c).alias(f"__a_{c}") for c in by], F.col("__part").alias("__a_part"), F.min("__least").over(later).alias("__after"))
+    inside = F.min("__q").over(Window.partitionBy(*by, "__part").orderBy(F.desc("__before")).rowsBetween(Window.unboundedPreceding, 0))
+    q = r.withColumn("__inside", inside).join(after, [F.col("__part") == F.col("__a_part"), *_same(by, "__a_")]).withColumn("q", F.least("__inside", "__after", F.lit(1.0)))
+    return q.select(*df.columns, "q").unionByName(d.where("__p is null").select(*df.columns, F.lit(None).cast("double").alias("q")))
+
+
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", tie: str = "id", null_as_one: bool = False) -> DataFrame:
     """Q values by group; null p is left out (or counted as 1)."""
     v = F.coalesce(F.col(p), F.lit(1.0)) if null_as_one else F.col(p)

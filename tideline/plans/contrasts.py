@@ -96,13 +96,13 @@ BH = "SELECT grp, event_id, round(CASE WHEN p IS NOT NULL THEN least(1, min(q0)
 @query("t7_bh_fdr", "WITH " + EVENTS + ", pv AS (SELECT condition AS grp, event_id, CASE WHEN value IS NOT NULL THEN k / 100.0::DOUBLE END AS p FROM ev) " + BH)
 def t7(spark, d):
     e = events(spark, d).select(F.col("condition").alias("grp"), "event_id", F.when(F.col("value").isNotNull(), F.col("k") / 100.0).alias("p"))
-    return r6(stats.benjamini_hochberg(e, ["grp"], "p", "event_id").select("grp", "event_id", "q"))
+    return r6(stats.fdr_of_rows(e, ["grp"], "p", "event_id").select("grp", "event_id", "q"))
 
 
 @query("t7_bh_null_as_one", "WITH " + EVENTS + ", pv AS (SELECT condition AS grp, event_id, CASE WHEN value IS NOT NULL THEN k / 100.0::DOUBLE ELSE 1 END AS p FROM ev) " + BH)
 def t7b(spark, d):
     e = events(spark, d).select(F.col("condition").alias("grp"), "event_id", F.when(F.col("value").isNotNull(), F.col("k") / 100.0).alias("p"))
-    return r6(stats.benjamini_hochberg(e, ["grp"], "p", "event_id", True).select("grp", "event_id", "q"))
+    return r6(stats.fdr_of_rows(e, ["grp"], "p", "event_id", True).select("grp", "event_id", "q"))
 
 
 def _rank(c, by):
@@ -271,7 +271,7 @@ def t26(spark, d):
     e = events(spark, d)
     v, p = e.where("condition = 'view'").select("subject", "event_id", "time", "k"), e.where("condition = 'purchase'")
     n = joins.interval_count(v, p, "subject", "time", 36000.0, "time", "event_id").withColumn("grp", F.lit("all"))
-    return r6(stats.spearman(n, ["grp"], "n_inside", "k", 20))
+    return r6(stats.spearman(n, ["grp"], "n_inside", "k", 20, large=True))
 
 
 @query("t27_line_fit", "WITH " + EVENTS + " SELECT subject, round(regr_slope(value, k::DOUBLE), 6) AS slope, round(regr_intercept(value, k::DOUBLE), 6) AS intercept FROM ev GROUP BY subject")

@@ -14,7 +14,7 @@ def points(spark, d):
     return stride(trajectory(spark, d, 3), ["session"]).select("session", "t_idx", *AXES)
 
 
-TRANS = TRAJECTORY + """, tn AS (SELECT session, count(*) AS n FROM tr GROUP BY session), pt AS (SELECT session, (t_idx / CASE WHEN n > 200 THEN ceil(n / 200)::BIGINT ELSE 1 END)::BIGINT AS t_idx, m, d, e FROM tr JOIN tn USING (session) WHERE t_idx % CASE WHEN n > 200 THEN ceil(n / 200)::BIGINT ELSE 1 END = 0),
+TRANS = TRAJECTORY + """, tn AS (SELECT session, count(*) AS n FROM tr GROUP BY session), pt AS (SELECT session, (t_idx / CASE WHEN n > 2000 THEN ceil(n / 2000)::BIGINT ELSE 1 END)::BIGINT AS t_idx, m, d, e FROM tr JOIN tn USING (session) WHERE t_idx % CASE WHEN n > 2000 THEN ceil(n / 2000)::BIGINT ELSE 1 END = 0),
 nb AS (SELECT session, t_idx AS member, nbr AS source FROM (SELECT a.session, a.t_idx, b.t_idx AS nbr, row_number() OVER (PARTITION BY a.session, a.t_idx ORDER BY round((a.m - b.m)**2 + (a.d - b.d)**2 + (a.e - b.e)**2, 9), b.t_idx) AS rk FROM pt a JOIN pt b ON a.session = b.session) WHERE rk <= 8),
 ls AS (SELECT session, max(t_idx) AS last FROM pt GROUP BY session), sw AS (SELECT session, win, least(win + 1, last - 1) AS center, unnest(range(win, least(win + 2, last) + 1)) AS member FROM (SELECT session, last, unnest(range(0, greatest(last - 2, 0) + 1)) AS win FROM ls)),
 cs AS (SELECT DISTINCT session, win, center, source FROM sw JOIN nb USING (session, member)), tn2 AS (SELECT cs.session, win, center, source, x.m AS xm, x.d AS xd, x.e AS xe, y.m AS ym, y.d AS yd, y.e AS ye FROM cs JOIN pt x ON cs.session = x.session AND cs.source = x.t_idx JOIN pt y ON cs.session = y.session AND y.t_idx = cs.source + 1)"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tideline.functions.resample import uniform, uniform_sql
 from tideline.operators import sequences as op
 from tideline.operators.matrices import with_matrices
+from tideline.operators.stats import ordered
 from tideline.plans.registry import query
 from tideline.plans.shapes import EVENTS, TRAJECTORY, events, r6, trajectory
 
@@ -210,4 +211,5 @@ def w29(spark, d):
 
 @query("w30_p_rank", "WITH " + EVENTS + " SELECT event_id, row_number() OVER (PARTITION BY condition ORDER BY value ASC NULLS LAST, event_id)::INTEGER AS p_rank FROM ev")
 def w30(spark, d):
-    return op.p_rank(events(spark, d), ["condition"], "value", "event_id").select("event_id", "p_rank")
+    e = events(spark, d).withColumn("missing", F.col("value").isNull())  # nulls last
+    return ordered(e, ["condition"], ["missing", "value", "event_id"]).select("event_id", (F.col("__before") + 1).cast("int").alias("p_rank"))
