@@ -73,6 +73,9 @@ def test_leaks_odd_rows(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()} == {(5, 3), (6, 3), (5, None), (6, None), (4, 4), (4, 9), (9, 8)}
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.where("item_id < 0")).count() == 0
     assert decontaminate.clean(odd, items).count() == len(ODD) - 5
+    item = spark.createDataFrame([(1, "here stands a benchmark item of words")], "item_id long, text string")
+    shared = spark.createDataFrame([(None, "clean"), (None, "x here stands a benchmark item of words"), (7, "here stands a benchmark item of words y"), (7, "clean too"), (7, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.clean(shared, item).collect()} == {(None, "clean"), (7, "clean too"), (7, None)}
 
 
 # ---- 2

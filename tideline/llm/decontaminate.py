@@ -60,31 +60,38 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.withColumn("item", F.xxhash64("item_id", F.concat_ws("|", "shingles"))).drop("hashes")
 
 
-def leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, shared, n_item, containment) of every document and item at or above ``threshold``."""
-    docs = documents.select("doc_id", "text")
+def leaking_rows(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, row, item_id, shared, n) of each document's text (row: its hash) and item at or above ``threshold``."""
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
     index = cut(sketches(items, threshold))
     sizes = sorted(r["k"] for r in index.select("k").distinct().collect()) or [K]  # K lengths at most
     probes = small(cut(index.select(F.explode("sketch").alias("h"), "item", "k", "least").distinct()))
-    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= sizes[0])
+    hashed = docs.select("doc_id", "row", words(F.col("text")).alias("w")).where(F.size("w") >= sizes[0])
     hs = [shingle_hashes(F.col("w"), k) for k in sizes]
-    hashed = hashed.select("doc_id", F.xxhash64("w").alias("row"), F.size("w").alias("n_words"), (F.concat(*hs) if len(hs) > 1 else hs[0]).alias("hs"))
+    hashed = hashed.select("doc_id", "row", F.size("w").alias("n_words"), (F.concat(*hs) if len(hs) > 1 else hs[0]).alias("hs"))
     # explode_outer: for explode, the optimizer would copy the whole expression into a filter
     met = hashed.select("doc_id", "row", "n_words", F.explode_outer("hs").alias("h")).join(probes, "h")
     candidates = cut(met.where(F.col("n_words") - F.col("k") + 1 >= F.col("least")).select("doc_id", "row", "item").distinct())
     wanted = small(cut(candidates.select("doc_id").distinct()))
     again = docs.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    held = again.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.xxhash64("w")).dropDuplicates(["doc_id", "row"])
+    held = again.select("doc_id", "row", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "row"])
     held = held.select("doc_id", "row", F.explode_outer(_shingles(F.col("w"), sizes)).alias("shingle"))
     asked = small(cut(index.select("item", "item_id", "n", "needed", F.explode("shingles").alias("shingle"))))
     pairs = held.join(asked, "shingle").groupBy("doc_id", "row", "item", "item_id", "n", "needed").agg(F.count(F.lit(1)).alias("shared"))
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("row").alias("c_row"), F.col("item").alias("c_item"))
-    found = pairs.join(c, (F.col("row") == F.col("c_row")) & (F.col("item") == F.col("c_item")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi").where("shared >= needed")
+    found = pairs.join(c, (F.col("row") == F.col("c_row")) & (F.col("item") == F.col("c_item")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
+    return found.where("shared >= needed").select("doc_id", "row", "item_id", "shared", "n")
+
+
+def leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, shared, n_item, containment) of every document and item at or above ``threshold``."""
+    found = leaking_rows(documents, items, threshold)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), F.col("shared"), F.col("n").cast("long").alias("n_item"))).alias("b"))
     return best.select("doc_id", "item_id", "b.shared", "b.n_item", F.round("b.containment", 6).alias("containment"))
 
 
 def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` without those that leak an item; all columns stay."""
-    bad = small(cut(leaks(documents, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()))
-    return boxed(documents).join(bad, F.col("__doc.doc_id").eqNullSafe(F.col("__bad")), "left_anti").select("__doc.*")
+    """``documents`` without those that leak an item, known by id and text; all columns stay."""
+    bad = small(cut(leaking_rows(documents, items, threshold).select(F.col("doc_id").alias("__bad"), F.col("row").alias("__row")).distinct()))
+    rows = boxed(documents).join(bad, F.col("__doc.doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("__doc.text") == F.col("__row")), "left_anti")
+    return rows.select("__doc.*")
