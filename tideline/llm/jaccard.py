@@ -42,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import attach, cut, discard, small
+from tideline.llm.common import attach, batches_of, boxed, cut, discard, small
 
 GROUPS, LEAF, NODE, CHUNK = 512, 256, 16, 1 << 20
 #: Items of leaves that are unpacked at once.
 UNPACKED = 4096
+#: Edges of components that a task takes.
+EDGES = 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -256,7 +258,8 @@ class Join:
         of = small(cut(items.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("row").alias("r"))))
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
         rows = rows.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("id", "text")
-        return cut(rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]))
+        with batches_of(documents.sparkSession, 500):
+            return cut(rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]))
 
     def within_bound(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
         """The (a, b) of ``pairs`` whose summed minima of counts still allow a link."""
@@ -287,7 +290,8 @@ class Join:
         sets = self.fetch(documents, items, _both_ways(pairs, "a", "b").select(F.col("a").alias("id")).distinct())
         half = cut(attach(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"))
         both = half.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        with batches_of(documents.sparkSession, 200):
+            out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
         discard(half, sets)
         return out
 
@@ -300,7 +304,8 @@ class Join:
 
         first is the (doc_id, row) that stands for its component, copies the number of rows with this doc_id and row.
         """
-        described = cut(self.describe(documents))
+        with batches_of(documents.sparkSession, 500):
+            described = cut(self.describe(documents))
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")  # null ids last
         sets = described.where("n > 0").groupBy("name").agg(F.min(place).alias("first"))
         sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "name", "first"))
@@ -324,8 +329,10 @@ class Join:
         more = cut(more.join(near, ["a", "b"], "left_anti"))
         discard(members, pairs)
         if not more.isEmpty():
-            links = cut(links.union(self.links(documents, items, more)))
-            labels = cut(components(links))
+            more = self.links(documents, items, more)
+            if not more.isEmpty():
+                known = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+                labels = cut(components(known.union(more)))
 
         named = sets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         least = named.groupBy("label").agg(F.min("first").alias("stands"))
@@ -351,7 +358,8 @@ class Join:
         large = held.where(F.col("size") > LEAF)
         if not large.isEmpty():
             near = near.union(self._between_leaves(large, members, point))
-        return cut(near.distinct())
+        with batches_of(items.sparkSession, 100):
+            return cut(near.distinct())
 
     def _between_leaves(self, large: DataFrame, members: DataFrame, point: DataFrame) -> DataFrame:
         """(a, b) as ``cross_pairs`` gives them, of cells with more than one leaf's items."""
@@ -452,17 +460,16 @@ class Join:
         """
         c = cut(self._placed(documents).where("n_shingles > 0"))
         stands = F.col("doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-        names = [F.col("doc_id").alias("__doc"), F.col("row").alias("__text")]
+        names = [F.col("doc_id").alias("__as"), F.col("row").alias("__text")]
         gone = cut(c.where(~stands).select(*names).distinct())
         repeated = cut(c.where(stands).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*names))
         fate = small(cut(gone.withColumn("__fate", F.lit(1)).union(repeated.withColumn("__fate", F.lit(2)))))
-        names = [c for c in documents.columns if c not in ("__row", "__doc", "__text", "__fate")]
-        one = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__text"))
-        marked = documents.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("text").alias("__row")).join(fate, one, "left")
+        rows = boxed(documents).withColumns({"__id": F.col("__doc.doc_id").cast("long"), "__row": F.xxhash64("__doc.text")})
+        marked = rows.join(fate, F.col("__id").eqNullSafe(F.col("__as")) & (F.col("__row") == F.col("__text")), "left")
         kept = marked.where("__fate is null")
         if not repeated.isEmpty():
-            kept = kept.union(marked.where("__fate = 2").dropDuplicates(["doc_id", "__row"]))
-        return kept.select(*[F.col(f"`{c}`") for c in names])
+            kept = kept.union(marked.where("__fate = 2").dropDuplicates(["__id", "__row"]))
+        return kept.select("__doc.*")
 
 
 def _leaves(column: pa.Array) -> Iterator[dict]:
@@ -497,22 +504,32 @@ def pack_nodes(n: np.ndarray, point: np.ndarray) -> list[np.ndarray]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every linked item: the smallest one in its component, by large and small stars until they settle."""
-    state = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).alias("s")
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = edges.agg(state).first()
+    """(id, label) of every linked item: the smallest one in its component, by large and small stars until they settle.
+
+    Edges are read in as many partitions as their number asks for, so a few edges don't cost a task for each of the
+    session's shuffle partitions in every round.
+    """
+    state = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).alias("s")
+
+    def packed(edges: DataFrame) -> tuple:
+        now = edges.agg(state).first()["s"]
+        return edges.coalesce(max(1, -(-now["n"] // EDGES))), now
+
+    written = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, before = packed(written)
     while True:
         # large star: larger neighbours go to the smallest one; where that is the item itself nothing changes
-        both = _both_ways(edges, "u", "v")
-        moves = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        moves = _both_ways(edges, "u", "v").coalesce(max(1, -(-before["n"] // EDGES))).groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("at"), "m")
         by_end = edges.select(F.col("v").alias("at"), "u")
-        large = cut(attach(by_end, cut(moves.select(F.col("u").alias("at"), "m")), "at", "left").select("u", F.coalesce("m", "at").alias("v")).distinct())
+        large = cut(attach(by_end, moves, "at", "left").select("u", F.coalesce("m", "at").alias("v")).distinct())
         # small star: an item and its smaller neighbours go to the smallest of them
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        after = attach(large, least, "u")
-        after = cut(after.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        discard(edges, large, least)
-        edges, now = after, after.agg(state).first()
+        some = large.coalesce(max(1, -(-before["n"] // EDGES)))
+        least = some.groupBy("u").agg(F.min("v").alias("m"))
+        after = attach(some, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut(after.union(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(max(1, -(-before["n"] // EDGES))).distinct())
+        discard(written, large)
+        written = after
+        edges, now = packed(after)
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
         before = now
