@@ -292,6 +292,16 @@ def test_sharding_random_groups(spark):
         assert capacity == brute_capacity(sizes, k) and max(np.diff(cuts)) <= capacity and cuts[-1] == sum(sizes) and set(cuts) <= {0, *np.cumsum(sizes).tolist()}
 
 
+def test_sharding_of_texts_with_many_rows(spark, odd, monkeypatch):
+    """Texts over the limit are joined by broadcast: the shards are the same."""
+    docs = odd.union(odd).union(odd)
+    shards = lambda: collections.Counter((r.doc_id, r.text, r.shard) for r in sharding.shard_documents(docs, 3).collect())
+    want = shards()
+    monkeypatch.setattr(sharding, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    assert shards() == want and sum(want.values()) == 3 * len(ODD)
+
+
 def test_sharding_odd_rows(odd, none):
     rows = sharding.assign(odd, 4).collect()
     assert len(rows) == len(ODD) and {r.size for r in rows if r.doc_id in (1, 2)} == {16}

@@ -163,5 +163,6 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     often = small(cut(of.where(F.col("__n") > HOT_ROWS).select(F.col("__key").alias("__hot"), F.col("__shard").alias("__its"))))
     marked = keyed.join(often, F.col("__at") == F.col("__hot"), "left")
     hot = marked.where("__hot is not null").select("__doc", F.col("__its").alias("shard"))
-    cold = marked.where("__hot is null").join(of.where(F.col("__n") <= HOT_ROWS), F.col("__at") == F.col("__key")).select("__doc", F.col("__shard").alias("shard"))
+    rest = small(of.where(F.col("__n") <= HOT_ROWS))
+    cold = marked.where("__hot is null").join(rest, F.col("__at") == F.col("__key")).select("__doc", F.col("__shard").alias("shard"))
     return hot.union(cold).select("__doc.*", "shard")
