@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.window import Window
 
 #: Everything that isn't a-z, 0-9 or beyond ASCII separates words (after lower-casing A-Z).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,6 +105,24 @@ def attach(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> Da
     return often.join(small(chosen), key, how).unionByName(seldom.join(side, key, how))
 
 
+def positions(rows: DataFrame, order: list[Column], group: str) -> DataFrame:
+    """``rows`` (a written table) with pos, a row's place from 0 in its ``group`` by ``order``, and n, the group's rows.
+
+    Rows are sorted by ranges of (group, order), so no group meets in one task; a range's rows of a group are counted on
+    from those of the ranges before it. ``order`` must tell all rows apart that differ, and ``group`` holds no nulls.
+    """
+    by = [F.col(group), *order]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # numbers are written down with the rows, so a lost executor can't deal them anew
+    dealt = cut(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    held = dealt.groupBy(F.col(group).alias("__g"), F.shiftright("__at", 33).alias("__part")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("__g")  # as many rows as ranges, at most
+    before = F.sum("__n").over(whole.orderBy("__part")) - F.col("__n") - F.col("__first")
+    starts = small(cut(held.select("__g", "__part", before.alias("__shift"), F.sum("__n").over(whole).alias("n"))))
+    told = dealt.join(starts, (F.col(group) == F.col("__g")) & (F.shiftright("__at", 33) == F.col("__part")))
+    return told.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__at", "__g", "__part", "__shift")
+
+
 def boxed(documents: DataFrame, *without: str) -> DataFrame:
     """One column, __doc, that holds all columns of ``documents``: beside it no name can clash with theirs."""
     return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in without]).alias("__doc"))
