@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, jaccard, licenses, line_dedup, mixing, sharding, tiff, toxicity, urls, warc
+from tideline.llm import decontaminate, jaccard, licenses, line_dedup, merkle, mixing, quality, resample, sharding, tiff, toxicity, urls, warc
 from tideline.llm.common import table
 
 CATEGORIES = ["low_quality", "toxic"]
@@ -56,6 +56,20 @@ def op10_warc(spark, sf_dir):
     return warc.read_records(warc.write_bundles(table(spark, sf_dir, "pages")))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark, sf_dir):
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    base_failed = F.arrays_overlap("failed", F.array(*[F.lit(x) for x in sorted(quality.BASE)]))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def op13_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     out = {name: f for name, f in globals().items() if name.startswith("op")}
     return out | {"pipeline": corpus_pipeline.run}
