@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -99,15 +101,38 @@ def source_catalog(frames: list[DataFrame], column: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [f.select(column).distinct() for f in frames]).where(F.col(column).isNotNull()).distinct()
 
 
+_KEPT: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the JVM is gone: what it wrote stays
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; where it is unset, a temporary one in local mode."""
+    """A new folder below spark.checkpoint.dir, which all executors see; where it is unset, a temporary one in local mode.
+
+    It lies in a folder of this application, which is deleted when the driver's program ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tideline/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tideline/{spark.sparkContext.applicationId}"
+    if own not in _KEPT:
+        _KEPT.add(own)
+        atexit.register(_at_exit, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
