@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window
 
+from tideline.sources.scan import remove, shared_folder
+
 #: Everything that isn't a-z, 0-9 or beyond ASCII separates words (after lower-casing A-Z).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,21 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is made, in local mode only (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tideline/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_at = path
@@ -63,9 +50,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once everything that was derived from them is itself written."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.cut_at)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, df.cut_at)
 
 
 def size_of(df: DataFrame) -> int:

@@ -14,8 +14,8 @@ keep both a range's rows and a source's ranges near the square root of its rows,
 rows is not gathered anywhere.
 
 Cases: null and empty texts have no tokens and go wherever their place falls; a source without tokens has weight 0
-and each of its rows comes once; null is a source of its own; rows with the same id and text stand at one place of
-a permutation and are taken together; an empty table gives no rows; other columns stay as they are.
+and each of its rows comes once; null is a source of its own; rows of a source with the same id and text stand at one
+place of its permutation and are taken together, whatever other sources do with theirs; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def mix(documents: DataFrame, entropy: float | None = None, repeats: float | Non
     inside = Window.partitionBy("source", "range").orderBy(F.col("order") < 0, "order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     ran = part.withColumn("ran", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     chosen = ran.join(before, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).where(F.col("ran") + F.col("before") < F.col("left"))
-    extra = chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).distinct()
+    extra = chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("source").alias("__of")).distinct()
 
     if ids_only:
         each = rows.select("doc_id", "source", "n_tokens", F.col("row").alias("__row"))
@@ -116,7 +116,7 @@ def mix(documents: DataFrame, entropy: float | None = None, repeats: float | Non
         each = boxed(documents, "__epoch", "__order").withColumn("__row", F.xxhash64(id_, F.col("__doc.text")))
         extra = small(cut(extra))
     each = each.join(sources.select("__s", F.floor("epochs").cast("int").alias("__whole")), source.eqNullSafe(F.col("__s")), "left")
-    each = each.join(extra, id_.eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
+    each = each.join(extra, id_.eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")) & source.eqNullSafe(F.col("__of")), "left")
     last = F.when(F.col("__r").isNotNull(), F.col("__whole")).otherwise(F.col("__whole") - 1)
     each = each.withColumn("__epoch", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))).where("__epoch is not null")
     order = F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__row"))

@@ -81,7 +81,7 @@ def measured(documents: DataFrame) -> DataFrame:
         "doc_id", n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), _count(F.col("__t"), SYMBOLS).alias("n_symbols"),
         (lines - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), "n_repeat_words", _count(F.col("__t"), MARKS).alias("n_marks"), lines.cast("long").alias("n_lines"),
         F.size(F.filter("__w", lambda x: x.isin(*STOP_WORDS, *[w.capitalize() for w in STOP_WORDS]))).cast("long").alias("n_stop_words"),
-        like(r"^[\x20\x09-\x0D]*[-*•‣◦]").cast("long").alias("n_bullets"), like(r"(\.\.\.|…)[\x20\x09-\x0D]*$").cast("long").alias("n_ellipses"),
+        like(r"^[\x20\x09-\x0D]*[-*•‣◦]").cast("long").alias("n_bullets"), like(r"([.][.][.]|…)[\x20\x09-\x0D]*$").cast("long").alias("n_ellipses"),
     )
     words, by_line = F.col("n_words"), F.col("n_lines")
     ratios = {"mean_word": ("word_chars", words), "symbol_ratio": ("n_symbols", words), "mark_ratio": ("n_marks", words), "stop_ratio": ("n_stop_words", words), "repeat_ratio": ("n_repeat_words", words), "dup_line_ratio": ("n_dup_lines", by_line), "bullet_ratio": ("n_bullets", by_line), "ellipsis_ratio": ("n_ellipses", by_line)}

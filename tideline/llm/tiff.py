@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 BLOCK, WIDTH, HEIGHT, TILE = 576, 96, 192, 96
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
-PAGE = "doc_id long, page int, pages int, width int, height int, samples int, compression int, predictor int, tiled boolean, n_bytes long, media_bytes long, media_sha256 string, pixels binary, error string"
+PAGE = "page int, pages int, width int, height int, samples int, compression int, predictor int, tiled boolean, n_bytes long, media_bytes long, media_sha256 string, pixels binary, error string"
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -241,16 +241,23 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = b"" if text is None else text.encode()
                 size = max(BLOCK, -(-len(data) // BLOCK) * BLOCK)
                 out.append((key, len(data), write_tiff(data.ljust(size, b"\xff"))))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media"])
+
+
+def _mapped(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``rows`` through ``run``; ids go as text, for a nullable column of whole numbers would pass through floats in a worker."""
+    kind = rows.schema["doc_id"].dataType
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, " + schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def to_tiff(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a TIFF."""
-    return documents.select("doc_id", "text").mapInPandas(_encode, "doc_id long, n_bytes long, media binary")
+    return _mapped(documents.select("doc_id", "text"), _encode, "n_bytes long, media binary")
 
 
 def _pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in PAGE.split(", ")]
+    names = ["doc_id", *(x.split()[0] for x in PAGE.split(", "))]
     for part in parts:
         out, held = [], 0
         for key, n_bytes, media in part.itertuples(index=False):
@@ -272,13 +279,13 @@ def _pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _typed(rows: list[dict], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows).reindex(columns=names)
-    whole = ["doc_id", "page", "pages", "width", "height", "samples", "compression", "predictor", "n_bytes", "media_bytes"]
+    whole = ["page", "pages", "width", "height", "samples", "compression", "predictor", "n_bytes", "media_bytes"]
     return frame.astype({c: "Int64" for c in whole} | {"tiled": "boolean"}).astype({c: object for c in ("pixels", "error", "media_sha256")}).where(frame.notna(), None)
 
 
 def tiff_pages(media: DataFrame) -> DataFrame:
     """One row per page of each (doc_id, n_bytes, media); pages of an image come one after another."""
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(_pages, PAGE)
+    return _mapped(media.select("doc_id", "n_bytes", "media"), _pages, PAGE)
 
 
 def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,9 +309,9 @@ def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 feature = f"pages={int(r.pages)};layout={kinds};mean={mean};square={squares};levels={int((counts > 0).sum())};mode={int(counts.argmax())}"
                 out.append((r.doc_id, r.n_bytes, size, sha.hexdigest(), zlib.crc32(tail), r.media_bytes, r.media_sha256, feature if r.page >= 0 else f"error={r.error}"))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def digest_pages(pages: DataFrame) -> DataFrame:
     """One row per image from its consecutive page rows: digests of what was read back, and features."""
-    return pages.mapInPandas(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _mapped(pages, _digests, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

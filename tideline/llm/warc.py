@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import cut, small
 
-LEAST, FRAME, BUNDLE = 100, 1 << 18, 1 << 24
+LEAST, FRAME = 100, 1 << 18
+#: A bundle ends with the record that reaches one of these: its stored bytes, its plain bytes, its records.
+BUNDLE, PLAIN, RECORDS = 1 << 24, 1 << 27, 20_000
 SKIP, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -93,13 +95,13 @@ def _bundles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for part in parts:
         for r in part.itertuples(index=False):
-            key, refers = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
+            key, refers = (None if x is None else int(x) for x in (r.page_id, r.refers_to))
             payload = b"" if r.html is None else r.html.encode()
             index.append({"page_id": key, "frame": len(frames), "offset": len(plain)})
             plain += record(key, r.url, payload, r.payload_digest, len(payload), refers)
             if len(plain) >= FRAME:
                 close_frame()
-            if len(data) >= BUNDLE:
+            if len(data) >= BUNDLE or len(index) >= RECORDS or sum(n for _, n in frames) >= PLAIN:
                 yield close()
     if index:
         yield close()
@@ -113,7 +115,8 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     firsts = small(cut(shared.select(F.col("payload_digest").alias("d"), "first")))
     told = rows.join(firsts, F.col("payload_digest") == F.col("d"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    told = told.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    # as text, for a nullable column of whole numbers would pass through floats in a worker
+    told = told.select(F.col("page_id").cast("string"), "url", "html", "payload_digest", refers.cast("string").alias("refers_to"))
     return cut(told.mapInPandas(_bundles, "bundle string, content binary, records array<struct<page_id:bigint,frame:int,offset:bigint>>"))
 
 
@@ -133,11 +136,11 @@ def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     plain = unpack.decompress(content[start : start + c], max_output_size=d)
                 headers, block = parse(plain, r["offset"])
                 name = headers["WARC-Record-ID"][len("<urn:page:") : -1]
-                key = int(name) if name else None
+                key = name or None
                 if headers["WARC-Type"] == "response":
                     out.append((key, len(block), hashlib.sha256(block).hexdigest(), "response", None))
                 else:
-                    out.append((key, int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", int(headers["WARC-Refers-To"][len("<urn:page:") : -1])))
+                    out.append((key, int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", headers["WARC-Refers-To"][len("<urn:page:") : -1]))
                 if len(out) == 10_000:
                     yield _rows(out)
                     out = []
@@ -145,9 +148,10 @@ def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rows(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+    return pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def read_records(bundles: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the bundles."""
-    return bundles.select("content", "records").mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = bundles.select("content", "records").mapInPandas(_read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")}).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
