@@ -41,7 +41,7 @@ def features(w: Column, grams: int, buckets: int) -> Column:
 
 def bucket_counts(texts: DataFrame, grams: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) over all texts; buckets without features are left out."""
-    return texts.select(F.explode(features(F.col("text"), grams, buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(F.explode(features(words(F.col("text")), grams, buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gains(documents: DataFrame, target: DataFrame, grams: int = 1, buckets: int = BUCKETS) -> np.ndarray:
