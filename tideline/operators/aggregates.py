@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.filters import finite
+from tideline.operators.quantiles import quantiles
 
 
 def finite_stats(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -21,17 +22,22 @@ def finite_stats(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return out.withColumn("finite_ok", reduce(lambda a, b: a & b, [F.col(f"{c}_n_finite") == F.col("n_total") for c in columns]))
 
 
-def spread(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """A2: n, mean, median, std, mad, iqr, min, max; the median is joined back for the absolute deviations."""
+def spread(df: DataFrame, by: list[str], column: str, large: bool = False) -> DataFrame:
+    """A2: n, mean, median, std, mad, iqr, min, max; the median is joined back for the absolute deviations.
+
+    ``large``: keys may have very many rows; quartiles and deviations come from refined ranges (see ``quantiles``).
+    """
     clean = df.select(*by, finite(F.col(column)).alias("v"))
-    first = clean.groupBy(*by).agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"),
-        (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"), F.min("v").alias("min"), F.max("v").alias("max"),
-    )
+    on = lambda p: reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"{p}{b}")) for b in by])
+    aggs = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
+    if large:
+        order = quantiles(df, by, {"v": finite(F.col(column))}, {"q25": 0.25, "median": 0.5, "q75": 0.75}, "mad")
+        order = order.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("v_median").alias("median"), (F.col("v_q75") - F.col("v_q25")).alias("iqr"), F.col("v_mad").alias("mad"))
+        return clean.groupBy(*by).agg(*aggs).join(order, on("__")).select(*by, "n", "mean", "median", "std", "mad", "iqr", "min", "max")
+    first = clean.groupBy(*by).agg(*aggs, F.median("v").alias("median"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"))
     centre = first.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("median").alias("__median"))
-    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
-    mad = clean.join(centre, on).groupBy(*[f"__{b}" for b in by]).agg(F.median(F.abs(F.col("v") - F.col("__median"))).alias("mad"))
-    return first.join(mad, on).select(*by, "n", "mean", "median", "std", "mad", "iqr", "min", "max")
+    mad = clean.join(centre, on("__")).groupBy(*[f"__{b}" for b in by]).agg(F.median(F.abs(F.col("v") - F.col("__median"))).alias("mad"))
+    return first.join(mad, on("__")).select(*by, "n", "mean", "median", "std", "mad", "iqr", "min", "max")
 
 
 def feature_summary(long: DataFrame, by: list[str], least: int = 3) -> DataFrame:
@@ -53,11 +59,14 @@ def complete_rows(long: DataFrame, by: list[str], index: str, stage: str, least:
 
 
 def stage_summary(df: DataFrame, stage: str, subject: str, block: str, columns: list[str]) -> DataFrame:
-    """Per stage distinct subjects, distinct (subject, block), windows, mean and median of each column."""
+    """Per stage distinct subjects, distinct (subject, block), windows, mean and median of each column.
+
+    A stage is a large part of all windows: its medians come from refined ranges.
+    """
     aggs = [F.count_distinct(subject).alias("n_subjects"), F.count_distinct(subject, block).alias("n_blocks"), F.count(F.lit(1)).alias("n_windows")]
-    for c in columns:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median")]
-    return df.groupBy(stage).agg(*aggs)
+    out = df.groupBy(stage).agg(*aggs, *[F.avg(c).alias(f"{c}_mean") for c in columns])
+    middle = quantiles(df, [stage], {c: F.col(c) for c in columns}, {"median": 0.5}).withColumnRenamed(stage, "__stage")
+    return out.join(middle, F.col(stage).eqNullSafe(F.col("__stage"))).drop("__stage")
 
 
 def medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tideline.functions.resample import sign, uniform
 from tideline.operators import stats
+from tideline.operators.quantiles import quantiles
 
 
 def collapse(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: list[str]) -> DataFrame:
@@ -42,10 +43,14 @@ def paired_contrast(collapsed: DataFrame, keys: list[str], least: int = 3) -> Da
 
 
 def unpaired_contrast(df: DataFrame, keys: list[str], is_left: Column, value: str = "value", least: int = 2) -> DataFrame:
-    """Two groups: n, mean, median, right - left, Cohen's d with the pooled deviation."""
+    """Two groups of any size: n, mean, median (from refined ranges), right - left, Cohen's d with the pooled deviation."""
     v = {"left": F.when(is_left, F.col(value)), "right": F.when(~is_left, F.col(value))}
-    aggs = [f(v[s]).alias(f"{s}_{n}") for s in v for n, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("var", F.var_samp))]
+    aggs = [f(v[s]).alias(f"{s}_{n}") for s in v for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
     out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    middle = quantiles(df, keys, v, {"median": 0.5})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    middle = middle.select(*[F.col(k).alias(f"__{k}") for k in keys], "left_median", "right_median")
+    out = out.join(middle if keys else F.broadcast(middle), on, "left").drop(*[f"__{k}" for k in keys])  # without keys, one row each
     n1, n2 = F.col("left_n"), F.col("right_n")
     pooled = F.sqrt(((n1 - 1) * F.col("left_var") + (n2 - 1) * F.col("right_var")) / F.nullif(n1 + n2 - 2, F.lit(0)))
     out = out.withColumn("effect_estimate", F.col("right_mean") - F.col("left_mean")).withColumn("effect_size", F.when((n1 >= least) & (n2 >= least) & (pooled > 0), F.col("effect_estimate") / pooled))

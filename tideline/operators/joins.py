@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators.ranges import running
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null meets null; keys come out once."""
@@ -29,24 +31,38 @@ def paired(df: DataFrame, keys: list[str], left: Column, right: Column, value: s
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, tolerance: float, key: str, ties: list[str]) -> DataFrame:
     """For each left row the nearest right row within ``tolerance`` (inclusive), the earlier on ties.
 
-    Both sides meet in time buckets as wide as the tolerance, so only neighbours are compared.
+    A merge: both sides in one order of time, where each left row sees the last right row before it and the first
+    after it (see ``running``). No left row is repeated, and times may be as dense as they like.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("__b", bucket(f"r_{right_time}"))
-    l = left.withColumn("__b", F.explode(F.array(*[bucket(left_time) + i for i in (-1, 0, 1)])))
-    near = l.join(r, (l[by] == r[f"r_{by}"]) & (l["__b"] == r["__b"])).drop("__b")
-    near = near.withColumn("__dt", F.abs(F.col(f"r_{right_time}") - F.col(left_time))).where(F.col("__dt") <= tolerance)
-    best = near.groupBy(key).agg(F.min(F.struct("__dt", f"r_{right_time}", *[f"r_{t}" for t in ties])).alias("__m"))
-    return left.join(best, key, "left").select(*[left[c] for c in left.columns], F.col(f"__m.r_{right_time}").alias(f"near_{right_time}"), *[F.col(f"__m.r_{t}").alias(f"near_{t}") for t in ties])
+    r = right.where(F.col(right_time).isNotNull()).groupBy(F.col(by).alias("__by"), F.col(right_time).alias("__t")).agg(F.min(F.struct(F.col(right_time).alias("t"), *ties)).alias("__r"))  # one of equal times
+    empty = F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType)
+    rows = r.select("__by", F.col("__t").cast("double").alias("__t"), F.lit(0).alias("__side"), "__r", empty.alias("__l"))
+    rows = rows.unionByName(left.where(F.col(left_time).isNotNull()).select(F.col(by).alias("__by"), F.col(left_time).cast("double").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.struct(*left.columns).alias("__l")))
+    met = running(rows, ["__by"], ["__t", "__side"], {"__p": ("max", F.col("__r"))}, {"__f": ("min", F.col("__r"))}).where("__side = 1")
+    gap = lambda x: F.abs(F.col(f"{x}.t") - F.col(f"__l.{left_time}"))
+    near = F.when(F.coalesce(gap("__p") <= gap("__f"), F.col("__f").isNull()), F.col("__p")).otherwise(F.col("__f"))
+    near = met.withColumn("__n", near).withColumn("__n", F.when(F.abs(F.col("__n.t") - F.col(f"__l.{left_time}")) <= tolerance, F.col("__n")))
+    out = near.select("__l.*", F.col("__n.t").alias(f"near_{right_time}"), *[F.col(f"__n.{t}").alias(f"near_{t}") for t in ties])
+    timeless = left.where(F.col(left_time).isNull())
+    return out.unionByName(timeless.select("*", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[len(left.columns) :]]))
+
+
+def _edges(windows: DataFrame, points: DataFrame, by: str, start: str, length: float, time: str, key: str) -> DataFrame:
+    """(__by, __t, __kind, __k, __p): starts (0) and ends (1) of windows, and points (2), which follow edges of their time."""
+    w = windows.select(F.col(by).alias("__by"), F.col(start).cast("double").alias("__s"), F.col(key).alias("__k"))
+    p = points.select(F.col(by).alias("__by"), F.col(time).cast("double").alias("__t"), F.struct("*").alias("__p")).where("__t is not null")
+    edge = lambda at, kind: w.select("__by", at.alias("__t"), F.lit(kind).alias("__kind"), "__k", F.lit(None).cast(p.schema["__p"].dataType).alias("__p"))
+    return edge(F.col("__s"), 0).unionByName(edge(F.col("__s") + length, 1)).where("__t is not null").unionByName(p.select("__by", "__t", F.lit(2).alias("__kind"), F.lit(None).cast(w.schema["__k"].dataType).alias("__k"), "__p"))
 
 
 def interval_count(windows: DataFrame, points: DataFrame, by: str, start: str, length: float, time: str, key: str) -> DataFrame:
-    """Number of points in [start, start + length) of each window, 0 when none; a bucketed range join."""
-    bucket = lambda c: F.floor(c / F.lit(length)).cast("long")
-    w = windows.select(F.col(key).alias("__k"), F.col(by).alias("__by"), F.col(start).alias("__s"), F.explode(F.array(bucket(F.col(start)), bucket(F.col(start)) + 1)).alias("__b"))
-    p = points.select(F.col(by).alias("__pby"), F.col(time).alias("__t"), bucket(F.col(time)).alias("__pb"))
-    hit = w.join(p, (F.col("__by") == F.col("__pby")) & (F.col("__b") == F.col("__pb"))).where("__t >= __s").where(F.col("__t") < F.col("__s") + length)
-    n = hit.groupBy("__k").agg(F.count(F.lit(1)).alias("n_inside"))
+    """Number of points in [start, start + length) of each window, 0 when none.
+
+    A sweep over edges and points in the order of time: points before the end minus points before the start. A window
+    is two rows, however many points it holds.
+    """
+    swept = running(_edges(windows, points.select(by, time), by, start, length, time, key), ["__by"], ["__t", "__kind"], {"__n": ("sum", F.when(F.col("__kind") == 2, 1).otherwise(0))})
+    n = swept.where("__kind < 2").groupBy("__k").agg(F.sum(F.when(F.col("__kind") == 1, F.col("__n")).otherwise(-F.col("__n"))).alias("n_inside"))
     return windows.join(n, windows[key] == F.col("__k"), "left").drop("__k").withColumn("n_inside", F.coalesce("n_inside", F.lit(0)).cast("long"))
 
 
@@ -89,13 +105,18 @@ def pair_distances(df: DataFrame, by: str, index: str, axes: list[str]) -> DataF
 
 
 def stage_of_windows(windows: DataFrame, points: DataFrame, by: str, start: str, length: float, time: str, key: str, code: str, order: str) -> DataFrame:
-    """The code of the last point (by ``order``) in each window, -1 when none."""
-    bucket = lambda c: F.floor(c / F.lit(length)).cast("long")
-    w = windows.select(F.col(key).alias("__k"), F.col(by).alias("__by"), F.col(start).alias("__s"), F.explode(F.array(bucket(F.col(start)), bucket(F.col(start)) + 1)).alias("__b"))
-    p = points.select(F.col(by).alias("__pby"), F.col(time).alias("__t"), F.col(code).alias("__c"), F.col(order).alias("__o"), bucket(F.col(time)).alias("__pb"))
-    hit = w.join(p, (F.col("__by") == F.col("__pby")) & (F.col("__b") == F.col("__pb"))).where("__t >= __s").where(F.col("__t") < F.col("__s") + length)
-    last = hit.groupBy("__k").agg(F.max_by("__c", "__o").alias("stage"))
-    return windows.join(last, windows[key] == F.col("__k"), "left").drop("__k").withColumn("stage", F.coalesce("stage", F.lit(-1)))
+    """The code of the last point (by ``order``, which needn't be that of time) in each window, -1 when none.
+
+    Time is cut into stretches as long as a window. A window is the rest of one and the beginning of the next (or all of
+    one), so its last point is the later of a running maximum from behind at its start and one from the front at its end.
+    """
+    edges = _edges(windows, points.select(by, time, code, order), by, start, length, time, key)
+    # the end's stretch is the one after its start's, whatever rounding says
+    stretch = F.floor(F.when(F.col("__kind") == 1, F.col("__t") - length).otherwise(F.col("__t")) / F.lit(float(length))) + F.when(F.col("__kind") == 1, 1).otherwise(0)
+    point = F.when(F.col("__kind") == 2, F.struct(F.col(f"__p.{order}").alias("o"), F.col(f"__p.{code}").alias("c")))
+    met = running(edges.withColumn("__s", stretch), ["__by", "__s"], ["__t", "__kind"], {"__a": ("max", point)}, {"__z": ("max", point)})
+    last = met.where("__kind < 2").groupBy("__k").agg(F.max(F.when(F.col("__kind") == 0, F.col("__z")).otherwise(F.col("__a"))).alias("__m"))
+    return windows.join(last.select("__k", F.col("__m.c").alias("stage")), windows[key] == F.col("__k"), "left").drop("__k").withColumn("stage", F.coalesce("stage", F.lit(-1)))
 
 
 def listed(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

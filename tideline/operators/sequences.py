@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators.quantiles import quantiles
+
 
 def _norm(parts) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
@@ -205,8 +207,13 @@ def centre(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.join(m, by).withColumns({f"{c}_sc": F.col(c) - F.col(f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def _centre_spread(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """Adds median, population std, mean and MAD of several columns at once: two aggregations in all."""
+def _centre_spread(df: DataFrame, by: list[str], values: list[str], large: bool) -> DataFrame:
+    """Adds median, population std, mean and MAD of several columns at once; medians of large keys from refined ranges."""
+    if large:
+        order = quantiles(df, by, {v: F.col(v) for v in values}, {"median": 0.5}, "mad")
+        m = df.groupBy(*by).agg(*[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("std", F.stddev_pop), ("mean", F.avg))])
+        m = m.join(order.select(*by, *[F.col(f"{v}_{c}").alias(f"__{n}_{v}") for v in values for n, c in (("med", "median"), ("mad", "mad"))]), by)
+        return df.join(m, by)
     m = df.groupBy(*by).agg(*[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("med", F.median), ("std", F.stddev_pop), ("mean", F.avg))])
     d = df.join(m, by)
     mad = d.groupBy(*by).agg(*[F.median(F.abs(F.col(v) - F.col(f"__med_{v}"))).alias(f"__mad_{v}") for v in values])
@@ -217,9 +224,9 @@ def _drop_spread(df: DataFrame, values: list[str]) -> DataFrame:
     return df.drop(*[f"__{n}_{v}" for n in ("med", "std", "mean", "mad") for v in values])
 
 
-def robust_z(df: DataFrame, by: list[str], *values: str) -> DataFrame:
-    """(x - median) / MAD (unscaled), else / population std, else 0; columns z_<value>."""
-    d = _centre_spread(df, by, list(values))
+def robust_z(df: DataFrame, by: list[str], *values: str, large: bool = False) -> DataFrame:
+    """(x - median) / MAD (unscaled), else / population std, else 0; columns z_<value>. ``large`` as in A2."""
+    d = _centre_spread(df, by, list(values), large)
     for v in values:
         gap = F.col(v) - F.col(f"__med_{v}")
         z = F.when(F.col(v).isNull(), None).when(F.col(f"__mad_{v}") > 1e-12, gap / F.col(f"__mad_{v}")).when(F.col(f"__std_{v}") > 1e-12, gap / F.col(f"__std_{v}")).otherwise(0.0)
@@ -227,9 +234,9 @@ def robust_z(df: DataFrame, by: list[str], *values: str) -> DataFrame:
     return _drop_spread(d, list(values))
 
 
-def logistic_normalise(df: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+def logistic_normalise(df: DataFrame, by: list[str], names: dict[str, str], large: bool = False) -> DataFrame:
     """Logistic of z by 1.4826 MAD around the median, else by std around the mean, else 0.5; value -> new column."""
-    d = _centre_spread(df, by, list(names))
+    d = _centre_spread(df, by, list(names), large)
     for v, out in names.items():
         z = F.when(F.col(f"__mad_{v}") > 1e-12, (F.col(v) - F.col(f"__med_{v}")) / (1.4826 * F.col(f"__mad_{v}"))).when(F.col(f"__std_{v}") > 1e-12, (F.col(v) - F.col(f"__mean_{v}")) / F.col(f"__std_{v}")).otherwise(0.0)
         d = d.withColumn(out, F.when(F.col(v).isNotNull(), 1 / (1 + F.exp(-z))))

@@ -25,7 +25,7 @@ SPREAD = """round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(s
 
 @query("a2_robust_stats", "WITH " + EVENTS + " SELECT condition, count(value) AS n, " + SPREAD.format(c="value") + " FROM ev GROUP BY condition")
 def a2(spark, d):
-    return r6(op.spread(events(spark, d), ["condition"], "value"))
+    return r6(op.spread(events(spark, d), ["condition"], "value", large=True))
 
 
 FEATURE = """SELECT session, feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(mad(value), 6) AS mad, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(min(value), 6) AS min, round(max(value), 6) AS max,

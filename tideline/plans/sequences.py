@@ -180,12 +180,12 @@ MED = EVENTS + ", md AS (SELECT condition, median(value) AS me, stddev_pop(value
 
 @query("w24_robust_z", "WITH " + MED + " SELECT event_id, round(CASE WHEN value IS NULL THEN NULL WHEN ma > 1e-12 THEN (value - me) / ma WHEN sd > 1e-12 THEN (value - me) / sd ELSE 0 END, 6) AS z FROM ev JOIN md USING (condition)")
 def w24(spark, d):
-    return r6(op.robust_z(events(spark, d), ["condition"], "value").select("event_id", F.col("z_value").alias("z")))
+    return r6(op.robust_z(events(spark, d), ["condition"], "value", large=True).select("event_id", F.col("z_value").alias("z")))
 
 
 @query("w25_logistic_normalise", "WITH " + MED + " SELECT event_id, round(CASE WHEN value IS NOT NULL THEN 1 / (1 + exp(-CASE WHEN ma > 1e-12 THEN (value - me) / (1.4826::DOUBLE * ma) WHEN sd > 1e-12 THEN (value - av) / sd ELSE 0 END)) END, 6) AS norm FROM ev JOIN md USING (condition)")
 def w25(spark, d):
-    return r6(op.logistic_normalise(events(spark, d), ["condition"], {"value": "norm"}).select("event_id", "norm"))
+    return r6(op.logistic_normalise(events(spark, d), ["condition"], {"value": "norm"}, large=True).select("event_id", "norm"))
 
 
 @query("w26_min_max", "WITH " + EVENTS + " SELECT event_id, round((value - min(value) OVER (PARTITION BY subject)) / (max(value) OVER (PARTITION BY subject) - min(value) OVER (PARTITION BY subject)), 6) AS scaled FROM ev")
