@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import merkle, mixing, oracles, quality, queries, resample, tiff, warc
+from tideline.llm import line_dedup, merkle, mixing, oracles, quality, queries, resample, tiff, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BIG = [2**53 + 1, 2**53 + 3, 2**62, 2**62 + 1, -(2**62) - 1, None]
@@ -243,3 +243,13 @@ def test_mixing_keeps_sources_apart(spark, ids_only):
     of = collections.Counter(r.source for r in got if r.doc_id is not None)
     assert of == {"big": 100, "small": 15}
     assert all(n == 1 for n in collections.Counter(r.doc_id for r in got if r.source == "big" and r.doc_id is not None).values())
+
+
+def test_hot_lines_are_split(spark, data, monkeypatch):
+    """With windows told by broadcast from the second place on, the same lines go."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = docs.union(docs.limit(60)).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = lambda: collections.Counter(tuple(r) for r in line_dedup.dedup_lines(docs).collect())
+    want = rows()
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 1)
+    assert rows() == want and any(r[3] for r in want)

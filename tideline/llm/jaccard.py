@@ -40,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tideline.llm.common import attach, batches_of, boxed, cut, discard, small
 
@@ -313,11 +312,11 @@ class Join:
         chosen = described.join(stands, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
         items = cut(chosen.select("id", "doc_id", "row", "n", "point").dropDuplicates(["id"]))
 
-        # one shuffle: the smallest item of a cell comes first, others are paired with it as they come
-        met = Window.partitionBy("cell").orderBy("id")
-        dealt = chosen.select("id", F.explode("cells").alias("cell"))
-        dealt = dealt.select("cell", "id", F.first("id").over(met).alias("low"), F.lag("id").over(met).alias("before"))
-        members = cut(dealt.where("before < id").select("cell", "low", "id"))
+        # each item of a cell but the smallest is paired with that one; a cell may be a large part of all items
+        dealt = cut(chosen.select("id", "cells").dropDuplicates(["id"]).select("id", F.explode(F.array_distinct("cells")).alias("cell")))
+        lows = dealt.groupBy("cell").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("cell", "low")
+        members = cut(attach(dealt, lows, "cell").where("low < id").select("cell", "low", "id"))
+        discard(dealt)
         rows = cut(described.select("doc_id", "row", "n", "name"))
         discard(described)
 
@@ -468,7 +467,8 @@ class Join:
         marked = rows.join(fate, F.col("__id").eqNullSafe(F.col("__as")) & (F.col("__row") == F.col("__text")), "left")
         kept = marked.where("__fate is null")
         if not repeated.isEmpty():
-            kept = kept.union(marked.where("__fate = 2").dropDuplicates(["__id", "__row"]))
+            again = marked.where("__fate = 2").groupBy("__id", "__row").agg(F.min_by("__doc", F.xxhash64(F.to_json("__doc"))).alias("__doc"))
+            kept = kept.union(again.select(*marked.columns[:1], *[F.lit(None) for _ in marked.columns[1:]]))
         return kept.select("__doc.*")
 
 

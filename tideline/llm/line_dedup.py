@@ -6,7 +6,7 @@ three lines, and the covered lines of a text are removed after overlapping windo
 lines only don't count.
 
 Counting is a partial aggregation per hash, so a window that many documents share is summed where it is read. The
-repeated windows are then joined with the occurrences; one side has one row per hash, so a hot hash is split.
+repeated windows are then joined with the occurrences: by broadcast for windows with very many places, by hash else.
 
 Cases: null, empty and short texts (under three lines) have no window and stay as they are; repeated rows (same id
 and text) count as one text and get the same result; rows with one id and several texts are told apart by the
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import HOT_ROWS, cut, small
+
 SIZE = 3
 
 
@@ -40,8 +42,13 @@ def covered(documents: DataFrame) -> DataFrame:
     """(doc_id, row, starts): the start lines of the windows that stand earlier somewhere else."""
     w = windows(documents)
     where = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), "row", "line")
-    firsts = w.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("h1", "h2", "first")
-    later = w.join(firsts, ["h1", "h2"]).where(where > F.col("first"))
+    firsts = cut(w.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("h1", "h2", "first", "n"))
+    # windows with very many places are told by broadcast; their rows then go by keys of their own, not to one task
+    often = small(firsts.where(F.col("n") > HOT_ROWS).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("often")))
+    rows = w.join(often, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left")
+    rows = rows.withColumn("h2", F.when(F.col("often").isNull(), F.col("h2")).otherwise(F.xxhash64("doc_id", "row", "line")))
+    rows = rows.join(firsts.where(F.col("n") <= HOT_ROWS).select("h1", "h2", "first"), ["h1", "h2"], "left")
+    later = rows.where(where > F.coalesce("often", "first"))
     return later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("starts"))
 
 

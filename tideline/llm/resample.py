@@ -35,7 +35,10 @@ BATCH, ENTRIES = 256, 1 << 20
 
 def features(w: Column, grams: int, buckets: int) -> Column:
     """Buckets of all features of an array of words, repeats included."""
-    runs = [w] + [F.slice(F.transform(w, lambda x, i, k=k: F.array_join(F.slice(w, i + 1, k), " ")), 1, F.greatest(F.size(w) - (k - 1), F.lit(0))) for k in range(2, grams + 1)]
+    def longer(k: int) -> Column:
+        return F.slice(F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, k), " ")), 1, F.greatest(F.size(w) - (k - 1), F.lit(0)))
+
+    runs = [w] + [longer(k) for k in range(2, grams + 1)]
     return F.transform(F.concat(*runs) if grams > 1 else w, lambda x: (F.crc32(x) % buckets).cast("int"))
 
 
