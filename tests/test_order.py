@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import joins, quantiles, ranges
+from tideline.operators import joins, quantiles, ranges, tiles
 
 
 def test_quantiles_of_any_size(spark, monkeypatch):
@@ -63,3 +63,41 @@ def test_running_carries_over_ranges(spark):
     for x in got:
         v = of[x.k]
         assert x.s == pytest.approx(sum(v[: x.i]), abs=1e-9) and x.m == max(v[: x.i], default=None) and x.l == min(v[x.i + 1 :], default=None)
+
+
+def brute_nearest(x, ids, k):
+    """Sorted by rounded squared distance and index."""
+    d = sum((x[:, a, None] - x[None, :, a]) ** 2 for a in range(x.shape[1]))
+    out = {}
+    for i in range(len(x)):
+        near = np.argpartition(d[i], min(3 * k, len(x) - 1))[: 3 * k] if len(x) > 3 * k else np.arange(len(x))
+        out[ids[i]] = [j for _, j in sorted((round(d[i][j], 9), ids[j]) for j in near)][:k]
+    return out
+
+
+def test_nearest_and_pair_sums_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 128)
+    r = np.random.default_rng(5)
+    sessions = {"walk": np.cumsum(r.normal(size=(4000, 3)), axis=0), "lumps": r.normal(size=(1500, 3)) * 0.01 + r.integers(0, 6, (1500, 3)) * 100, "few": r.normal(size=(3, 3)), None: r.normal(size=(200, 3)), "line": np.c_[np.arange(300.0), np.zeros(300), np.zeros(300)]}
+    rows = [(s, int(i), *map(float, p)) for s, x in sessions.items() for i, p in enumerate(x)] + [("walk", 5000, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "s string, i long, x double, y double, z double")
+    got = {}
+    for q in tiles.nearest(df, ["s"], "i", ["x", "y", "z"], 5).collect():
+        got.setdefault(q.s, {}).setdefault(q.i, {})[q["rank"]] = q.neighbour
+    assert set(got) == set(sessions)
+    for s, x in sessions.items():
+        want = brute_nearest(x, np.arange(len(x)), 5)
+        assert {i: [v[k] for k in sorted(v)] for i, v in got[s].items()} == want, s
+    sums = {q.s: q for q in tiles.pair_sums(df, ["s"], "i", ["x", "y", "z"], 0.1).collect()}
+    assert set(sums) == set(sessions)
+    for s, x in sessions.items():
+        d = np.sqrt(sum((x[:, a, None] - x[None, :, a]) ** 2 for a in range(3)))[np.triu_indices(len(x), 1)]
+        q = sums[s]
+        assert (q.pairs, q.max_dist) == (len(d), d.max()) and q.mean_dist == pytest.approx(d.mean(), rel=1e-9) and q.close == (d <= 0.1 * d.max()).sum()
+
+
+def test_nearest_of_equal_points(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 64)
+    df = spark.createDataFrame([("a", i, 1.0 + (i >= 290), 2.0) for i in range(300)], "s string, i long, x double, y double")
+    got = tiles.nearest(df, ["s"], "i", ["x", "y"], 4).collect()
+    assert len(got) == 1200 and all(q.neighbour == (q["rank"] - 1 if q.i < 290 else 289 + q["rank"]) for q in got)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators import tiles
 from tideline.operators.ranges import running
 
 
@@ -80,28 +81,17 @@ def annotate(df: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(n, keys, "left").withColumn("condition_original", F.col("condition")).withColumn("condition", F.coalesce("__c", "condition")).drop("__c")
 
 
-def distance2(axes: list[str], a: str = "a", b: str = "b") -> Column:
-    return reduce(lambda x, y: x + y, [(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in axes])
-
-
 def neighbours(df: DataFrame, by: list[str], index: str, axes: list[str], k: int) -> DataFrame:
     """(by, index, neighbour, dist2, rank): the k nearest points of each point in its session, itself included.
 
-    Sessions are capped by the caller (stride downsampling), so a session's pairs are bounded. Ties go by index.
+    Sessions may have any number of points (see ``tiles``). Ties go by index.
     """
-    valid = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in axes]))
-    a, b = valid.select(*by, index, *axes).alias("a"), valid.select(*by, index, *axes).alias("b")
-    on = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by])
-    pairs = a.join(b, on).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{index}").alias(index), F.col(f"b.{index}").alias("neighbour"), F.round(distance2(axes), 9).alias("dist2"))
-    rank = F.row_number().over(Window.partitionBy(*by, index).orderBy("dist2", "neighbour"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return tiles.nearest(df, by, index, axes, k)
 
 
 def pair_distances(df: DataFrame, by: str, index: str, axes: list[str]) -> DataFrame:
-    """Mean and largest distance over all pairs of a (capped) trajectory."""
-    a, b = df.alias("a"), df.alias("b")
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{index}") < F.col(f"b.{index}")))
-    return pairs.select(F.col(f"a.{by}").alias(by), F.sqrt(distance2(axes)).alias("dist")).groupBy(by).agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("max_dist"))
+    """Mean and largest distance over all pairs of a trajectory, from sums over pairs of tiles."""
+    return tiles.pair_sums(df, [by], index, axes).select(by, "mean_dist", "max_dist")
 
 
 def stage_of_windows(windows: DataFrame, points: DataFrame, by: str, start: str, length: float, time: str, key: str, code: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.sequences import curvature, logistic_normalise
+from tideline.operators.tiles import pair_sums
 
 #: Short network names in region labels and their canonical names.
 NETWORKS = {"Vis": "visual", "SomMot": "somatomotor", "DorsAttn": "dorsal_attention", "SalVentAttn": "salience", "Limbic": "limbic", "Cont": "control", "Default": "default"}
@@ -123,10 +124,6 @@ def geometry(df: DataFrame, by: str, index: str, axes: list[str], near: float =
     for a in axes:
         volume = volume * (F.max(a) - F.min(a))
     box = df.groupBy(by).agg(volume.alias("volume"), F.count(F.lit(1)).alias("n"))
-    a, b = df.alias("a"), df.alias("b")
-    d: Column = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in axes), F.lit(0.0)))
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{index}") < F.col(f"b.{index}"))).select(F.col(f"a.{by}").alias(by), d.alias("dist"))
-    far = pairs.groupBy(by).agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("max_dist"), F.count(F.lit(1)).alias("pairs"))
-    close = pairs.join(far.select(by, "max_dist"), by).where(F.col("dist") <= near * F.col("max_dist")).groupBy(by).agg(F.count(F.lit(1)).alias("close"))
-    out = box.join(far, by).join(close, by, "left").fillna(0, ["close"]).join(curvature(df, [by], axes, index).drop("n"), by, "left")
+    far = pair_sums(df, [by], index, axes, near)
+    out = box.join(far, by).join(curvature(df, [by], axes, index).drop("n"), by, "left")
     return out.withColumn("recurrence", F.col("close") / F.col("pairs")).withColumn("mean_neighbours", 2 * F.col("close") / F.col("n")).drop("pairs", "close")
