@@ -233,16 +233,16 @@ def test_summary_of_a_session(spark):
     r = reachability.summary(df, ["session"], "session int", AXES, 12).first().asDict()
     by = cone.groupby("window")
     tube = by[reachability.CONE].median()
-    gate = (1 - by["q_ratio"].last()) * np.log1p(by["a_norm"].max())
-    assert r["n_windows"] == 78 and r["capture_gate_median"] == pytest.approx(gate.median()) and r["tube_kappa_median"] == pytest.approx(tube["kappa"].median())
+    gate = (1 - by["q_ratio"].last()) * np.log1p(by["tube_a_operator_norm"].max())
+    assert r["n_windows"] == 78 and r["tube_capture_gate_median"] == pytest.approx(gate.median()) and r["tube_kappa_median"] == pytest.approx(tube["kappa"].median())
     assert r["near_singular_rate"] == pytest.approx(cone["near_singular"].mean()) and r["median_cond"] == pytest.approx(cone["cond"].median())
-    assert r["median_min_over_median"] == pytest.approx(cone["min_over_median"].median())
+    assert r["median_min_eig_over_median_eig"] == pytest.approx(cone["min_eig_over_median_eig"].median())
     for h in range(1, 5):
         assert r[f"cone_q_ratio_h{h}_median"] == pytest.approx(cone.loc[cone["h"] == h, "q_ratio"].median())
     v = tube["log_det"].to_numpy()
     stable = [1 / (v[max(0, i - 5) : i + 6].std() + 1e-10) for i in range(len(v))]
     assert r["persistence_log_det_median"] == pytest.approx(np.median(stable)) and r["cone_kappa_median"] == pytest.approx(np.median(np.exp(np.diff(v))))
-    assert r["tube_log_det_first_half"] == pytest.approx(np.median(v[: len(v) // 2])) and r["tube_log_det_second_half"] == pytest.approx(np.median(v[len(v) // 2 : 2 * (len(v) // 2)]))
+    assert r["tube_log_det_split_half_a_median"] == pytest.approx(np.median(v[: len(v) // 2])) and r["tube_log_det_split_half_b_median"] == pytest.approx(np.median(v[len(v) // 2 : 2 * (len(v) // 2)]))
     shape = reachability.shape_indices(spark.createDataFrame([r])).first()
     assert shape.endpoint_ovality == pytest.approx(np.log10(max(r["cone_kappa_h4_median"], 1)))
 
@@ -278,7 +278,7 @@ def test_stage_slices_take_levels_of_the_session(spark):
     s = sequences.stage_slices(t, "session", "stage", {0: "n1", 1: "n2"}, 10)
     got = {r.slice: r for r in sequences.dynamics(s, ["slice"], AXES, 2.0, least=10, session=["session"], levels=sequences.corner_levels(t, ["session"], AXES)).collect()}
     # the whole first stage is under the session's 60 % point: one code
-    assert got["0:stage_n1"].occupancy_entropy == pytest.approx(0, abs=1e-9) and got["0:stage_n2"].occupancy_entropy > 0.4
+    assert got["0:stage_n1"].corner_entropy == pytest.approx(0, abs=1e-9) and got["0:stage_n2"].corner_entropy > 0.4
     assert got["0:stage_n1"].speed_median == pytest.approx(np.sqrt(3)) and got["0:stage_n1"].speed_mad == pytest.approx(0, abs=1e-9) and got["0:stage_n1"].finite_ok and not got["0:stage_n1"].not_testable
 
 
@@ -298,9 +298,9 @@ def test_stage_dynamics_query(spark, data):
         m = part[[f"x{i}" for i in range(9)]].to_numpy().reshape(-1, 3, 3)
         s = np.linalg.svd(m, compute_uv=False)
         r = got[f"{session}:stage_{stage}"]
-        assert r.occupancy_entropy == pytest.approx(-(p * np.log(p)).sum(), abs=2e-6) and r.condition_median == pytest.approx(np.median(s[:, 0] / s[:, -1]), rel=1e-4)
+        assert r.corner_entropy == pytest.approx(-(p * np.log(p)).sum(), abs=2e-6) and r.tier2_jacobian_condition_number_median == pytest.approx(np.median(s[:, 0] / s[:, -1]), rel=1e-4)
         axis = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], 1) / 2
-        assert r.rotation_coherence == pytest.approx(np.linalg.norm((axis / np.linalg.norm(axis, axis=1, keepdims=True)).mean(0)), abs=2e-6)
+        assert r.tier2_jacobian_rotation_coherence_mrl == pytest.approx(np.linalg.norm((axis / np.linalg.norm(axis, axis=1, keepdims=True)).mean(0)), abs=2e-6)
         checked += 1
     assert checked == len(got) > 0
 
@@ -371,7 +371,7 @@ def test_incremental_auc(spark):
 def test_sequence_invariants(spark, data):
     t = trajectory(spark, data, 3)
     c = sequences.corner_codes(t, ["session"], AXES)
-    a = {r.session: r.entropy for r in sequences.occupancy_entropy(c, ["session"]).collect()}
+    a = {r.session: r.entropy for r in sequences.corner_entropy(c, ["session"]).collect()}
     b = {r.session: r.entropy for r in sequences.dwell_entropy(c, ["session"]).collect()}
     assert a == pytest.approx(b) and max(a.values()) <= np.log(8) + 1e-9
     centred = sequences.centre(t, ["session"], ["m"]).groupBy("session").agg(F.median("m_sc").alias("m")).collect()
@@ -416,8 +416,8 @@ def test_transitions_of_a_long_session_equal_brute_force(spark, tmp_path):
 
 def test_autocorrelation_time_of_a_slow_session(spark, tmp_path):
     d = long_sessions(spark, tmp_path, 450)
-    x = np.array([r.m for r in sequence_plans.gapped(spark, d).where("m is not null").orderBy("t_idx").collect()])
+    x = np.array([r.m for r in trajectory(spark, d, 3).where("m is not null").orderBy("t_idx").collect()])
     x = x - x.mean()
     lag = next((k for k in range(1, 151) if (x[:-k] * x[k:]).sum() / (x * x).sum() < np.exp(-1)), 150)
     assert lag > 12 and sequence_plans.w8(spark, d).first().tau == pytest.approx(2.0 * lag)
-    assert sequence_plans.w10(spark, d).first().m_tau == pytest.approx(2.0 * lag)
+    assert sequence_plans.w10(spark, d).first().m_tau_sec == pytest.approx(2.0 * lag)

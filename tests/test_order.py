@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import joins, quantiles, ranges, tiles
+from tideline.operators import contrasts, joins, metrics, quantiles, ranges, reachability, sequences, tiles
 
 
 def test_quantiles_of_any_size(spark, monkeypatch):
@@ -101,3 +101,63 @@ def test_nearest_of_equal_points(spark, monkeypatch):
     df = spark.createDataFrame([("a", i, 1.0 + (i >= 290), 2.0) for i in range(300)], "s string, i long, x double, y double")
     got = tiles.nearest(df, ["s"], "i", ["x", "y"], 4).collect()
     assert len(got) == 1200 and all(q.neighbour == (q["rank"] - 1 if q.i < 290 else 289 + q["rank"]) for q in got)
+
+
+@pytest.fixture(scope="module")
+def walks(spark):
+    """Three subjects in two conditions, 120 points each, one every two seconds."""
+    r = np.random.default_rng(7)
+    rows = []
+    for s in ("s1", "s2", "s3"):
+        for c in ("rest", "task"):
+            x = np.cumsum(r.normal(size=(120, 3)) * 0.1, axis=0)
+            rows += [(s, c, i, 2.0 * i, *map(float, p)) for i, p in enumerate(x)]
+    return spark.createDataFrame(rows, "subject string, condition string, t_idx long, time double, m double, d double, e double").cache()
+
+
+def test_summaries_reach_roles_families_aliases_and_contrasts(spark, walks):
+    """What a producer writes is what its consumers look for: R11 -> D1 -> D2 -> D5 -> T1, and W10 -> D1 -> D2."""
+    by, axes = ["subject", "condition"], ["m", "d", "e"]
+    wide = reachability.summary(walks, by, "subject string, condition string", axes, 8, time="time").cache()
+    tubes_ = [f"tube_{c}" for c in ("log_det", "kappa", "log_eig_var", "d_eff", "dir_entropy", "dir_entropy_norm", "rotation", "q_ratio_h4", "a_operator_norm", "capture_gate")]
+    want = {f"{c}_{f}" for c in [*tubes_, "cone_kappa"] for f in ("median", "mean")} | {f"q_ratio_h{h}_median" for h in range(1, 5)} | {f"cone_{c}_h{h}_median" for c in ("log_det", "kappa", "log_eig_var", "d_eff", "dir_entropy", "dir_entropy_norm", "q_ratio") for h in range(1, 5)}
+    want |= {f"persistence_{p}{c}_median" for p in ("", "tau_", "hysteresis_") for c in reachability.PERSISTENT} | {f"pred_err_h{h}" for h in range(1, 5)} | {"near_singular_rate", "median_cond", "median_min_eig_over_median_eig"}
+    want |= {f"tube_{c}_split_half_{n}" for c in ("log_det", "d_eff") for n in ("a_median", "b_median", "rho", "n")}
+    assert want <= set(wide.columns)
+    long = metrics.role_and_family(metrics.melt(wide, by)).cache()
+    kind = {r.metric: (r.metric_role, r.metric_family) for r in long.select("metric", "metric_role", "metric_family").distinct().collect()}
+    assert kind["tube_capture_gate_median"] == ("signal", "reachability") and kind["cone_kappa_mean"] == ("signal", "reachability") and kind["pred_err_h2"][0] == "qc" and kind["n_windows"][0] == "qc"
+    aliases = metrics.publish_aliases(long.withColumn("row", F.monotonically_increasing_id()), by, "row")
+    named = {(r.subject, r.condition, r.metric): r.value for r in aliases.collect()}
+    first = {(r.subject, r.condition): r for r in wide.collect()}
+    assert len(named) == 18 and all(v == pytest.approx({"q_ratio_h4": first[s, c].q_ratio_h4_median, "capture_gate": first[s, c].tube_capture_gate_median, "a_operator_norm": first[s, c].tube_a_operator_norm_median}[m]) for (s, c, m), v in named.items())
+    pairs = spark.createDataFrame([("rest_task", "rest", "task")], "contrast_name string, left string, right string")
+    ready = aliases.withColumn("ok", F.lit(True))
+    out = contrasts.paired_contrast(contrasts.collapse(ready, pairs, ["metric"], ["subject"]), ["metric"]).collect()
+    assert {r.metric for r in out} == {"q_ratio_h4", "capture_gate", "a_operator_norm"} and all(r.n_pairs == 3 for r in out)
+    table = metrics.role_and_family(metrics.melt(sequences.dynamics(walks, by, axes, 2.0), by))
+    families = {r.metric: r.metric_family for r in table.select("metric", "metric_family").distinct().collect()}
+    trajectory_ = {"speed_median", "curvature_median", "path_length", "endpoint_dist", "traj_efficiency", "corner_entropy", "corner_dwell_entropy", "corner_transition_entropy", "m_tau_sec", "e_delta_mean_median"}
+    assert all(families[m] == "trajectory" for m in trajectory_)
+
+
+def test_times_of_strided_sessions(spark, walks):
+    """With a step of two seconds and a stride of three, return times are multiples of six seconds, hysteresis in seconds too."""
+    one = sequences.stride(walks, ["subject", "condition"], 40).withColumn("v", F.abs(F.col("m")))
+    steps = sequences.return_time(one, ["subject", "condition"], "v").where("return_time is not null").orderBy("subject", "condition", "t_idx").collect()
+    seconds = sequences.return_time(one, ["subject", "condition"], "v", time="time").where("return_time is not null").orderBy("subject", "condition", "t_idx").collect()
+    assert [6.0 * r.return_time for r in steps] == [r.return_time for r in seconds] and len(steps) > 5
+    plain = {(r.subject, r.condition, r.t_idx): r.gap for r in sequences.hysteresis(one, ["subject", "condition"], "v").collect()}
+    timed = {(r.subject, r.condition, r.t_idx): r.gap for r in sequences.hysteresis(one, ["subject", "condition"], "v", time="time").collect()}
+    assert all(timed[k] == (None if g is None else pytest.approx(6.0 * g)) for k, g in plain.items())
+    tube = one.withColumnRenamed("t_idx", "window").select("subject", "condition", "window", "time", *[F.col("v").alias(f"tube_{c}") for c in reachability.PERSISTENT])
+    p, q = (reachability.persistence(tube, ["subject", "condition"], time=t).orderBy("subject", "condition").collect() for t in (None, "time"))
+    assert all(a.persistence_tau_kappa_median is None or 6.0 * a.persistence_tau_kappa_median == pytest.approx(b.persistence_tau_kappa_median) for a, b in zip(p, q, strict=True))
+
+
+def test_split_halves_keep_places(spark):
+    rows = [("a", i, v) for i, v in enumerate([1.0, None, 3.0, 4.0, 9.0, 8.0, None, 6.0, 5.0])] + [("b", i, float(i)) for i in range(3)] + [("c", 0, None)]
+    got = {r.s: r for r in sequences.split_half(spark.createDataFrame(rows, "s string, t_idx long, v double"), ["s"], "v").collect()}
+    a = got["a"]
+    assert (a.n, a.a_median, a.b_median, a.rho) == (2, 3.0, 8.0, None)  # halves 1 - 3 4 and 9 8 - 6
+    assert all((got[s].n, got[s].a_median, got[s].rho) == (0, None, None) for s in "bc")

@@ -87,8 +87,8 @@ def with_matrices(rows: DataFrame, matrices: DataFrame, by: list[str], by_types:
     """Adds median, IQR and MAD of the condition number and the rotation coherence of each key's matrices."""
     keys = [*by, index]
     cond = condition_summary(spectra(matrices, keys, f"{by_types}, {index} {index_type}", d), by)
-    out = rows.join(cond.select(*by, *[F.col(c).alias(f"condition_{c}") for c in ("median", "iqr", "mad")]), by, "left")
-    return out.join(rotation_coherence(matrices, by).withColumnRenamed("coherence", "rotation_coherence"), by, "left")
+    out = rows.join(cond.select(*by, *[F.col(c).alias(f"tier2_jacobian_condition_number_{c}") for c in ("median", "iqr", "mad")]), by, "left")
+    return out.join(rotation_coherence(matrices, by).withColumnRenamed("coherence", "tier2_jacobian_rotation_coherence_mrl"), by, "left")
 
 
 def flow_metrics(df: DataFrame, d: int, eps: float = 1e-12) -> DataFrame:
@@ -115,14 +115,16 @@ def transverse(df: DataFrame, keys: list[str], key_types: str, d: int, axes: lis
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             part = part.reset_index(drop=True)
-            m = np.array(part[j].tolist(), float).reshape(-1, d, d)
+            if not len(part):
+                continue
+            m = np.concatenate(part[j].to_numpy()).reshape(-1, d, d)
             v = part[axes].to_numpy(float)
             size = np.linalg.norm(v, axis=1, keepdims=True)
             u = v / np.maximum(size, 1e-300)
             p = np.eye(d) - u[:, :, None] * u[:, None, :]
             e = np.linalg.eigvalsh(p @ ((m + m.transpose(0, 2, 1)) / 2) @ p)
             flow = np.argmin(np.abs(e), axis=1)  # the projected direction has eigenvalue 0
-            rest = np.array([np.delete(x, k) for x, k in zip(e, flow, strict=True)]).reshape(-1, d - 1)
+            rest = e[np.arange(d) != flow[:, None]].reshape(-1, d - 1)
             ok = (size[:, 0] >= 1e-10)
             yield part[keys].assign(top=np.where(ok, rest.max(1), np.nan), positive_sum=np.where(ok, np.maximum(rest, 0).sum(1), np.nan))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.joins import neighbours
-from tideline.operators.sequences import growth_ratio, hysteresis, return_time, rolling_stability, split_half, super_windows
+from tideline.operators.sequences import growth_ratio, rolling_stability, split_half, super_windows, with_hysteresis
 from tideline.sources.scan import written
 
 EPS = 1e-12
@@ -163,9 +163,10 @@ def cones(models: DataFrame, by: list[str], by_types: str, d: int, horizon: int
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            if not len(part):
+                continue
             part = part.reset_index(drop=True)
-            a = np.array(part["a"].tolist(), float).reshape(-1, d, d)
-            q = np.array(part["q"].tolist(), float).reshape(-1, d, d)
+            a, q = (np.concatenate(part[c].to_numpy()).reshape(-1, d, d) for c in ("a", "q"))
             u, s, vt = np.linalg.svd(a)
             polar = u @ vt
             rotation = np.linalg.norm((polar - polar.transpose(0, 2, 1)) / 2, axis=(1, 2))
@@ -182,24 +183,25 @@ def cones(models: DataFrame, by: list[str], by_types: str, d: int, horizon: int
                 tr = np.trace(sigma, axis1=1, axis2=2)
                 out.append(part[keys].assign(
                     h=h, log_det=np.where(sign > 0, 0.5 * ld, np.nan), kappa=e[:, -1] / (e[:, 0] + EPS), log_eig_var=np.log(e + EPS).var(1), d_eff=e.sum(1) ** 2 / ((e**2).sum(1) + EPS),
-                    dir_entropy=entropy, dir_entropy_norm=entropy / (np.log(d) + EPS), q_ratio=(tr - np.trace(moved, axis1=1, axis2=2)) / np.maximum(tr, 1e-300), rotation=rotation, a_norm=s[:, 0],
-                    near_singular=raw[:, 0] <= 10 * jitter, cond=raw[:, -1] / np.maximum(raw[:, 0], EPS), min_over_median=raw[:, 0] / np.maximum(np.median(raw, axis=1), EPS),
+                    dir_entropy=entropy, dir_entropy_norm=entropy / (np.log(d) + EPS), q_ratio=(tr - np.trace(moved, axis1=1, axis2=2)) / np.maximum(tr, 1e-300), tube_rotation=rotation, tube_a_operator_norm=s[:, 0],
+                    near_singular=raw[:, 0] <= 10 * jitter, cond=raw[:, -1] / np.maximum(raw[:, 0], EPS), min_eig_over_median_eig=raw[:, 0] / np.maximum(np.median(raw, axis=1), EPS),
                 ))
             yield pd.concat(out)
 
-    return models.mapInPandas(run, f"{by_types}, window long, center long, h int, " + ", ".join(f"{c} double" for c in [*CONE, "rotation", "a_norm"]) + ", near_singular boolean, cond double, min_over_median double")
+    return models.mapInPandas(run, f"{by_types}, window long, center long, h int, " + ", ".join(f"{c} double" for c in [*CONE, "tube_rotation", "tube_a_operator_norm"]) + ", near_singular boolean, cond double, min_eig_over_median_eig double")
 
 
 def tubes(cone: DataFrame, by: list[str]) -> DataFrame:
-    """Per window the median of each metric over horizons, q-ratio at the last one, and the capture gate."""
+    """Per window the median of each metric over horizons, q-ratio at horizon 4 (or the last before it), and the capture gate."""
     keys = [*by, "window", "center"]
-    out = cone.groupBy(*keys).agg(*[F.median(c).alias(f"tube_{c}") for c in CONE], F.max("rotation").alias("rotation"), F.max("a_norm").alias("a_norm"), F.max_by("q_ratio", "h").alias("q_ratio_last"))
-    return out.withColumn("capture_gate", (1 - F.col("q_ratio_last")) * F.log1p("a_norm"))
+    at_4 = F.max_by("q_ratio", F.when(F.col("h") <= 4, F.col("h")))
+    out = cone.groupBy(*keys).agg(*[F.median(c).alias(f"tube_{c}") for c in CONE], F.max("tube_rotation").alias("tube_rotation"), F.max("tube_a_operator_norm").alias("tube_a_operator_norm"), at_4.alias("tube_q_ratio_h4"))
+    return out.withColumn("tube_capture_gate", (1 - F.col("tube_q_ratio_h4")) * F.log1p("tube_a_operator_norm"))
 
 
 def health(cone: DataFrame, by: list[str]) -> DataFrame:
     """Share of near-singular covariances, medians of condition and of smallest over median eigenvalue."""
-    return cone.groupBy(*by).agg(F.avg(F.col("near_singular").cast("double")).alias("near_singular_rate"), F.median("cond").alias("median_cond"), F.median("min_over_median").alias("median_min_over_median"))
+    return cone.groupBy(*by).agg(F.avg(F.col("near_singular").cast("double")).alias("near_singular_rate"), F.median("cond").alias("median_cond"), F.median("min_eig_over_median_eig").alias("median_min_eig_over_median_eig"))
 
 
 def prediction_error(df: DataFrame, models: DataFrame, by: list[str], axes: list[str], horizon: int = 4, index: str = "t_idx") -> DataFrame:
@@ -220,36 +222,56 @@ def prediction_error(df: DataFrame, models: DataFrame, by: list[str], axes: list
 PERSISTENT = ["log_det", "kappa", "log_eig_var", "d_eff"]
 
 
-def persistence(tube: DataFrame, by: list[str], index: str = "window") -> DataFrame:
-    """R11 with W15-W19: medians by key of stability, return time, hysteresis and growth of tube metrics, and split halves."""
-    base = tube.select(*by, index, *[f"tube_{c}" for c in PERSISTENT])
+def persistence(tube: DataFrame, by: list[str], index: str = "window", time: str | None = None, width: int = 11, baseline: float = 0.5, low: float = 0.8, back: float = 0.9) -> DataFrame:
+    """R11 with W15-W19: medians by key of stability, return time, hysteresis and growth of tube metrics, and split halves.
+
+    All four metrics share one order of windows; with ``time`` (a column of ``tube``) return times and hysteresis are in its unit.
+    """
+    base = tube.select(*by, index, *([time] if time else []), *[f"tube_{c}" for c in PERSISTENT])
     d = growth_ratio(base, by, "tube_log_det", index).withColumnRenamed("growth", "cone_kappa")
+    d = with_hysteresis(d, by, {f"tube_{c}": f"persistence_hysteresis_{c}" for c in PERSISTENT}, width, index, time)
     for c in PERSISTENT:
-        d = rolling_stability(d, by, f"tube_{c}", 11, 1e-10, index).withColumnRenamed("stability", f"persistence_{c}")
-        d = return_time(d, by, f"tube_{c}", index).withColumnRenamed("return_time", f"persistence_tau_{c}")
-    names = ["cone_kappa", *[f"persistence_{c}" for c in PERSISTENT], *[f"persistence_tau_{c}" for c in PERSISTENT]]
-    out = d.groupBy(*by).agg(*[F.median(c).alias(f"{c}_median") for c in names])
-    for c in PERSISTENT:
-        out = out.join(hysteresis(base, by, f"tube_{c}", 11, index).groupBy(*by).agg(F.median("gap").alias(f"persistence_hysteresis_{c}_median")), by, "left")
+        d = rolling_stability(d, by, f"tube_{c}", width, 1e-10, index).withColumnRenamed("stability", f"persistence_{c}")
+    at = F.col(time or index)
+    m = base.groupBy(*by).agg(*[F.percentile(f"tube_{c}", F.lit(baseline)).alias(f"__m_{c}") for c in PERSISTENT])
+    later = Window.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(m, by)
+    for c in PERSISTENT:  # as return_time, for all metrics in one order
+        v, level = F.col(f"tube_{c}"), F.col(f"__m_{c}")
+        after = F.min(F.when(v >= back * level, F.struct(F.col(index).alias("i"), at.alias("t")))).over(later)
+        d = d.withColumn(f"persistence_tau_{c}", F.when(v < low * level, after["t"] - at))
+    names = [*[f"persistence_{c}" for c in PERSISTENT], *[f"persistence_tau_{c}" for c in PERSISTENT], *[f"persistence_hysteresis_{c}" for c in PERSISTENT]]
+    out = d.groupBy(*by).agg(F.median("cone_kappa").alias("cone_kappa_median"), F.avg("cone_kappa").alias("cone_kappa_mean"), *[F.median(c).alias(f"{c}_median") for c in names])
     for c in ("log_det", "d_eff"):
         halves = split_half(base, by, f"tube_{c}", index)
-        out = out.join(halves.select(*by, F.col("first_half").alias(f"tube_{c}_first_half"), F.col("second_half").alias(f"tube_{c}_second_half"), F.col("r").alias(f"tube_{c}_half_r")), by, "left")
+        out = out.join(halves.select(*by, *[F.col(n).alias(f"tube_{c}_split_half_{n}") for n in ("a_median", "b_median", "rho", "n")]), by, "left")
     return out
 
 
-def summary(df: DataFrame, by: list[str], by_types: str, axes: list[str], k: int = 20, index: str = "t_idx", horizon: int = 4) -> DataFrame:
+def summary(
+    df: DataFrame, by: list[str], by_types: str, axes: list[str], k: int = 20, index: str = "t_idx", horizon: int = 4, time: str | None = None, alphas=ALPHAS, covariance: str = "empirical",
+    sigma0: float = 1e-3, jitter: float = 1e-8, width: int = 11, baseline: float = 0.5, low: float = 0.8, back: float = 0.9,
+) -> DataFrame:
     """One row per key (session, session and stage, or session and network) with all of the above.
 
-    Models are written once; every branch reads that table.
+    Columns have the names that D2, D5 and R14 go by. ``time`` is a column of ``df``: a window has that of its own index.
+    Models and tubes are written once; every branch reads those tables.
     """
-    models = written(local_models(fold_moments(transitions(df, by, axes, k, index), by, axes), by, by_types, len(axes)))
-    cone = cones(models, by, by_types, len(axes), horizon)
+    cells = fold_moments(transitions(df, by, axes, k, index), by, axes)
+    models = written(local_models(cells, by, by_types, len(axes), covariance, jitter, alphas))
+    cone = cones(models, by, by_types, len(axes), horizon, sigma0, jitter)
     tube = tubes(cone, by)
-    out = tube.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[F.median(c).alias(f"{c}_median") for c in [*[f"tube_{c}" for c in CONE], "rotation", "a_norm", "q_ratio_last", "capture_gate"]])
-    each = cone.groupBy(*by).agg(*[F.median(F.when(F.col("h") == h, F.col(c))).alias(f"cone_{c}_h{h}_median") for c in CONE for h in range(1, horizon + 1)])
+    if time:
+        tube = tube.join(df.select(*by, F.col(index).alias("window"), time), [*by, "window"], "left")
+    tube = written(tube)
+    of_tube = [*[f"tube_{c}" for c in CONE if c != "q_ratio"], "tube_rotation", "tube_q_ratio_h4", "tube_a_operator_norm", "tube_capture_gate"]
+    out = tube.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), *[f for c in of_tube for f in (F.median(c).alias(f"{c}_median"), F.avg(c).alias(f"{c}_mean"))])
+    each = cone.groupBy(*by, "h").agg(*[F.median(c).alias(c) for c in CONE])
+    at = lambda c, h: F.max(F.when(F.col("h") == h, F.col(c)))
+    each = each.groupBy(*by).agg(*[at(c, h).alias(f"cone_{c}_h{h}_median") for c in CONE for h in range(1, horizon + 1)], *[at("q_ratio", h).alias(f"q_ratio_h{h}_median") for h in range(1, horizon + 1)])
     fit = models.groupBy(*by).agg(F.median("r2").alias("r2_median"), F.median("n").alias("n_median"), F.median("alpha").alias("alpha_median"))
-    out = out.withColumn("dims", F.lit(len(axes)))
-    for part in (each, fit, health(cone, by), persistence(tube, by)):
+    out = out.withColumn("dims", F.lit(len(axes))).withColumn("horizon", F.lit(horizon)).withColumn("k", F.lit(k))
+    for part in (each, fit, health(cone, by), persistence(tube, by, "window", time, width, baseline, low, back)):
         out = out.join(part, by)
     return out.join(prediction_error(df, models, by, axes, horizon, index), by, "left")
 

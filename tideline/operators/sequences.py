@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.quantiles import quantiles
+from tideline.sources.scan import written
 
 
 def _norm(parts) -> Column:
@@ -31,13 +32,13 @@ def steps(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -
 
 
 def path_summary(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -> DataFrame:
-    """Path length, end-to-end distance and efficiency (0 to 1; null without path), summed over segments."""
+    """path_length, endpoint_dist and traj_efficiency (0 to 1; null without path), summed over segments; means of speed and turning."""
     s = steps(df, by, axes, index).groupBy(*by, "segment").agg(
         F.sum("speed").alias("path"), *[(F.max_by(a, index) - F.min_by(a, index)).alias(f"__{a}") for a in axes],
         F.sum("angle").alias("angle_sum"), F.count("angle").alias("angles"), F.count("speed").alias("n_steps"),
     )
-    out = s.groupBy(*by).agg(F.sum("path").alias("path"), F.sum(_norm([F.col(f"__{a}") for a in axes])).alias("direct"), F.count(F.lit(1)).alias("n_segments"), (F.sum("path") / F.sum("n_steps")).alias("mean_speed"), (F.sum("angle_sum") / F.sum("angles")).alias("mean_angle"))
-    return out.withColumn("efficiency", F.when(F.col("path") > 0, F.least(F.greatest(F.col("direct") / F.col("path"), F.lit(0.0)), F.lit(1.0))))
+    out = s.groupBy(*by).agg(F.sum("path").alias("path_length"), F.sum(_norm([F.col(f"__{a}") for a in axes])).alias("endpoint_dist"), F.count(F.lit(1)).alias("n_segments"), (F.sum("path") / F.sum("n_steps")).alias("speed_mean"), (F.sum("angle_sum") / F.sum("angles")).alias("curvature_mean"))
+    return out.withColumn("traj_efficiency", F.when(F.col("path_length") > 0, F.least(F.greatest(F.col("endpoint_dist") / F.col("path_length"), F.lit(0.0)), F.lit(1.0))))
 
 
 def corner_levels(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6) -> DataFrame:
@@ -86,16 +87,39 @@ def autocorrelation_time(df: DataFrame, by: list[str], value: str, dt: float, mo
     """First lag at which the autocorrelation falls under 1/e, times dt; without one, the largest lag looked at.
 
     Lags go up to ``most_lag`` (round(300 / dt)) and n - 1. Fewer than five values and constant values: null.
+    Lagged products are window expressions over blocks of 16, 32, ... lags; only keys that haven't fallen under 1/e go
+    on to the next block, and no row is repeated.
     """
     most_lag = max(1, round(300 / dt)) if most_lag is None else most_lag
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(index))).withColumn("__x", F.col(value) - F.avg(value).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
-    base = d.groupBy(*by).agg(F.sum(F.col("__x") ** 2).alias("v"), F.max("__n").alias("n"), (F.max(value) > F.min(value)).alias("varied"))
-    lagged = d.select(*by, "__x", "__n", (F.col("__i")).alias("__a"), F.explode(F.sequence(F.lit(1), F.lit(most_lag))).alias("lag")).where(F.col("__a") + F.col("lag") <= F.col("__n")).withColumn("__b", F.col("__a") + F.col("lag"))
-    other = d.select(*by, F.col("__i").alias("__b"), F.col("__x").alias("__y"))
-    acf = lagged.join(other, [*by, "__b"]).groupBy(*by, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("c")).join(base, by)
-    first = acf.groupBy(*by).agg(F.min(F.when(F.col("c") / F.nullif(F.col("v"), F.lit(0.0)) < F.exp(F.lit(-1.0)), F.col("lag"))).alias("lag"))
-    return base.join(first, by, "left").select(*by, F.when((F.col("n") >= 5) & F.col("varied"), F.coalesce("lag", F.least(F.lit(most_lag), F.col("n").cast("int") - 1)) * dt).alias("tau"))
+    g = F.struct(*[F.col(c) for c in by])
+    w = Window.partitionBy("g")
+    d = df.where(F.col(value).isNotNull()).select(g.alias("g"), F.col(index).alias("i"), F.col(value).cast("double").alias("v"))
+    d = written(d.select("g", "i", (F.col("v") - F.avg("v").over(w)).alias("x"), "v"))
+    base = written(d.groupBy("g").agg(F.sum(F.col("x") ** 2).alias("power"), F.count(F.lit(1)).alias("n"), (F.max("v") > F.min("v")).alias("varied")))
+    open_, crossed, lag, width = base.where("n >= 5 and varied"), [], 1, 16
+    while lag <= most_lag:
+        lags = range(lag, min(lag + width, most_lag + 1))
+        o = Window.partitionBy("g").orderBy("i")
+        rows = d.join(open_.select(F.col("g").alias("og"), "power"), F.col("g") == F.col("og")).drop("og")
+        sums = rows.select("g", "power", *[(F.col("x") * F.lead("x", k).over(o)).alias(f"c{k}") for k in lags]).groupBy("g").agg(F.first("power").alias("power"), F.count(F.lit(1)).alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in lags])
+        first = F.coalesce(*[F.when(F.col(f"c{k}") / F.col("power") < F.exp(F.lit(-1.0)), F.lit(k)) for k in lags])
+        block = written(sums.select("g", "power", "n", first.alias("lag")))
+        crossed.append(block.where("lag is not null").select("g", "lag"))
+        lag, width = lag + width, width * 2
+        open_ = block.where(F.col("lag").isNull() & (F.col("n") > lag))
+        if lag > most_lag or open_.isEmpty():
+            break
+    fell = reduce(lambda a, b: a.unionByName(b), crossed).withColumnRenamed("g", "fg")
+    out = base.join(fell, F.col("g") == F.col("fg"), "left")
+    tau = F.when((F.col("n") >= 5) & F.col("varied"), F.coalesce("lag", F.least(F.lit(most_lag), F.col("n").cast("int") - 1)) * dt)
+    return out.select(*[F.col(f"g.{c}").alias(c) for c in by], tau.alias("tau"))
+
+
+def autocorrelation_times(df: DataFrame, by: list[str], values: list[str], dt: float, most_lag: int | None = None, index: str = "t_idx") -> DataFrame:
+    """W8 of several columns at once: <value>_tau_sec."""
+    long = df.select(*by, index, F.explode(F.array(*[F.struct(F.lit(v).alias("of"), F.col(v).cast("double").alias("value")) for v in values])).alias("__x")).select(*by, index, "__x.of", "__x.value")
+    tau = autocorrelation_time(long, [*by, "of"], "value", dt, most_lag, index)
+    return tau.groupBy(*by).agg(*[F.max(F.when(F.col("of") == v, F.col("tau"))).alias(f"{v}_tau_sec") for v in values])
 
 
 def time_step(df: DataFrame, by: list[str], time: str, index: str = "t_idx") -> DataFrame:
@@ -127,33 +151,44 @@ def rolling_stability(df: DataFrame, by: list[str], value: str, width: int = 11,
     return df.withColumn("stability", F.when(F.count(value).over(w) >= 2, 1 / (F.stddev_pop(value).over(w) + eps)))
 
 
-def return_time(df: DataFrame, by: list[str], value: str, index: str = "t_idx", drop: float = 0.8, back: float = 0.9) -> DataFrame:
-    """From a value under drop * median, steps to the first later value of at least back * median."""
-    m = df.groupBy(*by).agg(F.median(value).alias("__m"))
+def return_time(df: DataFrame, by: list[str], value: str, index: str = "t_idx", drop: float = 0.8, back: float = 0.9, time: str | None = None, baseline: float = 0.5) -> DataFrame:
+    """From a value under drop * baseline quantile to the first later value of at least back times it: time, or else steps."""
+    m = df.groupBy(*by).agg(F.percentile(value, F.lit(baseline)).alias("__m"))
+    at = time or index
     w = Window.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)  # later rows, from the last on
     d = df.join(m, by)
-    after = F.min(F.when(F.col(value) >= back * F.col("__m"), F.col(index))).over(w)
-    return d.withColumn("return_time", F.when(F.col(value) < drop * F.col("__m"), after - F.col(index))).drop("__m")
+    after = F.min(F.when(F.col(value) >= back * F.col("__m"), F.struct(F.col(index).alias("i"), F.col(at).alias("t")))).over(w)
+    return d.withColumn("return_time", F.when(F.col(value) < drop * F.col("__m"), after["t"] - F.col(at))).drop("__m")
 
 
-def hysteresis(df: DataFrame, by: list[str], value: str, width: int = 11, index: str = "t_idx", time: str | None = None) -> DataFrame:
-    """|median of falling rows - median of rising rows| in a centred window of odd width (3 or more).
+def middle(values: Column) -> Column:
+    """Median of an array without nulls; null if it is empty."""
+    a, n = F.sort_array(values), F.size(values)
+    return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+
 
-    A row falls or rises by its difference to the row before; the first does neither. With ``time``, the gap is
-    multiplied by the central difference of time.
+def with_hysteresis(df: DataFrame, by: list[str], values: dict[str, str], width: int = 11, index: str = "t_idx", time: str | None = None) -> DataFrame:
+    """W17 of several columns (value -> new column) in one pass: |median of falling rows - median of rising rows| in a window.
+
+    Windows are centred and of odd width (3 or more); a row falls or rises by its difference to the row before, the
+    first does neither. With ``time``, the gap is multiplied by the central difference of time. A window's rows are
+    gathered as an array of at most ``width`` values.
     """
     h = max(width, 3) // 2
     o = Window.partitionBy(*by).orderBy(index)
-    g = F.coalesce(F.col(value) - F.lag(value).over(o), F.lit(0.0))
-    d = df.withColumn("__g", g).withColumn("__i", F.row_number().over(o))
-    centre = d.select(*by, index, F.explode(F.sequence(F.col("__i") - h, F.col("__i") + h)).alias("__i"))
-    near = centre.join(d.select(*by, "__i", F.col(value).alias("__v"), "__g"), [*by, "__i"])
-    gap = F.abs(F.median(F.when(F.col("__g") < 0, F.col("__v"))) - F.median(F.when(F.col("__g") > 0, F.col("__v"))))
-    out = near.groupBy(*by, index).agg(gap.alias("gap"))
-    if time is None:
-        return out
-    step = central_difference(df.select(*by, index, time), by, [time], index).select(*by, index, F.col(f"{time}_dot").alias("__step"))
-    return out.join(step, [*by, index]).select(*by, index, (F.col("gap") * F.col("__step")).alias("gap"))
+    d = df.withColumns({f"__g_{v}": F.coalesce(F.col(v) - F.lag(v).over(o), F.lit(0.0)) for v in values})
+    d = d.withColumns({f"__w_{v}": F.collect_list(F.struct(F.col(v).alias("v"), F.col(f"__g_{v}").alias("g"))).over(o.rowsBetween(-h, h)) for v in values})
+    if time is not None:
+        d = central_difference(d, by, [time], index)
+    of = lambda v, falling: middle(F.transform(F.filter(f"__w_{v}", lambda x: (x["g"] < 0 if falling else x["g"] > 0) & x["v"].isNotNull()), lambda x: x["v"]))
+    step = F.col(f"{time}_dot") if time is not None else F.lit(1.0)
+    d = d.withColumns({out: F.abs(of(v, True) - of(v, False)) * step for v, out in values.items()})
+    return d.drop(*[f"__{n}_{v}" for v in values for n in "gw"], *([f"{time}_dot"] if time is not None else []))
+
+
+def hysteresis(df: DataFrame, by: list[str], value: str, width: int = 11, index: str = "t_idx", time: str | None = None) -> DataFrame:
+    """(by, index, gap) of one column, see ``with_hysteresis``."""
+    return with_hysteresis(df, by, {value: "gap"}, width, index, time).select(*by, index, "gap")
 
 
 def growth_ratio(df: DataFrame, by: list[str], value: str, index: str = "t_idx") -> DataFrame:
@@ -162,15 +197,21 @@ def growth_ratio(df: DataFrame, by: list[str], value: str, index: str = "t_idx")
 
 
 def split_half(df: DataFrame, by: list[str], value: str, index: str = "t_idx") -> DataFrame:
-    """Medians of both halves and the rank correlation (ordinal ranks) of rows at equal places in them."""
+    """Medians of both halves and rho, the rank correlation (ordinal ranks) of rows at equal places in them.
+
+    Nulls keep their places and are left out of medians and ranks; n counts the places with both values. Fewer than
+    four rows: nulls and n = 0; fewer than three such places: no rho.
+    """
     w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(index)) - 1).withColumn("__h", F.floor(F.count(F.lit(1)).over(w) / 2).cast("int"))
-    a = d.where("__i < __h").select(*by, "__i", F.col(value).alias("a"))
-    b = d.where("__i >= __h and __i < 2 * __h").select(*by, (F.col("__i") - F.col("__h")).alias("__i"), F.col(value).alias("b"))
-    j = a.join(b, [*by, "__i"])
-    r = j.withColumn("ra", F.row_number().over(w.orderBy("a", "__i")).cast("double")).withColumn("rb", F.row_number().over(w.orderBy("b", "__i")).cast("double"))
-    n = F.count(F.lit(1))
-    return r.groupBy(*by).agg(n.alias("n"), F.median("a").alias("first_half"), F.median("b").alias("second_half"), F.when(n >= 3, F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))).alias("r"))
+    d = df.withColumn("__i", F.row_number().over(w.orderBy(index)) - 1).withColumn("__all", F.count(F.lit(1)).over(w)).withColumn("__h", F.floor(F.col("__all") / 2).cast("int"))
+    d = d.where("__i < 2 * __h or __all < 2").withColumn("__at", F.when(F.col("__h") > 0, F.col("__i") % F.col("__h")).otherwise(0))
+    j = d.groupBy(*by, "__at").agg(F.max(F.when(F.col("__i") < F.col("__h"), F.col(value))).alias("a"), F.max(F.when(F.col("__i") >= F.col("__h"), F.col(value))).alias("b"), F.max("__all").alias("__all"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    rank = lambda c: F.when(both, F.row_number().over(Window.partitionBy(*by, both).orderBy(c, "__at")).cast("double"))
+    r = j.withColumn("ra", rank("a")).withColumn("rb", rank("b"))
+    enough, n = F.max("__all") >= 4, F.count("ra")
+    rho = F.when(enough & (n >= 3), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")))
+    return r.groupBy(*by).agg(F.when(enough, n).otherwise(F.lit(0)).alias("n"), F.when(enough, F.median("a")).alias("a_median"), F.when(enough, F.median("b")).alias("b_median"), rho.alias("rho"))
 
 
 def central_difference(df: DataFrame, by: list[str], columns: list[str], index: str = "t_idx", dt: Column | None = None) -> DataFrame:
@@ -279,8 +320,8 @@ def p_rank(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
 
 def step_spread(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -> DataFrame:
     """Median, interquartile range and MAD of speed and of turning angle, and the number of speeds."""
-    s = steps(df, by, axes, index).select(*by, "speed", "angle")
-    both = ("speed", "angle")
+    s = steps(df, by, axes, index).select(*by, "speed", F.col("angle").alias("curvature"))
+    both = ("speed", "curvature")
     out = s.groupBy(*by).agg(F.count("speed").alias("n_speeds"), *[f for c in both for f in (F.median(c).alias(f"{c}_median"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_iqr"))])
     mad = s.join(out, by).groupBy(*by).agg(*[F.median(F.abs(F.col(c) - F.col(f"{c}_median"))).alias(f"{c}_mad") for c in both])
     return out.join(mad, by)
@@ -289,15 +330,14 @@ def step_spread(df: DataFrame, by: list[str], axes: list[str], index: str = "t_i
 def dynamics(df: DataFrame, by: list[str], axes: list[str], dt: float, most_lag: int | None = None, least: int = 5, index: str = "t_idx", session: list[str] | None = None, levels: DataFrame | None = None) -> DataFrame:
     """Path, speed, turning, entropies, autocorrelation times and mean-median gaps by key, for keys with ``least`` rows or more.
 
-    For slices of sessions (W11) ``levels`` holds the corner levels of the whole sessions, named by ``session``.
+    Columns have the names that roles and families of metrics (D2) go by. For slices of sessions (W11) ``levels`` holds
+    the corner levels of the whole sessions, named by ``session``.
     """
     finite = reduce(lambda p, q: p & q, [F.col(a).isNotNull() for a in axes])
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("finite_ok"), *[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in axes]).where(F.col("n") >= least)
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_timepoints"), F.min(finite).alias("finite_ok"), *[(F.avg(a) - F.median(a)).alias(f"{a}_delta_mean_median") for a in axes]).where(F.col("n_timepoints") >= least)
     codes = corner_codes(df, session or by, axes, levels=levels)
     out = n.join(path_summary(df, by, axes, index), by, "left").join(step_spread(df, by, axes, index), by, "left")
     out = out.withColumn("not_testable", F.col("n_speeds") < 1).withColumn("not_testable_reason", F.when(F.col("n_speeds") < 1, "lt_min_timepoints_or_no_speed")).drop("n_speeds")
-    for name, f in (("occupancy_entropy", occupancy_entropy(codes, by)), ("dwell_entropy", dwell_entropy(codes, by, index)), ("transition_entropy", transition_entropy(codes, by, index))):
+    for name, f in (("corner_entropy", occupancy_entropy(codes, by)), ("corner_dwell_entropy", dwell_entropy(codes, by, index)), ("corner_transition_entropy", transition_entropy(codes, by, index))):
         out = out.join(f.withColumnRenamed("entropy", name), by, "left")
-    for a in axes:
-        out = out.join(autocorrelation_time(df, by, a, dt, most_lag, index).withColumnRenamed("tau", f"{a}_tau"), by, "left")
-    return out
+    return out.join(autocorrelation_times(df, by, axes, dt, most_lag, index), by, "left")

@@ -1,6 +1,7 @@
 """Queries of the reachability operators."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.operators import reachability as op
 from tideline.operators.sequences import stage_slices, stride
@@ -14,6 +15,11 @@ def points(spark, d):
     return stride(trajectory(spark, d, 3), ["session"]).select("session", "t_idx", *AXES)
 
 
+def timed(spark, d):
+    """The same with the time of each point, which a stride keeps: two seconds a step."""
+    return stride(trajectory(spark, d, 3).withColumn("time", F.col("t_idx") * 2.0), ["session"]).select("session", "t_idx", "time", *AXES)
+
+
 TRANS = TRAJECTORY + """, tn AS (SELECT session, count(*) AS n FROM tr GROUP BY session), pt AS (SELECT session, (t_idx / CASE WHEN n > 2000 THEN ceil(n / 2000)::BIGINT ELSE 1 END)::BIGINT AS t_idx, m, d, e FROM tr JOIN tn USING (session) WHERE t_idx % CASE WHEN n > 2000 THEN ceil(n / 2000)::BIGINT ELSE 1 END = 0),
 nb AS (SELECT session, t_idx AS member, nbr AS source FROM (SELECT a.session, a.t_idx, b.t_idx AS nbr, row_number() OVER (PARTITION BY a.session, a.t_idx ORDER BY round((a.m - b.m)**2 + (a.d - b.d)**2 + (a.e - b.e)**2, 9), b.t_idx) AS rk FROM pt a JOIN pt b ON a.session = b.session) WHERE rk <= 8),
 ls AS (SELECT session, max(t_idx) AS last FROM pt GROUP BY session), sw AS (SELECT session, win, least(win + 1, last - 1) AS center, unnest(range(win, least(win + 2, last) + 1)) AS member FROM (SELECT session, last, unnest(range(0, greatest(last - 2, 0) + 1)) AS win FROM ls)),
@@ -80,21 +86,22 @@ def r10(spark, d):
 
 @query("r11_session_summary")
 def r11(spark, d):
-    return r6(op.summary(points(spark, d), ["session"], "session int", AXES, 8))
+    return r6(op.summary(timed(spark, d), ["session"], "session int", AXES, 8, time="time"))
 
 
 @query("r12_stage_summary")
 def r12(spark, d):
     t = trajectory(spark, d, 3).withColumn("stage", F.floor(F.col("t_idx") / 10).cast("int") % 2)
-    s = stage_slices(t, "session", "stage", {0: "n1", 1: "n2"}, 20)
-    return r6(op.summary(s.select("slice", "t_idx", *AXES), ["slice"], "slice string", AXES, 8))
+    s = stage_slices(t.withColumn("time", F.col("t_idx") * 2.0), "session", "stage", {0: "n1", 1: "n2"}, 20)
+    s = s.withColumn("t_idx", (F.row_number().over(Window.partitionBy("slice").orderBy("t_idx")) - 1).cast("long"))  # kept rows as one sequence
+    return r6(op.summary(stride(s, ["slice"]).select("slice", "t_idx", "time", *AXES), ["slice"], "slice string", AXES, 8, time="time"))
 
 
 @query("r13_network_summary")
 def r13(spark, d):
-    t = trajectory(spark, d, 9)
-    two = t.select("session", F.lit(0).alias("network"), "t_idx", *AXES).unionByName(t.select("session", F.lit(1).alias("network"), "t_idx", F.col("x3").alias("m"), F.col("x4").alias("d"), F.col("x5").alias("e")))
-    return r6(op.summary(stride(two, ["session", "network"]), ["session", "network"], "session int, network int", AXES, 8))
+    t = trajectory(spark, d, 9).withColumn("time", F.col("t_idx") * 2.0)
+    two = t.select("session", F.lit(0).alias("network"), "t_idx", "time", *AXES).unionByName(t.select("session", F.lit(1).alias("network"), "t_idx", "time", F.col("x3").alias("m"), F.col("x4").alias("d"), F.col("x5").alias("e")))
+    return r6(op.summary(stride(two, ["session", "network"]), ["session", "network"], "session int, network int", AXES, 8, time="time"))
 
 
 @query("r14_shape_indices", """SELECT o_orderkey, round(log10(greatest(o_totalprice / 1000, 1)), 6) AS endpoint_ovality, round(log10(greatest(o_totalprice / 500, 1)), 6) AS tube_elongation, round(least(greatest((o_orderkey % 40) / 10.0::DOUBLE / 3, 0), 1), 6) AS tube_compactness, -o_totalprice AS size,

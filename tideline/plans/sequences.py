@@ -34,7 +34,7 @@ def w2(spark, d):
 
 PATH = ST + """, pp AS (SELECT session, segment, sum(speed) AS path, sqrt((arg_max(m, t_idx) - arg_min(m, t_idx))**2 + (arg_max(d, t_idx) - arg_min(d, t_idx))**2 + (arg_max(e, t_idx) - arg_min(e, t_idx))**2) AS direct, sum(angle) AS a, count(angle) AS na, count(speed) AS ns FROM st GROUP BY ALL),
 ps AS (SELECT session, sum(path) AS path, sum(direct) AS direct, count(*) AS n_segments, sum(path) / sum(ns) AS mean_speed, sum(a) / sum(na) AS mean_angle FROM pp GROUP BY session)"""
-PATH_COLS = "round(path, 6) AS path, round(direct, 6) AS direct, n_segments, round(mean_speed, 6) AS mean_speed, round(mean_angle, 6) AS mean_angle, round(CASE WHEN path > 0 THEN least(greatest(direct / path, 0), 1) END, 6) AS efficiency"
+PATH_COLS = "round(path, 6) AS path_length, round(direct, 6) AS endpoint_dist, n_segments, round(mean_speed, 6) AS speed_mean, round(mean_angle, 6) AS curvature_mean, round(CASE WHEN path > 0 THEN least(greatest(direct / path, 0), 1) END, 6) AS traj_efficiency"
 
 
 @query("w4_path", "WITH " + PATH + f" SELECT session, {PATH_COLS} FROM ps")
@@ -42,7 +42,7 @@ def w4(spark, d):
     return r6(op.path_summary(gapped(spark, d), ["session"], AXES))
 
 
-CODES = TG + """, qs AS (SELECT session, quantile_cont(m, 0.6) AS qm, quantile_cont(d, 0.6) AS qd, quantile_cont(e, 0.6) AS qe FROM tg GROUP BY session), cd AS (SELECT tg.*, ((m >= qm - 1e-12)::INT + 2 * (d >= qd - 1e-12)::INT + 4 * (e >= qe - 1e-12)::INT) AS code FROM tg JOIN qs USING (session))"""
+CODES = TG.replace(" WHERE t_idx % 7 <> 3", "") + """, qs AS (SELECT session, quantile_cont(m, 0.6) AS qm, quantile_cont(d, 0.6) AS qd, quantile_cont(e, 0.6) AS qe FROM tg GROUP BY session), cd AS (SELECT tg.*, ((m >= qm - 1e-12)::INT + 2 * (d >= qd - 1e-12)::INT + 4 * (e >= qe - 1e-12)::INT) AS code FROM tg JOIN qs USING (session))"""
 
 
 def _entropy(counts, cells, by="session"):
@@ -55,48 +55,51 @@ TRN = _entropy('SELECT session, code, nxt, count(*)::DOUBLE AS n FROM (SELECT se
 
 @query("w5_occupancy_entropy", "WITH " + CODES + f" SELECT session, round(entropy, 6) AS entropy FROM ({OCC})")
 def w5(spark, d):
-    return r6(op.occupancy_entropy(op.corner_codes(gapped(spark, d), ["session"], AXES), ["session"]))
+    return r6(op.occupancy_entropy(op.corner_codes(trajectory(spark, d, 3), ["session"], AXES), ["session"]))
 
 
 @query("w6_dwell_entropy", "WITH " + CODES + f" SELECT session, round(entropy, 6) AS entropy FROM ({OCC})")
 def w6(spark, d):
-    return r6(op.dwell_entropy(op.corner_codes(gapped(spark, d), ["session"], AXES), ["session"]))
+    return r6(op.dwell_entropy(op.corner_codes(trajectory(spark, d, 3), ["session"], AXES), ["session"]))
 
 
 @query("w7_transition_entropy", "WITH " + CODES + f" SELECT session, round(entropy, 6) AS entropy FROM ({TRN})")
 def w7(spark, d):
-    return r6(op.transition_entropy(op.corner_codes(gapped(spark, d), ["session"], AXES), ["session"]))
+    return r6(op.transition_entropy(op.corner_codes(trajectory(spark, d, 3), ["session"], AXES), ["session"]))
 
 
-def _tau(axis, src="tg"):
+def _tau(axis):
     return f"""SELECT b.session, CASE WHEN any_value(b.n) >= 5 AND any_value(b.varied) THEN coalesce(min(lag) FILTER (c / v < exp(-1)), least(150, any_value(b.n) - 1)) * 2.0::DOUBLE END AS tau FROM (SELECT session, sum(x * x) AS v, count(*) AS n, max(x) > min(x) AS varied FROM ac_{axis} GROUP BY session) b
  LEFT JOIN (SELECT p.session, q.i - p.i AS lag, sum(p.x * q.x) AS c FROM ac_{axis} p JOIN ac_{axis} q ON p.session = q.session AND q.i - p.i BETWEEN 1 AND 150 GROUP BY ALL) l ON b.session = l.session GROUP BY b.session"""
 
 
-def _ac(axis, src="tg"):
-    return f"ac_{axis} AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_idx) AS i, {axis} - avg({axis}) OVER (PARTITION BY session) AS x FROM {src})"
+def _ac(axis):
+    return f"ac_{axis} AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_idx) AS i, {axis} - avg({axis}) OVER (PARTITION BY session) AS x FROM tr)"
 
 
-@query("w8_autocorrelation", "WITH " + TG + ", " + _ac("m") + " SELECT session, round(tau, 6) AS tau FROM (" + _tau("m") + ")")
+@query("w8_autocorrelation", "WITH " + TRAJECTORY + ", " + _ac("m") + " SELECT session, round(tau, 6) AS tau FROM (" + _tau("m") + ")")
 def w8(spark, d):
-    return r6(op.autocorrelation_time(gapped(spark, d), ["session"], "m", 2.0))
+    return r6(op.autocorrelation_time(trajectory(spark, d, 3), ["session"], "m", 2.0))
 
 
-@query("w9_mean_median_gap", "WITH " + TG + " SELECT session, round(avg(m) - median(m), 6) AS m_gap, round(avg(d) - median(d), 6) AS d_gap, round(avg(e) - median(e), 6) AS e_gap FROM tg GROUP BY session")
+GAPS = ", ".join(f"avg({a}) - median({a}) AS {a}_delta_mean_median" for a in AXES)
+
+
+@query("w9_mean_median_gap", "WITH " + TRAJECTORY + " SELECT session, " + ", ".join(f"round(avg({a}) - median({a}), 6) AS {a}_delta_mean_median" for a in AXES) + " FROM tr GROUP BY session")
 def w9(spark, d):
-    return r6(gapped(spark, d).groupBy("session").agg(*[(F.avg(a) - F.median(a)).alias(f"{a}_gap") for a in AXES]))
+    return r6(trajectory(spark, d, 3).groupBy("session").agg(*[(F.avg(a) - F.median(a)).alias(f"{a}_delta_mean_median") for a in AXES]))
 
 
-_SPREAD = [(f"{c}_{n}", f.format(c)) for c in ("speed", "angle") for n, f in (("median", "median({0})"), ("iqr", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"), ("mad", "mad({0})"))]
+_SPREAD = [(f"{name}_{n}", f.format(c)) for c, name in (("speed", "speed"), ("angle", "curvature")) for n, f in (("median", "median({0})"), ("iqr", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"), ("mad", "mad({0})"))]
 RAW = ", ".join(f"{sql} AS {name}" for name, sql in _SPREAD)
 SPREAD = ", ".join(f"round({name}, 6) AS {name}" for name, _ in _SPREAD)
 
 
-@query("w10_dynamics", "WITH " + PATH + CODES.removeprefix(TG) + ", " + ", ".join(_ac(a) for a in AXES) + f""", hd AS (SELECT session, count(*) AS n, bool_and(m IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL) AS finite_ok, avg(m) - median(m) AS m_gap, avg(d) - median(d) AS d_gap, avg(e) - median(e) AS e_gap FROM tg GROUP BY session HAVING count(*) >= 5), oe AS ({OCC}), te AS ({TRN}), tm AS ({_tau('m')}), sp AS (SELECT session, count(speed) AS n_speeds, {RAW} FROM st GROUP BY session), td AS ({_tau('d')}), tv AS ({_tau('e')})
- SELECT hd.session, n, finite_ok, n_speeds < 1 AS not_testable, CASE WHEN n_speeds < 1 THEN 'lt_min_timepoints_or_no_speed' END AS not_testable_reason, {SPREAD}, round(m_gap, 6) AS m_gap, round(d_gap, 6) AS d_gap, round(e_gap, 6) AS e_gap, {PATH_COLS}, round(oe.entropy, 6) AS occupancy_entropy, round(oe.entropy, 6) AS dwell_entropy, round(te.entropy, 6) AS transition_entropy, round(tm.tau, 6) AS m_tau, round(td.tau, 6) AS d_tau, round(tv.tau, 6) AS e_tau
+@query("w10_dynamics", "WITH " + PATH.replace(" WHERE t_idx % 7 <> 3", "") + CODES.removeprefix(TG.replace(" WHERE t_idx % 7 <> 3", "")) + ", " + ", ".join(_ac(a) for a in AXES) + f""", hd AS (SELECT session, count(*) AS n_timepoints, bool_and(m IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL) AS finite_ok, {GAPS} FROM tr GROUP BY session HAVING count(*) >= 5), oe AS ({OCC}), te AS ({TRN}), tm AS ({_tau('m')}), sp AS (SELECT session, count(speed) AS n_speeds, {RAW} FROM st GROUP BY session), td AS ({_tau('d')}), tv AS ({_tau('e')})
+ SELECT hd.session, n_timepoints, finite_ok, n_speeds < 1 AS not_testable, CASE WHEN n_speeds < 1 THEN 'lt_min_timepoints_or_no_speed' END AS not_testable_reason, {SPREAD}, {', '.join(f'round({a}_delta_mean_median, 6) AS {a}_delta_mean_median' for a in AXES)}, {PATH_COLS}, round(oe.entropy, 6) AS corner_entropy, round(oe.entropy, 6) AS corner_dwell_entropy, round(te.entropy, 6) AS corner_transition_entropy, round(tm.tau, 6) AS m_tau_sec, round(td.tau, 6) AS d_tau_sec, round(tv.tau, 6) AS e_tau_sec
  FROM hd JOIN ps USING (session) JOIN sp USING (session) JOIN oe USING (session) JOIN te USING (session) JOIN tm USING (session) JOIN td USING (session) JOIN tv USING (session)""")
 def w10(spark, d):
-    return r6(op.dynamics(gapped(spark, d), ["session"], AXES, 2.0))
+    return r6(op.dynamics(trajectory(spark, d, 3), ["session"], AXES, 2.0))
 
 
 @query("w11_stage_dynamics")
@@ -127,9 +130,9 @@ def w15(spark, d):
     return op.rolling_stability(trajectory(spark, d, 3), ["session"], "m").select("session", "t_idx", F.round("stability", 4).alias("stability"))
 
 
-@query("w16_return_time", "WITH " + EVENTS + ", q AS (SELECT subject, median(value) AS md FROM ev GROUP BY subject), r AS (SELECT ev.*, md, min(CASE WHEN value >= 0.9::DOUBLE * md THEN t_idx END) OVER (PARTITION BY subject ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM ev JOIN q USING (subject)) SELECT event_id, CASE WHEN value < 0.8::DOUBLE * md THEN nx - t_idx END AS return_time FROM r")
+@query("w16_return_time", "WITH " + EVENTS + ", q AS (SELECT subject, median(value) AS md FROM ev GROUP BY subject), r AS (SELECT ev.*, md, min(CASE WHEN value >= 0.9::DOUBLE * md THEN time END) OVER (PARTITION BY subject ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM ev JOIN q USING (subject)) SELECT event_id, round(CASE WHEN value < 0.8::DOUBLE * md THEN nx - time END, 3) AS return_time FROM r")
 def w16(spark, d):
-    return op.return_time(events(spark, d), ["subject"], "value").select("event_id", "return_time")
+    return op.return_time(events(spark, d), ["subject"], "value", time="time").select("event_id", F.round("return_time", 3).alias("return_time"))
 
 
 @query("w17_hysteresis", "WITH " + TRAJECTORY + """, g AS (SELECT session, t_idx, m, row_number() OVER o AS i, coalesce(m - lag(m) OVER o, 0) AS g FROM tr WINDOW o AS (PARTITION BY session ORDER BY t_idx))
@@ -143,8 +146,9 @@ def w18(spark, d):
     return r6(op.growth_ratio(trajectory(spark, d, 3), ["session"], "m").select("session", "t_idx", "growth"))
 
 
-@query("w19_split_half", "WITH " + EVENTS + """, h AS (SELECT subject, value, row_number() OVER (PARTITION BY subject ORDER BY t_idx) - 1 AS i, (count(*) OVER (PARTITION BY subject) // 2) AS hf FROM ev WHERE value IS NOT NULL), j AS (SELECT a.subject, a.i, a.value AS a, b.value AS b FROM h a JOIN h b ON a.subject = b.subject AND b.i = a.i + a.hf WHERE a.i < a.hf),
- r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY a, i) AS ra, row_number() OVER (PARTITION BY subject ORDER BY b, i) AS rb FROM j) SELECT subject, count(*) AS n, round(median(a), 6) AS first_half, round(median(b), 6) AS second_half, round(CASE WHEN count(*) >= 3 THEN corr(ra, rb) END, 6) AS r FROM r GROUP BY subject""")
+@query("w19_split_half", "WITH " + EVENTS + """, h AS (SELECT subject, value, row_number() OVER (PARTITION BY subject ORDER BY t_idx) - 1 AS i, count(*) OVER (PARTITION BY subject) AS nn FROM ev), j AS (SELECT a.subject, a.i, a.value AS a, b.value AS b, a.nn FROM h a LEFT JOIN h b ON a.subject = b.subject AND b.i = a.i + a.nn // 2 WHERE a.i < a.nn // 2 OR a.nn < 2),
+ k AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND nn >= 2 AS ok FROM j), r AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY subject, ok ORDER BY a, i) END AS ra, CASE WHEN ok THEN row_number() OVER (PARTITION BY subject, ok ORDER BY b, i) END AS rb FROM k)
+ SELECT subject, CASE WHEN max(nn) >= 4 THEN count(ra) ELSE 0 END AS n, round(CASE WHEN max(nn) >= 4 THEN median(a) END, 6) AS a_median, round(CASE WHEN max(nn) >= 4 THEN median(b) END, 6) AS b_median, round(CASE WHEN max(nn) >= 4 AND count(ra) >= 3 THEN corr(ra, rb) END, 6) AS rho FROM r GROUP BY subject""")
 def w19(spark, d):
     return r6(op.split_half(events(spark, d), ["subject"], "value"))
 
