@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import contrasts, joins, metrics, quantiles, ranges, reachability, sequences, tiles
+from tideline.functions import resample
+from tideline.operators import contrasts, joins, metrics, quantiles, ranges, reachability, resampling, sequences, stats, tiles
 
 
 def test_quantiles_of_any_size(spark, monkeypatch):
@@ -161,3 +162,33 @@ def test_split_halves_keep_places(spark):
     a = got["a"]
     assert (a.n, a.a_median, a.b_median, a.rho) == (2, 3.0, 8.0, None)  # halves 1 - 3 4 and 9 8 - 6
     assert all((got[s].n, got[s].a_median, got[s].rho) == (0, None, None) for s in "bc")
+
+
+def test_draws_are_the_same_everywhere(spark, duck):
+    """Columns, arrays and the oracle's dialect give the same numbers; they spread evenly over replicates and items."""
+    keys = [0, 1, 77, 2**31, 2**32 - 1]
+    got = spark.createDataFrame([(k, r) for k in keys for r in range(40)], "k long, r int").select("k", "r", resample.draw(F.col("k"), F.col("r")).alias("h")).collect()
+    want = resample.draws(np.array(keys), np.arange(40))
+    assert all(q.h == want[q.r, keys.index(q.k)] for q in got)
+    items = spark.range(30).select("id", resample.item_key(3, "id", "salt").alias("key")).orderBy("id").collect()
+    told = duck.execute(f"select i, r, {resample.draw_sql(3, 'r', 'i', 'salt')} from range(30) a(i), range(20) b(r)").fetchall()
+    h = resample.draws(np.array([q.key for q in items]), np.arange(20))
+    assert all(h[r, i] == x for i, r, x in told)
+    many = resample.draws(np.arange(2000) * 2654435761 % 2**32, np.arange(500)) / 2**32
+    assert abs(many.mean() - 0.5) < 0.002 and abs(np.corrcoef(many)[np.triu_indices(500, 1)]).mean() < 0.03
+
+
+def test_large_groups_give_what_packed_ones_do(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(g, i, float(v), float(v * 0.5 + w), bool(i % 3)) for g in ("a", None) for i, (v, w) in enumerate(r.normal(size=(23, 2)))]
+    df = spark.createDataFrame(rows, "g string, i long, v double, w double, lf boolean")
+    calls = [
+        lambda: stats.label_permutation_p(df.where("g = 'a'"), ["g"], "v", "lf", "i", 40), lambda: stats.bootstrap_ci(df.where("g = 'a'"), ["g"], "v", "i", 40), lambda: stats.bootstrap_dz(df.where("g = 'a'"), ["g"], "v", "i", 40),
+        lambda: stats.bootstrap_spearman(df.where("g = 'a'"), ["g"], "v", "w", "i", 40), lambda: stats.median_sign_p(df.where("g = 'a'"), ["g"], "v", "i", 40),
+    ]
+    packed = [f().collect() for f in calls]
+    both = stats.bootstrap_ci(df, ["g"], "v", "i", 40).collect()
+    assert len(both) == 2 and stats.paired_permutation_p(df, ["g"], "v", "i", 40).count() == 2
+    monkeypatch.setattr(resampling, "PACK", 5)
+    for a, b in zip(packed, [f().collect() for f in calls], strict=True):
+        assert len(a) == len(b) == 1 and all((x == y) if isinstance(x, (str, bool)) or x is None else x == pytest.approx(y, abs=1e-9) for x, y in zip(a[0], b[0], strict=True)), (a, b)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tideline.functions.resample import sign, uniform
+from tideline.functions.resample import draws, item_key
 from tideline.operators import stats
 from tideline.operators.quantiles import quantiles
+from tideline.operators.tiles import batches_of
+from tideline.sources.scan import written
 
 
 def collapse(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: list[str]) -> DataFrame:
@@ -57,7 +61,7 @@ def unpaired_contrast(df: DataFrame, keys: list[str], is_left: Column, value: st
     return out.withColumn("skip_reason", F.when((n1 < least) | (n2 < least), "too few rows")).drop("left_var", "right_var")
 
 
-def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str, replicates: int = 200) -> DataFrame:
+def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str, permutations: int = 5000, replicates: int = 2000) -> DataFrame:
     """Every contrast and key at once: T1, exact or random sign-flip p by the number of pairs, bootstrap interval, q."""
     c = collapse(metrics, contrasts, keys, [pair])
     by = ["contrast_name", *keys]
@@ -65,30 +69,65 @@ def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str,
     n = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     few = diffs.join(n.where("__n <= 16"), by, "left_semi")
     many = diffs.join(n.where("__n > 16"), by, "left_semi")
-    p = stats.exact_paired_p(few, by, "diff", pair).select(*by, "p").unionByName(stats.paired_permutation_p(many, by, "diff", pair, replicates).select(*by, "p"))
+    p = stats.exact_paired_p(few, by, "diff", pair).select(*by, "p").unionByName(stats.paired_permutation_p(many, by, "diff", pair, permutations).select(*by, "p"))
     ci = stats.bootstrap_ci(diffs, by, "diff", pair, replicates).select(*by, "ci_low", "ci_high")
     out = paired_contrast(c, keys).join(p, by, "left").join(ci, by, "left").withColumn("p", F.when(F.col("skip_reason").isNull(), F.col("p")))
     return stats.benjamini_hochberg(out, ["contrast_name"], "p", keys[0] if keys else "contrast_name")
 
 
 def sign_control(diffs: DataFrame, by: list[str], item: str, n: int, seed: int = 0) -> DataFrame:
-    """Dz of randomly signed differences: null quantiles and how often they reach the observed dz."""
-    dz = lambda c: F.coalesce(F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(0.0))
-    r = stats.replicates(diffs, n).withColumn("__s", sign(seed, "rep", item) * F.col("diff"))
-    null = r.groupBy(*by, "rep").agg(dz("__s").alias("s"), dz("diff").alias("o"))
-    return _null_summary(null, by)
+    """Dz of randomly signed differences: null quantiles and how often they reach the observed dz.
+
+    Flips leave squares as they are, so a replicate's dz follows from its sum alone.
+    """
+    o = diffs.groupBy(*by).agg(F.sum("diff").alias("__sum"), F.sum(F.col("diff") ** 2).alias("__squares"), F.count("diff").alias("__n"))
+    s = stats.flipped_sums(diffs, by, "diff", item, n, seed).join(o, by)
+
+    def dz(total: Column) -> Column:
+        m = F.col("__n")
+        spread = F.sqrt(F.greatest((F.col("__squares") - total * total / m) / F.nullif(m - 1, F.lit(0)), F.lit(0.0)))
+        return F.coalesce(total / m / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+
+    return _null_summary(s.select(*by, "rep", dz(F.col("s")).alias("s"), dz(F.col("__sum")).alias("o")), by)
+
+
+def _stage_gaps(n: int):
+    """Of each batch of subjects: sums, squares and counts of first minus third stage in the order of draws, by group and replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, values, keys = np.asarray(batch.column("of")), batch.column("vs"), batch.column("keys")
+            groups, first, at = np.unique(of, return_index=True, return_inverse=True)
+            sums = np.zeros((len(groups), 3, n))
+            for row in range(len(batch)):
+                v, key = np.asarray(values[row].values), np.asarray(keys[row].values)
+                order = np.argsort(draws(key, np.arange(n)), axis=1, kind="stable")
+                gap = v[order[:, 0]] - v[order[:, 2]]
+                sums[at[row]] += [np.nan_to_num(gap), np.nan_to_num(gap * gap), np.isfinite(gap)]
+            held = [pa.ListArray.from_arrays(pa.array(np.arange(len(groups) + 1) * n, pa.int32()), pa.array(sums[:, c].ravel())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(first)), *held], ["g", "s", "q", "m"])
+
+    return run
 
 
 def stage_control(long: DataFrame, by: list[str], subject: str, stage: str, value: str, n: int, seed: int = 0) -> DataFrame:
-    """Stages of each subject in hash order per replicate; dz of the first minus the third."""
-    dz = lambda c: F.coalesce(F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(0.0))
-    observed = long.withColumn("__k", F.row_number().over(Window.partitionBy(*by, subject).orderBy(stage)))
+    """Stages of each subject in the order of draws per replicate; dz of the first minus the third.
+
+    A subject is one row with an array of its stages; replicates are summed batch by batch. Subjects with fewer than
+    three stages have no gap.
+    """
     item = F.concat_ws(":", F.col(subject).cast("string"), F.col(stage).cast("string"))
-    shuffled = stats.replicates(long, n).withColumn("__k", F.row_number().over(Window.partitionBy(*by, subject, "rep").orderBy(uniform(seed, "rep", item, "stage"), stage)))
-    gap = F.max(F.when(F.col("__k") == 1, F.col(value))) - F.max(F.when(F.col("__k") == 3, F.col(value)))
-    o = observed.groupBy(*by, subject).agg(gap.alias("g")).groupBy(*by).agg(dz("g").alias("o"))
-    s = shuffled.groupBy(*by, "rep", subject).agg(gap.alias("g")).groupBy(*by, "rep").agg(dz("g").alias("s"))
-    return _null_summary(s.join(o, by) if by else s.crossJoin(F.broadcast(o)), by)  # o is one row then
+    stages = F.sort_array(F.collect_list(F.struct(F.col(stage).alias("s"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"), item_key(seed, item, "stage").alias("k"))))
+    packed = long.groupBy(*by, subject).agg(stages.alias("x")).where(F.size("x") >= 3).select(F.struct(*by).alias("g"), F.transform("x", lambda r: r["v"]).alias("vs"), F.transform("x", lambda r: r["k"]).alias("keys"))
+    packed = written(packed.withColumn("of", F.xxhash64("g")))
+    dz = lambda s, q, m: F.coalesce(s / m / F.nullif(F.sqrt(F.greatest((q - s * s / m) / F.nullif(m - 1, F.lit(0.0)), F.lit(0.0))), F.lit(0.0)), F.lit(0.0))
+    with batches_of(long.sparkSession, 1000):
+        parts = written(packed.mapInArrow(_stage_gaps(n), f"g {packed.schema['g'].dataType.simpleString()}, s array<double>, q array<double>, m array<double>"))
+    each = parts.select("g", F.posexplode(F.arrays_zip("s", "q", "m")).alias("rep", "z")).groupBy("g", "rep").agg(*[F.sum(f"z.{c}").alias(c) for c in "sqm"])
+    gap = F.when(~F.isnan(F.get("vs", 0) - F.get("vs", 2)), F.get("vs", 0) - F.get("vs", 2))
+    o = packed.select("g", gap.alias("gap")).groupBy("g").agg(F.sum("gap").alias("os"), F.sum(F.col("gap") ** 2).alias("oq"), F.count("gap").cast("double").alias("om"))
+    null = each.join(o, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], dz(F.col("s"), F.col("q"), F.nullif("m", F.lit(0.0))).alias("s"), dz(F.col("os"), F.col("oq"), F.nullif("om", F.lit(0.0))).alias("o"))
+    return _null_summary(null, by)
 
 
 def _null_summary(null: DataFrame, by: list[str]) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions.distributions import chi2_p, t_p, wilcoxon_p
-from tideline.functions.resample import sign, uniform
+from tideline.functions.resample import draw, item_key
+from tideline.operators.quantiles import quantiles
+from tideline.operators.ranges import running
+from tideline.operators.resampling import flipped_sums, replicated
 from tideline.sources.scan import written
 
 
@@ -152,43 +156,109 @@ def exact_paired_p(df: DataFrame, by: list[str], diff: str, item: str, most: int
 
 
 def paired_permutation_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, seed: int = 0) -> DataFrame:
-    """T4: random sign flips of the pairs' differences, p = (hits + 1) / (n + 1)."""
-    r = replicates(df, n).withColumn("__s", sign(seed, "rep", item) * F.col(diff))
-    sums = r.groupBy(*by, "rep").agg(F.avg("__s").alias("s"), F.avg(diff).alias("o"))
-    return sums.groupBy(*by).agg(((F.sum((F.abs("s") >= F.abs("o") - 1e-9).cast("long")) + 1) / (n + 1)).alias("p"))
+    """T4: random sign flips of the pairs' differences, p = (hits + 1) / (n + 1). Groups may have any size."""
+    s = flipped_sums(df, by, diff, item, n, seed)
+    o = df.groupBy(*by).agg(F.sum(diff).alias("__o"), F.count(diff).alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in by], "__o", "__n")
+    hits = F.sum((F.abs(F.col("s") / F.col("__n")) >= F.abs(F.col("__o") / F.col("__n")) - 1e-9).cast("long"))
+    return s.join(o, _same(by, "__")).groupBy(*by).agg(((hits + 1) / (n + 1)).alias("p"))
 
 
 def label_permutation_p(df: DataFrame, by: list[str], value: str, is_left: str, item: str, n: int, seed: int = 0) -> DataFrame:
-    """T5: shuffled labels: the first n_left rows in the order of a hash are the left side."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("__l", F.sum(F.col(is_left).cast("int")).over(w))
-    r = replicates(d, n).withColumn("__k", F.row_number().over(Window.partitionBy(*by, "rep").orderBy(uniform(seed, "rep", item, "label"), item)))
+    """T5: shuffled labels: the n_left rows with the smallest draws are the left side. p = (hits + 1) / (n + 1)."""
+
+    def kernel(x: dict, h: np.ndarray) -> np.ndarray:
+        v, left = x["v"], int(x["lf"].sum())
+        order = np.argsort(h, axis=1, kind="stable")[:, :left]  # ties by item
+        low = v[order].sum(1)
+        return (v.sum() - low) / max(len(v) - left, 1) - low / max(left, 1) if 0 < left < len(v) else np.full(len(h), np.nan)
+
+    def large(rows: DataFrame) -> DataFrame:
+        d = rows.join(rows.groupBy(*by).agg(F.sum("lf").alias("__l")), by).withColumn("__key", item_key(seed, item, "label"))
+        r = replicates(d, n).withColumn("__h", draw(F.col("__key"), F.col("rep")))
+        r = running(r.select(*by, "rep", item, "__h", "v", "__l"), [*by, "rep"], ["__h", item], {"__k": ("sum", F.lit(1))})
+        side = lambda left: F.avg(F.when(left, F.col("v")))
+        return r.groupBy(*by, "rep").agg((side(F.col("__k") >= F.col("__l")) - side(F.col("__k") < F.col("__l"))).alias("s"))
+
+    s = replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value), "lf": F.col(is_left).cast("int")}, item, n, kernel, large, seed, "label")
     side = lambda left: F.avg(F.when(left, F.col(value)))
-    s = r.groupBy(*by, "rep").agg((side(F.col("__k") > F.col("__l")) - side(F.col("__k") <= F.col("__l"))).alias("s"), (side(~F.col(is_left)) - side(F.col(is_left))).alias("o"))
-    return s.groupBy(*by).agg(((F.sum((F.abs("s") >= F.abs("o") - 1e-9).cast("long")) + 1) / (n + 1)).alias("p"))
+    o = df.groupBy(*by).agg((side(~F.col(is_left)) - side(F.col(is_left))).alias("__o")).select(*[F.col(c).alias(f"__{c}") for c in by], "__o")
+    return s.join(o, _same(by, "__")).groupBy(*by).agg(((F.sum((F.abs("s") >= F.abs("__o") - 1e-9).cast("long")) + 1) / (n + 1)).alias("p"))
 
 
 def resampled(df: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "boot") -> DataFrame:
-    """Bootstrap samples: for every replicate and draw, the row at floor(u * size)."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("__i", F.row_number().over(w.orderBy(item)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    draws = replicates(d.select(*by, F.col("__i").alias("__draw"), "__n"), n)
-    draws = draws.withColumn("__i", F.floor(uniform(seed, "rep", "__draw", salt) * F.col("__n")).cast("int")).select(*by, "rep", "__i")
-    return draws.join(d.drop("__n"), [*by, "__i"])
+    """T6 for groups of any size, as rows: for every replicate and draw, the row at draw * size / 2^32."""
+    d = ordered(df, by, [item]).withColumn("__i", F.col("__before").cast("bigint"))
+    size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    rows = replicates(d.select(*by, item_key(seed, item, salt).alias("__key")).join(size, by), n)
+    rows = rows.select(*by, "rep", F.shiftrightunsigned(draw(F.col("__key"), F.col("rep")) * F.col("__n"), 32).alias("__i"))
+    return rows.join(d.drop("__part", "__before"), [*by, "__i"])
+
 
+def chosen(h: np.ndarray) -> np.ndarray:
+    """Row numbers that a matrix of draws picks: one for each draw."""
+    return (h.astype(np.uint64) * np.uint64(h.shape[1]) >> np.uint64(32)).astype(np.int64)
 
-def bootstrap_ci(df: DataFrame, by: list[str], value: str, item: str, n: int, statistic=F.avg, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 % points and standard error of a statistic over bootstrap samples."""
-    s = resampled(df, by, item, n, seed).groupBy(*by, "rep").agg(statistic(value).alias("s"))
+
+def _interval(s: DataFrame, by: list[str]) -> DataFrame:
     out = s.groupBy(*by).agg(F.percentile("s", F.lit(0.025)).alias("ci_low"), F.percentile("s", F.lit(0.975)).alias("ci_high"), F.stddev_samp("s").alias("se"))
     return out.withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
+def bootstrap_ci(df: DataFrame, by: list[str], value: str, item: str, n: int, seed: int = 0) -> DataFrame:
+    """2.5 and 97.5 % points and standard error of the mean over bootstrap samples."""
+    mean = lambda x, h: x["v"][chosen(h)].mean(1)
+    large = lambda rows: resampled(rows, by, item, n, seed).groupBy(*by, "rep").agg(F.avg("v").alias("s"))
+    return _interval(replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value)}, item, n, mean, large, seed), by)
+
+
+def bootstrap_dz(df: DataFrame, by: list[str], value: str, item: str, n: int, seed: int = 0) -> DataFrame:
+    """The same of dz (mean over sample deviation)."""
+    dz = lambda x, h: (lambda v: v.mean(1) / np.where(v.std(1, ddof=1) > 0, v.std(1, ddof=1), np.nan))(x["v"][chosen(h)])
+    large = lambda rows: resampled(rows, by, item, n, seed).groupBy(*by, "rep").agg((F.avg("v") / F.nullif(F.stddev_samp("v"), F.lit(0.0))).alias("s"))
+    return _interval(replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value)}, item, n, dz, large, seed), by)
+
+
+def _mid_ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks of each row of a matrix."""
+    order = np.argsort(v, axis=1, kind="stable")
+    ordered_, at = np.take_along_axis(v, order, 1), np.arange(v.shape[1])
+    new = np.concatenate([np.ones((len(v), 1), bool), ordered_[:, 1:] != ordered_[:, :-1]], 1)
+    first = np.maximum.accumulate(np.where(new, at, 0), 1)
+    last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((len(v), 1), bool)], 1), at, v.shape[1])[:, ::-1], 1)[:, ::-1]
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
+
+
+def bootstrap_spearman(df: DataFrame, by: list[str], x: str, y: str, item: str, n: int, seed: int = 0, least: int = 5) -> DataFrame:
+    """2.5 and 97.5 % points and standard error of the rank correlation over bootstrap samples of complete pairs."""
+
+    def kernel(c: dict, h: np.ndarray) -> np.ndarray:
+        if h.shape[1] < least:
+            return np.full(len(h), np.nan)
+        at = chosen(h)
+        a, b = _mid_ranks(c["x"][at]), _mid_ranks(c["y"][at])
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        return (a * b).sum(1) / np.where(size > 0, size, np.nan)
+
+    large = lambda rows: spearman(resampled(rows, by, item, n, seed), [*by, "rep"], "x", "y", least, large=True).select(*by, "rep", F.col("r").alias("s"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return _interval(replicated(pairs, by, {"x": F.col(x), "y": F.col(y)}, item, n, kernel, large, seed), by)
+
+
 def median_sign_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, seed: int = 0) -> DataFrame:
     """Share of sign-flipped medians at least as far from zero as the observed one."""
-    r = replicates(df, n).withColumn("__s", sign(seed, "rep", item) * F.col(diff))
-    s = r.groupBy(*by, "rep").agg(F.median("__s").alias("s"), F.median(diff).alias("o"))
-    return s.groupBy(*by).agg(F.avg((F.abs("s") >= F.abs("o") - 1e-9).cast("double")).alias("p"))
+    median = lambda x, h: np.median(np.where(h < np.uint32(1 << 31), -x["v"], x["v"]), axis=1)
+
+    def large(rows: DataFrame) -> DataFrame:
+        r = replicates(rows.withColumn("__key", item_key(seed, item, "sign")), n)
+        signed = r.withColumn("v", F.when(draw(F.col("__key"), F.col("rep")) < 1 << 31, -F.col("v")).otherwise(F.col("v")))
+        return quantiles(signed, [*by, "rep"], {"v": F.col("v")}, {"median": 0.5}).withColumnRenamed("v_median", "s")
+
+    s = replicated(df.where(F.col(diff).isNotNull()), by, {"v": F.col(diff)}, item, n, median, large, seed, "sign")
+    o = quantiles(df, by, {"o": F.col(diff)}, {"median": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("o_median").alias("__o"))
+    return s.join(o, _same(by, "__")).groupBy(*by).agg(F.avg((F.abs("s") >= F.abs("__o") - 1e-9).cast("double")).alias("p"))
 
 
 def leave_one_out(df: DataFrame, by: list[str], item: str, x: str, y: str, least: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tideline.functions.resample import sign_sql, uniform_sql
+from tideline.functions.resample import draw_sql, flip_sql
 from tideline.operators import contrasts as op
 from tideline.operators import joins, stats
 from tideline.plans.registry import query
@@ -64,30 +64,31 @@ def t4(spark, d):
     return r6(stats.exact_paired_p(blocks, ["contrast_name", "metric", "block"], "diff", "subject"))
 
 
-N = 100
-REP = f"range({N}) r(rep)"
+#: As many as the studies take: permutations and bootstrap samples.
+PERMUTATIONS, BOOTSTRAPS = 5000, 2000
+REP, BOOT_REP = f"range({PERMUTATIONS}) r(rep)", f"range({BOOTSTRAPS}) r(rep)"
 
 
-@query("t4_random_permutation", "WITH " + COLLAPSED + f""", s AS (SELECT contrast_name, metric, rep, avg({sign_sql(0, 'rep', 'subject')} * diff) AS s, avg(diff) AS o FROM df, {REP} GROUP BY ALL) SELECT contrast_name, metric, round((sum((abs(s) >= abs(o) - 1e-9)::INT) + 1) / ({N} + 1), 6) AS p FROM s GROUP BY ALL""")
+@query("t4_random_permutation", "WITH " + COLLAPSED + f""", s AS (SELECT contrast_name, metric, rep, avg({flip_sql(0, 'rep', 'subject')} * diff) AS s, avg(diff) AS o FROM df, {REP} GROUP BY ALL) SELECT contrast_name, metric, round((sum((abs(s) >= abs(o) - 1e-9)::INT) + 1) / ({PERMUTATIONS} + 1), 6) AS p FROM s GROUP BY ALL""")
 def t4b(spark, d):
-    return r6(stats.paired_permutation_p(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", N))
+    return r6(stats.paired_permutation_p(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", PERMUTATIONS))
 
 
-@query("t5_label_permutation", f"""WITH c AS (SELECT c_custkey, c_acctbal AS v, c_mktsegment = 'BUILDING' AS lf, count(*) FILTER (c_mktsegment = 'BUILDING') OVER () AS nl FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql(0, 'rep', 'c_custkey', 'label')}, c_custkey) AS k FROM c, range(50) r(rep)),
- s AS (SELECT rep, avg(v) FILTER (k > nl) - avg(v) FILTER (k <= nl) AS s, avg(v) FILTER (NOT lf) - avg(v) FILTER (lf) AS o FROM k GROUP BY rep) SELECT 'all' AS grp, round((sum((abs(s) >= abs(o) - 1e-9)::INT) + 1) / 51, 6) AS p FROM s""")
+@query("t5_label_permutation", f"""WITH c AS (SELECT c_custkey, c_acctbal AS v, c_mktsegment = 'BUILDING' AS lf, count(*) FILTER (c_mktsegment = 'BUILDING') OVER () AS nl FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(0, 'rep', 'c_custkey', 'label')}, c_custkey) AS k FROM c, {REP}),
+ s AS (SELECT rep, avg(v) FILTER (k > nl) - avg(v) FILTER (k <= nl) AS s, avg(v) FILTER (NOT lf) - avg(v) FILTER (lf) AS o FROM k GROUP BY rep) SELECT 'all' AS grp, round((sum((abs(s) >= abs(o) - 1e-9)::INT) + 1) / {PERMUTATIONS + 1}, 6) AS p FROM s""")
 def t5(spark, d):
     c = table(spark, d, "customer").select(F.lit("all").alias("grp"), "c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("lf"))
-    return r6(stats.label_permutation_p(c, ["grp"], "c_acctbal", "lf", "c_custkey", 50))
+    return r6(stats.label_permutation_p(c, ["grp"], "c_acctbal", "lf", "c_custkey", PERMUTATIONS))
 
 
-BOOT = f""", ix AS (SELECT contrast_name, metric, diff, row_number() OVER (PARTITION BY contrast_name, metric ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY contrast_name, metric) AS n FROM df),
- dr AS (SELECT contrast_name, metric, rep, floor({uniform_sql(0, 'rep', 'i', 'boot')} * n)::BIGINT AS i FROM ix, {REP})"""
+BOOT = f""", ix AS (SELECT contrast_name, metric, subject, diff, row_number() OVER (PARTITION BY contrast_name, metric ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY contrast_name, metric) AS n FROM df),
+ dr AS (SELECT contrast_name, metric, rep, ((({draw_sql(0, 'rep', 'subject', 'boot')})::UHUGEINT * n::UHUGEINT) >> 32)::BIGINT AS i FROM ix, {BOOT_REP})"""
 
 
 @query("t6_bootstrap_ci", "WITH " + COLLAPSED + BOOT + """, s AS (SELECT contrast_name, metric, rep, avg(diff) AS s FROM dr JOIN ix USING (contrast_name, metric, i) GROUP BY ALL)
  SELECT contrast_name, metric, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, round(stddev_samp(s), 6) AS se, quantile_cont(s, 0.025) > 0 OR quantile_cont(s, 0.975) < 0 AS excludes_zero FROM s GROUP BY ALL""")
 def t6(spark, d):
-    return r6(stats.bootstrap_ci(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", N))
+    return r6(stats.bootstrap_ci(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", BOOTSTRAPS))
 
 
 BH = "SELECT grp, event_id, round(CASE WHEN p IS NOT NULL THEN least(1, min(q0) OVER (PARTITION BY grp, p IS NULL ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q FROM (SELECT *, p * count(p) OVER (PARTITION BY grp, p IS NULL) / row_number() OVER (PARTITION BY grp, p IS NULL ORDER BY p, event_id) AS q0, row_number() OVER (PARTITION BY grp, p IS NULL ORDER BY p, event_id) AS n FROM pv)"
@@ -125,12 +126,11 @@ def t9(spark, d):
     return r6(stats.partial_spearman(events(spark, d), ["subject"], "value", "k", "t_idx").select("subject", "n", "r"))
 
 
-@query("t10_bootstrap_spearman", "WITH " + EVENTS + f""", m AS (SELECT subject, median(value) AS a, median(k) AS b FROM ev GROUP BY subject), ix AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS i, count(*) OVER () AS n FROM m), dr AS (SELECT rep, floor({uniform_sql(0, 'rep', 'i', 'boot')} * n)::BIGINT AS i FROM ix, range(50) r(rep)),
+@query("t10_bootstrap_spearman", "WITH " + EVENTS + f""", m AS (SELECT subject, median(value) AS a, median(k) AS b FROM ev GROUP BY subject HAVING median(value) IS NOT NULL), ix AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS i, count(*) OVER () AS n FROM m), dr AS (SELECT rep, ((({draw_sql(0, 'rep', 'subject', 'boot')})::UHUGEINT * n::UHUGEINT) >> 32)::BIGINT AS i FROM ix, {BOOT_REP}),
  sm AS (SELECT rep, a, b FROM dr JOIN ix USING (i)), rk AS (SELECT rep, {_rank('a', 'rep')} AS ra, {_rank('b', 'rep')} AS rb FROM sm), s AS (SELECT rep, corr(ra, rb) AS s FROM rk GROUP BY rep) SELECT 'all' AS grp, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, round(stddev_samp(s), 6) AS se FROM s""")
 def t10(spark, d):
     m = events(spark, d).groupBy("subject").agg(F.median("value").alias("a"), F.median("k").alias("b")).withColumn("grp", F.lit("all"))
-    s = stats.spearman(stats.resampled(m, ["grp"], "subject", 50), ["grp", "rep"], "a", "b")
-    return r6(s.groupBy("grp").agg(F.percentile("r", F.lit(0.025)).alias("ci_low"), F.percentile("r", F.lit(0.975)).alias("ci_high"), F.stddev_samp("r").alias("se")))
+    return r6(stats.bootstrap_spearman(m, ["grp"], "a", "b", "subject", BOOTSTRAPS).drop("excludes_zero"))
 
 
 WIL = """SELECT contrast_name, metric, count(*) AS n, round(least(coalesce(sum(rk) FILTER (diff > 0), 0), coalesce(sum(rk) FILTER (diff < 0), 0)), 6) AS w FROM (SELECT *, rank() OVER (PARTITION BY contrast_name, metric ORDER BY a) + (count(*) OVER (PARTITION BY contrast_name, metric, a) - 1) / 2.0::DOUBLE AS rk FROM (SELECT *, round(abs(diff), 9) AS a FROM df WHERE diff <> 0)) GROUP BY ALL"""
@@ -170,9 +170,9 @@ def t13p(spark, d):
     return r6(stats.one_sample(_diffs(spark, d), ["contrast_name", "metric"], "diff"))
 
 
-@query("t14_median_sign", "WITH " + COLLAPSED + f""", s AS (SELECT contrast_name, metric, rep, median({sign_sql(0, 'rep', 'subject')} * diff) AS s, median(diff) AS o FROM df, {REP} GROUP BY ALL) SELECT contrast_name, metric, round(avg((abs(s) >= abs(o) - 1e-9)::INT), 6) AS p FROM s GROUP BY ALL""")
+@query("t14_median_sign", "WITH " + COLLAPSED + f""", s AS (SELECT contrast_name, metric, rep, median({flip_sql(0, 'rep', 'subject')} * diff) AS s, median(diff) AS o FROM df, {REP} GROUP BY ALL) SELECT contrast_name, metric, round(avg((abs(s) >= abs(o) - 1e-9)::INT), 6) AS p FROM s GROUP BY ALL""")
 def t14(spark, d):
-    return r6(stats.median_sign_p(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", N))
+    return r6(stats.median_sign_p(_diffs(spark, d), ["contrast_name", "metric"], "diff", "subject", PERMUTATIONS))
 
 
 @query("t15_leave_one_out", "WITH " + EVENTS + f""", m AS (SELECT condition, subject, median(value) AS a, median(k) AS b FROM ev GROUP BY ALL), lo AS (SELECT x.condition, y.subject AS o, x.a, x.b FROM m x JOIN m y ON x.condition = y.condition AND x.subject <> y.subject), rk AS (SELECT condition, o, {_rank('a', 'condition, o')} AS ra, {_rank('b', 'condition, o')} AS rb FROM lo WHERE a IS NOT NULL AND b IS NOT NULL),
@@ -217,7 +217,7 @@ def t19(spark, d):
 
 @query("t20_contrast_driver")
 def t20(spark, d):
-    return r6(op.drive(long_metrics(spark, d), _contrasts(spark), ["metric"], "subject", 100))
+    return r6(op.drive(long_metrics(spark, d), _contrasts(spark), ["metric"], "subject", PERMUTATIONS, BOOTSTRAPS))
 
 
 DZ = "coalesce(avg({0}) / nullif(stddev_samp({0}), 0), 0)"
@@ -226,16 +226,16 @@ ROUNDED = "round(o, 6) AS observed_dz, round(a, 6) AS null_low, round(b, 6) AS n
 
 
 @query("t21_stage_control", "WITH " + EVENTS + f""", m AS (SELECT subject, condition, avg(value) AS v FROM ev GROUP BY ALL), ob AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY condition) AS k FROM m), og AS (SELECT subject, max(v) FILTER (k = 1) - max(v) FILTER (k = 3) AS g FROM ob GROUP BY subject), oz AS (SELECT {DZ.format('g')} AS o FROM og),
- sh AS (SELECT rep, subject, v, row_number() OVER (PARTITION BY subject, rep ORDER BY {uniform_sql(0, 'rep', "concat_ws(':', subject::VARCHAR, condition)", 'stage')}, condition) AS k FROM m, {REP}), sg AS (SELECT rep, subject, max(v) FILTER (k = 1) - max(v) FILTER (k = 3) AS g FROM sh GROUP BY ALL), sz AS (SELECT rep, {DZ.format('g')} AS s FROM sg GROUP BY rep)
+ sh AS (SELECT rep, subject, v, row_number() OVER (PARTITION BY subject, rep ORDER BY {draw_sql(0, 'rep', "concat_ws(':', subject::VARCHAR, condition)", 'stage')}, condition) AS k FROM m, {REP}), sg AS (SELECT rep, subject, max(v) FILTER (k = 1) - max(v) FILTER (k = 3) AS g FROM sh GROUP BY ALL), sz AS (SELECT rep, {DZ.format('g')} AS s FROM sg GROUP BY rep)
  SELECT 'all' AS grp, {ROUNDED} FROM (SELECT {NULLS} FROM sz, oz)""")
 def t21(spark, d):
     m = events(spark, d).groupBy("subject", "condition").agg(F.avg("value").alias("v")).withColumn("grp", F.lit("all"))
-    return r6(op.stage_control(m, ["grp"], "subject", "condition", "v", N))
+    return r6(op.stage_control(m, ["grp"], "subject", "condition", "v", PERMUTATIONS))
 
 
-@query("t22_sign_control", "WITH " + COLLAPSED + f""", sx AS (SELECT contrast_name, metric, rep, {sign_sql(0, 'rep', 'subject')} * diff AS z, diff FROM df, {REP}), s AS (SELECT contrast_name, metric, rep, {DZ.format('z')} AS s, {DZ.format('diff')} AS o FROM sx GROUP BY ALL) SELECT contrast_name, metric, {ROUNDED} FROM (SELECT contrast_name, metric, {NULLS} FROM s GROUP BY ALL)""")
+@query("t22_sign_control", "WITH " + COLLAPSED + f""", sx AS (SELECT contrast_name, metric, rep, {flip_sql(0, 'rep', 'subject')} * diff AS z, diff FROM df, {REP}), s AS (SELECT contrast_name, metric, rep, {DZ.format('z')} AS s, {DZ.format('diff')} AS o FROM sx GROUP BY ALL) SELECT contrast_name, metric, {ROUNDED} FROM (SELECT contrast_name, metric, {NULLS} FROM s GROUP BY ALL)""")
 def t22(spark, d):
-    return r6(op.sign_control(_diffs(spark, d), ["contrast_name", "metric"], "subject", N))
+    return r6(op.sign_control(_diffs(spark, d), ["contrast_name", "metric"], "subject", PERMUTATIONS))
 
 
 @query("t23_event_bins", "WITH " + EVENTS + " SELECT subject, condition, k % 3 AS bin, count(*) AS n_windows, count(DISTINCT t_idx % 10) AS n_events, count(value) AS n_finite, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std FROM ev GROUP BY ALL")
