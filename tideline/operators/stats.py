@@ -307,8 +307,9 @@ def _steps_above(full: DataFrame, by: list[str], item: str, levels: int = 32) ->
     return at.withColumn("__above", above).where("__right = 0").groupBy(*by, item).agg(F.sum("__above").alias("__both"))
 
 
-def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """Area under the curve from average ranks."""
-    r = df.withColumn("__r", average_rank(by, score)) if by else df.withColumn("__one", F.lit(1)).withColumn("__r", average_rank(["__one"], score))
+def auc(df: DataFrame, by: list[str], score: str, label: str, large: bool = False) -> DataFrame:
+    """Area under the curve from average ranks; ``large``: by ranges, for keys with very many rows."""
+    keyed, keys = (df, by) if by else (df.withColumn("__one", F.lit(1)), ["__one"])
+    r = average_ranks(keyed.select(*keys, score, label), keys, {score: "__r"}) if large else keyed.withColumn("__r", average_rank(keys, score))
     pos, n = F.sum(label), F.count(F.lit(1))
     return r.groupBy(*by).agg(((F.sum(F.when(F.col(label) == 1, F.col("__r"))) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"), n.alias("n"))

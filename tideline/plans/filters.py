@@ -98,10 +98,10 @@ def f11(spark, d):
     return op.drop_flagged(events(spark, d).withColumn("bad", F.expr("case when k % 3 = 0 then null when k % 3 = 1 then 1 else 0 end")), "bad").select("event_id")
 
 
-@query("f12_intersection", "WITH " + EVENTS + """, c AS (SELECT subject, count(*) FILTER (condition = 'view') AS n_view, count(*) FILTER (condition = 'click') AS n_click, count(*) FILTER (condition = 'error') AS n_error FROM ev WHERE k < 60 GROUP BY subject)
+@query("f12_intersection", "WITH " + EVENTS + """, c AS (SELECT subject, count(*) FILTER (condition = 'view') AS n_view, count(*) FILTER (condition = 'click') AS n_click, count(*) FILTER (condition = 'error') AS n_error FROM ev GROUP BY subject)
  SELECT subject, n_view, n_click, n_error, greatest(least(n_view, n_click, n_error), 10) AS min_rows FROM c WHERE least(n_view, n_click, n_error) > 0""")
 def f12(spark, d):
-    return op.intersection_sample(events(spark, d).where("k < 60"), ["view", "click", "error"])
+    return op.intersection_sample(events(spark, d), ["view", "click", "error"])
 
 
 @query("f13_category_bins", """SELECT c_custkey, CASE WHEN c_acctbal <= 1000 THEN 'low' ELSE 'high' END AS bin, c_mktsegment || ':' || (c_nationkey % 3)::VARCHAR AS category FROM customer WHERE (c_acctbal <= 1000 OR c_acctbal >= 5000) AND c_mktsegment IN ('BUILDING', 'MACHINERY')""")

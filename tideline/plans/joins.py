@@ -9,12 +9,12 @@ from tideline.plans.shapes import EVENTS, TRAJECTORY, events, r6, table, traject
 HOUR = 36000.0
 
 
-@query("j1_null_safe_join", "WITH " + EVENTS + """, a AS (SELECT nullif(subject, 3) AS subject, condition, avg(value) AS left_value FROM ev GROUP BY ALL), b AS (SELECT nullif(subject, 3) AS subject, condition, max(k) AS right_k FROM ev WHERE k < 90 GROUP BY ALL)
- SELECT a.subject, a.condition, round(left_value, 6) AS left_value, right_k FROM a JOIN b ON a.subject IS NOT DISTINCT FROM b.subject AND a.condition IS NOT DISTINCT FROM b.condition""")
+@query("j1_null_safe_join", "WITH " + EVENTS + """, a AS (SELECT nullif(subject, 3) AS subject, condition, avg(value) AS left_value FROM ev GROUP BY ALL), b AS (SELECT nullif(o_custkey, 3) AS subject, CASE o_orderstatus WHEN 'F' THEN 'view' WHEN 'O' THEN 'click' ELSE 'error' END AS condition, max(o_totalprice) AS right_price FROM orders GROUP BY ALL)
+ SELECT a.subject, a.condition, round(left_value, 6) AS left_value, round(right_price, 6) AS right_price FROM a JOIN b ON a.subject IS NOT DISTINCT FROM b.subject AND a.condition IS NOT DISTINCT FROM b.condition""")
 def j1(spark, d):
-    e = events(spark, d).withColumn("subject", F.expr("nullif(subject, 3)"))
-    a = e.groupBy("subject", "condition").agg(F.avg("value").alias("left_value"))
-    b = e.where("k < 90").groupBy("subject", "condition").agg(F.max("k").alias("right_k"))
+    a = events(spark, d).groupBy(F.expr("nullif(subject, 3)").alias("subject"), "condition").agg(F.avg("value").alias("left_value"))
+    status = F.when(F.col("o_orderstatus") == "F", "view").when(F.col("o_orderstatus") == "O", "click").otherwise("error")
+    b = table(spark, d, "orders").groupBy(F.expr("nullif(o_custkey, 3)").alias("subject"), status.alias("condition")).agg(F.max("o_totalprice").alias("right_price"))
     return r6(op.null_safe(a, b, ["subject", "condition"]))
 
 

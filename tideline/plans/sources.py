@@ -14,10 +14,11 @@ def s1(spark, d):
     return op.clean_numbers(o.select("o_orderkey", price.alias("price")))
 
 
-@query("s3_sidecar_fallback", "WITH " + EVENTS + " SELECT subject AS session, event_id, value FROM ev WHERE subject % 3 = 0 OR k < 50")
+@query("s3_sidecar_fallback", "WITH " + EVENTS + " SELECT subject AS session, event_id, value FROM ev WHERE subject % 3 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT subject FROM ev WHERE subject % 3 = 0)")
 def s3(spark, d):
-    e = events(spark, d).select(F.col("subject").alias("session"), "event_id", "value", "k")
-    return op.read_sidecars(e.where("session % 3 = 0").drop("k"), e.where("k < 50").drop("k"))
+    e = events(spark, d).where("subject % 3 = 0").select(F.col("subject").alias("session"), "event_id", "value")  # sessions that have the first format
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("value"))
+    return op.read_sidecars(e, o)
 
 
 @query("s4_first_sessions", "WITH " + EVENTS + " SELECT subject, event_id FROM ev WHERE value IS NOT NULL AND subject IN (SELECT DISTINCT subject FROM ev WHERE value IS NOT NULL ORDER BY subject LIMIT 20)")
