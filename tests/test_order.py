@@ -192,3 +192,40 @@ def test_large_groups_give_what_packed_ones_do(spark, monkeypatch):
     monkeypatch.setattr(resampling, "PACK", 5)
     for a, b in zip(packed, [f().collect() for f in calls], strict=True):
         assert len(a) == len(b) == 1 and all((x == y) if isinstance(x, (str, bool)) or x is None else x == pytest.approx(y, abs=1e-9) for x, y in zip(a[0], b[0], strict=True)), (a, b)
+
+
+def test_one_long_session_by_ranges(spark):
+    """Segments, path, dwell and transition entropies of a session in several ranges are those of windows."""
+    r = np.random.default_rng(9)
+    x = np.cumsum(r.normal(size=(30_000, 3)), axis=0)
+    keep = np.flatnonzero(r.random(30_000) > 0.02)
+    rows = [("long", int(i), *map(float, x[i])) for i in keep] + [("short", i, *map(float, x[i])) for i in (0, 1, 2, 5)] + [(None, 3, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, t_idx long, m double, d double, e double").repartition(6).cache()
+    axes = ["m", "d", "e"]
+    told = lambda frame, *columns: sorted(([None if v is None else v if isinstance(v, (str, int)) else round(v, 9) for v in q] for q in frame.select(*columns).collect()), key=repr)
+    for f in (lambda large: sequences.segments(df, ["s"], large=large).select("s", "t_idx", "segment"), lambda large: sequences.steps(df, ["s"], axes, large=large).select("s", "t_idx", "speed", "angle")):
+        assert told(f(True), "*") == told(f(False), "*")
+    a, b = ({q.s: q for q in sequences.path_summary(df, ["s"], axes, large=large).collect()} for large in (True, False))
+    assert set(a) == {"long", "short", None} == set(b)
+    for s in a:
+        assert all(p == q or p == pytest.approx(q, rel=1e-9) for p, q in zip(a[s], b[s], strict=True))
+    known = df.where("s is not null")
+    codes = [sequences.corner_codes(known, ["s"], axes, levels=sequences.corner_levels(known, ["s"], axes, large=large)).cache() for large in (True, False)]
+    assert told(codes[0], "s", "t_idx", "code") == told(codes[1], "s", "t_idx", "code")
+    for f in (sequences.dwell_entropy, sequences.transition_entropy):
+        assert told(f(codes[0], ["s"], large=True), "s", "entropy") == told(f(codes[1], ["s"]), "s", "entropy")
+
+
+def test_leave_one_out_with_ties_and_null_keys(spark):
+    r = np.random.default_rng(10)
+    rows = [(g, i, float(v), float(w)) for g, n in (("a", 60), (None, 12), ("b", 4)) for i, (v, w) in enumerate(r.integers(0, 7, (n, 2)))] + [("a", 90, None, 1.0)]
+
+    def ranks(v):
+        return np.array([(v < q).sum() + ((v == q).sum() + 1) / 2 for q in v])
+
+    got = {q.g: q for q in stats.leave_one_out(spark.createDataFrame(rows, "g string, i long, x double, y double"), ["g"], "i", "x", "y").collect()}
+    for g in ("a", None):
+        v = np.array([q[2:] for q in rows if q[0] == g and q[2] is not None])
+        fits = [np.corrcoef(ranks(np.delete(v[:, 0], k)), ranks(np.delete(v[:, 1], k)))[0, 1] for k in range(len(v))] + ([np.corrcoef(ranks(v[:, 0]), ranks(v[:, 1]))[0, 1]] if g == "a" else [])
+        assert (got[g].mean_r, got[g].min_r, got[g].max_r) == pytest.approx((np.mean(fits), np.min(fits), np.max(fits))) and got[g].n_fits == len(fits)
+    assert got["b"].n_fits == 0

@@ -163,7 +163,7 @@ def correlation_grid(left: DataFrame, right: DataFrame, on: list[str], lefts: li
     """Rank correlation of every left column with every right one by key, with p and q."""
     l = left.unpivot([*on], lefts, "x", "vx")
     r = right.unpivot([*on], rights, "y", "vy")
-    out = stats.spearman(l.join(r, on), [*by, "x", "y"], "vx", "vy", 5, p=True).withColumn("id", F.concat_ws(":", *by, "x", "y"))
+    out = stats.spearman(l.join(r, on), [*by, "x", "y"], "vx", "vy", 5, p=True, large=True).withColumn("id", F.concat_ws(":", *by, "x", "y"))
     return stats.benjamini_hochberg(out, [], "p", "id").drop("id")
 
 
@@ -182,6 +182,6 @@ def confound_table(tables: dict[str, tuple[DataFrame, str]], metric: tuple[DataF
 
     main, out = gap(*metric, "metric_gap"), None
     for name, (df, value) in tables.items():
-        r = stats.spearman(gap(df, value, "confound_gap").join(main, subject).withColumn("confound", F.lit(name)), ["confound"], "confound_gap", "metric_gap", 5, p=True)
+        r = stats.spearman(gap(df, value, "confound_gap").join(main, subject).withColumn("confound", F.lit(name)), ["confound"], "confound_gap", "metric_gap", 5, p=True, large=True)
         out = r if out is None else out.unionByName(r)
     return stats.benjamini_hochberg(out, [], "p", "confound")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.operators.quantiles import quantiles
+from tideline.operators.ranges import running
 from tideline.sources.scan import written
 
 
@@ -16,24 +17,39 @@ def _norm(parts) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 
 
-def segments(df: DataFrame, by: list[str], index: str = "t_idx") -> DataFrame:
-    """Adds segment, the same for consecutive indices."""
+def segments(df: DataFrame, by: list[str], index: str = "t_idx", large: bool = False) -> DataFrame:
+    """Adds segment, the same for consecutive indices. ``large``: keys may have very many rows, which go by ranges."""
+    if large:
+        return running(df, by, [index], {"__n": ("sum", F.lit(1))}).withColumn("segment", F.col(index) - F.col("__n") - 1).drop("__n")
     return df.withColumn("segment", F.col(index) - F.row_number().over(Window.partitionBy(*by).orderBy(index)))
 
 
-def steps(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -> DataFrame:
+def _last(df: DataFrame, by: list[str], index: str, columns: dict[str, Column], name: str) -> DataFrame:
+    """Adds ``name``: a struct of ``columns`` of the row before, carried from range to range."""
+    return running(df, by, [index], {name: ("max", F.struct(F.col(index).alias("__index"), *[c.alias(n) for n, c in columns.items()]))})
+
+
+def steps(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx", large: bool = False) -> DataFrame:
     """Adds speed (norm of the step into the row) and angle between that step and the one before, in a segment."""
-    w = Window.partitionBy(*by, "segment").orderBy(index)
-    v1 = [F.col(a) - F.lag(a).over(w) for a in axes]
-    v0 = [F.lag(a).over(w) - F.lag(a, 2).over(w) for a in axes]
+    d = segments(df, by, index, large)
+    if large:
+        d = _last(d, by, index, {"segment": F.col("segment"), **{a: F.col(a) for a in axes}}, "__p")
+        d = d.withColumns({f"__v_{a}": F.when(F.col("__p.segment") == F.col("segment"), F.col(a) - F.col(f"__p.{a}")) for a in axes})
+        d = _last(d, by, index, {"segment": F.col("segment"), **{f"v_{a}": F.col(f"__v_{a}") for a in axes}}, "__q")
+        v1, v0 = [F.col(f"__v_{a}") for a in axes], [F.when(F.col("__q.segment") == F.col("segment"), F.col(f"__q.v_{a}")) for a in axes]
+    else:
+        w = Window.partitionBy(*by, "segment").orderBy(index)
+        v1 = [F.col(a) - F.lag(a).over(w) for a in axes]
+        v0 = [F.lag(a).over(w) - F.lag(a, 2).over(w) for a in axes]
     dot = reduce(lambda x, y: x + y, [a * b for a, b in zip(v0, v1, strict=True)])
     cos = dot / (_norm(v0) * _norm(v1) + 1e-12)
-    return segments(df, by, index).withColumn("speed", _norm(v1)).withColumn("angle", F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))))
+    d = d.withColumn("speed", _norm(v1)).withColumn("angle", F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))))
+    return d.drop("__p", "__q", *[f"__v_{a}" for a in axes])
 
 
-def path_summary(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx") -> DataFrame:
+def path_summary(df: DataFrame, by: list[str], axes: list[str], index: str = "t_idx", large: bool = False) -> DataFrame:
     """path_length, endpoint_dist and traj_efficiency (0 to 1; null without path), summed over segments; means of speed and turning."""
-    s = steps(df, by, axes, index).groupBy(*by, "segment").agg(
+    s = steps(df, by, axes, index, large).groupBy(*by, "segment").agg(
         F.sum("speed").alias("path"), *[(F.max_by(a, index) - F.min_by(a, index)).alias(f"__{a}") for a in axes],
         F.sum("angle").alias("angle_sum"), F.count("angle").alias("angles"), F.count("speed").alias("n_steps"),
     )
@@ -41,8 +57,10 @@ def path_summary(df: DataFrame, by: list[str], axes: list[str], index: str = "t_
     return out.withColumn("traj_efficiency", F.when(F.col("path_length") > 0, F.least(F.greatest(F.col("endpoint_dist") / F.col("path_length"), F.lit(0.0)), F.lit(1.0))))
 
 
-def corner_levels(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6) -> DataFrame:
+def corner_levels(df: DataFrame, by: list[str], axes: list[str], q: float = 0.6, large: bool = False) -> DataFrame:
     """The quantile of each axis by key."""
+    if large:
+        return quantiles(df, by, {a: F.col(a) for a in axes}, {"q": q}).select(*by, *[F.col(f"{a}_q").alias(f"__q{a}") for a in axes])
     return df.groupBy(*by).agg(*[F.percentile(a, F.lit(q)).alias(f"__q{a}") for a in axes])
 
 
@@ -57,10 +75,10 @@ def entropy_of(counts: DataFrame, by: list[str], cells: int, n: str = "n") -> Da
     """Natural-log entropy of counts over ``cells`` cells, p clipped at 1e-12 and made to sum to one again."""
     total = counts.groupBy(*by).agg(F.sum(n).alias("__t"), F.count(F.lit(1)).alias("__k"))
     p = F.greatest(F.col(n) / F.col("__t"), F.lit(1e-12))
-    absent = (F.lit(cells) - F.col("k")) * 1e-12
-    s = counts.join(total, by).groupBy(*by).agg(F.sum(p).alias("s"), F.sum(p * F.log(p)).alias("pl"), F.max("__k").alias("k"))
-    z = F.col("s") + absent
-    return s.select(*by, (-(F.col("pl") + absent * F.log(F.lit(1e-12))) / z + F.log(z)).alias("entropy"))
+    absent = (F.lit(cells) - F.col("__k")) * 1e-12
+    sums = counts.join(total, by).groupBy(*by).agg(F.sum(p).alias("__s"), F.sum(p * F.log(p)).alias("__pl"), F.max("__k").alias("__k"))
+    z = F.col("__s") + absent
+    return sums.select(*by, (-(F.col("__pl") + absent * F.log(F.lit(1e-12))) / z + F.log(z)).alias("entropy"))
 
 
 def occupancy_entropy(codes: DataFrame, by: list[str], cells: int = 8) -> DataFrame:
@@ -68,18 +86,27 @@ def occupancy_entropy(codes: DataFrame, by: list[str], cells: int = 8) -> DataFr
     return entropy_of(codes.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("n")), by, cells)
 
 
-def dwell_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", cells: int = 8) -> DataFrame:
+def dwell_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", cells: int = 8, large: bool = False) -> DataFrame:
     """Entropy of summed run lengths by code."""
-    w = Window.partitionBy(*by).orderBy(index)
-    runs = codes.withColumn("__new", F.coalesce((F.col("code") != F.lag("code").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("__new").over(w))
+    if large:
+        d = _last(codes, by, index, {"code": F.col("code")}, "__p")
+        d = d.withColumn("__new", F.coalesce((F.col("code") != F.col("__p.code")).cast("int"), F.lit(1))).drop("__p")
+        runs = running(d, by, [index], {"__run": ("sum", F.col("__new"))}).withColumn("run", F.col("__run") + F.col("__new"))
+    else:
+        w = Window.partitionBy(*by).orderBy(index)
+        runs = codes.withColumn("__new", F.coalesce((F.col("code") != F.lag("code").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("__new").over(w))
     lengths = runs.groupBy(*by, "code", "run").agg(F.count(F.lit(1)).alias("length"))
     return entropy_of(lengths.groupBy(*by, "code").agg(F.sum("length").alias("n")), by, cells)
 
 
-def transition_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", cells: int = 8) -> DataFrame:
+def transition_entropy(codes: DataFrame, by: list[str], index: str = "t_idx", cells: int = 8, large: bool = False) -> DataFrame:
     """Entropy of consecutive code pairs over cells x cells."""
-    w = Window.partitionBy(*by).orderBy(index)
-    pairs = codes.withColumn("to", F.lead("code").over(w)).where("to is not null").groupBy(*by, "code", "to").agg(F.count(F.lit(1)).alias("n"))
+    if large:
+        d = _last(codes, by, index, {"code": F.col("code")}, "__p").where("__p is not null").select(*by, F.col("__p.code").alias("code"), F.col("code").alias("to"))
+    else:
+        w = Window.partitionBy(*by).orderBy(index)
+        d = codes.withColumn("to", F.lead("code").over(w))
+    pairs = d.where("to is not null").groupBy(*by, "code", "to").agg(F.count(F.lit(1)).alias("n"))
     return entropy_of(pairs, by, cells * cells)
 
 

@@ -83,14 +83,21 @@ def partial_spearman(df: DataFrame, by: list[str], x: str, y: str, z: str, least
     return with_r_p(r.select(*by, "n", F.when(F.col("n") >= least, part).alias("r")), F.col("n") - 3)
 
 
-def wilcoxon(df: DataFrame, by: list[str], diff: str = "diff", least: int = 5, p: bool = True) -> DataFrame:
-    """Signed-rank test of differences by key: n without zeros, w = the smaller rank sum, p."""
-    d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("__a", F.round(F.abs(F.col(diff)), 9))
-    ranked = d.withColumn("__r", average_rank(by, "__a")).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*by, "__a")))
-    out = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("__r"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col(diff) < 0, F.col("__r"))), F.lit(0.0)).alias("minus"),
-        F.sum(F.col("__t").cast("double") ** 2 - 1).alias("ties"),
-    )
+def wilcoxon(df: DataFrame, by: list[str], diff: str = "diff", least: int = 5, p: bool = True, large: bool = False) -> DataFrame:
+    """Signed-rank test of differences by key: n without zeros, w = the smaller rank sum, p.
+
+    Ranks follow from counts of equal sizes; ``large``: keys may have very many sizes (see ``ordered``).
+    """
+    d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0))
+    sizes = d.groupBy(*by, F.round(F.abs(F.col(diff)), 9).alias("__a")).agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(diff) > 0, 1)).alias("__up"))
+    if large:
+        ranked = ordered(sizes, by, ["__a"], F.col("__n"))
+    else:
+        earlier = Window.partitionBy(*by).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    rank = F.col("__before") + (F.col("__n") + 1) / 2.0
+    n = F.col("__n").cast("double")
+    out = ranked.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum(F.col("__up") * rank).alias("plus"), F.sum((F.col("__n") - F.col("__up")) * rank).alias("minus"), F.sum(n * (n * n - 1)).alias("ties"))
     out = out.withColumn("w", F.when(F.col("n") >= least, F.least("plus", "minus")))
     return out.withColumn("p", wilcoxon_p(F.col("w"), F.col("n"), F.col("ties"))) if p else out
 
@@ -261,50 +268,69 @@ def median_sign_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, se
     return s.join(o, _same(by, "__")).groupBy(*by).agg(F.avg((F.abs("s") >= F.abs("__o") - 1e-9).cast("double")).alias("p"))
 
 
+def _beyond(df: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """One row for each value of ``order`` in a key: each sum over its rows (name) and over rows beyond it (name_above)."""
+    own = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    told = running(own, by, [order], {}, {f"{n}_above": ("sum", F.col(n)) for n in sums})
+    return told.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(order).alias("__at"), *sums, *[f"{n}_above" for n in sums])
+
+
 def leave_one_out(df: DataFrame, by: list[str], item: str, x: str, y: str, least: int = 5) -> DataFrame:
     """Rank correlation without each row in turn: mean, least and largest r, whether signs agree, number of fits.
 
     Without row i, the average rank of a row j falls by 1 if it is above i and by half if it ties with i. So the new
-    sums of ranks, squares and products follow from window sums over the rows above i, and no row is paired with every
-    other. Rows with a null are left out of all fits, and a fit without one is the fit of all.
+    sums of ranks, squares and products follow from sums over the rows above i, and no row is paired with every
+    other; those sums go by ranges, so a key may be a large part of all rows. Rows with a null are left out of all fits,
+    and a fit without one is the fit of all.
     """
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, item, F.col(x).alias("__x"), F.col(y).alias("__y"), average_rank(by, x).alias("__a"), average_rank(by, y).alias("__b"))
-    full = full.withColumn("__place", F.rank().over(Window.partitionBy(*by).orderBy("__x")) - 1)
-    down = lambda c: Window.partitionBy(*by).orderBy(F.desc(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = lambda c: Window.partitionBy(*by, c)
-    half = lambda value, c: F.sum(value).over(down(c)) - F.sum(value).over(ties(c)) / 2 - value / 2  # rows above i, and half of its ties without i
-    squares = lambda c: F.count(F.lit(1)).over(down(c)) - 0.75 * F.count(F.lit(1)).over(ties(c)) - 0.25
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    full = written(average_ranks(full, by, {"__x": "__a", "__y": "__b"}))
     a, b, one = F.col("__a"), F.col("__b"), F.lit(1.0)
-    d = full.withColumns({
-        "__ax": half(a, "__x"), "__bx": half(b, "__x"), "__ay": half(a, "__y"), "__by": half(b, "__y"), "__qx": squares("__x"), "__qy": squares("__y"),
-        # ties in x: half a step in x with the step in y
-        "__tied": (F.sum(one).over(Window.partitionBy(*by, "__x").orderBy(F.desc("__y")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count(F.lit(1)).over(Window.partitionBy(*by, "__x", "__y")) / 2 - 0.5) / 2,
-        **{f"__s{n}": F.sum(v).over(Window.partitionBy(*by)) for n, v in (("aa", a * a), ("bb", b * b), ("ab", a * b), ("n", one))},
-    })
-    d = d.join(_steps_above(full, by, item), [*by, item], "left").withColumn("__both", F.coalesce("__both", F.lit(0.0)) + F.col("__tied"))
+    on = lambda c: [F.col(c) == F.col("__at"), *_same(by, "__")]
+    keyed = lambda d, c, side: d.join(side, on(c)).drop("__at", *[f"__{k}" for k in by])
+    d = keyed(full, "__x", _beyond(full, by, "__x", {"xn": one, "xa": a, "xb": b}))
+    d = keyed(d, "__y", _beyond(full, by, "__y", {"yn": one, "ya": a, "yb": b}))
+    half = lambda value, n: F.col(f"{n}_above") + F.col(n) / 2 - value / 2  # rows above i, and half of its ties without i
+    squares = lambda n: F.col(f"{n}_above") + F.col(n) / 4 - 0.25
+    sums = full.groupBy(*by).agg(F.sum(a * a).alias("__saa"), F.sum(b * b).alias("__sbb"), F.sum(a * b).alias("__sab"), F.sum(one).alias("__sn"))
+    d = d.withColumns({"__ax": half(a, "xa"), "__bx": half(b, "xb"), "__ay": half(a, "ya"), "__by": half(b, "yb"), "__qx": squares("xn"), "__qy": squares("yn")})
+    d = d.join(sums.select(*[F.col(c).alias(f"__{c}") for c in by], "__saa", "__sbb", "__sab", "__sn"), _same(by, "__")).drop(*[f"__{k}" for k in by])
+    above = _steps_above(full, by)
+    d = d.join(above, [F.col("__x") == F.col("__px"), F.col("__y") == F.col("__py"), *_same(by, "__")]).drop("__px", "__py", *[f"__{k}" for k in by])
     m, mean = F.col("__sn") - 1, F.col("__sn") / 2
     vx = F.col("__saa") - a * a - 2 * F.col("__ax") + F.col("__qx") - m * mean * mean
     vy = F.col("__sbb") - b * b - 2 * F.col("__by") + F.col("__qy") - m * mean * mean
     cov = F.col("__sab") - a * b - F.col("__ay") - F.col("__bx") + F.col("__both") - m * mean * mean
     r = d.select(*by, F.when((m >= least) & (vx > 1e-9) & (vy > 1e-9), F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0))).alias("r"))
     lacking = df.where(F.col(x).isNull() | F.col(y).isNull()).select(*by)
-    r = r.unionByName(lacking.join(spearman(df, by, x, y, least).select(*by, "r"), by, "left"))
+    all_ = spearman(df, by, x, y, least, large=True).select(*[F.col(c).alias(f"__{c}") for c in by], "r")
+    r = r.unionByName(lacking.join(all_, _same(by, "__"), "left").select(*by, "r"))
     return r.groupBy(*by).agg(F.avg("r").alias("mean_r"), F.min("r").alias("min_r"), F.max("r").alias("max_r"), (F.min(F.signum("r")) == F.max(F.signum("r"))).alias("sign_consistent"), F.count("r").alias("n_fits"))
 
 
-def _steps_above(full: DataFrame, by: list[str], item: str, levels: int = 32) -> DataFrame:
-    """For each row: the number of rows above it in x and above it in y, those that tie in y counted half.
+def _steps_above(full: DataFrame, by: list[str]) -> DataFrame:
+    """For each pair of values (__px, __py) of a key (__<by>): steps of both ranks that rows above it in both make (__both).
 
-    Rows above i in x are the right halves of the dyadic blocks in whose left half i's place is: a row is in one
-    block for each bit of its place, and a window in the order of y counts there.
+    Rows above in x and y count 1, those that tie in one of them half, in both a quarter (without the row itself). Values
+    above in x are the right halves of the dyadic blocks in whose left half the value's place is: a value is in one
+    block for each bit of its place, and counts of a block in the order of y go by ranges, as the top block is half a key.
     """
-    bits = F.ceil(F.log2(F.greatest(F.max("__place").over(Window.partitionBy(*by)) + 1, F.lit(1)))).cast("int")
-    at = full.withColumn("__bits", F.least(bits, F.lit(levels))).withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__bits"))))
-    half = F.expr("cast(shiftright(cast(__place as bigint), __level) as bigint)")
-    at = at.withColumns({"__right": half % 2, "__block": F.floor(half / 2)})
-    block = Window.partitionBy(*by, "__level", "__block")
-    above = F.sum("__right").over(block.orderBy(F.desc("__y")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("__right").over(Window.partitionBy(*by, "__level", "__block", "__y")) / 2
-    return at.withColumn("__above", above).where("__right = 0").groupBy(*by, item).agg(F.sum("__above").alias("__both"))
+    points = written(full.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__n")))
+    values = ordered(points.select(*by, "__x").distinct(), by, ["__x"]).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__x").alias("__px"), F.col("__before").cast("bigint").alias("__place"))
+    at = points.join(values, [F.col("__x") == F.col("__px"), *_same(by, "__")]).drop("__px", *[f"__{k}" for k in by])
+    most = values.agg(F.max("__place").alias("m")).first()["m"] or 0
+    at = written(at.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(int(most).bit_length())))).withColumn("__half", F.expr("shiftright(__place, __level)")))
+    at = at.withColumns({"__right": F.when(F.col("__half") % 2 == 1, F.col("__n")).otherwise(0), "__block": F.floor(F.col("__half") / 2)})
+    block = [*by, "__level", "__block"]
+    own = at.groupBy(*block, "__y").agg(F.sum("__right").alias("__own"), F.max((F.col("__half") % 2 == 0).cast("int")).alias("__asked"))
+    told = running(own, block, ["__y"], {}, {"__above": ("sum", F.col("__own"))}).where("__asked = 1").select(*[F.col(c).alias(f"__{c}") for c in block], F.col("__y").alias("__py"), (F.col("__above") + F.col("__own") / 2.0).alias("__steps"))
+    left = at.where(F.col("__half") % 2 == 0).join(told, [F.col("__y") == F.col("__py"), *_same(block, "__")])
+    above = left.groupBy(*[F.col(c).alias(f"__{c}") for c in by], F.col("__x").alias("__px"), F.col("__y").alias("__py")).agg(F.sum("__steps").alias("__above_x"))
+    # ties in x: half a step in x with the step in y
+    ties = running(points, [*by, "__x"], ["__y"], {}, {"__more": ("sum", F.col("__n"))})
+    ties = ties.select(*by, "__x", "__y", ((F.col("__more") + F.col("__n") / 2.0 - 0.5) / 2).alias("__tied"))
+    out = ties.join(above, [F.col("__x") == F.col("__px"), F.col("__y") == F.col("__py"), *_same(by, "__")], "left")
+    return out.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__x").alias("__px"), F.col("__y").alias("__py"), (F.coalesce("__above_x", F.lit(0.0)) + F.col("__tied")).alias("__both"))
 
 
 def auc(df: DataFrame, by: list[str], score: str, label: str, large: bool = False) -> DataFrame:

@@ -138,12 +138,12 @@ WIL = """SELECT contrast_name, metric, count(*) AS n, round(least(coalesce(sum(r
 
 @query("t11_wilcoxon", "WITH " + COLLAPSED + " " + WIL)
 def t11(spark, d):
-    return r6(stats.wilcoxon(_diffs(spark, d), ["contrast_name", "metric"], p=False).select("contrast_name", "metric", "n", "w"))
+    return r6(stats.wilcoxon(_diffs(spark, d), ["contrast_name", "metric"], p=False, large=True).select("contrast_name", "metric", "n", "w"))
 
 
 @query("t11_wilcoxon_p")
 def t11p(spark, d):
-    return r6(stats.wilcoxon(_diffs(spark, d), ["contrast_name", "metric"]))
+    return r6(stats.wilcoxon(_diffs(spark, d), ["contrast_name", "metric"], large=True))
 
 
 @query("t12_friedman", "WITH " + LONG + f""", cm AS (SELECT metric, subject, condition, avg(value) AS v FROM lm WHERE condition IN ('view', 'click', 'error') AND ok GROUP BY ALL), fl AS (SELECT * FROM cm WHERE v IS NOT NULL AND (metric, subject) IN (SELECT (metric, subject) FROM cm WHERE v IS NOT NULL GROUP BY metric, subject HAVING count(*) = 3)),
