@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup, merkle, mixing, oracles, quality, queries, resample, tiff, warc
+from tideline.llm import jaccard, licenses, line_dedup, merkle, mixing, oracles, quality, queries, resample, tiff, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BIG = [2**53 + 1, 2**53 + 3, 2**62, 2**62 + 1, -(2**62) - 1, None]
@@ -253,3 +253,20 @@ def test_hot_lines_are_split(spark, data, monkeypatch):
     want = rows()
     monkeypatch.setattr(line_dedup, "HOT_ROWS", 1)
     assert rows() == want and any(r[3] for r in want)
+
+
+def test_hot_cells_give_the_same_classes(spark, data, monkeypatch):
+    """With cells that are hot from the second item on, classes stay as they are."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = docs.unionByName(docs.limit(70).select((F.col("doc_id") + 10_000).alias("doc_id"), "source", "lang", "n_chars", F.concat("text", F.lit(" more")).alias("text")))
+    rows = lambda: collections.Counter(tuple(r) for r in jaccard.Join(4, 85).classes(docs).collect())
+    want = rows()
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 1)
+    assert rows() == want and len({r[2] for r in want}) < docs.count()
+
+
+def test_whole_licence_texts_and_names(spark):
+    texts = ["GNU Lesser General Public License version 3", "BSD 3-Clause License", "Licensed under CC BY-SA 4.0", "This is free and unencumbered software\nreleased into the public domain.", dict(licenses.TEMPLATES)["mit-text"].upper()]
+    rows = spark.createDataFrame([(i, f"Some words. {t} and more", "en", "s", 1) for i, t in enumerate(texts)] + [(9, "merge " * 3000 + "publish", "en", "s", 1)], DOC)
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(rows).collect()}
+    assert got[0] == {"lgpl"} and got[1] == {"bsd-3-clause"} and {"cc-by", "cc-by-sa"} <= got[2] and got[3] == {"unlicense"} and {"mit-grant", "mit-text"} <= got[4] and got[9] == {""}

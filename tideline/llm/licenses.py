@@ -6,7 +6,7 @@ at least ``threshold`` of the template's distinct words, or all of them if it ha
 would be another licence). The join is exact: every template word is ordered by its frequency over all documents
 (rarest first); a block that meets the threshold must hold one of the template's first n - needed + 1 words in that
 order (prefix filter). The words around each such word are cut out and projected on the templates' vocabulary, which is
-fixed and small, in global order; they must hold at least ``needed`` of it (length filter), and from the place of the
+bounded by the templates, in global order; they must hold at least ``needed`` of it (length filter), and from the place of the
 met word on both sides there must be ``needed`` words left (positional filter). What passes is counted exactly, run
 by run.
 
@@ -25,18 +25,41 @@ from tideline.llm.common import words
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates of whole notices: label, words.
+#: Notices and whole licence texts: label, words.
 TEMPLATES = [
+    ("agpl", "gnu affero general public license"),
     ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-short", "licensed under the apache license version"),
+    ("bsd-2-clause", "bsd 2 clause license"),
+    ("bsd-3-clause", "bsd 3 clause license"),
     ("bsd-conditions", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-sa", "cc by sa"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
+    ("eclipse", "eclipse public license"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-work", "this work is licensed under the gnu general public license version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "gnu lesser general public license"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit-short", "released under the mit license"),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.8
 #: Templates of fewer distinct words must be held whole.
@@ -72,12 +95,15 @@ def word_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
 
 
-def _runs(rows: DataFrame, order: list[str], starts: Column, joined: DataFrame, longest: int) -> DataFrame:
+def _runs(rows: DataFrame, order: list[str], starts: list[str], joined: DataFrame, longest: int) -> DataFrame:
     """(doc_id, row, template, shared, n_template) of the runs around prefix words that meet a template."""
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(starts, F.get("w", i)))
-    cut_out = F.transform(at, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(longest - 1)).alias("place"), F.slice("w", F.greatest(i - (longest - 2), F.lit(1)), 2 * longest - 1).alias("near")))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(*starts))
+    # places first, the words around each afterwards: a text never stands in memory once for each of its prefix words
+    placed = rows.select("doc_id", "row", "w", at.alias("at")).select("doc_id", "row", "w", F.explode_outer("at").alias("i")).where("i is not null")
+    near = F.slice("w", F.greatest(F.col("i") - (longest - 2), F.lit(1)), 2 * longest - 1)
+    around = placed.select("doc_id", "row", F.get("w", "i").alias("word"), F.least("i", F.lit(longest - 1)).alias("place"), near.alias("near"))
     # array_intersect keeps the order of its first side: the words around come out in global order
-    around = rows.select("doc_id", "row", F.explode(cut_out).alias("c")).select("doc_id", "row", "c.*").withColumn("b", F.array_intersect(_texts(order), "near"))
+    around = around.withColumn("b", F.array_intersect(_texts(order), "near"))
     met = around.join(joined, "word").withColumn("b_at", F.array_position("b", F.col("word")).cast("int") - 1)
     met = met.where((F.size("b") >= F.col("needed")) & (F.least(F.size("b") - F.col("b_at"), F.col("n_template") - F.col("t_at") + 1) + F.least(F.col("b_at"), F.col("t_at") - 1) >= F.col("needed")))
     first = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0))
@@ -101,12 +127,12 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
         sides.append((label, own, needed))
         length = math.ceil(len(text.split()) / threshold - 1e-9)
         prefixes += [(x, i + 1, label, len(own), needed, own, length) for i, x in enumerate(own[: len(own) - needed + 1])]
-    starts = _texts(sorted({p[0] for p in prefixes}))
+    starts = sorted({p[0] for p in prefixes})
     joined = F.broadcast(spark.createDataFrame(prefixes, "word string, t_at int, template string, n_template int, needed int, own array<string>, length int"))
 
     rows = documents.select("doc_id", "text", words(F.col("text")).alias("w"), F.xxhash64("text").alias("row"))
     rows = rows.withColumn("first_words", F.arrays_overlap("w", _texts(sorted({p.split()[0] for p in PHRASES}))))
-    rows = rows.withColumn("may_match", F.arrays_overlap("w", starts))
+    rows = rows.withColumn("may_match", F.arrays_overlap("w", _texts(starts)))
     places = F.when(F.col("first_words"), _places(F.col("w"))).otherwise(F.array().cast("array<struct<place:bigint,label:string>>"))
     base = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), places.alias("p"))
     base = base.select(
