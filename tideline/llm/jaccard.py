@@ -40,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tideline.llm.common import attach, batches_of, boxed, cut, discard, small
+from tideline.llm.common import HOT_ROWS, attach, batches_of, boxed, cut, discard, small
 
 GROUPS, LEAF, NODE, CHUNK = 512, 256, 16, 1 << 20
 #: Items of leaves that are unpacked at once.
@@ -312,11 +313,7 @@ class Join:
         chosen = described.join(stands, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
         items = cut(chosen.select("id", "doc_id", "row", "n", "point").dropDuplicates(["id"]))
 
-        # each item of a cell but the smallest is paired with that one; a cell may be a large part of all items
-        dealt = cut(chosen.select("id", "cells").dropDuplicates(["id"]).select("id", F.explode(F.array_distinct("cells")).alias("cell")))
-        lows = dealt.groupBy("cell").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("cell", "low")
-        members = cut(attach(dealt, lows, "cell").where("low < id").select("cell", "low", "id"))
-        discard(dealt)
+        members = self._members(chosen.select("id", F.explode("cells").alias("cell")))
         rows = cut(described.select("doc_id", "row", "n", "name"))
         discard(described)
 
@@ -340,6 +337,25 @@ class Join:
         out = out.unionByName(rows.where("n = 0").select("doc_id", "row", "n"), allowMissingColumns=True)
         return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
+    def _members(self, dealt: DataFrame) -> DataFrame:
+        """(cell, low, id) of each item of a cell but its smallest, low, from (id, cell).
+
+        One shuffle: the smallest item of a cell comes first in a window, others are paired with it as they come. Cells
+        that a 64th of the items shows to hold over ``HOT_ROWS`` of them don't go there: their smallest items are found by
+        partial aggregation and broadcast. All items are paired either way.
+        """
+        seen = dealt.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS / 64)
+        hot = cut(seen.select(F.col("cell").alias("hot")))
+        met = Window.partitionBy("cell").orderBy("id")
+        if hot.isEmpty():
+            rest = dealt
+        else:
+            rest, often = (dealt.join(small(hot), F.col("cell") == F.col("hot"), how) for how in ("left_anti", "left_semi"))
+            lows = small(cut(often.groupBy(F.col("cell").alias("at")).agg(F.min("id").alias("low"))))
+            often = often.join(lows, F.col("cell") == F.col("at")).where("low < id").select("cell", "low", "id").distinct()
+        paired = rest.select("cell", "id", F.first("id").over(met).alias("low"), F.lag("id").over(met).alias("before")).where("before < id").select("cell", "low", "id")
+        return cut(paired if hot.isEmpty() else paired.union(often))
+
     def cross_pairs(self, members: DataFrame, labels: DataFrame, items: DataFrame) -> DataFrame:
         """(a, b) of items in one cell but different components, that the bound by summed minima leaves open."""
         held = members.select("cell", "id").union(members.select("cell", F.col("low").alias("id")).distinct())
