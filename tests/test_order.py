@@ -76,8 +76,11 @@ def brute_nearest(x, ids, k):
     return out
 
 
-def test_nearest_and_pair_sums_over_many_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [250, 5000])
+def test_nearest_and_pair_sums_over_many_tiles(spark, monkeypatch, whole):
+    """By tiles beside keys that are one row, and with all keys as one row each."""
     monkeypatch.setattr(tiles, "TILE", 128)
+    monkeypatch.setattr(tiles, "WHOLE", whole)
     r = np.random.default_rng(5)
     sessions = {"walk": np.cumsum(r.normal(size=(4000, 3)), axis=0), "lumps": r.normal(size=(1500, 3)) * 0.01 + r.integers(0, 6, (1500, 3)) * 100, "few": r.normal(size=(3, 3)), None: r.normal(size=(200, 3)), "line": np.c_[np.arange(300.0), np.zeros(300), np.zeros(300)]}
     rows = [(s, int(i), *map(float, p)) for s, x in sessions.items() for i, p in enumerate(x)] + [("walk", 5000, None, 0.0, 0.0)]
@@ -99,6 +102,7 @@ def test_nearest_and_pair_sums_over_many_tiles(spark, monkeypatch):
 
 def test_nearest_of_equal_points(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE", 64)
+    monkeypatch.setattr(tiles, "WHOLE", 100)
     df = spark.createDataFrame([("a", i, 1.0 + (i >= 290), 2.0) for i in range(300)], "s string, i long, x double, y double")
     got = tiles.nearest(df, ["s"], "i", ["x", "y"], 4).collect()
     assert len(got) == 1200 and all(q.neighbour == (q["rank"] - 1 if q.i < 290 else 289 + q["rank"]) for q in got)

@@ -20,6 +20,8 @@ from tideline.sources.scan import written
 
 #: Points of a tile (cells with more are divided), pairs of tiles in an Arrow batch, quantiles that a grid has at most.
 TILE, PAIRS, GRID = 1024, 64, 64
+#: Points of a key that is one row, of which so many meet all others at once.
+WHOLE, CHUNK = 4096, 256
 #: Distances are compared after rounding to nine places.
 SLACK = 1.1e-9
 
@@ -118,28 +120,55 @@ def _bounded(d: int, k: int):
     return run
 
 
+def _chosen(x: np.ndarray, y: np.ndarray, others: np.ndarray, limit: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, squared distance) of what may be among the k nearest of each row: at most ``limit`` away, or the k-th."""
+    squares = _squares(x, y)
+    if limit is None:
+        limit = np.partition(squares, k - 1, axis=1)[:, k - 1] if len(y) >= k else np.full(len(x), np.inf)
+    at, to = np.nonzero(squares <= limit[:, None] + SLACK)
+    far = squares[at, to]
+    order = np.lexsort((others[to], far, at))
+    at, to, far = at[order], to[order], far[order]
+    start = np.searchsorted(at, np.arange(len(x)))
+    rank = np.arange(len(at)) - start[at]
+    last = far[np.minimum(start[at] + k - 1, len(far) - 1)] if len(far) else far
+    keep = (rank < k) | ((far <= last + SLACK) & (far != last))  # equal ones beyond the k-th have larger ids
+    return at[keep], others[to[keep]], far[keep]
+
+
+def _found(batch: pa.RecordBatch, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (g, id, neighbour, dist2) from (row of the batch, ids, neighbours, distances)."""
+    at = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+    columns = [pa.array(np.concatenate([p[i] for p in parts]), kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
+    return pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(at)), *columns], ["g", "id", "neighbour", "dist2"])
+
+
 def _best(d: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, near, dist, owner = [], [], [], []
-            sides = zip(*(_lists(batch.column(c)) for c in ("ids", "xs", "kth", "others", "ys")), strict=True)
+            sides, parts = zip(*(_lists(batch.column(c)) for c in ("ids", "xs", "kth", "others", "ys")), strict=True), []
             for row, ((own, x, kth, others, y), reach) in enumerate(zip(sides, batch.column("reach").to_pylist(), strict=True)):
-                squares = _squares(x.reshape(-1, d), y.reshape(-1, d))
-                at, to = np.nonzero(squares <= np.minimum(kth, reach)[:, None] + SLACK)
-                far = squares[at, to]
-                order = np.lexsort((others[to], far, at))
-                at, to, far = at[order], to[order], far[order]
-                start = np.searchsorted(at, np.arange(len(own)))
-                rank = np.arange(len(at)) - start[at]
-                last = far[np.minimum(start[at] + k - 1, len(far) - 1)] if len(far) else far
-                keep = (rank < k) | ((far <= last + SLACK) & (far != last))  # equal ones beyond the k-th have larger ids
-                ids.append(own[at[keep]])
-                near.append(others[to[keep]])
-                dist.append(far[keep])
-                owner.append(np.full(int(keep.sum()), row))
-            if ids:
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([batch.column("g").take(at), pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(near), pa.int64()), pa.array(np.concatenate(dist), pa.float64())], ["g", "id", "neighbour", "dist2"])
+                at, near, far = _chosen(x.reshape(-1, d), y.reshape(-1, d), others, np.minimum(kth, reach), k)
+                parts.append((row, own[at], near, far))
+            if parts:
+                yield _found(batch, parts)
+
+    return run
+
+
+def _whole(d: int, k: int):
+    """The same for keys that are one row: a few hundred of its points against all of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for row, (ids, x) in enumerate(zip(_lists(batch.column("ids")), _lists(batch.column("xs")), strict=True)):
+                x = x.reshape(-1, d)
+                for start in range(0, len(x), CHUNK):
+                    at, near, far = _chosen(x[start : start + CHUNK], x, ids, None, k)
+                    parts.append((row, ids[start + at], near, far))
+            if parts:
+                yield _found(batch, parts)
 
     return run
 
@@ -160,10 +189,28 @@ def nearest(df: DataFrame, by: list[str], index: str, axes: list[str], k: int) -
     """``by``, index, neighbour, dist2 (rounded to nine places) and rank: the k nearest points of each, itself included.
 
     Ties go by index. Points with a null axis are left out and found by nobody; keys with fewer than k points give all.
+    Keys of up to ``WHOLE`` points are a row each; larger ones go by tiles.
     """
-    spark, d = df.sparkSession, len(axes)
-    cut_axes = min(3, d)
-    points = written(_points(df, by, index, axes))
+    points, d = _points(df, by, index, axes), len(axes)
+    size = written(points.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    large = size.where(F.col("n") > WHOLE).select(F.col("g").alias("lg"))
+    shape = f"g {points.schema['g'].dataType.simpleString()}, id long, neighbour long, dist2 double"
+    with batches_of(df.sparkSession, 1):
+        if large.isEmpty():
+            found = written(_packed(points, "g").mapInArrow(_whole(d, k), shape))
+        else:
+            points = written(points)
+            rest = points.join(large, F.col("g") == F.col("lg"), "left_anti")
+            found = written(_packed(rest, "g").mapInArrow(_whole(d, k), shape)).unionByName(_by_tiles(points.join(large, F.col("g") == F.col("lg"), "left_semi"), d, k))
+    found = found.withColumn("dist2", F.round("dist2", 9))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("g", "id").orderBy("dist2", "neighbour"))).where(F.col("rank") <= k)
+    return ranked.select(*[F.col(f"g.{b}").alias(b) for b in by], F.col("id").alias(index), "neighbour", "dist2", "rank")
+
+
+def _by_tiles(points: DataFrame, d: int, k: int) -> DataFrame:
+    """(g, id, neighbour, dist2): candidates of the k nearest of each point (g, id, x), all of them among these."""
+    spark, cut_axes = points.sparkSession, min(3, d)
+    points = written(points)
     grid = [i / GRID for i in range(1, GRID)]
     size = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("x")[a], F.array(*[F.lit(q) for q in grid]), F.lit(1000)).alias(f"cuts{a}") for a in range(cut_axes)])
     size = size.withColumn("s", F.least(F.ceil(F.pow(F.col("n") / TILE, F.lit(1 / cut_axes))), F.lit(GRID))).select(F.col("g").alias("sg"), "s", *[f"cuts{a}" for a in range(cut_axes)])
@@ -195,7 +242,4 @@ def nearest(df: DataFrame, by: list[str], index: str, axes: list[str], k: int) -
     second = tiles.select(F.col("g").alias("og"), F.col("tile").alias("ot"), F.col("ids").alias("others"), F.col("xs").alias("ys"))
     both = first.join(second, (F.col("g") == F.col("og")) & (F.col("other") == F.col("ot"))).select("g", "ids", "xs", "kth", "others", "ys", "reach")
     with batches_of(spark, PAIRS):
-        found = written(both.mapInArrow(_best(d, k), f"g {tiles.schema['g'].dataType.simpleString()}, id long, neighbour long, dist2 double"))
-    found = found.withColumn("dist2", F.round("dist2", 9))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("g", "id").orderBy("dist2", "neighbour"))).where(F.col("rank") <= k)
-    return ranked.select(*[F.col(f"g.{b}").alias(b) for b in by], F.col("id").alias(index), "neighbour", "dist2", "rank")
+        return written(both.mapInArrow(_best(d, k), f"g {tiles.schema['g'].dataType.simpleString()}, id long, neighbour long, dist2 double"))
