@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, UPPER, cut, positions, small
+from tideline.llm.common import BROADCAST_BYTES, LOWER, UPPER, cut, positions, small
 
 #: 2**BITS nodes have a parent; a block holds LEVELS levels below its root.
 BITS, LEVELS, HEX = 4, 3, 64
@@ -41,6 +41,11 @@ def leaf(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _near(paths: DataFrame) -> DataFrame:
+    """A table of paths, broadcast if it is small: a step of a path has up to 64 times the bytes that ``small`` counts for it."""
+    return small(cut(paths), BROADCAST_BYTES // 64)
+
+
 def _runs(level: str) -> Column:
     """The fixed-width substrings of a level that have a parent each."""
     return F.transform(F.sequence(F.lit(1), F.length(level), F.lit(FAN * HEX)), lambda at: F.substring(F.col(level), at, F.lit(FAN * HEX)))
@@ -93,11 +98,11 @@ class Tree:
 
     def members(self, above: DataFrame, finish: Callable[[Column, Column, Column], Column]) -> DataFrame:
         """``finish`` of each node's item, digest and path; ``above`` has (g, subroot, above) of each group's root."""
-        above, found = small(cut(above.withColumnRenamed("g", "ag"))), None
+        above, found = _near(above.withColumnRenamed("g", "ag")), None
         for k in range(len(self.rounds) - 1, -1, -1):
             tops = self.rounds[k].where(F.col("n") <= SIZE).join(above, F.col("g") == F.col("ag")).drop("ag")
             if found is not None:
-                lower = small(cut(found.select(F.col("g").alias("bg"), (F.col("block") * SIZE + F.col("i")).alias("bb"), "subroot", F.col("x").alias("above"))))
+                lower = _near(found.select(F.col("g").alias("bg"), (F.col("block") * SIZE + F.col("i")).alias("bb"), "subroot", F.col("x").alias("above")))
                 tops = tops.unionByName(self.rounds[k].where(F.col("n") > SIZE).join(lower, (F.col("g") == F.col("bg")) & (F.col("block") == F.col("bb"))).drop("bg", "bb"))
             found = _members(tops, finish if k == 0 else lambda item, digest, path: path)
         return found
