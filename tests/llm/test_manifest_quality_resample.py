@@ -272,3 +272,34 @@ def test_whole_licence_texts_and_names(spark):
     rows = spark.createDataFrame([(i, f"Some words. {t} and more", "en", "s", 1) for i, t in enumerate(texts)] + [(9, "merge " * 3000 + "publish", "en", "s", 1)], DOC)
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(rows).collect()}
     assert got[0] == {"lgpl"} and got[1] == {"bsd-3-clause"} and {"cc-by", "cc-by-sa"} <= got[2] and got[3] == {"unlicense"} and {"mit-grant", "mit-text"} <= got[4] and got[9] == {""}
+
+
+def test_long_templates_as_a_table(spark):
+    """Templates of hundreds of words with repeats, texts with words lost, added and moved apart; against brute force."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = {f"t{j}": " ".join(rng.choice(vocabulary, n)) for j, n in enumerate((3, 12, 60, 300, 600))}
+    rows = []
+    for text in texts.values():
+        for lost in (0.0, 0.1, 0.25, 0.4):
+            w = [x for x in text.split() if rng.random() >= lost]
+            for _ in range(int(rng.integers(0, 1 + len(w) // 6))):
+                w.insert(int(rng.integers(0, len(w) + 1)), str(rng.choice(vocabulary)))
+            rows.append((len(rows), " ".join(["before"] * int(rng.integers(0, 900)) + w + ["after"] * int(rng.integers(0, 900)))))
+    rows += [(len(rows), " ".join(rng.choice(vocabulary, 3000))), (None, texts["t2"]), (None, texts["t2"]), (None, texts["t1"]), (90, ""), (91, None)]
+    table = spark.createDataFrame([(k, f"{t.upper()}\n") for k, t in texts.items()] + [("void", " - "), ("void", None)], "label string, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def brute(text):
+        w, best, labels = (text or "").lower().split(), 0.0, set()
+        for label, t in texts.items():
+            n, own = math.ceil(len(t.split()) / 0.8 - 1e-9), set(t.split())
+            most = max(len(own & set(w[i : i + n])) for i in range(max(len(w) - n + 1, 1)))
+            if most >= (math.ceil(0.8 * len(own) - 1e-9) if len(own) >= 10 else len(own)):
+                labels, best = labels | {label}, max(best, most / len(own))
+        return ",".join(sorted(labels)), round(best, 6)
+
+    got = sorted(((r.doc_id, r.labels, r.score) for r in licenses.scan(docs, table).collect()), key=repr)
+    assert got == sorted(((i, *brute(t)) for i, t in rows), key=repr)
+    assert sum(bool(x) for _, x, _ in got) > 8 and any(0 < s < 1 for _, _, s in got)
+    assert all(not r.labels for r in licenses.scan(docs, []).collect())

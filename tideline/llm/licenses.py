@@ -4,14 +4,17 @@ A block is a run of consecutive words, across lines too (notices are often wrapp
 divided by ``threshold``; nothing wider counts, however long a line is. A template matches a block when the block holds
 at least ``threshold`` of the template's distinct words, or all of them if it has fewer than ``WHOLE`` (one word less
 would be another licence). The join is exact: every template word is ordered by its frequency over all documents
-(rarest first); a block that meets the threshold must hold one of the template's first n - needed + 1 words in that
-order (prefix filter). The words around each such word are cut out and projected on the templates' vocabulary, which is
-bounded by the templates, in global order; they must hold at least ``needed`` of it (length filter), and from the place of the
-met word on both sides there must be ``needed`` words left (positional filter). What passes is counted exactly, run
-by run.
+(rarest first); the first word in that order that a sufficient block and the template share is one of the template's
+first n - needed + 1 (prefix filter). The words around each such place, as far as a block of that template reaches, must
+hold at least ``needed`` of the template's words (length filter), and so must those from the met word on in the order
+(positional filter). What passes is counted exactly: each occurrence of a template word adds to the blocks in which it
+is the word's first, so the counts of all blocks are one running sum over the places of a text.
+
+Templates are tables: their words, prefixes and sizes are joined by broadcast after a check of their size, so whole
+licence texts of thousands of words cost a place only the template it meets, not the vocabulary of all.
 
 Cases: null and empty texts have no words, places or labels and score 0; repeated rows each get their result;
-ties in frequency go by the word; null ids are kept; other columns are ignored.
+ties in frequency go by the word; null ids are kept; other columns are ignored. Templates without words match nothing.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tideline.llm.common import words
+from tideline.llm.common import cut, small, words
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -67,7 +71,8 @@ WHOLE = 10
 
 
 def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """An array of words without separators in them, as one literal."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def _places(w: Column) -> Column:
@@ -95,40 +100,52 @@ def word_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
 
 
-def _runs(rows: DataFrame, order: list[str], starts: list[str], joined: DataFrame, longest: int) -> DataFrame:
-    """(doc_id, row, template, shared, n_template) of the runs around prefix words that meet a template."""
+def _blocks(rows: DataFrame, starts: list[str], prefixes: DataFrame, sides: DataFrame, own_words: DataFrame) -> DataFrame:
+    """(doc_id, row, template, shared, n_template) of the templates that a text holds; shared is the most in one block."""
+    text = ["doc_id", "row", "tid"]
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(*starts))
     # places first, the words around each afterwards: a text never stands in memory once for each of its prefix words
     placed = rows.select("doc_id", "row", "w", at.alias("at")).select("doc_id", "row", "w", F.explode_outer("at").alias("i")).where("i is not null")
-    near = F.slice("w", F.greatest(F.col("i") - (longest - 2), F.lit(1)), 2 * longest - 1)
-    around = placed.select("doc_id", "row", F.get("w", "i").alias("word"), F.least("i", F.lit(longest - 1)).alias("place"), near.alias("near"))
+    met = placed.withColumn("word", F.get("w", "i")).join(prefixes, "word").join(sides, "tid")
+    first = F.greatest(F.col("i") - F.col("length") + 1, F.lit(0))
+    met = met.select(*text, "word", "own", "needed", "length", first.alias("first"), F.slice("w", first + 1, 2 * F.col("length") - 1).alias("near"))
     # array_intersect keeps the order of its first side: the words around come out in global order
-    around = around.withColumn("b", F.array_intersect(_texts(order), "near"))
-    met = around.join(joined, "word").withColumn("b_at", F.array_position("b", F.col("word")).cast("int") - 1)
-    met = met.where((F.size("b") >= F.col("needed")) & (F.least(F.size("b") - F.col("b_at"), F.col("n_template") - F.col("t_at") + 1) + F.least(F.col("b_at"), F.col("t_at") - 1) >= F.col("needed")))
-    first = F.greatest(F.col("place") - F.col("length") + 1, F.lit(0))
-    met = met.where(F.size(F.array_intersect("own", F.slice("near", first + 1, 2 * F.col("length") - 1))) >= F.col("needed"))
-    held = F.transform(F.sequence(first, F.col("place")), lambda i: F.size(F.array_intersect("own", F.slice("near", i + 1, F.col("length")))))
-    return met.select("doc_id", "row", "template", F.array_max(held).alias("shared"), "n_template", "needed").where("shared >= needed").drop("needed")
+    met = met.withColumn("b", F.array_intersect("own", "near"))
+    met = met.where((F.size("b") >= F.col("needed")) & (F.size("b") - F.array_position("b", F.col("word")) + 1 >= F.col("needed")))
+    around = met.select(*text, "length", "first", F.posexplode_outer("near").alias("j", "x"))
+    held = around.join(own_words, ["tid", "x"]).select(*text, "length", "x", (F.col("first") + F.col("j")).alias("pos")).distinct().repartition(*text)
+    earlier = F.lag("pos").over(Window.partitionBy(*text, "x").orderBy("pos"))
+    # blocks that begin from here on hold this occurrence and none of the word before it
+    since = F.greatest(F.col("pos") - F.col("length"), F.coalesce(earlier, F.lit(-1) - F.col("length"))) + 1
+    steps = held.select(*text, since.alias("since"), "pos").select(*text, F.explode(F.array(F.struct(F.col("since").alias("s"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("s"), F.lit(-1).alias("d")))).alias("e"))
+    shared = F.sum("e.d").over(Window.partitionBy(*text).orderBy("e.s"))  # equal places are peers
+    most = steps.select(*text, shared.alias("shared")).groupBy(*text).agg(F.max("shared").alias("shared"))
+    return most.join(sides, "tid").where("shared >= needed").select("doc_id", "row", "template", "shared", "n_template")
 
 
 def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates.
 
-    score is the largest containment of a template in a block, or 1 where a base phrase stands.
+    score is the largest containment of a template in a block, or 1 where a base phrase stands. ``templates`` are pairs
+    of label and words, or a table (label, text) of texts as they are, whose words the driver can hold.
     """
     spark = documents.sparkSession
+    if isinstance(templates, DataFrame):
+        templates = [(r["label"], r["t"]) for r in templates.where("label is not null").select("label", F.array_join(words(F.col("text")), " ").alias("t")).collect()]
+    templates = [(label, text) for label, text in templates if text.split()]
     order = word_order(documents, templates)
     rank = {x: i for i, x in enumerate(order)}
     sides, prefixes = [], []
-    for label, text in templates:
+    for tid, (label, text) in enumerate(templates):
         own = sorted(set(text.split()), key=rank.get)
         needed = math.ceil(threshold * len(own) - 1e-9) if len(own) >= WHOLE else len(own)
-        sides.append((label, own, needed))
         length = math.ceil(len(text.split()) / threshold - 1e-9)
-        prefixes += [(x, i + 1, label, len(own), needed, own, length) for i, x in enumerate(own[: len(own) - needed + 1])]
-    starts = sorted({p[0] for p in prefixes})
-    joined = F.broadcast(spark.createDataFrame(prefixes, "word string, t_at int, template string, n_template int, needed int, own array<string>, length int"))
+        sides.append((tid, label, len(own), needed, own, length))
+        prefixes += [(x, tid) for x in own[: len(own) - needed + 1]]
+    starts = sorted({x for x, _ in prefixes})
+    sides = cut(spark.createDataFrame(sides, "tid int, template string, n_template int, needed int, own array<string>, length int"))
+    prefixes = small(cut(spark.createDataFrame(prefixes, "word string, tid int")))
+    own_words, sides = small(cut(sides.select("tid", F.explode("own").alias("x")))), small(sides)
 
     rows = documents.select("doc_id", "text", words(F.col("text")).alias("w"), F.xxhash64("text").alias("row"))
     rows = rows.withColumn("first_words", F.arrays_overlap("w", _texts(sorted({p.split()[0] for p in PHRASES}))))
@@ -142,7 +159,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
         F.array_sort(F.array_distinct(F.transform("p", lambda x: x["label"]))).alias("base"),
     )
 
-    sized = _runs(rows.where("may_match"), order, starts, joined, max(p[-1] for p in prefixes))
+    sized = _blocks(rows.where("may_match"), starts, prefixes, sides, own_words)
     found = sized.groupBy("doc_id", "row").agg(F.collect_set("template").alias("templates"), F.max(F.col("shared") / F.col("n_template")).alias("best"))
     found = found.select(F.col("doc_id").alias("f_doc"), F.col("row").alias("f_row"), "templates", "best")
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("row") == F.col("f_row")), "left")
