@@ -198,6 +198,31 @@ def test_large_groups_give_what_packed_ones_do(spark, monkeypatch):
         assert len(a) == len(b) == 1 and all((x == y) if isinstance(x, (str, bool)) or x is None else x == pytest.approx(y, abs=1e-9) for x, y in zip(a[0], b[0], strict=True)), (a, b)
 
 
+@pytest.mark.parametrize("band", [8.0, 0.3])
+def test_bands_of_large_groups(spark, monkeypatch, band):
+    """Groups in several chunks, by narrow bands too, some of whose replicates are done again; ties, null and one-sided groups."""
+    monkeypatch.setattr(resampling, "PACK", 64)
+    monkeypatch.setattr(resampling, "BAND", band)
+    r = np.random.default_rng(11)
+    data = {"a": np.round(r.normal(0.2, 1, 701), 1), None: r.normal(size=500), "even": np.r_[r.normal(size=299), 50.0], "left": r.normal(size=90)}
+    rows = [(g, i, float(v), g == "left" or bool(i % 3)) for g, vs in data.items() for i, v in enumerate(vs)] + [("a", 9_000, None, True)]
+    df = spark.createDataFrame(rows, "g string, i long, v double, lf boolean")
+    keys = {r.i: r.key for r in spark.range(701).select(F.col("id").alias("i"), resample.item_key(0, "id", "sign").alias("key")).collect()}
+    labels = {r.i: r.key for r in spark.range(701).select(F.col("id").alias("i"), resample.item_key(0, "id", "label").alias("key")).collect()}
+    clean = df.where("v is not null")
+    medians = {(x.g, x.rep): x.s for x in resampling.flipped_medians(clean, ["g"], "i", 130).collect()}
+    sums = {(x.g, x.rep): x.low for x in resampling.left_sums(clean.withColumn("lf", F.col("lf").cast("int")), ["g"], "i", 130).collect()}
+    for g, vs in data.items():
+        h = resample.draws(np.array([keys[i] for i in range(len(vs))]), np.arange(130))
+        want = np.median(np.where(h < 2**31, -vs, vs), axis=1)
+        assert [medians[g, k] for k in range(130)] == pytest.approx(list(want), abs=1e-12)
+        n_left = sum(bool(i % 3) for i in range(len(vs)))
+        h = resample.draws(np.array([labels[i] for i in range(len(vs))]), np.arange(130))
+        if g != "left":
+            assert [sums[g, k] for k in range(130)] == pytest.approx(list(vs[np.argsort(h, axis=1, kind="stable")[:, :n_left]].sum(1)), abs=1e-9)
+    assert len(medians) == 4 * 130 and len(sums) == 3 * 130
+
+
 def test_one_long_session_by_ranges(spark):
     """Segments, path, dwell and transition entropies of a session in several ranges are those of windows."""
     r = np.random.default_rng(9)

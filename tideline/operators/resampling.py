@@ -2,8 +2,11 @@
 
 A draw is a 32-bit number that follows from seed, replicate and item alone (see ``functions.resample``), so a block may
 be computed anywhere. Sums over flipped signs are partial: each Arrow batch gives one sum a replicate, whatever the size
-of a group. Statistics that need a group's values together get them packed, once for each block of replicates; groups of
-over ``PACK`` rows, which no task should hold, take the statistic's own way over exploded rows instead.
+of a group. Statistics that need a group's values together get them packed, once for each block of replicates. Groups of
+over ``PACK`` rows, which no task should hold, take the statistic's own way: what decides a rank lies in a band of about
+``BAND`` standard deviations around its expected place, so chunks of rows give counts and sums below the band, and only
+the band, which grows with the root of a group, is brought together (``left_sums``, ``flipped_medians``). A replicate
+whose rank falls outside its band is done again with a wider one. Bootstrap samples of such groups are exploded rows.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.resample import draws, item_key
+from tideline.operators.ranges import running
 from tideline.operators.tiles import batches_of
 from tideline.sources.scan import written
 
 #: Rows of a packed group, replicates of a block.
 PACK, BLOCK = 20_000, 100
+#: Half a band, in standard deviations.
+BAND = 8.0
 
 
 def _group(by: list[str]) -> Column:
@@ -93,3 +99,98 @@ def replicated(df: DataFrame, by: list[str], columns: dict[str, Column], item: s
         return out
     rest = rows.join(many, F.col("g") == F.col("sg"), "left_semi").select(*_ungroup(by), F.col("__item").alias(item), *columns)
     return out.unionByName(large(rest))
+
+
+def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
+
+
+def _banded(z: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                chunk, wanted, n = (batch.column(c)[row].as_py() for c in ("chunk", "wanted", "n"))
+                key, v, reps = (np.asarray(batch.column(c)[row].values) for c in ("key", "v", "reps"))
+                share = wanted / n
+                half = z * np.sqrt(share * (1 - share) / n) + z / n
+                low, high = int(max(share - half, 0.0) * 2**32), int(min(share + half, 1.0) * 2**32)
+                for start in range(0, len(reps), BLOCK):
+                    some = reps[start : start + BLOCK]
+                    h = draws(key, some).astype(np.int64)
+                    under, inside = h < low, (h >= low) & (h < high)
+                    of, at = np.nonzero(inside)
+                    band = pa.StructArray.from_arrays([pa.array(h[of, at]), pa.array(chunk * PACK + at, pa.int64()), pa.array(v[at])], ["h", "i", "v"])
+                    g = batch.column("g").take(pa.array(np.full(len(some), row)))
+                    yield pa.RecordBatch.from_arrays([g, pa.array(some, pa.int32()), pa.array(under.sum(1), pa.int64()), pa.array(under.astype(float) @ v), _listed(inside.sum(1), band)], ["g", "rep", "under", "s", "band"])
+
+    return run
+
+
+def left_sums(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "label") -> DataFrame:
+    """``by``, rep, low: in each of ``n`` replicates the sum of v over the rows with the smallest draws (ties by ``item``).
+
+    There are as many such rows as the group's sum of lf says. For groups of any size; v isn't null.
+    """
+    placed = running(rows.select(_group(by).alias("g"), F.col(item).alias("__item"), "v", "lf"), ["g"], ["__item"], {"__at": ("sum", F.lit(1))})
+    fields = F.sort_array(F.collect_list(F.struct("__at", item_key(seed, "__item", salt).alias("key"), F.col("v").cast("double").alias("v"))))
+    of = lambda name: F.transform("x", lambda r: r[name]).alias(name)
+    chunks = placed.withColumn("__at", F.coalesce("__at", F.lit(0)).cast("long")).groupBy("g", F.floor(F.col("__at") / PACK).alias("chunk")).agg(fields.alias("x")).select("g", "chunk", of("key"), of("v"))
+    size = written(rows.groupBy(_group(by).alias("g")).agg(F.sum("lf").cast("long").alias("wanted"), F.count(F.lit(1)).alias("n")).where((F.col("wanted") > 0) & (F.col("wanted") < F.col("n"))))
+    chunks, left, out, z = written(chunks), size.withColumn("reps", F.sequence(F.lit(0), F.lit(n - 1))), None, BAND
+    kind = rows.select(_group(by).alias("g")).schema["g"].dataType.simpleString()
+    while True:
+        asked = chunks.join(left.withColumnRenamed("g", "lg"), F.col("g") == F.col("lg")).drop("lg")
+        with batches_of(rows.sparkSession, 1):
+            parts = asked.mapInArrow(_banded(z), f"g {kind}, rep int, under long, s double, band array<struct<h:bigint,i:bigint,v:double>>")
+            told = parts.groupBy("g", "rep").agg(F.sum("under").alias("under"), F.sum("s").alias("s"), F.flatten(F.collect_list("band")).alias("band"))
+            told = told.join(size.select(F.col("g").alias("sg"), "wanted"), F.col("g") == F.col("sg"))
+            first = F.slice(F.sort_array("band"), F.lit(1), F.greatest(F.col("wanted") - F.col("under"), F.lit(0)).cast("int"))
+            low = F.col("s") + F.aggregate(first, F.lit(0.0), lambda a, x: a + x["v"])
+            fits = (F.col("under") <= F.col("wanted")) & (F.col("under") + F.size("band") >= F.col("wanted"))
+            told = written(told.select("g", "rep", F.when(fits, low).alias("low"), fits.alias("fits")))
+        done = told.where("fits").select(*_ungroup(by), "rep", "low")
+        out = done if out is None else out.unionByName(done)
+        if told.where("not fits").isEmpty():
+            return out
+        again = told.where("not fits").groupBy("g").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+        left, z = size.join(again.withColumnRenamed("g", "ag"), F.col("g") == F.col("ag")).drop("ag"), 8 * z
+
+
+def _median_of_band(x: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    signed = np.sort(np.where(h < np.uint32(1 << 31), -x["v"], x["v"]), axis=1)
+    at, m = np.arange(len(h)), signed.shape[1]
+    low, high = x["low"], x["high"]
+    inside = (low >= 0) & (high < m)
+    return np.where(inside, (signed[at, np.clip(low, 0, m - 1)] + signed[at, np.clip(high, 0, m - 1)]) / 2, np.nan)
+
+
+def flipped_medians(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "sign") -> DataFrame:
+    """``by``, rep, s: the median of randomly signed v in each of ``n`` replicates. For groups of any size; v isn't null.
+
+    The median is among the values nearest to zero: of the others only the number of negative ones matters.
+    """
+    base = rows.select(_group(by).alias("g"), F.col(item).alias("__item"), F.col("v").cast("double").alias("v"), F.abs("v").alias("__far"), F.when(F.col("v") < 0, -1.0).otherwise(1.0).alias("__sign"))
+    placed = written(running(base, ["g"], ["__far", "__item"], {"__at": ("sum", F.lit(1))}).withColumn("__at", F.coalesce("__at", F.lit(0))))
+    size = written(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(F.col("g").alias("sg"), "n"))
+    out, z, kind = None, BAND, base.schema["g"].dataType.simpleString()
+    of = lambda name: F.transform("x", lambda r: r[name]).alias(name)
+    while True:
+        told = placed.join(size, F.col("g") == F.col("sg")).drop("sg").withColumn("__near", F.col("__at") < F.least(F.ceil(z * F.sqrt("n")) + 1, F.col("n")))
+        s = flipped_sums(told.where("not __near"), ["g"], "__sign", "__item", n, seed, salt)
+        under = s.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("rep", "s"))), lambda r: r["s"]).alias("signs")).select(F.col("g").alias("ug"), "signs")
+        fields = F.sort_array(F.collect_list(F.when(F.col("__near"), F.struct("__item", item_key(seed, "__item", salt).alias("key"), "v"))))
+        band = told.where("__near").groupBy("g", "n").agg(fields.alias("x")).join(under, F.col("g") == F.col("ug"), "left")
+        # the sum of signs of what lies outside gives how many of it are negative
+        negative = F.transform(F.coalesce("signs", F.array_repeat(F.lit(0.0), n)), lambda t: ((F.col("n") - F.size("x") - t) / 2).cast("long"))
+        band = band.select("g", of("key"), of("v"), "n", negative.alias("negative"), F.explode(F.expr(f"sequence(0, {n - 1}, {BLOCK})")).alias("start"))
+        rank = lambda at, name: F.transform(F.slice("negative", F.col("start") + 1, BLOCK), lambda t: F.floor(at) - t).alias(name)
+        packed = band.select("g", "start", "key", "v", rank((F.col("n") - 1) / 2, "low"), rank(F.col("n") / 2, "high"))
+        with batches_of(rows.sparkSession, 1):
+            told = written(packed.repartition("g", "start").mapInArrow(_packed(n, ["v", "low", "high"], _median_of_band), f"g {kind}, rep int, s double"))
+        missed = written(told.where("s is null").select(F.col("g").alias("mg"), F.col("rep").alias("mr")))
+        failed = missed.select("mg").distinct()
+        done = told.join(failed, F.col("g") == F.col("mg"), "left_anti").select(*_ungroup(by), "rep", "s")
+        out = done if out is None else out.unionByName(done)
+        if missed.isEmpty():
+            return out
+        size, z = written(size.join(failed, F.col("sg") == F.col("mg"), "left_semi")), 8 * z

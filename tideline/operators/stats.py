@@ -13,7 +13,7 @@ from tideline.functions.distributions import chi2_p, t_p, wilcoxon_p
 from tideline.functions.resample import draw, item_key
 from tideline.operators.quantiles import quantiles
 from tideline.operators.ranges import running
-from tideline.operators.resampling import flipped_sums, replicated
+from tideline.operators.resampling import flipped_medians, flipped_sums, left_sums, replicated
 from tideline.sources.scan import written
 
 
@@ -180,11 +180,9 @@ def label_permutation_p(df: DataFrame, by: list[str], value: str, is_left: str,
         return (v.sum() - low) / max(len(v) - left, 1) - low / max(left, 1) if 0 < left < len(v) else np.full(len(h), np.nan)
 
     def large(rows: DataFrame) -> DataFrame:
-        d = rows.join(rows.groupBy(*by).agg(F.sum("lf").alias("__l")), by).withColumn("__key", item_key(seed, item, "label"))
-        r = replicates(d, n).withColumn("__h", draw(F.col("__key"), F.col("rep")))
-        r = running(r.select(*by, "rep", item, "__h", "v", "__l"), [*by, "rep"], ["__h", item], {"__k": ("sum", F.lit(1))})
-        side = lambda left: F.avg(F.when(left, F.col("v")))
-        return r.groupBy(*by, "rep").agg((side(F.col("__k") >= F.col("__l")) - side(F.col("__k") < F.col("__l"))).alias("s"))
+        every = rows.groupBy(*by).agg(F.sum("v").alias("__t"), F.count(F.lit(1)).alias("__n"), F.sum("lf").alias("__l")).select(*[F.col(c).alias(f"__{c}") for c in by], "__t", "__n", "__l")
+        low = left_sums(rows, by, item, n, seed, "label").join(every, _same(by, "__"))
+        return low.select(*by, "rep", ((F.col("__t") - F.col("low")) / (F.col("__n") - F.col("__l")) - F.col("low") / F.col("__l")).alias("s"))
 
     s = replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value), "lf": F.col(is_left).cast("int")}, item, n, kernel, large, seed, "label")
     side = lambda left: F.avg(F.when(left, F.col(value)))
@@ -258,11 +256,7 @@ def median_sign_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, se
     """Share of sign-flipped medians at least as far from zero as the observed one."""
     median = lambda x, h: np.median(np.where(h < np.uint32(1 << 31), -x["v"], x["v"]), axis=1)
 
-    def large(rows: DataFrame) -> DataFrame:
-        r = replicates(rows.withColumn("__key", item_key(seed, item, "sign")), n)
-        signed = r.withColumn("v", F.when(draw(F.col("__key"), F.col("rep")) < 1 << 31, -F.col("v")).otherwise(F.col("v")))
-        return quantiles(signed, [*by, "rep"], {"v": F.col("v")}, {"median": 0.5}).withColumnRenamed("v_median", "s")
-
+    large = lambda rows: flipped_medians(rows, by, item, n, seed, "sign")
     s = replicated(df.where(F.col(diff).isNotNull()), by, {"v": F.col(diff)}, item, n, median, large, seed, "sign")
     o = quantiles(df, by, {"o": F.col(diff)}, {"median": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("o_median").alias("__o"))
     return s.join(o, _same(by, "__")).groupBy(*by).agg(F.avg((F.abs("s") >= F.abs("__o") - 1e-9).cast("double")).alias("p"))
