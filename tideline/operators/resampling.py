@@ -4,9 +4,9 @@ A draw is a 32-bit number that follows from seed, replicate and item alone (see
 be computed anywhere. Sums over flipped signs are partial: each Arrow batch gives one sum a replicate, whatever the size
 of a group. Statistics that need a group's values together get them packed, once for each block of replicates. Groups of
 over ``PACK`` rows, which no task should hold, take the statistic's own way: what decides a rank lies in a band of about
-``BAND`` standard deviations around its expected place, so chunks of rows give counts and sums below the band, and only
-the band, which grows with the root of a group, is brought together (``left_sums``, ``flipped_medians``). A replicate
-whose rank falls outside its band is done again with a wider one. Bootstrap samples of such groups are exploded rows.
+``BAND`` standard deviations around its expected place, which grows with the root of a group (``flipped_medians``) and
+is searched by counts of ``CELLS`` cells first (``left_sums``); chunks of rows give counts and sums of all others. A
+replicate whose rank falls outside its band is done again with a wider one. Bootstrap samples of such groups are exploded rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from tideline.sources.scan import written
 
 #: Rows of a packed group, replicates of a block.
 PACK, BLOCK = 20_000, 100
-#: Half a band, in standard deviations.
-BAND = 8.0
+#: Half a band, in standard deviations; cells of a band.
+BAND, CELLS = 8.0, 64
 
 
 def _group(by: list[str]) -> Column:
@@ -105,25 +105,35 @@ def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
 
 
-def _banded(z: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                chunk, wanted, n = (batch.column(c)[row].as_py() for c in ("chunk", "wanted", "n"))
-                key, v, reps = (np.asarray(batch.column(c)[row].values) for c in ("key", "v", "reps"))
-                share = wanted / n
-                half = z * np.sqrt(share * (1 - share) / n) + z / n
-                low, high = int(max(share - half, 0.0) * 2**32), int(min(share + half, 1.0) * 2**32)
-                for start in range(0, len(reps), BLOCK):
-                    some = reps[start : start + BLOCK]
-                    h = draws(key, some).astype(np.int64)
-                    under, inside = h < low, (h >= low) & (h < high)
-                    of, at = np.nonzero(inside)
-                    band = pa.StructArray.from_arrays([pa.array(h[of, at]), pa.array(chunk * PACK + at, pa.int64()), pa.array(v[at])], ["h", "i", "v"])
-                    g = batch.column("g").take(pa.array(np.full(len(some), row)))
-                    yield pa.RecordBatch.from_arrays([g, pa.array(some, pa.int32()), pa.array(under.sum(1), pa.int64()), pa.array(under.astype(float) @ v), _listed(inside.sum(1), band)], ["g", "rep", "under", "s", "band"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk below a group's band and in each of its cells, by replicate."""
+    for batch in batches:
+        for row in range(len(batch)):
+            low, high, width = (batch.column(c)[row].as_py() for c in ("low", "high", "width"))
+            key, reps = (np.asarray(batch.column(c)[row].values) for c in ("key", "reps"))
+            for start in range(0, len(reps), BLOCK):
+                some = reps[start : start + BLOCK]
+                h = draws(key, some).astype(np.int64)
+                cell = np.where(h < high, np.maximum((h - low) // width, -1) + 1, CELLS + 1)
+                n = np.bincount((cell + np.arange(len(some))[:, None] * (CELLS + 2)).ravel(), minlength=len(some) * (CELLS + 2)).reshape(len(some), -1)[:, :-1]
+                g = batch.column("g").take(pa.array(np.full(len(some), row)))
+                yield pa.RecordBatch.from_arrays([g, pa.array(some, pa.int32()), _listed(np.full(len(some), CELLS + 1), pa.array(n.ravel(), pa.int64()))], ["g", "rep", "counts"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and sum of a chunk's rows below a replicate's cell, and the rows in it."""
+    for batch in batches:
+        for row in range(len(batch)):
+            chunk = batch.column("chunk")[row].as_py()
+            key, v, reps, lows, highs = (np.asarray(batch.column(c)[row].values) for c in ("key", "v", "reps", "lows", "highs"))
+            for start in range(0, len(reps), BLOCK):
+                part = slice(start, start + BLOCK)
+                h = draws(key, reps[part]).astype(np.int64)
+                under, inside = h < lows[part, None], (h >= lows[part, None]) & (h < highs[part, None])
+                of, at = np.nonzero(inside)
+                band = pa.StructArray.from_arrays([pa.array(h[of, at]), pa.array(chunk * PACK + at, pa.int64()), pa.array(v[at])], ["h", "i", "v"])
+                g = batch.column("g").take(pa.array(np.full(len(h), row)))
+                yield pa.RecordBatch.from_arrays([g, pa.array(reps[part], pa.int32()), pa.array(under.sum(1), pa.int64()), pa.array(under.astype(float) @ v), _listed(inside.sum(1), band)], ["g", "rep", "under", "s", "band"])
 
 
 def left_sums(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "label") -> DataFrame:
@@ -136,23 +146,32 @@ def left_sums(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0,
     of = lambda name: F.transform("x", lambda r: r[name]).alias(name)
     chunks = placed.withColumn("__at", F.coalesce("__at", F.lit(0)).cast("long")).groupBy("g", F.floor(F.col("__at") / PACK).alias("chunk")).agg(fields.alias("x")).select("g", "chunk", of("key"), of("v"))
     size = written(rows.groupBy(_group(by).alias("g")).agg(F.sum("lf").cast("long").alias("wanted"), F.count(F.lit(1)).alias("n")).where((F.col("wanted") > 0) & (F.col("wanted") < F.col("n"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks, left, out, z = written(chunks), size.withColumn("reps", F.sequence(F.lit(0), F.lit(n - 1))), None, BAND
     kind = rows.select(_group(by).alias("g")).schema["g"].dataType.simpleString()
+    asked = lambda table: chunks.join(table.withColumnRenamed("g", "lg"), F.col("g") == F.col("lg")).drop("lg").repartition(parts, "g", "chunk")
     while True:
-        asked = chunks.join(left.withColumnRenamed("g", "lg"), F.col("g") == F.col("lg")).drop("lg")
+        share = F.col("wanted") / F.col("n")
+        half = z * F.sqrt(share * (1 - share) / F.col("n")) + z / F.col("n")
+        ends = left.withColumns({"low": (F.greatest(share - half, F.lit(0.0)) * 2**32).cast("long"), "high": (F.least(share + half, F.lit(1.0)) * 2**32).cast("long")})
+        ends = written(ends.withColumn("width", F.ceil((F.col("high") - F.col("low")) / CELLS)))
+        with batches_of(rows.sparkSession, 1):
+            counts = asked(ends).mapInArrow(_counted, f"g {kind}, rep int, counts array<bigint>").select("g", "rep", F.posexplode("counts").alias("k", "c")).groupBy("g", "rep", "k").agg(F.sum("c").alias("c"))
+            counts = counts.groupBy("g", "rep").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("x")).join(ends.withColumnRenamed("g", "eg").drop("reps"), F.col("g") == F.col("eg"))
+            reached = F.transform("x", lambda _, i: F.aggregate(F.slice("x", 1, i + 1), F.lit(0).cast("long"), lambda a, r: a + r["c"]) >= F.col("wanted"))
+            told = written(counts.select("g", "rep", (F.array_position(reached, F.lit(True)) - 2).alias("cell"), "low", "high", "width"))
+        cells = told.where("cell >= 0").select("g", F.struct("rep", (F.col("low") + F.col("cell") * F.col("width")).alias("low"), F.least("high", F.col("low") + (F.col("cell") + 1) * F.col("width")).alias("high")).alias("r"))
+        cells = written(cells.groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("r")).select("g", *[F.col(f"r.{c}").alias(f"{c}s") for c in ("rep", "low", "high")]))
         with batches_of(rows.sparkSession, 1):
-            parts = asked.mapInArrow(_banded(z), f"g {kind}, rep int, under long, s double, band array<struct<h:bigint,i:bigint,v:double>>")
-            told = parts.groupBy("g", "rep").agg(F.sum("under").alias("under"), F.sum("s").alias("s"), F.flatten(F.collect_list("band")).alias("band"))
-            told = told.join(size.select(F.col("g").alias("sg"), "wanted"), F.col("g") == F.col("sg"))
-            first = F.slice(F.sort_array("band"), F.lit(1), F.greatest(F.col("wanted") - F.col("under"), F.lit(0)).cast("int"))
-            low = F.col("s") + F.aggregate(first, F.lit(0.0), lambda a, x: a + x["v"])
-            fits = (F.col("under") <= F.col("wanted")) & (F.col("under") + F.size("band") >= F.col("wanted"))
-            told = written(told.select("g", "rep", F.when(fits, low).alias("low"), fits.alias("fits")))
-        done = told.where("fits").select(*_ungroup(by), "rep", "low")
+            bands = asked(cells).mapInArrow(_banded, f"g {kind}, rep int, under long, s double, band array<struct<h:bigint,i:bigint,v:double>>")
+            bands = bands.groupBy("g", "rep").agg(F.sum("under").alias("under"), F.sum("s").alias("s"), F.flatten(F.collect_list("band")).alias("band")).join(size.withColumnRenamed("g", "sg"), F.col("g") == F.col("sg"))
+            first = F.slice(F.sort_array("band"), F.lit(1), (F.col("wanted") - F.col("under")).cast("int"))
+            done = written(bands.select("g", "rep", (F.col("s") + F.aggregate(first, F.lit(0.0), lambda a, x: a + x["v"])).alias("low"))).select(*_ungroup(by), "rep", "low")
         out = done if out is None else out.unionByName(done)
-        if told.where("not fits").isEmpty():
+        again = told.where("cell < 0")
+        if again.isEmpty():
             return out
-        again = told.where("not fits").groupBy("g").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+        again = again.groupBy("g").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
         left, z = size.join(again.withColumnRenamed("g", "ag"), F.col("g") == F.col("ag")).drop("ag"), 8 * z
 
 
