@@ -68,6 +68,17 @@ def test_leaks_equal_brute_force(spark, data):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {w[0] for w in want} and clean.columns == docs.columns
 
 
+def test_leaks_by_salted_shuffle(spark, data, odd, monkeypatch):
+    """With nothing small enough to broadcast, the same leaks; a passage stands in most documents, under null ids too."""
+    passage = "one two three four five six seven eight nine"
+    docs = docs_of(spark, data).select("doc_id", "text").unionByName(spark.createDataFrame([(None if i % 3 == 0 else 70_000 + i, f"start {i} {passage} end") for i in range(300)], "doc_id long, text string")).unionByName(odd.select("doc_id", "text"))
+    items = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(-1, passage), (-2, "two three")], "item_id long, text string"))
+    rows = lambda: sorted((tuple(r) for r in decontaminate.leaks(docs, items).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert rows() == want and len(want) > 400
+
+
 def test_leaks_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, "a b c"), (4, "Two"), (7, "three four"), (8, " \u2028 "), (9, "one two three"), (3, " ".join(f"w{i}" for i in range(100, 130))), (3, "w9 w9 w9 w9 w9 w9"), (None, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()} == {(5, 3), (6, 3), (5, None), (6, None), (4, 4), (4, 9), (9, 8)}

@@ -11,7 +11,7 @@ so it holds at least one of the sketch. No leak is lost, whatever the lengths. A
 than the smallest qualifying overlap of a partition skips that partition.
 
 Search: the documents' shingle hashes meet the sketches (a few per item, broadcast if few enough, else a
-shuffled join). Verify: only documents with a candidate are read again, and shingles are compared as text.
+salted shuffled join). Verify: only documents with a candidate are read again, and shingles are compared as text.
 
 Cases: null, empty and wordless texts and items neither leak nor match; repeated rows count
 once; rows that share an id are judged each by its text and give the id's largest containment; null ids are
@@ -23,9 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import boxed, cut, shingle_hashes, small, words
+from tideline.llm import common
+from tideline.llm.common import boxed, cut, shingle_hashes, size_of, small, words
 
 K, THRESHOLD = 5, 0.8
+#: Parts that a shuffled join deals each key to.
+SALTS = 32
 
 
 def _shingles(w, sizes=(K,)):
@@ -60,24 +63,36 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.withColumn("item", F.xxhash64("item_id", F.concat_ws("|", "shingles"))).drop("hashes")
 
 
+def _meet(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a written table of items' parts: by broadcast if it is small, else by shuffle.
+
+    What is shuffled is salted, so the rows of a very common key go to ``SALTS`` tasks; the items' side is repeated
+    for each salt, as it is much the smaller one.
+    """
+    if size_of(side) <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), key)
+    salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.hash("doc_id", "row"), F.lit(SALTS))).join(salted, [key, "__salt"]).drop("__salt")
+
+
 def leaking_rows(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row, item_id, shared, n) of each document's text (row: its hash) and item at or above ``threshold``."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
     index = cut(sketches(items, threshold))
     sizes = sorted(r["k"] for r in index.select("k").distinct().collect()) or [K]  # K lengths at most
-    probes = small(cut(index.select(F.explode("sketch").alias("h"), "item", "k", "least").distinct()))
+    probes = cut(index.select(F.explode("sketch").alias("h"), "item", "k", "least").distinct())
     hashed = docs.select("doc_id", "row", words(F.col("text")).alias("w")).where(F.size("w") >= sizes[0])
     hs = [shingle_hashes(F.col("w"), k) for k in sizes]
     hashed = hashed.select("doc_id", "row", F.size("w").alias("n_words"), (F.concat(*hs) if len(hs) > 1 else hs[0]).alias("hs"))
     # explode_outer: for explode, the optimizer would copy the whole expression into a filter
-    met = hashed.select("doc_id", "row", "n_words", F.explode_outer("hs").alias("h")).join(probes, "h")
+    met = _meet(hashed.select("doc_id", "row", "n_words", F.explode_outer("hs").alias("h")), probes, "h")
     candidates = cut(met.where(F.col("n_words") - F.col("k") + 1 >= F.col("least")).select("doc_id", "row", "item").distinct())
     wanted = small(cut(candidates.select("doc_id").distinct()))
     again = docs.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     held = again.select("doc_id", "row", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "row"])
     held = held.select("doc_id", "row", F.explode_outer(_shingles(F.col("w"), sizes)).alias("shingle"))
-    asked = small(cut(index.select("item", "item_id", "n", "needed", F.explode("shingles").alias("shingle"))))
-    pairs = held.join(asked, "shingle").groupBy("doc_id", "row", "item", "item_id", "n", "needed").agg(F.count(F.lit(1)).alias("shared"))
+    asked = cut(index.select("item", "item_id", "n", "needed", F.explode("shingles").alias("shingle")))
+    pairs = _meet(held, asked, "shingle").groupBy("doc_id", "row", "item", "item_id", "n", "needed").agg(F.count(F.lit(1)).alias("shared"))
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("row").alias("c_row"), F.col("item").alias("c_item"))
     found = pairs.join(c, (F.col("row") == F.col("c_row")) & (F.col("item") == F.col("c_item")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
     return found.where("shared >= needed").select("doc_id", "row", "item_id", "shared", "n")
