@@ -47,7 +47,7 @@ def _summed(n: int):
                 reps = np.arange(start, min(start + BLOCK, n))
                 signed = np.where(draws(key, reps) < np.uint32(1 << 31), -value, value)
                 for k in range(len(groups)):
-                    sums[k, reps] = signed[:, at == k].sum(1)
+                    sums[k, reps] = (signed if len(groups) == 1 else signed[:, at == k]).sum(1)
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(groups) + 1) * n, pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(first)), held], ["g", "sums"])
 
@@ -113,9 +113,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, reps = (np.asarray(batch.column(c)[row].values) for c in ("key", "reps"))
             for start in range(0, len(reps), BLOCK):
                 some = reps[start : start + BLOCK]
-                h = draws(key, some).astype(np.int64)
-                cell = np.where(h < high, np.maximum((h - low) // width, -1) + 1, CELLS + 1)
-                n = np.bincount((cell + np.arange(len(some))[:, None] * (CELLS + 2)).ravel(), minlength=len(some) * (CELLS + 2)).reshape(len(some), -1)[:, :-1]
+                h = draws(key, some)
+                under = h < np.uint32(low)
+                of, at = np.nonzero(~under & (h <= high - 1))  # the few rows of the band
+                cell = (h[of, at].astype(np.int64) - low) // width
+                n = np.c_[under.sum(1), np.bincount(of * CELLS + cell, minlength=len(some) * CELLS).reshape(-1, CELLS)]
                 g = batch.column("g").take(pa.array(np.full(len(some), row)))
                 yield pa.RecordBatch.from_arrays([g, pa.array(some, pa.int32()), _listed(np.full(len(some), CELLS + 1), pa.array(n.ravel(), pa.int64()))], ["g", "rep", "counts"])
 
@@ -133,7 +135,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of, at = np.nonzero(inside)
                 band = pa.StructArray.from_arrays([pa.array(h[of, at]), pa.array(chunk * PACK + at, pa.int64()), pa.array(v[at])], ["h", "i", "v"])
                 g = batch.column("g").take(pa.array(np.full(len(h), row)))
-                yield pa.RecordBatch.from_arrays([g, pa.array(reps[part], pa.int32()), pa.array(under.sum(1), pa.int64()), pa.array(under.astype(float) @ v), _listed(inside.sum(1), band)], ["g", "rep", "under", "s", "band"])
+                yield pa.RecordBatch.from_arrays([g, pa.array(reps[part], pa.int32()), pa.array(under.sum(1), pa.int64()), pa.array(np.where(under, v, 0).sum(1)), _listed(inside.sum(1), band)], ["g", "rep", "under", "s", "band"])
 
 
 def left_sums(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "label") -> DataFrame:
