@@ -107,3 +107,28 @@ def token_safe(name: Column) -> Column:
     """Runs outside letters, digits, dot, underscore and hyphen become one hyphen; nothing left: unknown."""
     one = F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9_.\-]+", "-"), r"-{2,}", "-")
     return F.coalesce(F.nullif(F.trim(one, F.lit("-")), F.lit("")), F.lit("unknown"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Binary rounding as C and SQL engines do: the product with 10^digits to the nearest whole, halves away from zero.
+
+    Spark's own ``round`` takes the shortest decimal text, so 11.824999999999999 is 11.82 there and 11.83 here. A
+    negative value that becomes zero stays -0.
+    """
+    scaled = c * 10.0**digits
+    whole = F.round(scaled, 0)
+    return F.when(F.abs(scaled) < 2.0**52, F.when((c < 0) & (whole == 0), F.lit(-0.0)).otherwise(whole / 10.0**digits)).otherwise(c)
+
+
+def sum_in_order(value: Column, order: Column) -> Column:
+    """Aggregate: the sum of a key's values one after the other in the order of ``order``, on any partitioning.
+
+    Sums of doubles depend on their order, and so do ties and zeros of what follows from them. A key's values are one array.
+    """
+    x = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.cast("double").alias("v")))))
+    return F.aggregate(x, F.lit(0.0), lambda a, r: a + r["v"])
+
+
+def mean_in_order(value: Column, order: Column) -> Column:
+    """Aggregate: the mean of a key's values, summed in the order of ``order``; null without values."""
+    return sum_in_order(value, order) / F.nullif(F.count(value), F.lit(0))

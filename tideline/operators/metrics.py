@@ -107,7 +107,7 @@ def stars(q: Column) -> Column:
 
 def effect_matrix(df: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
     """One row per contrast; a cell is the effect with two decimals and stars by q, else p."""
-    cell = F.concat(F.format_number("effect", 2), stars(F.coalesce("q", "p")))
+    cell = F.concat(F.when(F.col("effect").isNotNull(), F.format_string("%.2f", "effect")), stars(F.coalesce("q", "p")))
     return pivot(df.withColumn("__cell", cell), [row], column, columns, F.max("__cell"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tideline.functions.scalars import mean_in_order, rounded
 from tideline.operators import metrics as op
 from tideline.plans.registry import query
 from tideline.plans.shapes import EVENTS, TRAJECTORY, events, r6, table, trajectory
@@ -86,7 +87,7 @@ EFF = EVENTS + ", ef AS (SELECT subject, condition, round(avg(value) - 10, 2) AS
 
 
 def effects(spark, d):
-    return events(spark, d).groupBy("subject", "condition").agg(F.round(F.avg("value") - 10, 2).alias("effect"), F.when(F.col("subject") % 3 != 0, F.min("k") / 100.0).alias("q"), ((F.min("k") + 1) / 100.0).alias("p"))
+    return events(spark, d).groupBy("subject", "condition").agg(rounded(mean_in_order(F.col("value"), F.col("event_id")) - 10, 2).alias("effect"), F.when(F.col("subject") % 3 != 0, F.min("k") / 100.0).alias("q"), ((F.min("k") + 1) / 100.0).alias("p"))
 
 
 CELL = "max(printf('%.2f', effect) || CASE WHEN coalesce(q, p) < 0.001 THEN '***' WHEN coalesce(q, p) < 0.01 THEN '**' WHEN coalesce(q, p) < 0.05 THEN '*' ELSE '' END)"
