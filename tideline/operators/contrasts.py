@@ -11,24 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.resample import draws, item_key
+from tideline.functions.scalars import sum_in_order
 from tideline.operators import stats
 from tideline.operators.quantiles import quantiles
 from tideline.operators.tiles import batches_of
 from tideline.sources.scan import written
 
 
-def collapse(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: list[str]) -> DataFrame:
+def collapse(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: list[str], order: str | None = None) -> DataFrame:
     """Left and right means per contrast, key and pairing unit, for all contrasts in one job.
 
     ``contrasts``: contrast_name, left, right (condition values); a small configuration table, broadcast by its size.
-    ``ok`` rows count for qc and values; all rows count for totals.
+    ``ok`` rows count for qc and values; all rows count for totals. Conditions are aggregated first, once for all
+    contrasts. With ``order``, values are summed in it, so that equal means are equal wherever the rows lie.
     """
     sides = contrasts.select("contrast_name", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("condition")), F.struct(F.lit("right").alias("side"), F.col("right").alias("condition")))).alias("c")).select("contrast_name", "c.side", "c.condition")
-    rows = metrics.join(sides, "condition")
-    is_, ok = (lambda s: F.col("side") == s), F.col("ok")
-    aggs = []
+    ok = F.when(F.col("ok"), F.col("value"))
+    total = F.sum(ok.cast("double")) if order is None else sum_in_order(ok, F.col(order))
+    each = metrics.groupBy(*keys, *pair, "condition").agg(F.count(F.lit(1)).alias("__total"), F.count(F.when(F.col("ok"), 1)).alias("__qc"), F.count(ok).alias("__n"), total.alias("__sum"))
+    rows, aggs = each.join(sides, "condition"), []
     for s in ("left", "right"):
-        aggs += [F.count(F.when(is_(s), 1)).alias(f"{s}_total"), F.count(F.when(is_(s) & ok, 1)).alias(f"{s}_qc"), F.avg(F.when(is_(s) & ok, F.col("value"))).alias(s)]
+        of = lambda name: F.sum(F.when(F.col("side") == s, F.col(name)))  # noqa: E731, B023
+        aggs += [F.coalesce(of(f"__{n}"), F.lit(0)).alias(f"{s}_{n}") for n in ("total", "qc")] + [(of("__sum") / F.nullif(of("__n"), F.lit(0))).alias(s)]
     return rows.groupBy("contrast_name", *keys, *pair).agg(*aggs)
 
 
@@ -61,9 +65,9 @@ def unpaired_contrast(df: DataFrame, keys: list[str], is_left: Column, value: st
     return out.withColumn("skip_reason", F.when((n1 < least) | (n2 < least), "too few rows")).drop("left_var", "right_var")
 
 
-def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str, permutations: int = 5000, replicates: int = 2000) -> DataFrame:
+def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str, permutations: int = 5000, replicates: int = 2000, order: str | None = None) -> DataFrame:
     """Every contrast and key at once: T1, exact or random sign-flip p by the number of pairs, bootstrap interval, q."""
-    c = collapse(metrics, contrasts, keys, [pair])
+    c = collapse(metrics, contrasts, keys, [pair], order)
     by = ["contrast_name", *keys]
     diffs = c.withColumn("diff", F.col("right") - F.col("left")).where("diff is not null").select(*by, pair, "diff")
     n = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tideline.functions.distributions import chi2_p, t_p, wilcoxon_p
 from tideline.functions.resample import draw, item_key
+from tideline.functions.scalars import rounded
 from tideline.operators.quantiles import quantiles
 from tideline.operators.ranges import running
 from tideline.operators.resampling import flipped_medians, flipped_sums, left_sums, replicated
@@ -89,7 +90,7 @@ def wilcoxon(df: DataFrame, by: list[str], diff: str = "diff", least: int = 5, p
     Ranks follow from counts of equal sizes; ``large``: keys may have very many sizes (see ``ordered``).
     """
     d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0))
-    sizes = d.groupBy(*by, F.round(F.abs(F.col(diff)), 9).alias("__a")).agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(diff) > 0, 1)).alias("__up"))
+    sizes = d.groupBy(*by, rounded(F.abs(F.col(diff)), 9).alias("__a")).agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(diff) > 0, 1)).alias("__up"))
     if large:
         ranked = ordered(sizes, by, ["__a"], F.col("__n"))
     else:

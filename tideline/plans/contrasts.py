@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideline.functions.resample import draw_sql, flip_sql
+from tideline.functions.scalars import mean_in_order
 from tideline.operators import contrasts as op
 from tideline.operators import joins, stats
 from tideline.plans.registry import query
@@ -28,7 +29,7 @@ def _contrasts(spark):
 
 
 def _collapsed(spark, d):
-    return op.collapse(long_metrics(spark, d), _contrasts(spark), ["metric"], ["subject"])
+    return op.collapse(long_metrics(spark, d), _contrasts(spark), ["metric"], ["subject"], "event_id")
 
 
 def _diffs(spark, d):
@@ -150,13 +151,13 @@ def t11p(spark, d):
  rk AS (SELECT metric, condition, {_rank('v', 'metric, subject')} AS r, count(*) OVER (PARTITION BY metric, subject, v) AS t FROM fl), sm AS (SELECT metric, condition, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY ALL)
  SELECT metric, max(n) AS n, round((12.0::DOUBLE / (max(n) * 12) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(ties) / (max(n) * 24)), 6) AS chi2 FROM sm GROUP BY metric""")
 def t12(spark, d):
-    m = long_metrics(spark, d).where("ok and condition in ('view', 'click', 'error')").groupBy("metric", "subject", "condition").agg(F.avg("value").alias("v"))
+    m = long_metrics(spark, d).where("ok and condition in ('view', 'click', 'error')").groupBy("metric", "subject", "condition").agg(mean_in_order(F.col("value"), F.col("event_id")).alias("v"))
     return r6(stats.friedman(m, ["metric"], "subject", "condition", "v", 3, p=False))
 
 
 @query("t12_friedman_p")
 def t12p(spark, d):
-    m = long_metrics(spark, d).where("ok and condition in ('view', 'click', 'error')").groupBy("metric", "subject", "condition").agg(F.avg("value").alias("v"))
+    m = long_metrics(spark, d).where("ok and condition in ('view', 'click', 'error')").groupBy("metric", "subject", "condition").agg(mean_in_order(F.col("value"), F.col("event_id")).alias("v"))
     return r6(stats.friedman(m, ["metric"], "subject", "condition", "v", 3))
 
 
@@ -201,7 +202,7 @@ def t17(spark, d):
  w AS (SELECT metric, a, b, least(coalesce(sum(rk) FILTER (diff > 0), 0), coalesce(sum(rk) FILTER (diff < 0), 0)) AS w FROM (SELECT *, rank() OVER (PARTITION BY metric, a, b ORDER BY z) + (count(*) OVER (PARTITION BY metric, a, b, z) - 1) / 2.0::DOUBLE AS rk FROM (SELECT *, round(abs(diff), 9) AS z FROM df WHERE diff <> 0)) GROUP BY ALL HAVING count(*) >= 5)
  SELECT metric, a, b, count(diff) AS n_pairs, round(avg(diff) / (stddev_pop(diff) + 1e-12), 6) AS dz, round(any_value(w), 6) AS w FROM df LEFT JOIN w USING (metric, a, b) GROUP BY metric, a, b""")
 def t18(spark, d):
-    m = long_metrics(spark, d).groupBy("metric", "subject", "condition").agg(F.avg("value").alias("v"))
+    m = long_metrics(spark, d).groupBy("metric", "subject", "condition").agg(mean_in_order(F.col("value"), F.col("event_id")).alias("v"))
     return r6(op.pairwise_tests(m, ["metric"], "subject", "condition", "v").select("metric", "a", "b", "n_pairs", "dz", "w"))
 
 
@@ -217,7 +218,7 @@ def t19(spark, d):
 
 @query("t20_contrast_driver")
 def t20(spark, d):
-    return r6(op.drive(long_metrics(spark, d), _contrasts(spark), ["metric"], "subject", PERMUTATIONS, BOOTSTRAPS))
+    return r6(op.drive(long_metrics(spark, d), _contrasts(spark), ["metric"], "subject", PERMUTATIONS, BOOTSTRAPS, "event_id"))
 
 
 DZ = "coalesce(avg({0}) / nullif(stddev_samp({0}), 0), 0)"
