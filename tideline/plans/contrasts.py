@@ -189,7 +189,7 @@ GRID = "WITH " + EVENTS + f""", g AS (SELECT condition, subject, median(value) A
 
 @query("t16_correlation_grid", GRID)
 def t16(spark, d):
-    g = events(spark, d).groupBy("condition", "subject").agg(F.median("value").alias("a1"), F.median("k").alias("a2"), F.avg("value").alias("b1"), F.max("k").cast("double").alias("b2"))
+    g = events(spark, d).groupBy("condition", "subject").agg(F.median("value").alias("a1"), F.median("k").alias("a2"), mean_in_order(F.col("value"), F.col("event_id")).alias("b1"), F.max("k").cast("double").alias("b2"))
     return r6(op.correlation_grid(g, g, ["condition", "subject"], ["a1", "a2"], ["b1", "b2"], ["condition"]).select("condition", "x", "y", "n", "r"))
 
 
