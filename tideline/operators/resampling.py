@@ -25,6 +25,8 @@ from tideline.sources.scan import written
 
 #: Rows of a packed group, replicates of a block.
 PACK, BLOCK = 20_000, 100
+#: Groups whose sums a task holds; draws made at once.
+GROUPS, DRAWS = 200, 1 << 17
 #: Half a band, in standard deviations; cells of a band.
 BAND, CELLS = 8.0, 64
 
@@ -37,19 +39,41 @@ def _ungroup(by: list[str]) -> list[Column]:
     return [F.col(f"g.{b}").alias(b) for b in by]
 
 
+def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
+
+
+def _block(rows: int) -> int:
+    """Replicates whose draws for so many rows are made at once."""
+    return max(1, min(BLOCK, DRAWS // max(rows, 1)))
+
+
 def _summed(n: int):
+    """One row for each group of a task, or for every ``GROUPS`` of its groups: sums by replicate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: dict[int, tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+            sums = np.concatenate([x for _, x in held.values()])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([g for g, _ in held.values()]), _listed(np.full(len(held), n), pa.array(sums))], ["g", "sums"])
+
+        held: dict[int, tuple[pa.Array, np.ndarray]] = {}
         for batch in batches:
             key, value, of = (np.asarray(batch.column(c)) for c in ("key", "value", "of"))
-            groups, first, at = np.unique(of, return_index=True, return_inverse=True)
-            sums = np.zeros((len(groups), n))
-            for start in range(0, n, BLOCK):
-                reps = np.arange(start, min(start + BLOCK, n))
-                signed = np.where(draws(key, reps) < np.uint32(1 << 31), -value, value)
-                for k in range(len(groups)):
-                    sums[k, reps] = (signed if len(groups) == 1 else signed[:, at == k]).sum(1)
-            held = pa.ListArray.from_arrays(pa.array(np.arange(len(groups) + 1) * n, pa.int32()), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(first)), held], ["g", "sums"])
+            order = np.argsort(of, kind="stable")
+            key, value = key[order], value[order]
+            groups, first = np.unique(of[order], return_index=True)
+            parts = [held.setdefault(x, (batch.column("g").slice(row, 1), np.zeros(n)))[1] for x, row in zip(groups.tolist(), order[first].tolist(), strict=True)]
+            some = _block(len(key))
+            for start in range(0, n, some):
+                reps = slice(start, min(start + some, n))
+                signed = np.where(draws(key, np.arange(reps.start, reps.stop)) < np.uint32(1 << 31), -value, value)
+                for sums, s in zip(parts, np.add.reduceat(signed, first, axis=1).T, strict=True):
+                    sums[reps] += s
+            if len(held) > GROUPS:
+                yield told(held)
+                held = {}
+        if held:
+            yield told(held)
 
     return run
 
@@ -57,6 +81,8 @@ def _summed(n: int):
 def flipped_sums(df: DataFrame, by: list[str], value: str, item: str, n: int, seed: int = 0, salt: str = "sign") -> DataFrame:
     """``by``, rep, s: the sum of randomly signed values in each of ``n`` replicates."""
     rows = df.where(F.col(value).isNotNull()).select(_group(by).alias("g"), item_key(seed, item, salt).alias("key"), F.col(value).cast("double").alias("value")).withColumn("of", F.xxhash64("g"))
+    spark = df.sparkSession  # by number: rows are few, but each costs ``n`` draws
+    rows = rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     parts = rows.mapInArrow(_summed(n), f"g {rows.schema['g'].dataType.simpleString()}, sums array<double>")
     return parts.select("g", F.posexplode("sums").alias("rep", "s")).groupBy("g", "rep").agg(F.sum("s").alias("s")).select(*_ungroup(by), "rep", "s")
 
@@ -101,10 +127,6 @@ def replicated(df: DataFrame, by: list[str], columns: dict[str, Column], item: s
     return out.unionByName(large(rest))
 
 
-def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk below a group's band and in each of its cells, by replicate."""
     for batch in batches:
@@ -199,6 +221,7 @@ def flipped_medians(rows: DataFrame, by: list[str], item: str, n: int, seed: int
         told = placed.join(size, F.col("g") == F.col("sg")).drop("sg").withColumn("__near", F.col("__at") < F.least(F.ceil(z * F.sqrt("n")) + 1, F.col("n")))
         s = flipped_sums(told.where("not __near"), ["g"], "__sign", "__item", n, seed, salt)
         under = s.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("rep", "s"))), lambda r: r["s"]).alias("signs")).select(F.col("g").alias("ug"), "signs")
+        under = written(under)  # before the batches of one row below
         fields = F.sort_array(F.collect_list(F.when(F.col("__near"), F.struct("__item", item_key(seed, "__item", salt).alias("key"), "v"))))
         band = told.where("__near").groupBy("g", "n").agg(fields.alias("x")).join(under, F.col("g") == F.col("ug"), "left")
         # the sum of signs of what lies outside gives how many of it are negative

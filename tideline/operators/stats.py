@@ -255,6 +255,7 @@ def bootstrap_spearman(df: DataFrame, by: list[str], x: str, y: str, item: str,
 
 def median_sign_p(df: DataFrame, by: list[str], diff: str, item: str, n: int, seed: int = 0) -> DataFrame:
     """Share of sign-flipped medians at least as far from zero as the observed one."""
+    df = written(df.select(*by, item, diff))  # read twice
     median = lambda x, h: np.median(np.where(h < np.uint32(1 << 31), -x["v"], x["v"]), axis=1)
 
     large = lambda rows: flipped_medians(rows, by, item, n, seed, "sign")
