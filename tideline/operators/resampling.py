@@ -6,7 +6,9 @@ of a group. Statistics that need a group's values together get them packed, once
 over ``PACK`` rows, which no task should hold, take the statistic's own way: what decides a rank lies in a band of about
 ``BAND`` standard deviations around its expected place, which grows with the root of a group (``flipped_medians``) and
 is searched by counts of ``CELLS`` cells first (``left_sums``); chunks of rows give counts and sums of all others. A
-replicate whose rank falls outside its band is done again with a wider one. Bootstrap samples of such groups are exploded rows.
+replicate whose rank falls outside its band is done again with a wider one. Moments of bootstrap samples are sums over
+chunks of keys and tiles of values (``drawn_moments``); rank correlations take a group's arrays into a task for each
+block of replicates (``gathered``), and groups beyond ``HELD`` rows are exploded.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PACK, BLOCK = 20_000, 100
 GROUPS, DRAWS = 200, 1 << 17
 #: Half a band, in standard deviations; cells of a band.
 BAND, CELLS = 8.0, 64
+#: Rows of a tile of values and of a chunk of keys in bootstrap moments.
+TILE, CHUNK = 1 << 20, 1 << 16
 
 
 def _group(by: list[str]) -> Column:
@@ -199,6 +203,58 @@ def left_sums(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0,
         left, z = size.join(again.withColumnRenamed("g", "ag"), F.col("g") == F.col("ag")).drop("ag"), 8 * z
 
 
+def _drawn(n: int, squares: bool):
+    """Sums (and sums of squares) by replicate of the values that the draws of a chunk of keys pick from a tile of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                size, tile = (batch.column(c)[row].as_py() for c in ("n", "tile"))
+                key, v = (np.asarray(batch.column(c)[row].values) for c in ("key", "v"))
+                whole, v = len(v) == size, np.r_[v, 0.0]
+                s, q, some = np.zeros(n), np.zeros(n), _block(len(key))
+                for start in range(0, n, some):
+                    reps = slice(start, min(start + some, n))
+                    at = picked(draws(key, np.arange(reps.start, reps.stop)), size)
+                    if not whole:
+                        at -= tile * TILE
+                        at[(at < 0) | (at >= len(v))] = len(v) - 1  # of another tile
+                    x = v[at]
+                    s[reps] = x.sum(1)
+                    if squares:
+                        q[reps] = np.einsum("ij,ij->i", x, x)
+                yield pa.RecordBatch.from_arrays([batch.column("g").slice(row, 1), _listed(np.array([n]), pa.array(s)), _listed(np.array([n]), pa.array(q))], ["g", "s", "q"])
+
+    return run
+
+
+def drawn_moments(rows: DataFrame, by: list[str], item: str, n: int, seed: int = 0, salt: str = "boot", squares: bool = True) -> DataFrame:
+    """``by``, rep, mean, var (sample): of v over each of ``n`` bootstrap samples. For groups of any size; v isn't null.
+
+    A draw picks the value at its share of the group's size, by ``item``. Keys go in chunks of ``CHUNK`` and values in tiles
+    of ``TILE``; each chunk meets each tile of its group once, and gives one sum a replicate.
+    """
+    spark, of = rows.sparkSession, lambda c: F.transform(F.sort_array(F.collect_list(F.struct("at", c))), lambda r: r[c]).alias(c)
+    placed = running(rows.select(_group(by).alias("g"), F.col(item).alias("__item"), F.col("v").cast("double").alias("v")), ["g"], ["__item"], {"at": ("sum", F.lit(1))})
+    placed = written(placed.select("g", "v", item_key(seed, "__item", salt).alias("key"), F.coalesce("at", F.lit(0)).cast("long").alias("at")))
+    size = written(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")).select(F.col("g").alias("sg"), "n", "m"))
+    sized = placed.join(F.broadcast(size) if size.count() <= GROUPS else size, F.col("g") == F.col("sg"))
+    tiles = sized.withColumn("v", F.col("v") - F.col("m")).groupBy("g", "n", F.floor(F.col("at") / TILE).alias("tile")).agg(of("v"))
+    tiles = tiles.withColumn("tc", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).withColumnRenamed("g", "tg")
+    chunks = placed.groupBy("g", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(of("key"))
+    pairs = chunks.hint("shuffle_merge").join(tiles, (F.col("g") == F.col("tg")) & (F.col("chunk") == F.col("tc"))).select("g", "n", "tile", "key", "v")
+    with batches_of(spark, 1):
+        sums = written(pairs.mapInArrow(_drawn(n, squares), f"g {placed.schema['g'].dataType.simpleString()}, s array<double>, q array<double>"))
+    each = sums.select("g", F.posexplode(F.arrays_zip("s", "q")).alias("rep", "z")).groupBy("g", "rep").agg(F.sum("z.s").alias("s"), F.sum("z.q").alias("q"))
+    var = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
+    return each.join(size, F.col("g") == F.col("sg")).select(*_ungroup(by), "rep", (F.col("m") + F.col("s") / F.col("n")).alias("mean"), var.alias("var"))
+
+
+def picked(h: np.ndarray, size: int) -> np.ndarray:
+    """Row numbers that draws pick from so many rows."""
+    return (h.astype(np.uint64) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
 def _median_of_band(x: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     signed = np.sort(np.where(h < np.uint32(1 << 31), -x["v"], x["v"]), axis=1)
     at, m = np.arange(len(h)), signed.shape[1]

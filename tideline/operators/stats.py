@@ -14,7 +14,7 @@ from tideline.functions.resample import draw, item_key
 from tideline.functions.scalars import rounded
 from tideline.operators.quantiles import quantiles
 from tideline.operators.ranges import running
-from tideline.operators.resampling import flipped_medians, flipped_sums, left_sums, replicated
+from tideline.operators.resampling import drawn_moments, flipped_medians, flipped_sums, left_sums, picked, replicated
 from tideline.sources.scan import written
 
 
@@ -202,7 +202,7 @@ def resampled(df: DataFrame, by: list[str], item: str, n: int, seed: int = 0, sa
 
 def chosen(h: np.ndarray) -> np.ndarray:
     """Row numbers that a matrix of draws picks: one for each draw."""
-    return (h.astype(np.uint64) * np.uint64(h.shape[1]) >> np.uint64(32)).astype(np.int64)
+    return picked(h, h.shape[1])
 
 
 def _interval(s: DataFrame, by: list[str]) -> DataFrame:
@@ -213,14 +213,14 @@ def _interval(s: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap_ci(df: DataFrame, by: list[str], value: str, item: str, n: int, seed: int = 0) -> DataFrame:
     """2.5 and 97.5 % points and standard error of the mean over bootstrap samples."""
     mean = lambda x, h: x["v"][chosen(h)].mean(1)
-    large = lambda rows: resampled(rows, by, item, n, seed).groupBy(*by, "rep").agg(F.avg("v").alias("s"))
+    large = lambda rows: drawn_moments(rows, by, item, n, seed, squares=False).select(*by, "rep", F.col("mean").alias("s"))
     return _interval(replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value)}, item, n, mean, large, seed), by)
 
 
 def bootstrap_dz(df: DataFrame, by: list[str], value: str, item: str, n: int, seed: int = 0) -> DataFrame:
     """The same of dz (mean over sample deviation)."""
     dz = lambda x, h: (lambda v: v.mean(1) / np.where(v.std(1, ddof=1) > 0, v.std(1, ddof=1), np.nan))(x["v"][chosen(h)])
-    large = lambda rows: resampled(rows, by, item, n, seed).groupBy(*by, "rep").agg((F.avg("v") / F.nullif(F.stddev_samp("v"), F.lit(0.0))).alias("s"))
+    large = lambda rows: drawn_moments(rows, by, item, n, seed).select(*by, "rep", (F.col("mean") / F.nullif(F.sqrt("var"), F.lit(0.0))).alias("s"))
     return _interval(replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value)}, item, n, dz, large, seed), by)
 
 
