@@ -31,8 +31,8 @@ PACK, BLOCK = 20_000, 100
 GROUPS, DRAWS = 200, 1 << 17
 #: Half a band, in standard deviations; cells of a band.
 BAND, CELLS = 8.0, 64
-#: Rows of a tile of values and of a chunk of keys in bootstrap moments.
-TILE, CHUNK = 1 << 20, 1 << 16
+#: Rows of a tile of values and of a chunk of keys in bootstrap moments; rows of a group whose arrays one task may hold.
+TILE, CHUNK, HELD = 1 << 20, 1 << 16, 4_000_000
 
 
 def _group(by: list[str]) -> Column:
@@ -250,6 +250,34 @@ def drawn_moments(rows: DataFrame, by: list[str], item: str, n: int, seed: int =
     return each.join(size, F.col("g") == F.col("sg")).select(*_ungroup(by), "rep", (F.col("m") + F.col("s") / F.col("n")).alias("mean"), var.alias("var"))
 
 
+def gathered(rows: DataFrame, by: list[str], columns: list[str], item: str, n: int, kernel: Callable, seed: int = 0, salt: str = "boot") -> DataFrame:
+    """``by``, rep, s: as ``replicated``, for groups of over ``PACK`` and up to ``HELD`` rows, in a task for each block of replicates.
+
+    A task holds a group's arrays and ``_block`` replicates of draws; Spark's rows are chunks of ``PACK``.
+    """
+    placed = running(rows.select(_group(by).alias("g"), F.col(item).alias("__item"), *columns), ["g"], ["__item"], {"at": ("sum", F.lit(1))})
+    placed = placed.select("g", item_key(seed, "__item", salt).alias("key"), *columns, F.coalesce("at", F.lit(0)).cast("long").alias("at"))
+    packed = placed.groupBy("g", F.floor(F.col("at") / PACK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", "key", *columns))).alias("x"))
+    names = ["key", *columns]
+    packed = written(packed.select("g", "chunk", *[F.transform("x", lambda r: r[c]).alias(c) for c in names]))  # noqa: B023
+    kind, spark = packed.schema["g"].dataType, rows.sparkSession
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk").combine_chunks()
+        x = {c: np.concatenate([np.asarray(part.values) for part in table.column(c)]) for c in names}
+        start, some, out = table.column("start")[0].as_py(), _block(len(x["key"])), []
+        reps = np.arange(start, min(start + BLOCK, n))
+        for k in range(0, len(reps), some):
+            out.append(kernel(x, draws(x["key"], reps[k : k + some])))
+        s = np.concatenate(out)
+        g = table.column("g").combine_chunks().take(pa.array(np.zeros(len(s), int)))
+        return pa.table([g, pa.array(reps, pa.int32()), pa.array(np.where(np.isfinite(s), s, 0), pa.float64(), mask=~np.isfinite(s))], names=["g", "rep", "s"])
+
+    blocks = packed.withColumn("start", F.explode(F.expr(f"sequence(0, {n - 1}, {BLOCK})")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK))
+    return written(blocks.repartition(parts, "g", "start").groupBy("g", "start").applyInArrow(run, f"g {kind.simpleString()}, rep int, s double")).select(*_ungroup(by), "rep", "s")
+
+
 def picked(h: np.ndarray, size: int) -> np.ndarray:
     """Row numbers that draws pick from so many rows."""
     return (h.astype(np.uint64) * np.uint64(size) >> np.uint64(32)).astype(np.int64)

@@ -14,7 +14,7 @@ from tideline.functions.resample import draw, item_key
 from tideline.functions.scalars import rounded
 from tideline.operators.quantiles import quantiles
 from tideline.operators.ranges import running
-from tideline.operators.resampling import drawn_moments, flipped_medians, flipped_sums, left_sums, picked, replicated
+from tideline.operators.resampling import HELD, drawn_moments, flipped_medians, flipped_sums, gathered, left_sums, picked, replicated
 from tideline.sources.scan import written
 
 
@@ -224,31 +224,46 @@ def bootstrap_dz(df: DataFrame, by: list[str], value: str, item: str, n: int, se
     return _interval(replicated(df.where(F.col(value).isNotNull()), by, {"v": F.col(value)}, item, n, dz, large, seed), by)
 
 
-def _mid_ranks(v: np.ndarray) -> np.ndarray:
-    """Average ranks of each row of a matrix."""
-    order = np.argsort(v, axis=1, kind="stable")
-    ordered_, at = np.take_along_axis(v, order, 1), np.arange(v.shape[1])
-    new = np.concatenate([np.ones((len(v), 1), bool), ordered_[:, 1:] != ordered_[:, :-1]], 1)
-    first = np.maximum.accumulate(np.where(new, at, 0), 1)
-    last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((len(v), 1), bool)], 1), at, v.shape[1])[:, ::-1], 1)[:, ::-1]
-    out = np.empty(v.shape)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
-    return out
+def _classes(v: np.ndarray) -> np.ndarray:
+    """Numbers of equal values in their order."""
+    return np.unique(v, return_inverse=True)[1]
+
+
+def _mid_ranks(of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Average rank, less the mean rank, of each value in a sample that holds it so many times."""
+    n = np.bincount(of, counts)
+    return (np.cumsum(n) - n / 2 - counts.sum() / 2)[of]
 
 
 def bootstrap_spearman(df: DataFrame, by: list[str], x: str, y: str, item: str, n: int, seed: int = 0, least: int = 5) -> DataFrame:
-    """2.5 and 97.5 % points and standard error of the rank correlation over bootstrap samples of complete pairs."""
+    """2.5 and 97.5 % points and standard error of the rank correlation over bootstrap samples of complete pairs.
+
+    A sample is how often it holds each row, so its ranks are running sums over values sorted once, not once a replicate.
+    """
 
     def kernel(c: dict, h: np.ndarray) -> np.ndarray:
         if h.shape[1] < least:
             return np.full(len(h), np.nan)
-        at = chosen(h)
-        a, b = _mid_ranks(c["x"][at]), _mid_ranks(c["y"][at])
-        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-        size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
-        return (a * b).sum(1) / np.where(size > 0, size, np.nan)
+        if "xs" not in c:
+            c["xs"], c["ys"] = _classes(c["x"]), _classes(c["y"])
+        out = np.full(len(h), np.nan)
+        for k, at in enumerate(chosen(h)):
+            counts = np.bincount(at, minlength=h.shape[1])
+            a, b = _mid_ranks(c["xs"], counts), _mid_ranks(c["ys"], counts)
+            size = np.sqrt((counts * a * a).sum() * (counts * b * b).sum())
+            if size > 0:
+                out[k] = (counts * a * b).sum() / size
+        return out
+
+    def large(rows: DataFrame) -> DataFrame:
+        size = written(rows.groupBy(*by).agg((F.count(F.lit(1)) > HELD).alias("__beyond")).select(*[F.col(c).alias(f"__{c}") for c in by], "__beyond"))
+        part = lambda beyond: rows.join(size.where(F.col("__beyond") == beyond), _same(by, "__"), "left_semi")
+        out = gathered(part(False), by, ["x", "y"], item, n, kernel, seed)
+        if size.where("__beyond").isEmpty():
+            return out
+        exploded = spearman(resampled(part(True), by, item, n, seed), [*by, "rep"], "x", "y", least, large=True)
+        return out.unionByName(exploded.select(*by, F.col("rep").cast("int").alias("rep"), F.col("r").alias("s")))
 
-    large = lambda rows: spearman(resampled(rows, by, item, n, seed), [*by, "rep"], "x", "y", least, large=True).select(*by, "rep", F.col("r").alias("s"))
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return _interval(replicated(pairs, by, {"x": F.col(x), "y": F.col(y)}, item, n, kernel, large, seed), by)
 
