@@ -67,7 +67,7 @@ def unpaired_contrast(df: DataFrame, keys: list[str], is_left: Column, value: st
 
 def drive(metrics: DataFrame, contrasts: DataFrame, keys: list[str], pair: str, permutations: int = 5000, replicates: int = 2000, order: str | None = None) -> DataFrame:
     """Every contrast and key at once: T1, exact or random sign-flip p by the number of pairs, bootstrap interval, q."""
-    c = collapse(metrics, contrasts, keys, [pair], order)
+    c = written(collapse(metrics, contrasts, keys, [pair], order))  # read by every test
     by = ["contrast_name", *keys]
     diffs = c.withColumn("diff", F.col("right") - F.col("left")).where("diff is not null").select(*by, pair, "diff")
     n = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
