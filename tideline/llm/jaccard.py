@@ -47,6 +47,8 @@ from tideline.llm.common import HOT_ROWS, attach, batches_of, boxed, cut, discar
 GROUPS, LEAF, NODE, CHUNK = 512, 256, 16, 1 << 20
 #: Items of leaves that are unpacked at once.
 UNPACKED = 4096
+#: Bytes of a row group of tables with long rows (sets, cells, leaves).
+GROUP_BYTES = 16 << 20
 #: Edges of components that a task takes.
 EDGES = 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -258,8 +260,8 @@ class Join:
         of = small(cut(items.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("row").alias("r"))))
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
         rows = rows.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("id", "text")
-        with batches_of(documents.sparkSession, 500):
-            return cut(rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]))
+        with batches_of(documents.sparkSession, 500, read=True):
+            return cut(rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"]), GROUP_BYTES)
 
     def within_bound(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
         """The (a, b) of ``pairs`` whose summed minima of counts still allow a link."""
@@ -288,9 +290,9 @@ class Join:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         sets = self.fetch(documents, items, _both_ways(pairs, "a", "b").select(F.col("a").alias("id")).distinct())
-        half = cut(attach(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"))
-        both = half.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        with batches_of(documents.sparkSession, 200):
+        with batches_of(documents.sparkSession, 200, read=True):
+            half = cut(attach(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), GROUP_BYTES)
+            both = half.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
             out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
         discard(half, sets)
         return out
@@ -304,16 +306,16 @@ class Join:
 
         first is the (doc_id, row) that stands for its component, copies the number of rows with this doc_id and row.
         """
-        with batches_of(documents.sparkSession, 500):
-            described = cut(self.describe(documents))
+        with batches_of(documents.sparkSession, 500, read=True):
+            described = cut(self.describe(documents), GROUP_BYTES)
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")  # null ids last
         sets = described.where("n > 0").groupBy("name").agg(F.min(place).alias("first"))
         sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "name", "first"))
         stands = small(cut(sets.select("id", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"))))
         chosen = described.join(stands, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-        items = cut(chosen.select("id", "doc_id", "row", "n", "point").dropDuplicates(["id"]))
-
-        members = self._members(chosen.select("id", F.explode("cells").alias("cell")))
+        with batches_of(documents.sparkSession, 500, read=True):  # the cells of a long text are a long row
+            items = cut(chosen.select("id", "doc_id", "row", "n", "point").dropDuplicates(["id"]))
+            members = self._members(chosen.select("id", F.explode("cells").alias("cell")))
         rows = cut(described.select("doc_id", "row", "n", "name"))
         discard(described)
 
@@ -371,9 +373,9 @@ class Join:
         near = within.select("x").mapInArrow(self._trees(("x", "x")), "a long, b long")
 
         large = held.where(F.col("size") > LEAF)
-        if not large.isEmpty():
-            near = near.union(self._between_leaves(large, members, point))
-        with batches_of(items.sparkSession, 100):
+        with batches_of(items.sparkSession, 100, read=True):  # a leaf is a row of 130 KB and more
+            if not large.isEmpty():
+                near = near.union(self._between_leaves(large, members, point))
             return cut(near.distinct())
 
     def _between_leaves(self, large: DataFrame, members: DataFrame, point: DataFrame) -> DataFrame:
@@ -386,16 +388,15 @@ class Join:
         tied = cut(tied.withColumn("band", band))
         many = small(cut(tied.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("leaves"))))
         placed = cut(tied.join(many, ["hub", "band"]).withColumn("leaf", F.xxhash64("hub", "band", F.pmod(F.xxhash64("id"), F.col("leaves")))))
-        leaves = placed.groupBy("leaf").agg(F.collect_list(F.struct("id", "label", "n", "point")).alias("x"))
-        boxes = leaves.mapInArrow(self._boxes, "leaf long, low binary, high binary, least long, most long")
-        boxes, leaves = cut(boxes), cut(leaves)
+        leaves = cut(placed.groupBy("leaf").agg(F.collect_list(F.struct("id", "label", "n", "point")).alias("x")), GROUP_BYTES)
+        boxes = cut(leaves.mapInArrow(self._boxes, "leaf long, low binary, high binary, least long, most long"))
 
         beside = cut(met.select("cell", "id").join(placed.select("id", "leaf", "band"), "id").select("cell", "leaf", "band").distinct())
         other = beside.select("cell", F.col("leaf").alias("other"), F.col("band").alias("beside"))
         meet = beside.join(other, "cell").where((F.abs(F.col("band") - F.col("beside")) <= 1) & (F.col("leaf") <= F.col("other"))).select("leaf", "other").distinct()
         second = boxes.select(*[F.col(c).alias(f"{c}_2") for c in boxes.columns]).withColumnRenamed("leaf_2", "other")
         meet = cut(meet.join(boxes, "leaf").join(second, "other").mapInArrow(self._open_boxes, "leaf long, other long"))
-        rows = cut(meet.join(leaves, "leaf")).join(leaves.select(F.col("leaf").alias("other"), F.col("x").alias("y")), "other")
+        rows = cut(meet.join(leaves, "leaf"), GROUP_BYTES).join(leaves.select(F.col("leaf").alias("other"), F.col("x").alias("y")), "other")
         return rows.select("x", "y").mapInArrow(self._trees(("x", "y")), "a long, b long")
 
     def _boxes(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
