@@ -1,4 +1,4 @@
-"""Tables with long rows, read in batches of few rows; means whose last digit hangs on the order of sums."""
+"""Tables with long rows are read in batches of few rows."""
 
 import re
 
